@@ -7,7 +7,7 @@ come from ``config`` so both sides use the same parameters.
 
 from __future__ import annotations
 
-from ..config import CANDIDATE_WEIGHTS, LEXICON, LEXICON_BIAS, SEED, STABILITY_CONST
+from ..config import CANDIDATE_WEIGHTS, FRAC_DATA_IN_SAFETY, LEXICON, LEXICON_BIAS, SEED, STABILITY_CONST
 from ..functions.stats import t_quantile_sql
 
 C = repr(STABILITY_CONST)
@@ -19,7 +19,21 @@ def hash32(*parts: str) -> str:
 
 
 def uniform(*parts: str) -> str:
-    return f"({hash32(*parts)} / 4294967296.0)"
+    return f"(CAST({hash32(*parts)} AS DOUBLE) / 4294967296.0)"
+
+
+def derive_split(key: str, train: float = 0.8, dev: float = 0.1) -> str:
+    u = uniform(SEED_S, "'dataset'", key)
+    return f"(CASE WHEN {u} < {train!r} THEN 'train' WHEN {u} < {train + dev!r} THEN 'dev' ELSE 'test' END)"
+
+
+def safety_part(key: str, frac: float = FRAC_DATA_IN_SAFETY, *extra: str) -> str:
+    u = uniform(SEED_S, "'split'", *extra, key)
+    return f"(CASE WHEN {u} < {frac!r} THEN 'safety' ELSE 'candidate' END)"
+
+
+def order_key(key: str, salt: str = "order") -> str:
+    return f"md5(concat_ws(':', {SEED_S}, {q(salt)}, {key}))"
 
 
 def hash60(*parts: str) -> str:
@@ -30,6 +44,9 @@ def q(s: str) -> str:
     return "'" + s.replace("'", "''") + "'"
 
 
+SEED_S = q(str(SEED))
+
+
 PRIMARY = (
     "SELECT d.doc_id, d.text, CAST(l.toxic AS INTEGER) AS label "
     "FROM documents d JOIN labels l ON d.doc_id = l.doc_id"
@@ -86,5 +103,3 @@ def log_loss(y: str, p: str) -> str:
 def t_q(nu: str, p: float) -> str:
     return t_quantile_sql(nu, p)
 
-
-SEED_S = q(str(SEED))
