@@ -20,6 +20,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..config import Constraint
+from ..functions.scalar import sigmoid
 from ..functions.stats import t_quantile
 
 CONSTRAINT_SCHEMA = T.StructType(
@@ -32,26 +33,66 @@ CONSTRAINT_SCHEMA = T.StructType(
     ]
 )
 
-# Registered group measures: name -> function(members, group_col, logit_col, by)
-# returning (by..., group_id, n_members, <value>) with one row per group.
-_MEASURES: dict[str, tuple[Callable, str]] = {}
+# Registered group measures: name -> aggregate over the member probability.
+_MEASURES: dict[str, Callable[[Column], Column]] = {}
 
 
-def register_measure(name: str, fn: Callable[..., DataFrame], value_col: str) -> None:
+def register_measure(name: str, agg: Callable[[Column], Column]) -> None:
     """Bind a grouped aggregate to a measure name usable in constraints.
 
-    ``fn`` must be expressed with Spark aggregates (it runs as
-    ``groupBy(unit).agg``), so a large group is combined map-side.
+    ``agg`` maps the member-probability Column to a Spark aggregate Column,
+    so every measure of a group is computed in one ``groupBy(unit).agg`` pass
+    and combined map-side (a huge group never sits in one task).
     """
-    _MEASURES[name] = (fn, value_col)
+    _MEASURES[name] = agg
 
 
-def measure(name: str) -> tuple[Callable, str]:
+def measure(name: str) -> Callable[[Column], Column]:
     if name not in _MEASURES:
         raise KeyError(f"unknown measure {name!r}; registered: {sorted(_MEASURES)}")
     return _MEASURES[name]
 
 
+def group_measures(
+    members: DataFrame,
+    names: Sequence[str],
+    group_col: str = "group_id",
+    logit_col: str = "logit",
+    by=("candidate_id",),
+) -> DataFrame:
+    """Long form ``(by..., group_id, n_members, measure, value)``: every named
+    measure of every group, from one aggregation."""
+    names = list(dict.fromkeys(names))
+    p = sigmoid(F.col(logit_col))
+    aggs = [measure(n)(p).alias(f"_m{i}") for i, n in enumerate(names)]
+    per_group = members.groupBy(*by, group_col).agg(F.count(F.lit(1)).alias("n_members"), *aggs)
+    pairs = F.array(*[F.struct(F.lit(n).alias("measure"), F.col(f"_m{i}").cast("double").alias("value")) for i, n in enumerate(names)])
+    return per_group.select(*by, group_col, "n_members", F.explode(pairs).alias("_x")).select(
+        *by, group_col, "n_members", "_x.measure", "_x.value"
+    )
+
+
+def constraint_bounds(summary: DataFrame, constraints: Sequence[Constraint], by=("candidate_id",)) -> DataFrame:
+    """Per (model, constraint): ``n, mean, sd, g`` (point) and ``upper_bound``.
+
+    ``summary`` is long form ``(by..., measure, n, n_dropped, mean, sd)``.
+    One small branch per constraint, united; the summary below them is the
+    same plan, so its exchange is reused."""
+    out = None
+    for c in constraints:
+        part = summary.filter(F.col("measure") == c.measure).select(
+            *by,
+            F.lit(c.name).alias("constraint_name"),
+            "n",
+            "mean",
+            "sd",
+            g_value(F.col("mean"), c).alias("g"),
+            t_upper_bound(F.col("n"), F.col("mean"), F.col("sd"), c).alias("upper_bound"),
+        )
+        out = part if out is None else out.unionByName(part)
+    return out
+
+
 def constraints_frame(spark: SparkSession, constraints: Sequence[Constraint]) -> DataFrame:
     return spark.createDataFrame(
         [(c.name, c.measure, c.op, float(c.threshold), float(c.delta)) for c in constraints], CONSTRAINT_SCHEMA
@@ -94,11 +135,5 @@ def safety_test(bounds: DataFrame, by=("candidate_id",), bound_col: str = "upper
     )
 
 
-def _register_builtin_measures() -> None:
-    from .measures import vprob, vrange
-
-    register_measure("VPROB", vprob, "vprob")
-    register_measure("VRANGE", vrange, "vrange")
-
-
-_register_builtin_measures()
+register_measure("VPROB", lambda p: F.var_samp(p))
+register_measure("VRANGE", lambda p: F.when(F.count(p) >= 2, F.max(p) - F.min(p)))

@@ -72,21 +72,22 @@ def _collect_params(weights: DataFrame):
     return cands, bias, per_term
 
 
-def _inline_logits(text: Column, cands, bias, per_term) -> Column:
-    """Array of logits (one per candidate) computed inside the row."""
+def _inline_parts(text: Column, bias, per_term):
+    """(hits, logits_of): the row's tokens that the model knows, and a function
+    turning such a hits column into the array of logits (one per candidate),
+    computed inside the row."""
     b = F.array(*[F.lit(x) for x in bias])
     if not per_term:
-        return b
+        return F.array().cast("array<string>"), lambda h: b
     wmap = F.create_map(
         *[x for term, ws in sorted(per_term.items()) for x in (F.lit(term), F.array(*[F.lit(w) for w in ws]))]
     )
-    return F.aggregate(
-        tokens(text),
-        b,
-        lambda acc, t: F.when(
-            F.map_contains_key(wmap, t), F.zip_with(acc, F.element_at(wmap, t), lambda a, w: a + w)
-        ).otherwise(acc),
-    )
+    hits = F.filter(tokens(text), lambda t: F.map_contains_key(wmap, t))
+
+    def logits_of(h: Column) -> Column:
+        return F.aggregate(h, b, lambda acc, t: F.zip_with(acc, F.element_at(wmap, t), lambda a, w: a + w))
+
+    return hits, logits_of
 
 
 def score_terms(
@@ -96,11 +97,14 @@ def score_terms(
     key_cols=None,
     out_col: str = "logit",
     strategy: str = "auto",
+    keep_hits: bool = False,
 ) -> DataFrame:
     """One row per (input row, candidate): input columns except the text,
     plus ``candidate_id`` and ``out_col``.
 
     ``key_cols`` must identify a row (needed by the join strategy only).
+    ``keep_hits`` (inline only) also returns ``hits``: the row's known tokens,
+    one entry per occurrence, for gradients that must not re-read the text.
     """
     n_params = weights.count()
     if strategy == "auto":
@@ -111,12 +115,17 @@ def score_terms(
             raise ValueError("parameter table too large to inline; use strategy='join'")
         cands, bias, per_term = _collect_params(weights)
         ids = F.array(*[F.lit(c) for c in cands])
-        logits = _inline_logits(F.col(text_col), cands, bias, per_term)
-        return df.select(*keep, F.posexplode(logits).alias("_ci", out_col)).select(
-            *keep, F.element_at(ids, F.col("_ci") + 1).alias("candidate_id"), out_col
+        hits, logits_of = _inline_parts(F.col(text_col), bias, per_term)
+        extra = ["hits"] if keep_hits else []
+        return (
+            df.select(*keep, hits.alias("hits"))
+            .select(*keep, *extra, F.posexplode(logits_of(F.col("hits"))).alias("_ci", out_col))
+            .select(*keep, F.element_at(ids, F.col("_ci") + 1).alias("candidate_id"), out_col, *extra)
         )
     if strategy != "join":
         raise ValueError(f"unknown strategy {strategy!r}")
+    if keep_hits:
+        raise ValueError("keep_hits needs the inline strategy")
     if not key_cols:
         raise ValueError("the join strategy needs key_cols that identify a row")
     key_cols = list(key_cols)
@@ -208,3 +217,51 @@ def lexicon_scorer(weight: float = CANDIDATE_WEIGHTS[0], bias: float = LEXICON_B
         return model
 
     return load
+
+
+def pad_batches(
+    df: DataFrame,
+    key: str,
+    text_col: str = "text",
+    max_len: int = 512,
+    size: int = 12,
+    seed: int = 42,
+    pad: str = "<pad>",
+) -> DataFrame:
+    """Token batches as a corpus job: whitespace tokens truncated to
+    ``max_len``, rows cut into batches of ``size`` in seeded order, each row
+    padded to the longest row **of its batch**.
+
+    ``(key, batch_id, n_tokens, batch_max, tokens)``; a batch holds at most
+    ``size`` rows, so the per-batch window is bounded."""
+    from pyspark.sql import Window
+
+    from ..functions.scalar import whitespace_tokens
+    from .prep import dense_index, order_key
+
+    toks = F.slice(whitespace_tokens(F.col(text_col)), 1, max_len)
+    staged = df.select(key, toks.alias("_t"), order_key(key, seed).alias("_ok"))
+    indexed = dense_index(staged, ["_ok", key], "_idx")
+    batched = indexed.select(key, "_t", F.floor(F.col("_idx") / F.lit(size)).cast("bigint").alias("batch_id"))
+    w = Window.partitionBy("batch_id")
+    return (
+        batched.withColumn("n_tokens", F.size("_t"))
+        .withColumn("batch_max", F.max("n_tokens").over(w))
+        .select(
+            key,
+            "batch_id",
+            "n_tokens",
+            "batch_max",
+            F.concat("_t", F.array_repeat(F.lit(pad), F.col("batch_max") - F.col("n_tokens"))).alias("tokens"),
+        )
+    )
+
+
+def padding_report(padded: DataFrame) -> DataFrame:
+    """Per batch: rows, longest row, real tokens and padding tokens."""
+    return padded.groupBy("batch_id").agg(
+        F.count(F.lit(1)).alias("n_rows"),
+        F.max("batch_max").alias("max_tokens"),
+        F.sum("n_tokens").alias("real_tokens"),
+        F.sum(F.col("batch_max") - F.col("n_tokens")).alias("pad_tokens"),
+    )

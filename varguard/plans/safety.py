@@ -44,3 +44,30 @@ def safety_report(primary: DataFrame, groups: DataFrame, weights: DataFrame, con
         round6("upper_bound").alias("upper_bound"),
         F.coalesce("passed", F.lit(False)).alias("passed"),
     )
+
+
+def split_measure_stats(primary: DataFrame, groups: DataFrame, weights: DataFrame, constraint: Constraint = VPROB) -> DataFrame:
+    """Per candidate: loss on the candidate part of the labelled rows, and the
+    constraint measure summarised on the candidate and safety parts of the
+    groups (parts drawn per unit by hash).
+
+    ``(candidate_id, loss, n, mean, sd, n_safety, mean_safety, sd_safety)``."""
+    from ..operators.constraints import group_measures
+    from ..operators.prep import safety_part
+
+    scored = score_terms(primary.select("doc_id", "label", "text"), weights, key_cols=["doc_id"])
+    loss = cross_entropy(scored.filter(safety_part(F.col("doc_id")) == "candidate")).select("candidate_id", "loss")
+    members = score_terms(groups.select("group_id", "pos", "text"), weights, key_cols=["group_id", "pos"])
+    per_group = group_measures(members, [constraint.measure]).withColumn("part", safety_part(F.col("group_id")))
+    summary = per_group.groupBy("candidate_id").agg(
+        *[
+            agg
+            for part, sfx in (("candidate", ""), ("safety", "_safety"))
+            for agg in (
+                F.count(F.when(F.col("part") == part, F.col("value"))).alias(f"n{sfx}"),
+                F.avg(F.when(F.col("part") == part, F.col("value"))).alias(f"mean{sfx}"),
+                F.stddev_samp(F.when(F.col("part") == part, F.col("value"))).alias(f"sd{sfx}"),
+            )
+        ]
+    )
+    return loss.join(summary, "candidate_id", "full")
