@@ -45,3 +45,12 @@ def hash_order_key(*parts) -> Column:
 def hash60(*parts) -> Column:
     """Non-negative 60-bit id from the first 15 hex digits of the md5."""
     return F.conv(F.substring(F.md5(hash_key(*parts)), 1, 15), 16, 10).cast("bigint")
+
+
+def hex_uniform(hex_col: Column, slot: int) -> Column:
+    """Uniform in [0, 1) from 8 hex digits (slot 0..3) of an md5 hex string.
+
+    One md5 per (unit, trial) yields four independent uniforms."""
+    if not 0 <= slot <= 3:
+        raise ValueError("slot must be 0..3")
+    return F.conv(F.substring(hex_col, 1 + 8 * slot, 8), 16, 10).cast("bigint") / F.lit(TWO_POW_32)

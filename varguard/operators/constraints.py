@@ -107,18 +107,20 @@ def g_value(value: Column, c: Constraint) -> Column:
 def t_upper_bound(n: Column, mean: Column, sd: Column, c: Constraint) -> Column:
     """High-confidence upper bound of g from a summary (NULL when n < 2)."""
     nd = n.cast("double")
-    return (
-        F.lit(c.sign) * mean + sd / F.sqrt(nd) * t_quantile(n - 1, 1.0 - c.delta) - F.lit(c.sign * c.threshold)
+    return F.when(
+        n >= 2,
+        F.lit(c.sign) * mean + sd / F.sqrt(nd) * t_quantile(n - 1, 1.0 - c.delta) - F.lit(c.sign * c.threshold),
     )
 
 
 def predicted_bound(mean: Column, sd: Column, n_safety: Column, c: Constraint) -> Column:
     """Candidate-side prediction of the safety bound (width doubled, n = safety size)."""
     ns = n_safety.cast("double")
-    return (
+    return F.when(
+        n_safety >= 2,
         F.lit(c.sign) * mean
         + F.lit(2.0) * sd / F.sqrt(ns) * t_quantile(n_safety - 1, 1.0 - c.delta)
-        - F.lit(c.sign * c.threshold)
+        - F.lit(c.sign * c.threshold),
     )
 
 

@@ -265,3 +265,24 @@ def padding_report(padded: DataFrame) -> DataFrame:
         F.sum("n_tokens").alias("real_tokens"),
         F.sum(F.col("batch_max") - F.col("n_tokens")).alias("pad_tokens"),
     )
+
+
+def score_arrays(df: DataFrame, weights: DataFrame, text_col: str = "text", key_cols=None, out_col: str = "logits"):
+    """Like :func:`score_terms` but one row per input row, with an array of
+    logits ordered by candidate id. Returns ``(frame, candidate_ids)``.
+
+    Inline for small models (no shuffle); otherwise the join strategy
+    followed by a per-row regrouping of its K values."""
+    n_params = weights.count()
+    keep = [c for c in df.columns if c != text_col]
+    if n_params <= INLINE_MAX:
+        cands, bias, per_term = _collect_params(weights)
+        hits, logits_of = _inline_parts(F.col(text_col), bias, per_term)
+        return df.select(*keep, logits_of(hits).alias(out_col)), cands
+    if not key_cols:
+        raise ValueError("large models need key_cols that identify a row")
+    cands = sorted(r.candidate_id for r in weights.select("candidate_id").distinct().collect())
+    long = score_terms(df, weights, text_col=text_col, key_cols=key_cols, strategy="join")
+    rest = [c for c in keep if c not in key_cols]
+    arr = class_logits(long, list(key_cols) + rest, out_col=out_col)
+    return arr, cands
