@@ -29,7 +29,7 @@ from ..config import (
     VPROB,
     Constraint,
 )
-from ..functions.scalar import sigmoid
+from ..functions.scalar import log_loss, sigmoid
 from .constraints import passes
 from .score import score_terms
 
@@ -75,10 +75,15 @@ def loss_gradient(df: DataFrame, weights: DataFrame, label_col: str = "label", t
     one aggregation by (candidate, term) gives every entry; terms absent
     from the data have gradient 0 and no row."""
     sc = score_terms(df.select(label_col, text_col), weights, text_col=text_col, keep_hits=True)
+    return loss_gradient_from_hits(sc.withColumnRenamed(label_col, "label"))
+
+
+def loss_gradient_from_hits(sc: DataFrame) -> DataFrame:
+    """:func:`loss_gradient` on scored rows ``(candidate_id, label, logit, hits)``."""
     p = sigmoid(F.col("logit"))
     rows = sc.select(
         "candidate_id",
-        _dloss_dlogit(F.col(label_col), p).alias("r"),
+        _dloss_dlogit(F.col("label"), p).alias("r"),
         F.explode(F.concat(F.array(_null_term()), F.col("hits"))).alias("term"),
     )
     sums = rows.groupBy("candidate_id", "term").agg(F.sum("r").alias("s"), F.count(F.lit(1)).alias("c"))
@@ -97,6 +102,11 @@ def variance_gradient(members: DataFrame, weights: DataFrame, group_col: str = "
     carries n and sum p — so members are aggregated once, map-side, and only
     per-group rows meet in the join. One-member groups are dropped."""
     sc = score_terms(members.select(group_col, text_col), weights, text_col=text_col, keep_hits=True)
+    return variance_gradient_from_hits(sc, group_col)
+
+
+def variance_gradient_from_hits(sc: DataFrame, group_col: str = "group_id") -> DataFrame:
+    """:func:`variance_gradient` on scored members ``(candidate_id, group, logit, hits)``."""
     p = sigmoid(F.col("logit"))
     rows = sc.select(
         "candidate_id",
@@ -133,3 +143,123 @@ class DescentConfig:
     beta_rmsprop: float = BETA_RMSPROP
     n_epochs: int = N_EPOCHS
     eps: float = 1e-8
+
+
+def _logit_from_hits(hits, bias: float, weights: dict) -> "F.Column":
+    if not weights:
+        return F.lit(bias)
+    wmap = F.create_map(*[x for t, w in sorted(weights.items()) for x in (F.lit(t), F.lit(float(w)))])
+    return F.aggregate(hits, F.lit(float(bias)), lambda acc, t: acc + F.coalesce(F.element_at(wmap, t), F.lit(0.0)))
+
+
+def descent_features(primary: DataFrame, groups: DataFrame, vocab, epochs: int, primary_batch: int, group_batch: int, seed: int = 42):
+    """Sparse, batched training inputs, written once (reliable checkpoint in the
+    session's checkpoint folder) so every step reads only known-term hits:
+
+    * primary: ``(epoch, batch_id, label, hits)``;
+    * groups: ``(epoch, batch_id, group_id, hits)`` — whole groups per batch.
+    """
+    from ..functions.scalar import tokens
+    from .prep import assign_batches
+
+    lex = F.array(*[F.lit(t) for t in sorted(vocab)])
+    known = lambda c: F.filter(tokens(F.col(c)), lambda t: F.array_contains(lex, t))
+    p = assign_batches(primary.select("doc_id", "label", known("text").alias("hits")), "doc_id", primary_batch, epochs, seed)
+    gids = groups.select("group_id").distinct()
+    gb = assign_batches(gids, "group_id", group_batch, epochs, seed)
+    members = groups.select("group_id", known("text").alias("hits"))
+    g = gb.select("group_id", "epoch", "batch_id").join(members, "group_id")
+    p = p.select("epoch", "batch_id", "label", "hits").checkpoint()
+    g = g.select("epoch", "batch_id", "group_id", "hits").checkpoint()
+    return p, g
+
+
+def fit_constrained(
+    primary: DataFrame,
+    groups: DataFrame,
+    init_weights: dict,
+    init_bias: float,
+    cfg: DescentConfig = DescentConfig(),
+    constraint: Constraint = VPROB,
+    primary_batch: int = 12,
+    group_batch: int = 5,
+    seed: int = 42,
+):
+    """Constrained descent on a linear term model.
+
+    Lagrangian ``loss(theta) + lambda * g(theta)`` with g = mean group VPROB -
+    threshold on the batch. theta follows Adam on the Lagrangian gradient;
+    lambda >= 0 follows gradient ascent on g. One Spark job per mini-batch
+    step returns the two sparse gradients and the batch values; theta stays a
+    small literal on the driver. Returns ``(theta, bias, log rows)``; each log
+    row is ``(step, epoch, batch_id, loss, g, lam)`` before the update.
+    """
+    spark = primary.sparkSession
+    vocab = sorted(init_weights)
+    p_feat, g_feat = descent_features(primary, groups, vocab, cfg.n_epochs, primary_batch, group_batch, seed)
+    n_pb = p_feat.groupBy("epoch").agg(F.max("batch_id").alias("m")).agg(F.max("m")).first()[0]
+    n_gb = g_feat.groupBy("epoch").agg(F.max("batch_id").alias("m")).agg(F.max("m")).first()[0]
+    if n_pb is None or n_gb is None:
+        raise ValueError("empty training input")
+    n_pb, n_gb = int(n_pb) + 1, int(n_gb) + 1
+    names = [None] + vocab
+    theta = {None: float(init_bias), **{t: float(init_weights[t]) for t in vocab}}
+    m = {k: 0.0 for k in names}
+    v = {k: 0.0 for k in names}
+    lam = float(cfg.lambda_init)
+    log = []
+    step = 0
+    thr = constraint.sign * constraint.threshold
+    for epoch in range(cfg.n_epochs):
+        for b in range(n_pb):
+            step += 1
+            logit = _logit_from_hits(F.col("hits"), theta[None], {t: theta[t] for t in vocab})
+            pb = p_feat.filter((F.col("epoch") == epoch) & (F.col("batch_id") == b)).select(
+                F.lit(0).alias("candidate_id"), "label", logit.alias("logit"), "hits"
+            )
+            gb = g_feat.filter((F.col("epoch") == epoch) & (F.col("batch_id") == b % n_gb)).select(
+                F.lit(0).alias("candidate_id"), "group_id", logit.alias("logit"), "hits"
+            )
+            lg = loss_gradient_from_hits(pb).select(F.lit("dloss").alias("kind"), "term", "grad")
+            vg = variance_gradient_from_hits(gb).select(F.lit("dg").alias("kind"), "term", "grad")
+            lv = pb.agg(F.avg(log_loss("label", sigmoid(F.col("logit")))).alias("grad")).select(
+                F.lit("loss").alias("kind"), F.lit(None).cast("string").alias("term"), "grad"
+            )
+            gv = (
+                gb.groupBy("group_id")
+                .agg(F.var_samp(sigmoid(F.col("logit"))).alias("vp"))
+                .agg(F.avg("vp").alias("grad"))
+                .select(F.lit("g").alias("kind"), F.lit(None).cast("string").alias("term"), "grad")
+            )
+            got = lg.unionByName(vg).unionByName(lv).unionByName(gv).collect()
+            dloss = {r.term: r.grad for r in got if r.kind == "dloss"}
+            dg = {r.term: r.grad for r in got if r.kind == "dg"}
+            loss_v = next((r.grad for r in got if r.kind == "loss"), None)
+            g_mean = next((r.grad for r in got if r.kind == "g"), None)
+            g_v = None if g_mean is None else constraint.sign * g_mean - thr
+            log.append((step, epoch, b, loss_v, g_v, lam))
+            for k in names:
+                grad = (dloss.get(k) or 0.0) + lam * constraint.sign * (dg.get(k) or 0.0)
+                m[k] = cfg.beta_velocity * m[k] + (1 - cfg.beta_velocity) * grad
+                v[k] = cfg.beta_rmsprop * v[k] + (1 - cfg.beta_rmsprop) * grad * grad
+                mh = m[k] / (1 - cfg.beta_velocity**step)
+                vh = v[k] / (1 - cfg.beta_rmsprop**step)
+                theta[k] -= cfg.alpha_theta * mh / (vh**0.5 + cfg.eps)
+            if g_v is not None:
+                lam = max(0.0, lam + cfg.alpha_lambda * g_v)
+    return {t: theta[t] for t in vocab}, theta[None], log
+
+
+LOG_SCHEMA = "step int, epoch int, batch_id long, loss double, g double, lam double"
+
+
+def best_iterate(log: DataFrame) -> DataFrame:
+    """Lowest-loss logged step whose g is <= 0 (``solution_found`` false if none)."""
+    ok = F.coalesce(F.col("g") <= 0, F.lit(False)) & F.col("loss").isNotNull()
+    best = log.agg(F.min_by(F.when(ok, F.struct("step", "loss", "g")), F.when(ok, F.struct("loss", "step"))).alias("_b"))
+    return best.select(
+        F.col("_b").isNotNull().alias("solution_found"),
+        F.col("_b.step").alias("step"),
+        F.col("_b.loss").alias("loss"),
+        F.col("_b.g").alias("g"),
+    )

@@ -29,4 +29,4 @@ def register(name: str, sql: str | Callable[[], str] | None = None):
 
 def load_all() -> None:
     """Import every module that registers queries."""
-    from . import queries_core, queries_experiment, queries_measures, queries_prep  # noqa: F401
+    from . import queries_core, queries_experiment, queries_measures, queries_prep, queries_runs  # noqa: F401
