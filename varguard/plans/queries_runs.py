@@ -64,3 +64,42 @@ def snk3_write_log(spark, sf_dir):
     path = scratch_path(spark, "descent-log")
     write_log(_fit(spark, sf_dir), path)
     return spark.read.parquet(path)
+
+
+@register("snk2_stream_pool", ex1_sql)
+def snk2_stream_pool(spark, sf_dir):
+    """Cells pooled by a file-source stream into a parquet table (exactly once)."""
+    from ..streaming.pool import start_pooling
+
+    cells = scratch_path(spark, "cells")
+    write_trials(_experiment(spark, sf_dir), cells)
+    pooled, ckpt = scratch_path(spark, "pooled"), scratch_path(spark, "pool-ckpt")
+    q = start_pooling(spark, cells, pooled, ckpt)
+    q.awaitTermination()
+    return spark.read.parquet(pooled)
+
+
+def _stream_rate_sql():
+    from .queries_experiment import _wrap
+
+    return _wrap(
+        """SELECT frac_id, data_frac, count(*) AS n_trials, round(avg(CAST(passed_safety AS DOUBLE)), 6) AS solution_rate,
+        round(sqrt(avg(CAST(passed_safety AS DOUBLE)) * (1.0 - avg(CAST(passed_safety AS DOUBLE))) / count(*)), 6) AS se_solution_rate
+        FROM r GROUP BY frac_id, data_frac"""
+    )
+
+
+@register("ex4_stream_solution_rate", _stream_rate_sql)
+def ex4_stream_solution_rate(spark, sf_dir):
+    """Solution rate per fraction kept current by a streaming aggregation."""
+    from ..functions.scalar import round6
+    from ..streaming.pool import start_rate_report
+
+    cells = scratch_path(spark, "cells")
+    write_trials(_experiment(spark, sf_dir), cells)
+    report, ckpt = scratch_path(spark, "rate"), scratch_path(spark, "rate-ckpt")
+    q = start_rate_report(spark, cells, report, ckpt)
+    q.awaitTermination()
+    out = spark.read.parquet(report)
+    return out.select("frac_id", "data_frac", "n_trials", round6("solution_rate").alias("solution_rate"),
+                      round6("se_solution_rate").alias("se_solution_rate"))
