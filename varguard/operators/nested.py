@@ -75,6 +75,9 @@ def exact_quantile(df: DataFrame, col: str, p: float) -> float | None:
 
 def hard_groups(per_group: DataFrame, value_col: str, q: float = 0.9) -> DataFrame:
     """Groups whose measure is at or above its q-quantile over groups."""
+    # the per-group table is small next to its members: write it once to the
+    # shared checkpoint folder so the quantile's jobs do not re-read the members
+    per_group = per_group.checkpoint()
     cut = exact_quantile(per_group, value_col, q)
     if cut is None:
         return per_group.limit(0)

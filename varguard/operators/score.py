@@ -240,13 +240,14 @@ def pad_batches(
     from .prep import dense_index, order_key
 
     toks = F.slice(whitespace_tokens(F.col(text_col)), 1, max_len)
-    staged = df.select(key, toks.alias("_t"), order_key(key, seed).alias("_ok"))
+    # n_tokens is computed before the range shuffle, so a caller that only
+    # reads the counts never moves the token arrays (column pruning).
+    staged = df.select(key, toks.alias("_t"), order_key(key, seed).alias("_ok")).withColumn("n_tokens", F.size("_t"))
     indexed = dense_index(staged, ["_ok", key], "_idx")
-    batched = indexed.select(key, "_t", F.floor(F.col("_idx") / F.lit(size)).cast("bigint").alias("batch_id"))
+    batched = indexed.select(key, "_t", "n_tokens", F.floor(F.col("_idx") / F.lit(size)).cast("bigint").alias("batch_id"))
     w = Window.partitionBy("batch_id")
     return (
-        batched.withColumn("n_tokens", F.size("_t"))
-        .withColumn("batch_max", F.max("n_tokens").over(w))
+        batched.withColumn("batch_max", F.max("n_tokens").over(w))
         .select(
             key,
             "batch_id",

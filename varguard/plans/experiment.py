@@ -45,8 +45,13 @@ PARTS = ("candidate", "safety")
 def unit_values(primary: DataFrame, groups: DataFrame, weights: DataFrame):
     """``(kind, unit, xs)``: per labelled row the per-candidate log loss, per
     group the per-candidate VPROB (NULL for one-member groups). Returns
-    ``(frame, candidate_ids)``."""
-    p_arr, cands = score_arrays(primary.select("doc_id", "label", "text"), weights, key_cols=["doc_id"])
+    ``(frame, candidate_ids)``. ``primary`` is raw ``(doc_id, label, text)``
+    or pre-scored ``(doc_id, label, logits)`` (``labelled_logits``)."""
+    if "logits" in primary.columns:
+        p_arr = primary.select("doc_id", "label", "logits")
+        cands = sorted(r.candidate_id for r in weights.select("candidate_id").distinct().collect())
+    else:
+        p_arr, cands = score_arrays(primary.select("doc_id", "label", "text"), weights, key_cols=["doc_id"])
     y = F.col("label")
     p_units = p_arr.select(
         F.lit("p").alias("kind"),

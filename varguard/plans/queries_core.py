@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from ..config import VPROB
 from ..functions.scalar import round6
 from ..operators.score import lexicon_model
-from ..sources.standins import document_groups, primary_table
+from ..sources.standins import document_groups, labelled_logits
 from . import oracle as O
 from .catalog import register
 from .safety import safety_report
@@ -40,4 +40,6 @@ def _flagship_sql() -> str:
 def flagship_safety_report(spark, sf_dir):
     """Loss and VPROB safety verdict per scorer on documents x labels and
     document groups by (lang, source)."""
-    return safety_report(primary_table(spark, sf_dir), document_groups(spark, sf_dir), lexicon_model(spark))
+    w = lexicon_model(spark)
+    scored, _ = labelled_logits(spark, sf_dir, w)
+    return safety_report(scored, document_groups(spark, sf_dir), w)

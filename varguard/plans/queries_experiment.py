@@ -18,7 +18,7 @@ from ..operators.resample import (
 )
 from ..operators.score import lexicon_model
 from ..sources.results import decode_gvec, encode_gvec
-from ..sources.standins import document_groups, primary_table
+from ..sources.standins import document_groups, labelled_logits, primary_table
 from . import oracle as O
 from .catalog import register
 from .experiment import abs_size, failure_rate, learning_curve, reconcile, run_experiment, solution_rate
@@ -46,12 +46,9 @@ POISSON = poisson_cdf()
 
 
 def _experiment(spark, sf_dir):
-    return run_experiment(
-        primary_table(spark, sf_dir),
-        document_groups(spark, sf_dir),
-        lexicon_model(spark, tuple(EXPERIMENT_CANDIDATE_WEIGHTS)),
-        CFG,
-    )
+    w = lexicon_model(spark, tuple(EXPERIMENT_CANDIDATE_WEIGHTS))
+    scored, _ = labelled_logits(spark, sf_dir, w, exploded=False)
+    return run_experiment(scored, document_groups(spark, sf_dir), w, CFG)
 
 
 def ex1_sql() -> str:
@@ -136,7 +133,7 @@ def ex2_ground_truth(spark, sf_dir):
     from ..operators.score import score_terms
 
     w = lexicon_model(spark, tuple(EXPERIMENT_CANDIDATE_WEIGHTS))
-    perf = cross_entropy(score_terms(primary_table(spark, sf_dir), w, key_cols=["doc_id"]))
+    perf = cross_entropy(labelled_logits(spark, sf_dir, w)[0])
     g = summarise(vprob(score_terms(document_groups(spark, sf_dir), w, key_cols=["group_id", "pos"])), "vprob")
     return perf.join(g, "candidate_id").select(
         "candidate_id", round6("loss").alias("performance"), round6(F.col("mean") - F.lit(VPROB.threshold)).alias("g")

@@ -25,9 +25,9 @@ from ..operators.score import (
     score_terms,
     score_with,
 )
-from ..operators.train import loss_gradient, select_candidate, variance_gradient
+from ..operators.train import loss_gradient_from_hits, select_candidate, variance_gradient
 from ..session import load_table
-from ..sources.standins import document_groups, primary_table
+from ..sources.standins import document_groups, labelled_logits, primary_table
 from . import oracle as O
 from .catalog import register
 from .safety import split_measure_stats
@@ -45,7 +45,7 @@ GROUPINGS_SQL = {"lang_source": O.GROUPS_LS, "source": O.GROUPS_SRC}
 
 def _scored_primary(spark, sf_dir, weights=None):
     w = weights if weights is not None else lexicon_model(spark)
-    return score_terms(primary_table(spark, sf_dir), w, key_cols=["doc_id"])
+    return labelled_logits(spark, sf_dir, w)[0]
 
 
 def _members(spark, sf_dir, by=("lang", "source"), weights=None):
@@ -319,7 +319,8 @@ def _cn7_sql():
 @register("cn7_predicted_bound", _cn7_sql)
 def cn7_predicted_bound(spark, sf_dir):
     """Candidate-side prediction of the safety bound (doubled width, safety n)."""
-    st = split_measure_stats(primary_table(spark, sf_dir), document_groups(spark, sf_dir), lexicon_model(spark))
+    w = lexicon_model(spark)
+    st = split_measure_stats(labelled_logits(spark, sf_dir, w)[0], document_groups(spark, sf_dir), w)
     return st.select(
         "candidate_id", F.col("n").alias("n_candidate"), "n_safety",
         round6(predicted_bound(F.col("mean"), F.col("sd"), F.col("n_safety"), VPROB)).alias("predicted_bound"),
@@ -374,7 +375,8 @@ def trn1_select_candidate(spark, sf_dir):
     """Candidate selection: lowest loss whose predicted safety bound is <= 0."""
     out = None
     for name, by in GROUPINGS.items():
-        st = split_measure_stats(primary_table(spark, sf_dir), document_groups(spark, sf_dir, by), lexicon_model(spark))
+        w = lexicon_model(spark)
+        st = split_measure_stats(labelled_logits(spark, sf_dir, w)[0], document_groups(spark, sf_dir, by), w)
         st = st.withColumn("predicted_bound", predicted_bound(F.col("mean"), F.col("sd"), F.col("n_safety"), VPROB))
         sel = select_candidate(st).select(
             F.lit(name).alias("grouping"), "solution_found", "candidate_id",
@@ -403,7 +405,10 @@ def _trn2_sql():
 @register("trn2_loss_gradient", _trn2_sql)
 def trn2_loss_gradient(spark, sf_dir):
     """Gradient of the mean log loss w.r.t. every weight (term NULL = bias)."""
-    g = loss_gradient(primary_table(spark, sf_dir), lexicon_model(spark))
+    docs = load_table(spark, sf_dir, "documents").select("doc_id", "text")
+    scored = score_terms(docs, lexicon_model(spark), keep_hits=True)
+    labels = load_table(spark, sf_dir, "labels").select("doc_id", F.col("toxic").cast("int").alias("label"))
+    g = loss_gradient_from_hits(scored.join(labels, "doc_id"))
     return g.select("candidate_id", "term", round6("grad").alias("grad"))
 
 

@@ -19,8 +19,19 @@ from ..operators.measures import cross_entropy, summarise, vprob
 from ..operators.score import score_terms
 
 
+def scored_rows(primary: DataFrame, weights: DataFrame) -> DataFrame:
+    """``(doc_id, label, candidate_id, logit)``: ``primary`` is either already
+    scored (has ``logit``) or raw labelled text (has ``text``)."""
+    if "logit" in primary.columns:
+        return primary.select("doc_id", "label", "candidate_id", "logit")
+    return score_terms(primary.select("doc_id", "label", "text"), weights, key_cols=["doc_id"])
+
+
 def safety_report(primary: DataFrame, groups: DataFrame, weights: DataFrame, constraint: Constraint = VPROB) -> DataFrame:
-    scored = score_terms(primary.select("doc_id", "label", "text"), weights, key_cols=["doc_id"])
+    """Per model: loss on the labelled rows, VPROB summary and bound over the
+    groups, verdict. ``primary`` is raw (doc_id, label, text) or pre-scored
+    (doc_id, label, candidate_id, logit), see ``labelled_logits``."""
+    scored = scored_rows(primary, weights)
     loss = cross_entropy(scored)
     members = score_terms(groups.select("group_id", "pos", "text"), weights, key_cols=["group_id", "pos"])
     summary = summarise(vprob(members), "vprob")
@@ -55,7 +66,7 @@ def split_measure_stats(primary: DataFrame, groups: DataFrame, weights: DataFram
     from ..operators.constraints import group_measures
     from ..operators.prep import safety_part
 
-    scored = score_terms(primary.select("doc_id", "label", "text"), weights, key_cols=["doc_id"])
+    scored = scored_rows(primary, weights)
     loss = cross_entropy(scored.filter(safety_part(F.col("doc_id")) == "candidate")).select("candidate_id", "loss")
     members = score_terms(groups.select("group_id", "pos", "text"), weights, key_cols=["group_id", "pos"])
     per_group = group_measures(members, [constraint.measure]).withColumn("part", safety_part(F.col("group_id")))

@@ -41,3 +41,27 @@ def conversation_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Conversations as groups: ``(group_id, pos, text)``; pos = turn."""
     conv = load_table(spark, sf_dir, "conversations")
     return conv.select(F.col("conv_id").alias("group_id"), F.col("turn").alias("pos"), "text")
+
+
+def labelled_logits(spark: SparkSession, sf_dir: str, weights: DataFrame, exploded: bool = True) -> DataFrame:
+    """Scores of every labelled document, text never shuffled.
+
+    Documents are scored where they are read (a narrow projection), and only
+    ``(doc_id, logits)`` meets the labels in the join. Joining first would
+    move whole texts through the shuffle whenever the labels are too large to
+    broadcast. ``exploded``: one row per (doc, candidate) with ``candidate_id,
+    logit``; otherwise one row per doc with the ``logits`` array.
+    Returns ``(frame, candidate_ids)``."""
+    from ..operators.score import score_arrays
+
+    docs = load_table(spark, sf_dir, "documents").select("doc_id", "text")
+    arr, cands = score_arrays(docs, weights, key_cols=["doc_id"])
+    labels = load_table(spark, sf_dir, "labels").select("doc_id", F.col("toxic").cast("int").alias("label"))
+    joined = arr.join(labels, "doc_id")
+    if not exploded:
+        return joined.select("doc_id", "label", "logits"), cands
+    ids = F.array(*[F.lit(c) for c in cands])
+    out = joined.select("doc_id", "label", F.posexplode("logits").alias("_ci", "logit")).select(
+        "doc_id", "label", F.element_at(ids, F.col("_ci") + 1).alias("candidate_id"), "logit"
+    )
+    return out, cands
