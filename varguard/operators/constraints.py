@@ -67,7 +67,7 @@ def group_measures(
     aggs = [measure(n)(p).alias(f"_m{i}") for i, n in enumerate(names)]
     per_group = members.groupBy(*by, group_col).agg(F.count(F.lit(1)).alias("n_members"), *aggs)
     pairs = F.array(*[F.struct(F.lit(n).alias("measure"), F.col(f"_m{i}").cast("double").alias("value")) for i, n in enumerate(names)])
-    return per_group.select(*by, group_col, "n_members", F.explode(pairs).alias("_x")).select(
+    return per_group.select(*by, group_col, "n_members", F.explode_outer(pairs).alias("_x")).select(
         *by, group_col, "n_members", "_x.measure", "_x.value"
     )
 

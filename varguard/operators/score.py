@@ -10,6 +10,11 @@ Two physical strategies, chosen by the size of the parameter table:
 * inline (``<= INLINE_MAX`` entries): the parameters become a literal map and
   every row is scored in place with ``aggregate`` over its tokens. Narrow, no
   shuffle, no join; the whole text is read.
+Generators over computed arrays use the ``_outer`` forms: the arrays are
+never empty here, and the plain forms make Catalyst infer a ``size(...) > 0``
+filter that re-evaluates the whole scoring expression (pushed even into join
+conditions).
+
 * join (larger vocabularies): tokens are exploded and hash-joined with the
   weights (broadcast when the weight table is within ``BROADCAST_MAX_ROWS``,
   shuffled otherwise), summed per (row, candidate) with a map-side combine, and
@@ -119,7 +124,7 @@ def score_terms(
         extra = ["hits"] if keep_hits else []
         return (
             df.select(*keep, hits.alias("hits"))
-            .select(*keep, *extra, F.posexplode(logits_of(F.col("hits"))).alias("_ci", out_col))
+            .select(*keep, *extra, F.posexplode_outer(logits_of(F.col("hits"))).alias("_ci", out_col))
             .select(*keep, F.element_at(ids, F.col("_ci") + 1).alias("candidate_id"), out_col, *extra)
         )
     if strategy != "join":
@@ -138,7 +143,7 @@ def score_terms(
     bias_w = F.broadcast(
         weights.filter(F.col("term").isNull()).groupBy("candidate_id").agg(F.sum("weight").alias("b"))
     )
-    toks = df.select(*key_cols, F.explode(tokens(F.col(text_col))).alias("term"))
+    toks = df.select(*key_cols, F.explode_outer(tokens(F.col(text_col))).alias("term"))
     sums = toks.join(term_w, "term").groupBy(*key_cols, "candidate_id").agg(F.sum("w").alias("_s"))
     base = df.select(*keep, F.explode(F.array(*[F.lit(c) for c in sorted(cand_ids)])).alias("candidate_id"))
     return (

@@ -84,7 +84,7 @@ def loss_gradient_from_hits(sc: DataFrame) -> DataFrame:
     rows = sc.select(
         "candidate_id",
         _dloss_dlogit(F.col("label"), p).alias("r"),
-        F.explode(F.concat(F.array(_null_term()), F.col("hits"))).alias("term"),
+        F.explode_outer(F.concat(F.array(_null_term()), F.col("hits"))).alias("term"),
     )
     sums = rows.groupBy("candidate_id", "term").agg(F.sum("r").alias("s"), F.count(F.lit(1)).alias("c"))
     n_rows = F.max(F.when(F.col("term").isNull(), F.col("c"))).over(Window.partitionBy("candidate_id"))
@@ -112,7 +112,7 @@ def variance_gradient_from_hits(sc: DataFrame, group_col: str = "group_id") -> D
         "candidate_id",
         group_col,
         p.alias("p"),
-        F.explode(F.concat(F.array(_null_term()), F.col("hits"))).alias("term"),
+        F.explode_outer(F.concat(F.array(_null_term()), F.col("hits"))).alias("term"),
     ).withColumn("s", F.col("p") * (F.lit(1.0) - F.col("p")))
     per_gt = rows.groupBy("candidate_id", group_col, "term").agg(
         F.sum(F.col("p") * F.col("s")).alias("a"),

@@ -88,7 +88,7 @@ def experiment_moments(units: DataFrame, cfg: ExperimentConfig) -> DataFrame:
         F.when(gt, F.lit(1)).otherwise(poisson_weight(hex_uniform(F.col("_h"), 1))).alias("w"),
         F.when(gt, F.lit(0)).otherwise(min_frac_id(hex_uniform(F.col("_h"), 2), list(cfg.fracs))).alias("frac_id"),
     ).filter(F.col("w") > 0)
-    values = drawn.select("trial_i", "kind", "part", "frac_id", "w", F.posexplode("xs").alias("cand_idx", "x")).filter(
+    values = drawn.select("trial_i", "kind", "part", "frac_id", "w", F.posexplode_outer("xs").alias("cand_idx", "x")).filter(
         F.col("x").isNotNull()
     )
     return values.groupBy("trial_i", "kind", "part", "frac_id", "cand_idx").agg(

@@ -27,7 +27,7 @@ from ..operators.score import (
 )
 from ..operators.train import loss_gradient_from_hits, select_candidate, variance_gradient
 from ..session import load_table
-from ..sources.standins import document_groups, labelled_logits, primary_table
+from ..sources.standins import document_groups, labelled_hits, labelled_logits, primary_table
 from . import oracle as O
 from .catalog import register
 from .safety import split_measure_stats
@@ -405,10 +405,7 @@ def _trn2_sql():
 @register("trn2_loss_gradient", _trn2_sql)
 def trn2_loss_gradient(spark, sf_dir):
     """Gradient of the mean log loss w.r.t. every weight (term NULL = bias)."""
-    docs = load_table(spark, sf_dir, "documents").select("doc_id", "text")
-    scored = score_terms(docs, lexicon_model(spark), keep_hits=True)
-    labels = load_table(spark, sf_dir, "labels").select("doc_id", F.col("toxic").cast("int").alias("label"))
-    g = loss_gradient_from_hits(scored.join(labels, "doc_id"))
+    g = loss_gradient_from_hits(labelled_hits(spark, sf_dir, lexicon_model(spark)))
     return g.select("candidate_id", "term", round6("grad").alias("grad"))
 
 

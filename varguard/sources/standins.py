@@ -20,9 +20,16 @@ from ..session import load_table
 
 
 def primary_table(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """``(doc_id, text, label)`` for every labelled document."""
+    """``(doc_id, text, label)`` for every labelled document.
+
+    The labels side is broadcast when its checked size allows (no shuffle of
+    texts); otherwise the planner shuffles both sides. Scoring paths use
+    :func:`labelled_logits`, which never shuffles texts."""
     docs = load_table(spark, sf_dir, "documents").select("doc_id", "text")
     labels = load_table(spark, sf_dir, "labels").select("doc_id", F.col("toxic").cast("int").alias("label"))
+    size = plan_size_bytes(labels)
+    if size is not None and size <= LABELS_BROADCAST_MAX_BYTES:
+        labels = F.broadcast(labels)
     return docs.join(labels, "doc_id")
 
 
@@ -43,25 +50,60 @@ def conversation_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
     return conv.select(F.col("conv_id").alias("group_id"), F.col("turn").alias("pos"), "text")
 
 
+# Broadcast cap for the labels side of the labelled-text join (plan estimate).
+LABELS_BROADCAST_MAX_BYTES = 256 * 1024 * 1024
+
+
+def plan_size_bytes(df: DataFrame) -> int | None:
+    """Catalyst's size estimate of a plan (file sizes after pruning); None if
+    unavailable."""
+    try:
+        return int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+    except Exception:  # noqa: BLE001
+        return None
+
+
 def labelled_logits(spark: SparkSession, sf_dir: str, weights: DataFrame, exploded: bool = True) -> DataFrame:
-    """Scores of every labelled document, text never shuffled.
+    """Scores of every labelled document; whole texts never cross a shuffle.
+
+    The join order is chosen from the checked size of the labels side:
 
-    Documents are scored where they are read (a narrow projection), and only
-    ``(doc_id, logits)`` meets the labels in the join. Joining first would
-    move whole texts through the shuffle whenever the labels are too large to
-    broadcast. ``exploded``: one row per (doc, candidate) with ``candidate_id,
-    logit``; otherwise one row per doc with the ``logits`` array.
+    * labels within ``LABELS_BROADCAST_MAX_BYTES``: broadcast them and join
+      first — only labelled documents are scored, nothing is shuffled;
+    * larger: score documents where they are read (a narrow projection) and
+      join only ``(doc_id, logits)`` with the labels (shuffle of small rows).
+
+    ``exploded``: one row per (doc, candidate) with ``candidate_id, logit``;
+    otherwise one row per doc with the ``logits`` array.
     Returns ``(frame, candidate_ids)``."""
     from ..operators.score import score_arrays
 
     docs = load_table(spark, sf_dir, "documents").select("doc_id", "text")
-    arr, cands = score_arrays(docs, weights, key_cols=["doc_id"])
     labels = load_table(spark, sf_dir, "labels").select("doc_id", F.col("toxic").cast("int").alias("label"))
-    joined = arr.join(labels, "doc_id")
+    size = plan_size_bytes(labels)
+    if size is not None and size <= LABELS_BROADCAST_MAX_BYTES:
+        arr, cands = score_arrays(docs.join(F.broadcast(labels), "doc_id"), weights, key_cols=["doc_id"])
+        joined = arr
+    else:
+        arr, cands = score_arrays(docs, weights, key_cols=["doc_id"])
+        joined = arr.join(labels, "doc_id")
     if not exploded:
         return joined.select("doc_id", "label", "logits"), cands
     ids = F.array(*[F.lit(c) for c in cands])
-    out = joined.select("doc_id", "label", F.posexplode("logits").alias("_ci", "logit")).select(
+    out = joined.select("doc_id", "label", F.posexplode_outer("logits").alias("_ci", "logit")).select(
         "doc_id", "label", F.element_at(ids, F.col("_ci") + 1).alias("candidate_id"), "logit"
     )
     return out, cands
+
+
+def labelled_hits(spark: SparkSession, sf_dir: str, weights: DataFrame) -> DataFrame:
+    """``(doc_id, label, candidate_id, logit, hits)`` for gradients, with the
+    same size-checked join order as :func:`labelled_logits`."""
+    from ..operators.score import score_terms
+
+    docs = load_table(spark, sf_dir, "documents").select("doc_id", "text")
+    labels = load_table(spark, sf_dir, "labels").select("doc_id", F.col("toxic").cast("int").alias("label"))
+    size = plan_size_bytes(labels)
+    if size is not None and size <= LABELS_BROADCAST_MAX_BYTES:
+        return score_terms(docs.join(F.broadcast(labels), "doc_id"), weights, keep_hits=True)
+    return score_terms(docs, weights, keep_hits=True).join(labels, "doc_id")
