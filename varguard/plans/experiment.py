@@ -69,6 +69,48 @@ def unit_values(primary: DataFrame, groups: DataFrame, weights: DataFrame):
     return p_units.unionByName(g_units), cands
 
 
+def corpus_unit_values(docs: DataFrame, labels: DataFrame, group_cols, weights: DataFrame, labels_broadcast: bool = True):
+    """``unit_values`` for the common case where the labelled rows and the
+    group members are the same corpus: one scan, one scoring of every text.
+
+    Each document is scored in place, left-joined to its label (broadcast when
+    ``labels_broadcast``, else a shuffle of ``(doc_id, logits)`` rows), and
+    emits a group row ``('g', group_id)`` plus, when labelled, a row
+    ``('p', doc_id)``. One ``groupBy(kind, unit)`` then yields the per-group
+    VPROB (combined map-side, so a hot group costs one partial per task) and
+    the per-document loss. Returns ``(frame, candidate_ids)``."""
+    from ..sources.standins import group_id_of
+
+    scored, cands = score_arrays(
+        docs.select("doc_id", "text", group_id_of(*group_cols).alias("_gid")), weights, key_cols=["doc_id"]
+    )
+    lab = labels.select("doc_id", F.col("label").cast("int").alias("label"))
+    joined = scored.join(F.broadcast(lab) if labels_broadcast else lab, "doc_id", "left")
+    k = len(cands)
+    rows = joined.select(
+        "logits",
+        "label",
+        F.explode_outer(
+            F.array(
+                F.struct(F.lit("g").alias("kind"), F.col("_gid").alias("unit")),
+                F.when(F.col("label").isNotNull(), F.struct(F.lit("p").alias("kind"), F.col("doc_id").alias("unit"))),
+            )
+        ).alias("_u"),
+    ).filter(F.col("_u").isNotNull())
+    y = F.col("label")
+    is_g = F.col("_u.kind") == "g"
+    aggs = []
+    for i in range(k):
+        z = F.element_at("logits", i + 1)
+        aggs.append(F.var_samp(F.when(is_g, sigmoid(z))).alias(f"_v{i}"))
+        aggs.append(F.max(F.when(~is_g, log_loss(y, sigmoid(z)))).alias(f"_l{i}"))
+    per_unit = rows.groupBy(F.col("_u.kind").alias("kind"), F.col("_u.unit").alias("unit")).agg(*aggs)
+    xs = F.when(
+        F.col("kind") == "g", F.array(*[F.col(f"_v{i}") for i in range(k)])
+    ).otherwise(F.array(*[F.col(f"_l{i}") for i in range(k)]))
+    return per_unit.select("kind", "unit", xs.alias("xs")), cands
+
+
 def experiment_moments(units: DataFrame, cfg: ExperimentConfig) -> DataFrame:
     """Weighted moments per (trial_i, kind, part, frac_id, cand_idx); trial -1
     is the unsampled table."""
@@ -117,25 +159,44 @@ def run_experiment(primary: DataFrame, groups: DataFrame, weights: DataFrame, cf
     """One result row per (frac_id, trial_i):
     ``frac_id, data_frac, trial_i, candidate_id, performance, passed_safety, gvec``."""
     units, cands = unit_values(primary, groups, weights)
-    mom = experiment_moments(units, cfg)
-    return results_from_moments(mom, cands, cfg)
+    return results_from_units(units, cands, cfg)
+
+
+def results_from_units(units: DataFrame, cands, cfg: ExperimentConfig = ExperimentConfig()) -> DataFrame:
+    return results_from_moments(experiment_moments(units, cfg), cands, cfg)
 
 
 def cell_bounds(mom: DataFrame, k: int, cfg: ExperimentConfig) -> DataFrame:
     """Per (trial_i, frac_id, cand_idx): candidate-part loss, predicted bound,
-    safety bound and distinct-unit counts of both parts."""
+    safety bound, distinct-unit counts of both parts, and the ground truth
+    (``perf``, ``vmean``) of the candidate.
+
+    ``mom`` is read once: the unsampled rows (trial -1) travel in the same
+    small frame and are spread to every cell by a window over the candidate."""
     spark = mom.sparkSession
     c = cfg.constraint
 
-    # every key, then running sums over nested fractions
+    # every key (plus the ground-truth keys), then running sums over fractions
     keys = ["trial_i", "kind", "part", "frac_id", "cand_idx"]
-    sampled = mom.filter(F.col("trial_i") >= 0)
+    truth_keys = spark.range(1).select(
+        F.lit(-1).alias("trial_i"),
+        F.explode(F.array(*[F.lit(x) for x in KINDS])).alias("kind"),
+    ).select("*", F.lit("all").alias("part"), F.lit(0).alias("frac_id"))
+    truth_keys = truth_keys.select("*", F.explode(F.sequence(F.lit(0), F.lit(k - 1))).alias("cand_idx"))
+    grid = _grid(spark, cfg, k).unionByName(truth_keys)
     cum_w = Window.partitionBy("trial_i", "kind", "part", "cand_idx").orderBy("frac_id").rowsBetween(
         Window.unboundedPreceding, Window.currentRow
     )
-    cum = _grid(spark, cfg, k).join(F.broadcast(sampled), keys, "left").select(
+    cum = grid.join(F.broadcast(mom), keys, "left").select(
         *keys, *[F.sum(F.coalesce(F.col(m), F.lit(0))).over(cum_w).alias(m) for m in ("sw", "swx", "swx2", "nu")]
     )
+    per_cand = Window.partitionBy("cand_idx")
+    gt = F.col("trial_i") < 0
+
+    def truth(kind):
+        return F.max(F.when(gt & (F.col("kind") == kind) & (F.col("sw") > 0), F.col("swx") / F.col("sw"))).over(per_cand)
+
+    cum = cum.select("*", truth("p").alias("perf"), truth("g").alias("vmean")).filter(~gt)
 
     def pick(kind, part, expr):
         return F.max(F.when((F.col("kind") == kind) & (F.col("part") == part), expr))
@@ -147,6 +208,8 @@ def cell_bounds(mom: DataFrame, k: int, cfg: ExperimentConfig) -> DataFrame:
             for part in PARTS
             for m in ("sw", "swx", "swx2", "nu")
         ],
+        F.max("perf").alias("perf"),
+        F.max("vmean").alias("vmean"),
     )
     n_c, n_s = F.col("sw_c"), F.col("sw_s")
     mean_c = F.when(n_c > 0, F.col("swx_c") / n_c)
@@ -166,25 +229,19 @@ def cell_bounds(mom: DataFrame, k: int, cfg: ExperimentConfig) -> DataFrame:
         safe.alias("safe"),
         F.col("nu_c"),
         F.col("nu_s"),
+        "perf",
+        "vmean",
     )
 
 
 def results_from_moments(mom: DataFrame, cands, cfg: ExperimentConfig) -> DataFrame:
     c = cfg.constraint
     sign, thr = F.lit(c.sign), F.lit(c.sign * c.threshold)
-    truth = (
-        mom.filter(F.col("trial_i") < 0)
-        .groupBy("cand_idx")
-        .agg(
-            (F.sum(F.when(F.col("kind") == "p", F.col("swx"))) / F.sum(F.when(F.col("kind") == "p", F.col("sw")))).alias("perf"),
-            (F.sum(F.when(F.col("kind") == "g", F.col("swx"))) / F.sum(F.when(F.col("kind") == "g", F.col("sw")))).alias("vmean"),
-        )
-    )
     bounds = cell_bounds(mom, len(cands), cfg)
     feasible = F.coalesce(F.col("pred") <= 0, F.lit(False)) & (F.col("nu_c") >= cfg.min_units) & F.col("loss_c").isNotNull()
     chosen = bounds.groupBy("trial_i", "frac_id").agg(
         F.min_by(
-            F.when(feasible, F.struct("cand_idx", "safe", "nu_s")),
+            F.when(feasible, F.struct("cand_idx", "safe", "nu_s", "perf", "vmean")),
             F.when(feasible, F.struct("loss_c", "cand_idx")),
         ).alias("_b")
     )
@@ -192,16 +249,21 @@ def results_from_moments(mom: DataFrame, cands, cfg: ExperimentConfig) -> DataFr
     ids = F.array(*[F.lit(x) for x in cands])
     fracs = F.array(*[F.lit(float(f)) for f in cfg.fracs])
     res = chosen.select(
-        "frac_id", "trial_i", F.col("_b.cand_idx").alias("cand_idx"), passed.alias("passed_safety")
-    ).join(F.broadcast(truth), "cand_idx", "left")
+        "frac_id",
+        "trial_i",
+        F.col("_b.cand_idx").alias("cand_idx"),
+        F.col("_b.perf").alias("perf"),
+        F.col("_b.vmean").alias("vmean"),
+        passed.alias("passed_safety"),
+    )
     g_true = sign * F.col("vmean") - thr
     neg_inf = F.lit(float("-inf"))
     return res.select(
         "frac_id",
         F.element_at(fracs, F.col("frac_id") + 1).alias("data_frac"),
         "trial_i",
-        # explicit NULL guard: element_at on a literal array with an index that is
-        # NULL after the outer join has returned a stale value in generated code
+        # explicit NULL guard: element_at on a literal array with a NULL index
+        # has returned a stale value in generated code
         F.when(F.col("cand_idx").isNotNull(), F.element_at(ids, F.col("cand_idx") + 1)).alias("candidate_id"),
         F.when(F.col("passed_safety"), round6("perf")).alias("performance"),
         "passed_safety",

@@ -7,10 +7,11 @@ from pyspark.sql import functions as F
 from ..config import VPROB
 from ..functions.scalar import round6
 from ..operators.score import lexicon_model
-from ..sources.standins import document_groups, labelled_logits
+from ..session import load_table
+from ..sources.standins import labels_table
 from . import oracle as O
 from .catalog import register
-from .safety import safety_report
+from .safety import corpus_safety_report
 
 W = O.weights_values()
 
@@ -40,6 +41,6 @@ def _flagship_sql() -> str:
 def flagship_safety_report(spark, sf_dir):
     """Loss and VPROB safety verdict per scorer on documents x labels and
     document groups by (lang, source)."""
-    w = lexicon_model(spark)
-    scored, _ = labelled_logits(spark, sf_dir, w)
-    return safety_report(scored, document_groups(spark, sf_dir), w)
+    labels, small = labels_table(spark, sf_dir)
+    docs = load_table(spark, sf_dir, "documents")
+    return corpus_safety_report(docs, labels, ("lang", "source"), lexicon_model(spark), labels_broadcast=small)

@@ -18,10 +18,19 @@ from ..operators.resample import (
 )
 from ..operators.score import lexicon_model
 from ..sources.results import decode_gvec, encode_gvec
-from ..sources.standins import document_groups, labelled_logits, primary_table
+from ..session import load_table
+from ..sources.standins import document_groups, labels_table, labelled_logits, primary_table
 from . import oracle as O
 from .catalog import register
-from .experiment import abs_size, failure_rate, learning_curve, reconcile, run_experiment, solution_rate
+from .experiment import (
+    abs_size,
+    corpus_unit_values,
+    failure_rate,
+    learning_curve,
+    reconcile,
+    results_from_units,
+    solution_rate,
+)
 
 CFG = ExperimentConfig()
 FRACS = list(CFG.fracs)
@@ -47,8 +56,10 @@ POISSON = poisson_cdf()
 
 def _experiment(spark, sf_dir):
     w = lexicon_model(spark, tuple(EXPERIMENT_CANDIDATE_WEIGHTS))
-    scored, _ = labelled_logits(spark, sf_dir, w, exploded=False)
-    return run_experiment(scored, document_groups(spark, sf_dir), w, CFG)
+    labels, small = labels_table(spark, sf_dir)
+    docs = load_table(spark, sf_dir, "documents")
+    units, cands = corpus_unit_values(docs, labels, ("lang", "source"), w, labels_broadcast=small)
+    return results_from_units(units, cands, CFG)
 
 
 def ex1_sql() -> str:

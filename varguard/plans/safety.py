@@ -82,3 +82,38 @@ def split_measure_stats(primary: DataFrame, groups: DataFrame, weights: DataFram
         ]
     )
     return loss.join(summary, "candidate_id", "full")
+
+
+def corpus_safety_report(
+    docs: DataFrame, labels: DataFrame, group_cols, weights: DataFrame, constraint: Constraint = VPROB, labels_broadcast: bool = True
+) -> DataFrame:
+    """:func:`safety_report` when the labelled rows and the group members are
+    one corpus (documents grouped by columns): one scan and one scoring of
+    every text, one shuffle of small per-unit rows, one aggregation to K rows.
+    """
+    from .experiment import corpus_unit_values
+
+    units, cands = corpus_unit_values(docs, labels, group_cols, weights, labels_broadcast)
+    vals = units.select("kind", F.posexplode_outer("xs").alias("cand_idx", "x"))
+    is_p, is_g = F.col("kind") == "p", F.col("kind") == "g"
+    agg = vals.groupBy("cand_idx").agg(
+        F.count(F.when(is_p, F.lit(1))).alias("n_rows"),
+        F.avg(F.when(is_p, F.col("x"))).alias("loss"),
+        F.count(F.when(is_g, F.col("x"))).alias("n_groups"),
+        F.sum(F.when(is_g & F.col("x").isNull(), 1).otherwise(0)).cast("bigint").alias("n_dropped"),
+        F.avg(F.when(is_g, F.col("x"))).alias("mean_vprob"),
+        F.stddev_samp(F.when(is_g, F.col("x"))).alias("sd_vprob"),
+    )
+    bound = t_upper_bound(F.col("n_groups"), F.col("mean_vprob"), F.col("sd_vprob"), constraint)
+    ids = F.array(*[F.lit(c) for c in cands])
+    return agg.select(
+        F.element_at(ids, F.col("cand_idx") + 1).alias("candidate_id"),
+        "n_rows",
+        round6("loss").alias("loss"),
+        "n_groups",
+        "n_dropped",
+        round6("mean_vprob").alias("mean_vprob"),
+        round6("sd_vprob").alias("sd_vprob"),
+        round6(bound).alias("upper_bound"),
+        passes(bound, F.col("n_groups")).alias("passed"),
+    )

@@ -107,3 +107,10 @@ def labelled_hits(spark: SparkSession, sf_dir: str, weights: DataFrame) -> DataF
     if size is not None and size <= LABELS_BROADCAST_MAX_BYTES:
         return score_terms(docs.join(F.broadcast(labels), "doc_id"), weights, keep_hits=True)
     return score_terms(docs, weights, keep_hits=True).join(labels, "doc_id")
+
+
+def labels_table(spark: SparkSession, sf_dir: str):
+    """``(doc_id, label)`` and whether its checked size allows a broadcast."""
+    labels = load_table(spark, sf_dir, "labels").select("doc_id", F.col("toxic").cast("int").alias("label"))
+    size = plan_size_bytes(labels)
+    return labels, size is not None and size <= LABELS_BROADCAST_MAX_BYTES
