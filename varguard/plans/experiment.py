@@ -69,36 +69,42 @@ def unit_values(primary: DataFrame, groups: DataFrame, weights: DataFrame):
     return p_units.unionByName(g_units), cands
 
 
-def corpus_unit_values(docs: DataFrame, labels: DataFrame, group_cols, weights: DataFrame, labels_broadcast: bool = True):
+def corpus_unit_values(
+    docs: DataFrame,
+    labels: DataFrame,
+    group_cols,
+    weights: DataFrame,
+    labels_broadcast: bool = True,
+    groupings: dict | None = None,
+):
     """``unit_values`` for the common case where the labelled rows and the
     group members are the same corpus: one scan, one scoring of every text.
 
     Each document is scored in place, left-joined to its label (broadcast when
     ``labels_broadcast``, else a shuffle of ``(doc_id, logits)`` rows), and
-    emits a group row ``('g', group_id)`` plus, when labelled, a row
-    ``('p', doc_id)``. One ``groupBy(kind, unit)`` then yields the per-group
-    VPROB (combined map-side, so a hot group costs one partial per task) and
-    the per-document loss. Returns ``(frame, candidate_ids)``."""
+    emits one group row per grouping (``kind`` = grouping name, ``'g'`` by
+    default, ``unit`` = group id) plus, when labelled, a row ``('p', doc_id)``.
+    One ``groupBy(kind, unit)`` then yields the per-group VPROB (combined
+    map-side, so a hot group costs one partial per task) and the per-document
+    loss. ``groupings`` maps kind names to grouping columns and replaces
+    ``group_cols``. Returns ``(frame, candidate_ids)``."""
     from ..sources.standins import group_id_of
 
+    groupings = dict(groupings or {"g": tuple(group_cols)})
+    gid_cols = {kind: f"_gid{i}" for i, kind in enumerate(groupings)}
     scored, cands = score_arrays(
-        docs.select("doc_id", "text", group_id_of(*group_cols).alias("_gid")), weights, key_cols=["doc_id"]
+        docs.select("doc_id", "text", *[group_id_of(*cols).alias(gid_cols[k]) for k, cols in groupings.items()]),
+        weights,
+        key_cols=["doc_id"],
     )
     lab = labels.select("doc_id", F.col("label").cast("int").alias("label"))
     joined = scored.join(F.broadcast(lab) if labels_broadcast else lab, "doc_id", "left")
     k = len(cands)
-    rows = joined.select(
-        "logits",
-        "label",
-        F.explode_outer(
-            F.array(
-                F.struct(F.lit("g").alias("kind"), F.col("_gid").alias("unit")),
-                F.when(F.col("label").isNotNull(), F.struct(F.lit("p").alias("kind"), F.col("doc_id").alias("unit"))),
-            )
-        ).alias("_u"),
-    ).filter(F.col("_u").isNotNull())
+    unit_structs = [F.struct(F.lit(kind).alias("kind"), F.col(c).alias("unit")) for kind, c in gid_cols.items()]
+    unit_structs.append(F.when(F.col("label").isNotNull(), F.struct(F.lit("p").alias("kind"), F.col("doc_id").alias("unit"))))
+    rows = joined.select("logits", "label", F.explode_outer(F.array(*unit_structs)).alias("_u")).filter(F.col("_u").isNotNull())
     y = F.col("label")
-    is_g = F.col("_u.kind") == "g"
+    is_g = F.col("_u.kind") != "p"
     aggs = []
     for i in range(k):
         z = F.element_at("logits", i + 1)
@@ -106,11 +112,45 @@ def corpus_unit_values(docs: DataFrame, labels: DataFrame, group_cols, weights:
         aggs.append(F.max(F.when(~is_g, log_loss(y, sigmoid(z)))).alias(f"_l{i}"))
     per_unit = rows.groupBy(F.col("_u.kind").alias("kind"), F.col("_u.unit").alias("unit")).agg(*aggs)
     xs = F.when(
-        F.col("kind") == "g", F.array(*[F.col(f"_v{i}") for i in range(k)])
+        F.col("kind") != "p", F.array(*[F.col(f"_v{i}") for i in range(k)])
     ).otherwise(F.array(*[F.col(f"_l{i}") for i in range(k)]))
     return per_unit.select("kind", "unit", xs.alias("xs")), cands
 
 
+def corpus_split_stats(
+    docs: DataFrame, labels: DataFrame, groupings: dict, weights: DataFrame, labels_broadcast: bool = True, frac_safety: float | None = None
+):
+    """Per (grouping, candidate): loss on the candidate part of the labelled
+    rows and the VPROB summary on the candidate and safety parts of the
+    groups — every grouping from one scan and one aggregation.
+
+    ``(grouping, candidate_id, loss, n, mean, sd, n_safety, mean_safety, sd_safety)``."""
+    from ..config import FRAC_DATA_IN_SAFETY
+    from ..operators.prep import safety_part
+
+    units, cands = corpus_unit_values(docs, labels, None, weights, labels_broadcast, groupings)
+    part = safety_part(F.col("unit"), FRAC_DATA_IN_SAFETY if frac_safety is None else frac_safety)
+    vals = units.select("kind", part.alias("part"), F.posexplode_outer("xs").alias("cand_idx", "x"))
+    kind, prt, x = F.col("kind"), F.col("part"), F.col("x")
+    aggs = [F.avg(F.when((kind == "p") & (prt == "candidate"), x)).alias("loss")]
+    names = list(groupings)
+    for i, name in enumerate(names):
+        for p_name, sfx in (("candidate", ""), ("safety", "_safety")):
+            sel = F.when((kind == name) & (prt == p_name), x)
+            aggs += [F.count(sel).alias(f"n{sfx}_{i}"), F.avg(sel).alias(f"mean{sfx}_{i}"), F.stddev_samp(sel).alias(f"sd{sfx}_{i}")]
+    # one aggregation (one consumer of the units, so one scan), then one row per grouping
+    per_cand = vals.groupBy("cand_idx").agg(*aggs)
+    cols = ["n", "mean", "sd", "n_safety", "mean_safety", "sd_safety"]
+    per_grouping = F.array(
+        *[F.struct(F.lit(name).alias("grouping"), *[F.col(f"{c}_{i}").alias(c) for c in cols]) for i, name in enumerate(names)]
+    )
+    ids = F.array(*[F.lit(c) for c in cands])
+    out = per_cand.select("cand_idx", "loss", F.explode(per_grouping).alias("_g"))
+    return out.select(
+        "_g.grouping", F.element_at(ids, F.col("cand_idx") + 1).alias("candidate_id"), "loss", *[f"_g.{c}" for c in cols]
+    )
+
+
 def experiment_moments(units: DataFrame, cfg: ExperimentConfig) -> DataFrame:
     """Weighted moments per (trial_i, kind, part, frac_id, cand_idx); trial -1
     is the unsampled table."""

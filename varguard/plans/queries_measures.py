@@ -27,7 +27,8 @@ from ..operators.score import (
 )
 from ..operators.train import loss_gradient_from_hits, select_candidate, variance_gradient
 from ..session import load_table
-from ..sources.standins import document_groups, labelled_hits, labelled_logits, primary_table
+from ..sources.standins import document_groups, labelled_hits, labelled_logits, labels_table, primary_table
+from .experiment import corpus_split_stats
 from . import oracle as O
 from .catalog import register
 from .safety import split_measure_stats
@@ -320,7 +321,9 @@ def _cn7_sql():
 def cn7_predicted_bound(spark, sf_dir):
     """Candidate-side prediction of the safety bound (doubled width, safety n)."""
     w = lexicon_model(spark)
-    st = split_measure_stats(labelled_logits(spark, sf_dir, w)[0], document_groups(spark, sf_dir), w)
+    labels, small = labels_table(spark, sf_dir)
+    docs = load_table(spark, sf_dir, "documents")
+    st = corpus_split_stats(docs, labels, {"lang_source": GROUPINGS["lang_source"]}, w, labels_broadcast=small)
     return st.select(
         "candidate_id", F.col("n").alias("n_candidate"), "n_safety",
         round6(predicted_bound(F.col("mean"), F.col("sd"), F.col("n_safety"), VPROB)).alias("predicted_bound"),
@@ -372,18 +375,17 @@ def _trn1_sql():
 
 @register("trn1_select_candidate", _trn1_sql)
 def trn1_select_candidate(spark, sf_dir):
-    """Candidate selection: lowest loss whose predicted safety bound is <= 0."""
-    out = None
-    for name, by in GROUPINGS.items():
-        w = lexicon_model(spark)
-        st = split_measure_stats(labelled_logits(spark, sf_dir, w)[0], document_groups(spark, sf_dir, by), w)
-        st = st.withColumn("predicted_bound", predicted_bound(F.col("mean"), F.col("sd"), F.col("n_safety"), VPROB))
-        sel = select_candidate(st).select(
-            F.lit(name).alias("grouping"), "solution_found", "candidate_id",
-            round6("loss").alias("loss"), round6("predicted_bound").alias("predicted_bound"),
-        )
-        out = sel if out is None else out.unionByName(sel)
-    return out
+    """Candidate selection: lowest loss whose predicted safety bound is <= 0,
+    for two groupings at once (one scan of the corpus)."""
+    w = lexicon_model(spark)
+    labels, small = labels_table(spark, sf_dir)
+    docs = load_table(spark, sf_dir, "documents")
+    st = corpus_split_stats(docs, labels, GROUPINGS, w, labels_broadcast=small)
+    st = st.withColumn("predicted_bound", predicted_bound(F.col("mean"), F.col("sd"), F.col("n_safety"), VPROB))
+    sel = select_candidate(st, by=("grouping",))
+    return sel.select(
+        "grouping", "solution_found", "candidate_id", round6("loss").alias("loss"), round6("predicted_bound").alias("predicted_bound")
+    )
 
 
 LEX_SQL = ", ".join(O.q(t) for t in LEXICON)
