@@ -153,15 +153,19 @@ def _logit_from_hits(hits, bias: float, weights: dict) -> "F.Column":
 
 
 def descent_features(primary: DataFrame, groups: DataFrame, vocab, epochs: int, primary_batch: int, group_batch: int, seed: int = 42):
-    """Sparse, batched training inputs, written once (reliable checkpoint in the
-    session's checkpoint folder) so every step reads only known-term hits:
+    """Sparse, batched training inputs, written once as tables partitioned by
+    ``(epoch, batch_id)`` under the session's checkpoint folder. A step then
+    reads only its own partition directory (partition pruning), so the work
+    of a step follows the batch size, not the data size, and the lineage is cut.
 
     * primary: ``(epoch, batch_id, label, hits)``;
     * groups: ``(epoch, batch_id, group_id, hits)`` — whole groups per batch.
     """
     from ..functions.scalar import tokens
+    from ..session import scratch_path
     from .prep import assign_batches
 
+    spark = primary.sparkSession
     lex = F.array(*[F.lit(t) for t in sorted(vocab)])
     known = lambda c: F.filter(tokens(F.col(c)), lambda t: F.array_contains(lex, t))
     p = assign_batches(primary.select("doc_id", "label", known("text").alias("hits")), "doc_id", primary_batch, epochs, seed)
@@ -169,9 +173,54 @@ def descent_features(primary: DataFrame, groups: DataFrame, vocab, epochs: int,
     gb = assign_batches(gids, "group_id", group_batch, epochs, seed)
     members = groups.select("group_id", known("text").alias("hits"))
     g = gb.select("group_id", "epoch", "batch_id").join(members, "group_id")
-    p = p.select("epoch", "batch_id", "label", "hits").checkpoint()
-    g = g.select("epoch", "batch_id", "group_id", "hits").checkpoint()
-    return p, g
+    p_path, g_path = scratch_path(spark, "descent-primary"), scratch_path(spark, "descent-groups")
+    p.select("epoch", "batch_id", "label", "hits").write.partitionBy("epoch", "batch_id").parquet(p_path)
+    g.select("epoch", "batch_id", "group_id", "hits").write.partitionBy("epoch", "batch_id").parquet(g_path)
+    return spark.read.parquet(p_path), spark.read.parquet(g_path)
+
+
+def _primary_step(pb: DataFrame) -> DataFrame:
+    """One aggregation: per term the summed dL/dlogit; the bias row (term
+    NULL) also carries the summed loss and the row count."""
+    p = sigmoid(F.col("logit"))
+    rows = pb.select(
+        _dloss_dlogit(F.col("label"), p).alias("r"),
+        log_loss("label", p).alias("loss"),
+        F.explode_outer(F.concat(F.array(_null_term()), F.col("hits"))).alias("term"),
+    )
+    return rows.groupBy("term").agg(
+        F.sum("r").alias("s"),
+        F.sum(F.when(F.col("term").isNull(), F.col("loss"))).alias("loss_sum"),
+        F.count(F.lit(1)).alias("c"),
+    ).select(F.lit("p").alias("side"), "term", "s", "loss_sum", F.col("c").cast("double").alias("c"))
+
+
+def _group_step(gb: DataFrame) -> DataFrame:
+    """Per term the summed variance gradient over groups; the bias row also
+    carries the summed group variance and the number of groups (n >= 2)."""
+    p = sigmoid(F.col("logit"))
+    rows = gb.select(
+        "group_id", p.alias("p"), F.explode_outer(F.concat(F.array(_null_term()), F.col("hits"))).alias("term")
+    ).withColumn("s", F.col("p") * (F.lit(1.0) - F.col("p")))
+    per_gt = rows.groupBy("group_id", "term").agg(
+        F.sum(F.col("p") * F.col("s")).alias("a"),
+        F.sum("s").alias("b"),
+        F.count(F.lit(1)).alias("c"),
+        F.sum("p").alias("sp"),
+        F.var_samp("p").alias("v"),
+    )
+    per_g = per_gt.filter(F.col("term").isNull() & (F.col("c") >= 2)).select(
+        "group_id", F.col("c").alias("n"), (F.col("sp") / F.col("c")).alias("pbar")
+    )
+    contrib = per_gt.join(per_g, "group_id").select(
+        "term",
+        (F.lit(2.0) / (F.col("n") - 1) * (F.col("a") - F.col("pbar") * F.col("b"))).alias("d"),
+        F.when(F.col("term").isNull(), F.col("v")).alias("v"),
+        F.when(F.col("term").isNull(), 1.0).otherwise(0.0).alias("is_group"),
+    )
+    return contrib.groupBy("term").agg(F.sum("d").alias("s"), F.sum("v").alias("loss_sum"), F.sum("is_group").alias("c")).select(
+        F.lit("g").alias("side"), "term", "s", "loss_sum", "c"
+    )
 
 
 def fit_constrained(
@@ -220,22 +269,15 @@ def fit_constrained(
             gb = g_feat.filter((F.col("epoch") == epoch) & (F.col("batch_id") == b % n_gb)).select(
                 F.lit(0).alias("candidate_id"), "group_id", logit.alias("logit"), "hits"
             )
-            lg = loss_gradient_from_hits(pb).select(F.lit("dloss").alias("kind"), "term", "grad")
-            vg = variance_gradient_from_hits(gb).select(F.lit("dg").alias("kind"), "term", "grad")
-            lv = pb.agg(F.avg(log_loss("label", sigmoid(F.col("logit")))).alias("grad")).select(
-                F.lit("loss").alias("kind"), F.lit(None).cast("string").alias("term"), "grad"
-            )
-            gv = (
-                gb.groupBy("group_id")
-                .agg(F.var_samp(sigmoid(F.col("logit"))).alias("vp"))
-                .agg(F.avg("vp").alias("grad"))
-                .select(F.lit("g").alias("kind"), F.lit(None).cast("string").alias("term"), "grad")
-            )
-            got = lg.unionByName(vg).unionByName(lv).unionByName(gv).collect()
-            dloss = {r.term: r.grad for r in got if r.kind == "dloss"}
-            dg = {r.term: r.grad for r in got if r.kind == "dg"}
-            loss_v = next((r.grad for r in got if r.kind == "loss"), None)
-            g_mean = next((r.grad for r in got if r.kind == "g"), None)
+            got = _primary_step(pb).unionByName(_group_step(gb)).collect()
+            p_rows = {r.term: r for r in got if r.side == "p"}
+            g_rows = {r.term: r for r in got if r.side == "g"}
+            n_p = p_rows[None].c if None in p_rows else 0.0
+            n_g = g_rows[None].c if None in g_rows else 0.0
+            dloss = {t: r.s / n_p for t, r in p_rows.items()} if n_p else {}
+            dg = {t: r.s / n_g for t, r in g_rows.items()} if n_g else {}
+            loss_v = p_rows[None].loss_sum / n_p if n_p else None
+            g_mean = g_rows[None].loss_sum / n_g if n_g else None
             g_v = None if g_mean is None else constraint.sign * g_mean - thr
             log.append((step, epoch, b, loss_v, g_v, lam))
             for k in names:
