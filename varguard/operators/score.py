@@ -63,6 +63,14 @@ def lexicon_model(
     return spark.createDataFrame(rows, WEIGHT_SCHEMA)
 
 
+def candidate_ids(weights: DataFrame) -> list:
+    """Sorted candidate ids of a parameter table (at most MAX_CANDIDATES)."""
+    ids = [r.candidate_id for r in weights.select("candidate_id").distinct().limit(MAX_CANDIDATES + 1).collect()]
+    if len(ids) > MAX_CANDIDATES:
+        raise ValueError(f"more than {MAX_CANDIDATES} candidates")
+    return sorted(ids)
+
+
 def _collect_params(weights: DataFrame):
     rows = weights.select("candidate_id", "term", "weight").collect()
     cands = sorted({r.candidate_id for r in rows})
@@ -134,9 +142,7 @@ def score_terms(
     if not key_cols:
         raise ValueError("the join strategy needs key_cols that identify a row")
     key_cols = list(key_cols)
-    cand_ids = [r.candidate_id for r in weights.select("candidate_id").distinct().limit(MAX_CANDIDATES + 1).collect()]
-    if len(cand_ids) > MAX_CANDIDATES:
-        raise ValueError(f"more than {MAX_CANDIDATES} candidates")
+    cand_ids = candidate_ids(weights)
     term_w = weights.filter(F.col("term").isNotNull()).groupBy("term", "candidate_id").agg(F.sum("weight").alias("w"))
     if n_params <= BROADCAST_MAX_ROWS:
         term_w = F.broadcast(term_w)
@@ -287,7 +293,7 @@ def score_arrays(df: DataFrame, weights: DataFrame, text_col: str = "text", key_
         return df.select(*keep, logits_of(hits).alias(out_col)), cands
     if not key_cols:
         raise ValueError("large models need key_cols that identify a row")
-    cands = sorted(r.candidate_id for r in weights.select("candidate_id").distinct().collect())
+    cands = candidate_ids(weights)
     long = score_terms(df, weights, text_col=text_col, key_cols=key_cols, strategy="join")
     rest = [c for c in keep if c not in key_cols]
     arr = class_logits(long, list(key_cols) + rest, out_col=out_col)

@@ -36,7 +36,7 @@ from ..functions.hashing import hash_key, hex_uniform
 from ..functions.scalar import log_loss, round6, sigmoid
 from ..functions.stats import t_quantile
 from ..operators.resample import min_frac_id, poisson_weight
-from ..operators.score import score_arrays
+from ..operators.score import candidate_ids, score_arrays
 
 KINDS = ("p", "g")  # p: labelled rows (loss), g: groups (constraint measure)
 PARTS = ("candidate", "safety")
@@ -49,7 +49,7 @@ def unit_values(primary: DataFrame, groups: DataFrame, weights: DataFrame):
     or pre-scored ``(doc_id, label, logits)`` (``labelled_logits``)."""
     if "logits" in primary.columns:
         p_arr = primary.select("doc_id", "label", "logits")
-        cands = sorted(r.candidate_id for r in weights.select("candidate_id").distinct().collect())
+        cands = candidate_ids(weights)
     else:
         p_arr, cands = score_arrays(primary.select("doc_id", "label", "text"), weights, key_cols=["doc_id"])
     y = F.col("label")
@@ -74,7 +74,7 @@ def corpus_unit_values(
     labels: DataFrame,
     group_cols,
     weights: DataFrame,
-    labels_broadcast: bool = True,
+    labels_broadcast: bool | None = None,
     groupings: dict | None = None,
 ):
     """``unit_values`` for the common case where the labelled rows and the
@@ -87,8 +87,13 @@ def corpus_unit_values(
     One ``groupBy(kind, unit)`` then yields the per-group VPROB (combined
     map-side, so a hot group costs one partial per task) and the per-document
     loss. ``groupings`` maps kind names to grouping columns and replaces
-    ``group_cols``. Returns ``(frame, candidate_ids)``."""
-    from ..sources.standins import group_id_of
+    ``group_cols``. ``labels_broadcast=None`` decides from the checked size of
+    ``labels``. Returns ``(frame, candidate_ids)``."""
+    from ..sources.standins import LABELS_BROADCAST_MAX_BYTES, group_id_of, plan_size_bytes
+
+    if labels_broadcast is None:
+        size = plan_size_bytes(labels)
+        labels_broadcast = size is not None and size <= LABELS_BROADCAST_MAX_BYTES
 
     groupings = dict(groupings or {"g": tuple(group_cols)})
     gid_cols = {kind: f"_gid{i}" for i, kind in enumerate(groupings)}
@@ -118,7 +123,7 @@ def corpus_unit_values(
 
 
 def corpus_split_stats(
-    docs: DataFrame, labels: DataFrame, groupings: dict, weights: DataFrame, labels_broadcast: bool = True, frac_safety: float | None = None
+    docs: DataFrame, labels: DataFrame, groupings: dict, weights: DataFrame, labels_broadcast: bool | None = None, frac_safety: float | None = None
 ):
     """Per (grouping, candidate): loss on the candidate part of the labelled
     rows and the VPROB summary on the candidate and safety parts of the

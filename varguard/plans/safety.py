@@ -85,7 +85,7 @@ def split_measure_stats(primary: DataFrame, groups: DataFrame, weights: DataFram
 
 
 def corpus_safety_report(
-    docs: DataFrame, labels: DataFrame, group_cols, weights: DataFrame, constraint: Constraint = VPROB, labels_broadcast: bool = True
+    docs: DataFrame, labels: DataFrame, group_cols, weights: DataFrame, constraint: Constraint = VPROB, labels_broadcast: bool | None = None
 ) -> DataFrame:
     """:func:`safety_report` when the labelled rows and the group members are
     one corpus (documents grouped by columns): one scan and one scoring of
