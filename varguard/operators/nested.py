@@ -60,15 +60,19 @@ def chop_groups(df: DataFrame, k: int, group_col: str = "group_id", pos_col: str
 def exact_quantile(df: DataFrame, col: str, p: float) -> float | None:
     """Exact quantile with linear interpolation (like SQL percentile_cont),
     computed with a distributed dense index; only two values reach the driver."""
-    vals = df.select(F.col(col).alias("_v")).filter(F.col("_v").isNotNull())
+    # A hash of the whole row breaks ties: many units can share one value
+    # (e.g. variance 0), and equal range keys would all land in one partition.
+    vals = df.select(F.col(col).alias("_v"), F.xxhash64(*[F.col(c) for c in df.columns]).alias("_t")).filter(
+        F.col("_v").isNotNull()
+    )
     n = vals.count()
     if n == 0:
         return None
     h = p * (n - 1)
     lo, hi = int(h // 1), min(int(h // 1) + 1, n - 1)
-    # Tied values may swap index positions between re-runs, but tied rows carry
-    # the same value, so the value found at each position never changes.
-    picked = dense_index(vals, ["_v"], "_i").filter(F.col("_i").isin(lo, hi)).select("_i", "_v").collect()
+    # Rows that tie on (value, hash) may swap positions between re-runs, but
+    # they carry the same value, so the value found at each position is fixed.
+    picked = dense_index(vals, ["_v", "_t"], "_i").filter(F.col("_i").isin(lo, hi)).select("_i", "_v").collect()
     got = {r["_i"]: r["_v"] for r in picked}
     return got[lo] + (h - lo) * (got[hi] - got[lo])
 
