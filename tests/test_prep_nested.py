@@ -61,3 +61,25 @@ def test_expand_terms(spark):
         "she said she was here. The hero left.",
         "they said they was here. The hero left.",
     ]
+
+
+def test_dense_index_when_range_bounds_are_sampled(spark):
+    # far more rows than the range partitioner samples: bounds come from a sample
+    rnd = random.Random(11)
+    rows = [(rnd.randint(0, 10**9), i) for i in range(30000)]
+    df = spark.createDataFrame(rows, "a long, b long").repartition(6)
+    got = dense_index(df, ["a", "b"], "idx", num_partitions=16).select("a", "b", "idx").collect()
+    want = {ab: i for i, ab in enumerate(sorted(rows))}
+    assert len(got) == len(rows)
+    assert all(want[(r.a, r.b)] == r.idx for r in got)
+
+
+def test_pad_batches_pads_to_batch_maximum(spark):
+    from varguard.operators.score import pad_batches
+
+    df = spark.createDataFrame([(i, " ".join(["w"] * (i + 1))) for i in range(7)], "doc_id long, text string")
+    rows = pad_batches(df, "doc_id", max_len=4, size=3).collect()
+    assert len(rows) == 7
+    for r in rows:
+        assert len(r.tokens) == r.batch_max and r.n_tokens == min(r.doc_id + 1, 4)
+        assert r.tokens[r.n_tokens:] == ["<pad>"] * (r.batch_max - r.n_tokens)

@@ -82,12 +82,14 @@ def dense_index(df: DataFrame, order_cols: Sequence, idx_col: str = "idx", num_p
 
     Range-partition on the order, sort inside partitions, tag rows with
     ``monotonically_increasing_id`` (partition id in the high bits, row number
-    in the low 33 bits), count rows per partition, and add the running count of
-    earlier partitions. The offsets table has one row per partition, so its
-    broadcast is bounded by the partition count.
-
-    ``order_cols`` must be a total order (end with a unique key); then a
-    re-run task rebuilds the same ids.
+    in the low 33 bits) and write the tagged rows once (reliable checkpoint in
+    the shared checkpoint folder). Per-partition counts and the rows are then
+    read from that one copy: two separate range shuffles would sample their
+    bounds with different seeds and could disagree. The offsets table has one
+    row per partition, so its broadcast is bounded by the partition count.
+
+    ``order_cols`` should be a total order (end with a unique key) so that
+    index positions are reproducible between runs.
     """
     spark = df.sparkSession
     n = num_partitions or int(spark.conf.get("spark.sql.shuffle.partitions"))
@@ -97,6 +99,7 @@ def dense_index(df: DataFrame, order_cols: Sequence, idx_col: str = "idx", num_p
         .sortWithinPartitions(*cols)
         .withColumn("_mid", F.monotonically_increasing_id())
         .withColumn("_pid", F.shiftright(F.col("_mid"), LOCAL_BITS))
+        .checkpoint()
     )
     counts = tagged.groupBy("_pid").agg(F.count(F.lit(1)).alias("_cnt"))
     before = Window.orderBy("_pid").rowsBetween(Window.unboundedPreceding, -1)

@@ -230,6 +230,28 @@ def lexicon_scorer(weight: float = CANDIDATE_WEIGHTS[0], bias: float = LEXICON_B
     return load
 
 
+def batch_token_counts(
+    df: DataFrame, key: str, text_col: str = "text", max_len: int = 512, size: int = 12, seed: int = 42
+) -> DataFrame:
+    """Token counts per row after truncation to ``max_len``, rows cut into
+    batches of ``size`` in seeded order, and each batch's longest row:
+    ``(key, batch_id, n_tokens, batch_max)``. Only keys and counts are indexed
+    and shuffled; a batch holds at most ``size`` rows, so the per-batch window
+    is bounded."""
+    from pyspark.sql import Window
+
+    from ..functions.scalar import whitespace_tokens
+    from .prep import dense_index, order_key
+
+    n_tok = F.size(F.slice(whitespace_tokens(F.col(text_col)), 1, max_len))
+    staged = df.select(key, n_tok.alias("n_tokens"), order_key(key, seed).alias("_ok"))
+    indexed = dense_index(staged, ["_ok", key], "_idx")
+    batched = indexed.select(key, "n_tokens", F.floor(F.col("_idx") / F.lit(size)).cast("bigint").alias("batch_id"))
+    return batched.withColumn("batch_max", F.max("n_tokens").over(Window.partitionBy("batch_id"))).select(
+        key, "batch_id", "n_tokens", "batch_max"
+    )
+
+
 def pad_batches(
     df: DataFrame,
     key: str,
@@ -241,31 +263,19 @@ def pad_batches(
 ) -> DataFrame:
     """Token batches as a corpus job: whitespace tokens truncated to
     ``max_len``, rows cut into batches of ``size`` in seeded order, each row
-    padded to the longest row **of its batch**.
-
-    ``(key, batch_id, n_tokens, batch_max, tokens)``; a batch holds at most
-    ``size`` rows, so the per-batch window is bounded."""
-    from pyspark.sql import Window
-
+    padded to the longest row **of its batch**:
+    ``(key, batch_id, n_tokens, batch_max, tokens)``. Batches are assigned on
+    keys and counts; the token arrays join back by key."""
     from ..functions.scalar import whitespace_tokens
-    from .prep import dense_index, order_key
 
-    toks = F.slice(whitespace_tokens(F.col(text_col)), 1, max_len)
-    # n_tokens is computed before the range shuffle, so a caller that only
-    # reads the counts never moves the token arrays (column pruning).
-    staged = df.select(key, toks.alias("_t"), order_key(key, seed).alias("_ok")).withColumn("n_tokens", F.size("_t"))
-    indexed = dense_index(staged, ["_ok", key], "_idx")
-    batched = indexed.select(key, "_t", "n_tokens", F.floor(F.col("_idx") / F.lit(size)).cast("bigint").alias("batch_id"))
-    w = Window.partitionBy("batch_id")
-    return (
-        batched.withColumn("batch_max", F.max("n_tokens").over(w))
-        .select(
-            key,
-            "batch_id",
-            "n_tokens",
-            "batch_max",
-            F.concat("_t", F.array_repeat(F.lit(pad), F.col("batch_max") - F.col("n_tokens"))).alias("tokens"),
-        )
+    counts = batch_token_counts(df, key, text_col, max_len, size, seed)
+    toks = df.select(key, F.slice(whitespace_tokens(F.col(text_col)), 1, max_len).alias("_t"))
+    return counts.join(toks, key).select(
+        key,
+        "batch_id",
+        "n_tokens",
+        "batch_max",
+        F.concat("_t", F.array_repeat(F.lit(pad), F.col("batch_max") - F.col("n_tokens"))).alias("tokens"),
     )
 
 

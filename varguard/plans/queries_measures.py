@@ -20,7 +20,7 @@ from ..operators.score import (
     class_logits,
     lexicon_model,
     lexicon_scorer,
-    pad_batches,
+    batch_token_counts,
     padding_report,
     score_terms,
     score_with,
@@ -122,7 +122,7 @@ def sc7_pad_batches(spark, sf_dir):
     """Truncate to 512 tokens, batch 12 rows in seeded order, pad to the batch
     maximum; report padding per batch."""
     docs = load_table(spark, sf_dir, "documents").select("doc_id", "text")
-    rep = padding_report(pad_batches(docs, "doc_id", max_len=MAX_TOKENS, size=12))
+    rep = padding_report(batch_token_counts(docs, "doc_id", max_len=MAX_TOKENS, size=12))
     return rep.select(
         "batch_id",
         "n_rows",
