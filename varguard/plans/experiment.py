@@ -156,9 +156,16 @@ def corpus_split_stats(
     )
 
 
-def experiment_moments(units: DataFrame, cfg: ExperimentConfig) -> DataFrame:
+def experiment_moments(units: DataFrame, cfg: ExperimentConfig, k: int | None = None) -> DataFrame:
     """Weighted moments per (trial_i, kind, part, frac_id, cand_idx); trial -1
-    is the unsampled table."""
+    is the unsampled table.
+
+    Weight, part and fraction belong to the (unit, trial), not to the
+    candidate, so all K candidates are summed as separate columns of one row
+    (K times fewer rows through the aggregation); only the small aggregated
+    frame is unpivoted into candidate rows."""
+    if k is None:
+        k = units.select(F.size("xs").alias("k")).agg(F.max("k")).first()[0] or 0
     trial = F.explode(F.sequence(F.lit(-1), F.lit(cfg.n_trials - 1))).alias("trial_i")
     staged = units.select("kind", "unit", "xs", trial).withColumn(
         "_h", F.md5(hash_key(F.lit(cfg.seed), F.lit("trial"), F.col("trial_i"), F.col("kind"), F.col("unit")))
@@ -175,14 +182,32 @@ def experiment_moments(units: DataFrame, cfg: ExperimentConfig) -> DataFrame:
         F.when(gt, F.lit(1)).otherwise(poisson_weight(hex_uniform(F.col("_h"), 1))).alias("w"),
         F.when(gt, F.lit(0)).otherwise(min_frac_id(hex_uniform(F.col("_h"), 2), list(cfg.fracs))).alias("frac_id"),
     ).filter(F.col("w") > 0)
-    values = drawn.select("trial_i", "kind", "part", "frac_id", "w", F.posexplode_outer("xs").alias("cand_idx", "x")).filter(
-        F.col("x").isNotNull()
+    w = F.col("w")
+    aggs = []
+    for c in range(k):
+        x = F.element_at("xs", c + 1)
+        seen = x.isNotNull()
+        aggs += [
+            F.sum(F.when(seen, w)).alias(f"sw{c}"),
+            F.sum(w * x).alias(f"swx{c}"),
+            F.sum(w * x * x).alias(f"swx2{c}"),
+            F.count(x).alias(f"nu{c}"),
+        ]
+    wide = drawn.groupBy("trial_i", "kind", "part", "frac_id").agg(*aggs)
+    per_cand = F.array(
+        *[
+            F.struct(
+                F.coalesce(F.col(f"sw{c}"), F.lit(0)).cast("bigint").alias("sw"),
+                F.col(f"swx{c}").alias("swx"),
+                F.col(f"swx2{c}").alias("swx2"),
+                F.col(f"nu{c}").alias("nu"),
+            )
+            for c in range(k)
+        ]
     )
-    return values.groupBy("trial_i", "kind", "part", "frac_id", "cand_idx").agg(
-        F.sum("w").alias("sw"),
-        F.sum(F.col("w") * F.col("x")).alias("swx"),
-        F.sum(F.col("w") * F.col("x") * F.col("x")).alias("swx2"),
-        F.count(F.lit(1)).alias("nu"),
+    long = wide.select("trial_i", "kind", "part", "frac_id", F.posexplode_outer(per_cand).alias("cand_idx", "_m"))
+    return long.filter(F.col("_m.nu") > 0).select(
+        "trial_i", "kind", "part", "frac_id", "cand_idx", "_m.sw", "_m.swx", "_m.swx2", "_m.nu"
     )
 
 
@@ -208,7 +233,7 @@ def run_experiment(primary: DataFrame, groups: DataFrame, weights: DataFrame, cf
 
 
 def results_from_units(units: DataFrame, cands, cfg: ExperimentConfig = ExperimentConfig()) -> DataFrame:
-    return results_from_moments(experiment_moments(units, cfg), cands, cfg)
+    return results_from_moments(experiment_moments(units, cfg, len(cands)), cands, cfg)
 
 
 def cell_bounds(mom: DataFrame, k: int, cfg: ExperimentConfig) -> DataFrame:
