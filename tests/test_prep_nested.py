@@ -83,3 +83,12 @@ def test_pad_batches_pads_to_batch_maximum(spark):
     for r in rows:
         assert len(r.tokens) == r.batch_max and r.n_tokens == min(r.doc_id + 1, 4)
         assert r.tokens[r.n_tokens:] == ["<pad>"] * (r.batch_max - r.n_tokens)
+
+
+def test_renest_refuses_oversized_groups(spark):
+    import pytest
+
+    df = spark.createDataFrame([(1, p, "t") for p in range(50)], "group_id long, pos long, text string")
+    with pytest.raises(ValueError):
+        renest(df, "text", max_members=10)
+    assert renest(df, "text", max_members=50).count() == 1

@@ -25,20 +25,47 @@ def flatten_groups(df: DataFrame, group_col: str = "group_id", array_col: str =
     ).select(group_col, "pos", "n_members", "text")
 
 
-def renest(df: DataFrame, value_col: str, group_col: str = "group_id", pos_col: str = "pos", out_col: str | None = None) -> DataFrame:
+# Largest group that may be gathered into one array (one task builds it).
+MAX_NESTED_MEMBERS = 100_000
+
+
+def check_group_bound(df: DataFrame, group_col: str, max_members: int) -> None:
+    """Fail fast when a group is too large to gather into one array (a map-side
+    combined count per group; only the largest size reaches the driver)."""
+    biggest = df.groupBy(group_col).agg(F.count(F.lit(1)).alias("n")).agg(F.max("n")).first()[0]
+    if biggest is not None and biggest > max_members:
+        raise ValueError(
+            f"a group has {biggest} members (limit {max_members}); keep it in long form "
+            "(group_id, pos, value) instead of nesting it into one array"
+        )
+
+
+def renest(
+    df: DataFrame,
+    value_col: str,
+    group_col: str = "group_id",
+    pos_col: str = "pos",
+    out_col: str | None = None,
+    max_members: int | None = MAX_NESTED_MEMBERS,
+) -> DataFrame:
     """Back to one array per group, members in ``pos`` order.
 
     Meant for bounded groups (sentence sets, conversations): the array of a
-    group is built in one task."""
+    group is built in one task, so group sizes are checked first against
+    ``max_members`` (``None`` skips the check). Large groups stay in long form."""
+    if max_members is not None:
+        check_group_bound(df, group_col, max_members)
     out_col = out_col or f"{value_col}s"
     return df.groupBy(group_col).agg(
         F.transform(F.array_sort(F.collect_list(F.struct(pos_col, value_col))), lambda s: s[value_col]).alias(out_col)
     )
 
 
-def nest_texts(df: DataFrame, group_col: str = "group_id", pos_col: str = "pos", text_col: str = "text") -> DataFrame:
+def nest_texts(
+    df: DataFrame, group_col: str = "group_id", pos_col: str = "pos", text_col: str = "text", max_members: int | None = MAX_NESTED_MEMBERS
+) -> DataFrame:
     """Long form -> ``(group_id, n_members, text_groups)`` (bounded groups only)."""
-    nested = renest(df, text_col, group_col, pos_col, "text_groups")
+    nested = renest(df, text_col, group_col, pos_col, "text_groups", max_members)
     return nested.select(group_col, F.size("text_groups").alias("n_members"), "text_groups")
 
 
