@@ -89,11 +89,10 @@ def corpus_unit_values(
     loss. ``groupings`` maps kind names to grouping columns and replaces
     ``group_cols``. ``labels_broadcast=None`` decides from the checked size of
     ``labels``. Returns ``(frame, candidate_ids)``."""
-    from ..sources.standins import LABELS_BROADCAST_MAX_BYTES, group_id_of, plan_size_bytes
+    from ..sources.standins import group_id_of, labels_fit_broadcast
 
     if labels_broadcast is None:
-        size = plan_size_bytes(labels)
-        labels_broadcast = size is not None and size <= LABELS_BROADCAST_MAX_BYTES
+        labels_broadcast = labels_fit_broadcast(labels)
 
     groupings = dict(groupings or {"g": tuple(group_cols)})
     gid_cols = {kind: f"_gid{i}" for i, kind in enumerate(groupings)}

@@ -27,8 +27,7 @@ def primary_table(spark: SparkSession, sf_dir: str) -> DataFrame:
     :func:`labelled_logits`, which never shuffles texts."""
     docs = load_table(spark, sf_dir, "documents").select("doc_id", "text")
     labels = load_table(spark, sf_dir, "labels").select("doc_id", F.col("toxic").cast("int").alias("label"))
-    size = plan_size_bytes(labels)
-    if size is not None and size <= LABELS_BROADCAST_MAX_BYTES:
+    if labels_fit_broadcast(labels):
         labels = F.broadcast(labels)
     return docs.join(labels, "doc_id")
 
@@ -50,8 +49,10 @@ def conversation_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
     return conv.select(F.col("conv_id").alias("group_id"), F.col("turn").alias("pos"), "text")
 
 
-# Broadcast cap for the labels side of the labelled-text join (plan estimate).
-LABELS_BROADCAST_MAX_BYTES = 256 * 1024 * 1024
+# Broadcast cap for the labels side of the labelled-text join, in rows. A
+# label row is (doc_id bigint, label int): 8 M rows stay near 200 MB in a
+# broadcast hash relation.
+LABELS_BROADCAST_MAX_ROWS = 8_000_000
 
 
 def plan_size_bytes(df: DataFrame) -> int | None:
@@ -63,12 +64,18 @@ def plan_size_bytes(df: DataFrame) -> int | None:
         return None
 
 
+def labels_fit_broadcast(labels: DataFrame) -> bool:
+    """Whether ``(doc_id, label)`` rows may be broadcast: a row count against
+    ``LABELS_BROADCAST_MAX_ROWS`` (a parquet count reads footers only)."""
+    return labels.limit(LABELS_BROADCAST_MAX_ROWS + 1).count() <= LABELS_BROADCAST_MAX_ROWS
+
+
 def labelled_logits(spark: SparkSession, sf_dir: str, weights: DataFrame, exploded: bool = True) -> DataFrame:
     """Scores of every labelled document; whole texts never cross a shuffle.
 
     The join order is chosen from the checked size of the labels side:
 
-    * labels within ``LABELS_BROADCAST_MAX_BYTES``: broadcast them and join
+    * labels within ``LABELS_BROADCAST_MAX_ROWS``: broadcast them and join
       first — only labelled documents are scored, nothing is shuffled;
     * larger: score documents where they are read (a narrow projection) and
       join only ``(doc_id, logits)`` with the labels (shuffle of small rows).
@@ -80,8 +87,7 @@ def labelled_logits(spark: SparkSession, sf_dir: str, weights: DataFrame, explod
 
     docs = load_table(spark, sf_dir, "documents").select("doc_id", "text")
     labels = load_table(spark, sf_dir, "labels").select("doc_id", F.col("toxic").cast("int").alias("label"))
-    size = plan_size_bytes(labels)
-    if size is not None and size <= LABELS_BROADCAST_MAX_BYTES:
+    if labels_fit_broadcast(labels):
         arr, cands = score_arrays(docs.join(F.broadcast(labels), "doc_id"), weights, key_cols=["doc_id"])
         joined = arr
     else:
@@ -103,8 +109,7 @@ def labelled_hits(spark: SparkSession, sf_dir: str, weights: DataFrame) -> DataF
 
     docs = load_table(spark, sf_dir, "documents").select("doc_id", "text")
     labels = load_table(spark, sf_dir, "labels").select("doc_id", F.col("toxic").cast("int").alias("label"))
-    size = plan_size_bytes(labels)
-    if size is not None and size <= LABELS_BROADCAST_MAX_BYTES:
+    if labels_fit_broadcast(labels):
         return score_terms(docs.join(F.broadcast(labels), "doc_id"), weights, keep_hits=True)
     return score_terms(docs, weights, keep_hits=True).join(labels, "doc_id")
 
@@ -112,5 +117,4 @@ def labelled_hits(spark: SparkSession, sf_dir: str, weights: DataFrame) -> DataF
 def labels_table(spark: SparkSession, sf_dir: str):
     """``(doc_id, label)`` and whether its checked size allows a broadcast."""
     labels = load_table(spark, sf_dir, "labels").select("doc_id", F.col("toxic").cast("int").alias("label"))
-    size = plan_size_bytes(labels)
-    return labels, size is not None and size <= LABELS_BROADCAST_MAX_BYTES
+    return labels, labels_fit_broadcast(labels)
