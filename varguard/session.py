@@ -62,6 +62,15 @@ def scratch_path(spark: SparkSession, name: str) -> str:
     return f"{base}/{name}-{uuid.uuid4().hex[:12]}"
 
 
+def plan_size_bytes(df: DataFrame) -> int | None:
+    """Catalyst's size estimate of a plan (file bytes after pruning), or None
+    when the session does not expose it."""
+    try:
+        return int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+    except Exception:  # noqa: BLE001
+        return None
+
+
 # Inputs whose plan estimate lies in this range are spread over the cores
 # right after the scan (see load_table).
 SPREAD_MIN_BYTES = 8 * 1024 * 1024
@@ -81,10 +90,7 @@ def load_table(spark: SparkSession, sf_dir: str, name: str, spread: bool = True)
     df = spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
     if not spread:
         return df
-    try:
-        size = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
-    except Exception:  # noqa: BLE001
-        return df
-    if SPREAD_MIN_BYTES <= size <= SPREAD_MAX_BYTES:
+    size = plan_size_bytes(df)
+    if size is not None and SPREAD_MIN_BYTES <= size <= SPREAD_MAX_BYTES:
         return df.repartition(spark.sparkContext.defaultParallelism)
     return df

@@ -55,15 +55,6 @@ def conversation_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
 LABELS_BROADCAST_MAX_ROWS = 8_000_000
 
 
-def plan_size_bytes(df: DataFrame) -> int | None:
-    """Catalyst's size estimate of a plan (file sizes after pruning); None if
-    unavailable."""
-    try:
-        return int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
-    except Exception:  # noqa: BLE001
-        return None
-
-
 def labels_fit_broadcast(labels: DataFrame) -> bool:
     """Whether ``(doc_id, label)`` rows may be broadcast: a row count against
     ``LABELS_BROADCAST_MAX_ROWS`` (a parquet count reads footers only)."""
