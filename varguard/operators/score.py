@@ -71,8 +71,14 @@ def candidate_ids(weights: DataFrame) -> list:
     return sorted(ids)
 
 
-def _collect_params(weights: DataFrame):
-    rows = weights.select("candidate_id", "term", "weight").collect()
+def _small_params(weights: DataFrame, limit: int):
+    """The parameter rows when there are at most ``limit`` of them, else None
+    (one bounded job answers both questions)."""
+    rows = weights.select("candidate_id", "term", "weight").limit(limit + 1).collect()
+    return rows if len(rows) <= limit else None
+
+
+def _collect_params(rows):
     cands = sorted({r.candidate_id for r in rows})
     pos = {c: i for i, c in enumerate(cands)}
     bias = [0.0] * len(cands)
@@ -119,14 +125,16 @@ def score_terms(
     ``keep_hits`` (inline only) also returns ``hits``: the row's known tokens,
     one entry per occurrence, for gradients that must not re-read the text.
     """
-    n_params = weights.count()
+    small = None
+    if strategy in ("auto", "inline"):
+        small = _small_params(weights, INLINE_MAX if strategy == "auto" else 50 * INLINE_MAX)
     if strategy == "auto":
-        strategy = "inline" if n_params <= INLINE_MAX else "join"
+        strategy = "inline" if small is not None else "join"
     keep = [c for c in df.columns if c != text_col]
     if strategy == "inline":
-        if n_params > 50 * INLINE_MAX:
+        if small is None:
             raise ValueError("parameter table too large to inline; use strategy='join'")
-        cands, bias, per_term = _collect_params(weights)
+        cands, bias, per_term = _collect_params(small)
         ids = F.array(*[F.lit(c) for c in cands])
         hits, logits_of = _inline_parts(F.col(text_col), bias, per_term)
         extra = ["hits"] if keep_hits else []
@@ -144,7 +152,7 @@ def score_terms(
     key_cols = list(key_cols)
     cand_ids = candidate_ids(weights)
     term_w = weights.filter(F.col("term").isNotNull()).groupBy("term", "candidate_id").agg(F.sum("weight").alias("w"))
-    if n_params <= BROADCAST_MAX_ROWS:
+    if weights.limit(BROADCAST_MAX_ROWS + 1).count() <= BROADCAST_MAX_ROWS:
         term_w = F.broadcast(term_w)
     bias_w = F.broadcast(
         weights.filter(F.col("term").isNull()).groupBy("candidate_id").agg(F.sum("weight").alias("b"))
@@ -295,10 +303,10 @@ def score_arrays(df: DataFrame, weights: DataFrame, text_col: str = "text", key_
 
     Inline for small models (no shuffle); otherwise the join strategy
     followed by a per-row regrouping of its K values."""
-    n_params = weights.count()
     keep = [c for c in df.columns if c != text_col]
-    if n_params <= INLINE_MAX:
-        cands, bias, per_term = _collect_params(weights)
+    small = _small_params(weights, INLINE_MAX)
+    if small is not None:
+        cands, bias, per_term = _collect_params(small)
         hits, logits_of = _inline_parts(F.col(text_col), bias, per_term)
         return df.select(*keep, logits_of(hits).alias(out_col)), cands
     if not key_cols:
