@@ -4,9 +4,13 @@ import pytest
 from conftest import SF_SMALL
 
 import __spark_entry__ as E
+import scripts.oracle_check as OC
 from scripts.oracle_check import rows_of
 from varguard.session import TABLES
 
+# exact comparison: same doubles (sign of zero included) and same value types
+OC.STRICT = True
+
 
 def test_entry_runs(spark):
     df = E.entry(spark)

@@ -66,8 +66,8 @@ def weights_values(weights=tuple(CANDIDATE_WEIGHTS), bias: float = LEXICON_BIAS,
     """``(candidate_id, term, weight)`` rows; term NULL is the bias."""
     rows = []
     for cid, w in enumerate(weights):
-        rows.append(f"({cid}, CAST(NULL AS VARCHAR), {float(bias)!r})")
-        rows.extend(f"({cid}, {q(t)}, {float(w)!r})" for t in terms)
+        rows.append(f"({cid}, CAST(NULL AS VARCHAR), CAST({float(bias)!r} AS DOUBLE))")
+        rows.extend(f"({cid}, {q(t)}, CAST({float(w)!r} AS DOUBLE))" for t in terms)
     return "SELECT * FROM (VALUES " + ", ".join(rows) + ") AS w(candidate_id, term, weight)"
 
 
