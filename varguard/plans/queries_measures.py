@@ -113,7 +113,7 @@ def _sc7_sql():
     return f"""WITH t AS (SELECT doc_id, least(len({toks}), {MAX_TOKENS}) AS n,
       row_number() OVER (ORDER BY {O.order_key('doc_id')}, doc_id) - 1 AS idx FROM documents),
     b AS (SELECT doc_id, n, idx // 12 AS batch_id FROM t)
-    SELECT batch_id, count(*) AS n_rows, max(n) AS max_tokens, CAST(sum(n) AS BIGINT) AS real_tokens,
+    SELECT batch_id, count(*) AS n_rows, CAST(max(n) AS INTEGER) AS max_tokens, CAST(sum(n) AS BIGINT) AS real_tokens,
       CAST(count(*) * max(n) - sum(n) AS BIGINT) AS pad_tokens FROM b GROUP BY batch_id"""
 
 

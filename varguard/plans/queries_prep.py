@@ -66,7 +66,7 @@ def src2_declared_columns(spark, sf_dir):
 
 
 GROUP_ARRAYS_SQL = (
-    "SELECT conv_id AS group_id, count(*) AS n_members, list(text ORDER BY turn) AS text_groups "
+    "SELECT conv_id AS group_id, CAST(count(*) AS INTEGER) AS n_members, list(text ORDER BY turn) AS text_groups "
     "FROM conversations GROUP BY conv_id"
 )
 
@@ -177,8 +177,8 @@ def idx_dense_index(spark, sf_dir):
 
 @register(
     "ne1_flatten_groups",
-    """SELECT conv_id AS group_id, row_number() OVER (PARTITION BY conv_id ORDER BY turn) - 1 AS pos,
-    count(*) OVER (PARTITION BY conv_id) AS n_members, text FROM conversations""",
+    """SELECT conv_id AS group_id, CAST(row_number() OVER (PARTITION BY conv_id ORDER BY turn) - 1 AS INTEGER) AS pos,
+    CAST(count(*) OVER (PARTITION BY conv_id) AS INTEGER) AS n_members, text FROM conversations""",
 )
 def ne1_flatten_groups(spark, sf_dir):
     """Ragged group arrays flattened to members, keeping position and length."""
@@ -226,7 +226,7 @@ def ne3_group_sizes(spark, sf_dir):
 
 @register(
     "ne4_chop_groups",
-    f"""SELECT group_id, pos, rank FROM (SELECT group_id, pos,
+    f"""SELECT group_id, pos, CAST(rank AS INTEGER) AS rank FROM (SELECT group_id, pos,
       row_number() OVER (PARTITION BY group_id ORDER BY pos) AS rank FROM ({O.GROUPS_LS})) WHERE rank <= {CHOP_K}""",
 )
 def ne4_chop_groups(spark, sf_dir):
