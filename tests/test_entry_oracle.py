@@ -39,3 +39,28 @@ def test_query_matches_sql_oracle(spark, duck, name):
     dcols = [d[0] for d in res.description]
     assert sorted(sdf.columns) == sorted(dcols)
     assert rows_of(sdf.columns, srows) == rows_of(dcols, res.fetchall())
+
+
+def _spark_type(dt):
+    from pyspark.sql import types as T
+
+    if isinstance(dt, T.ArrayType):
+        return "list<" + _spark_type(dt.elementType) + ">"
+    return {T.IntegerType: "int32", T.LongType: "int64", T.DoubleType: "float64", T.StringType: "string",
+            T.BooleanType: "bool"}.get(type(dt), str(dt))
+
+
+def _duck_type(t):
+    t = str(t)
+    if t.endswith("[]"):
+        return "list<" + _duck_type(t[:-2]) + ">"
+    return {"INTEGER": "int32", "BIGINT": "int64", "DOUBLE": "float64", "VARCHAR": "string", "BOOLEAN": "bool"}.get(t, t)
+
+
+@pytest.mark.parametrize("name", sorted(n for n in E.oracle_sql() if not any(x in n for x in ("snk", "stream"))))
+def test_column_types_match_sql_oracle(spark, duck, name):
+    sdf = E.queries()[name](spark, SF_SMALL)
+    rel = duck.sql(E.oracle_sql()[name])
+    want = {c: _duck_type(t) for c, t in zip(rel.columns, rel.types)}
+    got = {f.name: _spark_type(f.dataType) for f in sdf.schema.fields}
+    assert got == want
