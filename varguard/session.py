@@ -84,13 +84,15 @@ def load_table(spark: SparkSession, sf_dir: str, name: str, spread: bool = True)
     it has row groups (one, for the test tables), leaving the other cores idle
     during scoring. When ``spread`` and the table's size estimate lies between
     ``SPREAD_MIN_BYTES`` and ``SPREAD_MAX_BYTES``, rows are dealt round-robin
-    over the default parallelism first (a deterministic shuffle of at most
-    1 GB). Larger inputs are already split by the scan and are never
+    over the default parallelism first, at most one partition per MB (a
+    deterministic shuffle of at most 1 GB). Larger inputs are already split by the scan and are never
     reshuffled; smaller ones are not worth a shuffle."""
     df = spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
     if not spread:
         return df
     size = plan_size_bytes(df)
     if size is not None and SPREAD_MIN_BYTES <= size <= SPREAD_MAX_BYTES:
-        return df.repartition(spark.sparkContext.defaultParallelism)
+        # at most one partition per MB of input, at most the default parallelism
+        parts = max(1, min(spark.sparkContext.defaultParallelism, size // (1024 * 1024)))
+        return df.repartition(parts)
     return df
