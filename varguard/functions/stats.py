@@ -102,6 +102,12 @@ def expansion_coefficients(p: float) -> tuple:
     return x, g1, g2, g3, g4
 
 
+def double_array(values) -> Column:
+    """Literal ``ARRAY<DOUBLE>`` built from SQL text: one call to the JVM
+    instead of one per element (``D`` keeps the literals double)."""
+    return F.expr("array(" + ", ".join(f"{float(v)!r}D" for v in values) + ")")
+
+
 def t_quantile(nu, p: float) -> Column:
     """Column: t quantile at probability p with ``nu`` degrees of freedom.
 
@@ -109,7 +115,7 @@ def t_quantile(nu, p: float) -> Column:
     """
     nu = F.col(nu) if isinstance(nu, str) else nu
     nu_i = nu.cast("int")
-    table = F.array(*[F.lit(v) for v in t_table(p)])
+    table = double_array(t_table(p))
     x, g1, g2, g3, g4 = expansion_coefficients(p)
     v = nu.cast("double")
     approx = (

@@ -35,9 +35,19 @@ def poisson_cdf(lam: float = 1.0, tail: float = 2.0 ** -33) -> list[float]:
         term *= lam / k
 
 
-def poisson_weight(u: Column, lam: float = 1.0) -> Column:
-    """Inverse-CDF Poisson draw from a uniform: the number of CDF steps <= u."""
+def _steps_sql(u: str, steps, last: int) -> Column:
+    """``CASE WHEN u < s0 THEN 0 WHEN u < s1 THEN 1 ... ELSE last END`` over a
+    column named ``u``, built from SQL text (one JVM call)."""
+    body = " ".join(f"WHEN `{u}` < {float(s)!r}D THEN {k}" for k, s in enumerate(steps))
+    return F.expr(f"CASE {body} ELSE {last} END")
+
+
+def poisson_weight(u, lam: float = 1.0) -> Column:
+    """Inverse-CDF Poisson draw from a uniform: the number of CDF steps <= u.
+    ``u`` is a Column or the name of a column (faster to plan)."""
     cdf = poisson_cdf(lam)
+    if isinstance(u, str):
+        return _steps_sql(u, cdf, len(cdf))
     expr = F.when(u < F.lit(cdf[0]), F.lit(0))
     for k, c in enumerate(cdf[1:], start=1):
         expr = expr.when(u < F.lit(c), F.lit(k))
@@ -73,8 +83,11 @@ def bootstrap(df: DataFrame, key: str, trials: int, n: int | None = None, seed:
     return draws.join(indexed, "_idx").drop("_idx")
 
 
-def min_frac_id(u: Column, fracs: Sequence[float]) -> Column:
-    """Smallest k with u < fracs[k] (fracs ascending, last = 1.0)."""
+def min_frac_id(u, fracs: Sequence[float]) -> Column:
+    """Smallest k with u < fracs[k] (fracs ascending, last = 1.0). ``u`` is a
+    Column or the name of a column."""
+    if isinstance(u, str):
+        return _steps_sql(u, list(fracs), len(fracs) - 1)
     expr = F.when(u < F.lit(fracs[0]), F.lit(0))
     for k, f in enumerate(fracs[1:], start=1):
         expr = expr.when(u < F.lit(f), F.lit(k))

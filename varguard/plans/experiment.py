@@ -34,7 +34,7 @@ from pyspark.sql import functions as F
 from ..config import ExperimentConfig
 from ..functions.hashing import hash_key, hex_uniform
 from ..functions.scalar import log_loss, round6, sigmoid
-from ..functions.stats import t_quantile
+from ..functions.stats import double_array, t_quantile
 from ..operators.resample import min_frac_id, poisson_weight
 from ..operators.score import candidate_ids, score_arrays
 
@@ -170,16 +170,19 @@ def experiment_moments(units: DataFrame, cfg: ExperimentConfig, k: int | None =
         "_h", F.md5(hash_key(F.lit(cfg.seed), F.lit("trial"), F.col("trial_i"), F.col("kind"), F.col("unit")))
     )
     gt = F.col("trial_i") < 0
-    drawn = staged.select(
+    uniforms = staged.select(
+        "trial_i", "kind", "xs", *[hex_uniform(F.col("_h"), i).alias(f"_u{i}") for i in range(3)]
+    )
+    drawn = uniforms.select(
         "trial_i",
         "kind",
         "xs",
         F.when(gt, F.lit("all"))
-        .when(hex_uniform(F.col("_h"), 0) < F.lit(cfg.frac_safety), F.lit("safety"))
+        .when(F.col("_u0") < F.lit(cfg.frac_safety), F.lit("safety"))
         .otherwise(F.lit("candidate"))
         .alias("part"),
-        F.when(gt, F.lit(1)).otherwise(poisson_weight(hex_uniform(F.col("_h"), 1))).alias("w"),
-        F.when(gt, F.lit(0)).otherwise(min_frac_id(hex_uniform(F.col("_h"), 2), list(cfg.fracs))).alias("frac_id"),
+        F.when(gt, F.lit(1)).otherwise(poisson_weight("_u1")).alias("w"),
+        F.when(gt, F.lit(0)).otherwise(min_frac_id("_u2", list(cfg.fracs))).alias("frac_id"),
     ).filter(F.col("w") > 0)
     w = F.col("w")
     aggs = []
@@ -316,7 +319,7 @@ def results_from_moments(mom: DataFrame, cands, cfg: ExperimentConfig) -> DataFr
     )
     passed = F.coalesce(F.col("_b.safe") <= 0, F.lit(False)) & F.coalesce(F.col("_b.nu_s") >= cfg.min_units, F.lit(False))
     ids = F.array(*[F.lit(x) for x in cands])
-    fracs = F.array(*[F.lit(float(f)) for f in cfg.fracs])
+    fracs = double_array(cfg.fracs)
     res = chosen.select(
         "frac_id",
         "trial_i",
