@@ -139,15 +139,21 @@ def ex1_run_experiment(spark, sf_dir):
     SELECT p.candidate_id, round(perf, 6) AS performance, round(g, 6) AS g FROM p JOIN g ON p.candidate_id = g.candidate_id""",
 )
 def ex2_ground_truth(spark, sf_dir):
-    """Ground truth on the unsampled tables: performance and true g per model."""
-    from ..operators.measures import cross_entropy, summarise, vprob
-    from ..operators.score import score_terms
-
+    """Ground truth on the unsampled tables: performance and true g per model
+    (one scan of the corpus, one aggregation)."""
     w = lexicon_model(spark, tuple(EXPERIMENT_CANDIDATE_WEIGHTS))
-    perf = cross_entropy(labelled_logits(spark, sf_dir, w)[0])
-    g = summarise(vprob(score_terms(document_groups(spark, sf_dir), w, key_cols=["group_id", "pos"])), "vprob")
-    return perf.join(g, "candidate_id").select(
-        "candidate_id", round6("loss").alias("performance"), round6(F.col("mean") - F.lit(VPROB.threshold)).alias("g")
+    labels, small = labels_table(spark, sf_dir)
+    units, cands = corpus_unit_values(load_table(spark, sf_dir, "documents"), labels, ("lang", "source"), w, small)
+    vals = units.select("kind", F.posexplode_outer("xs").alias("cand_idx", "x"))
+    agg = vals.groupBy("cand_idx").agg(
+        F.avg(F.when(F.col("kind") == "p", F.col("x"))).alias("perf"),
+        F.avg(F.when(F.col("kind") == "g", F.col("x"))).alias("vmean"),
+    )
+    ids = F.array(*[F.lit(c) for c in cands])
+    return agg.select(
+        F.element_at(ids, F.col("cand_idx") + 1).alias("candidate_id"),
+        round6("perf").alias("performance"),
+        round6(F.col("vmean") - F.lit(VPROB.threshold)).alias("g"),
     )
 
 
