@@ -5,7 +5,6 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..config import VPROB
-from ..functions.scalar import round6
 from ..operators.score import lexicon_model
 from ..session import load_table
 from ..sources.standins import labels_table

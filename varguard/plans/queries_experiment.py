@@ -5,7 +5,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from ..config import EXPERIMENT_CANDIDATE_WEIGHTS, N_TRIALS, SEED, VPROB, ExperimentConfig, frac_grid_values
+from ..config import EXPERIMENT_CANDIDATE_WEIGHTS, N_TRIALS, VPROB, ExperimentConfig
 from ..functions.scalar import round6
 from ..operators.resample import (
     bootstrap,
@@ -19,7 +19,7 @@ from ..operators.resample import (
 from ..operators.score import lexicon_model
 from ..sources.results import decode_gvec, encode_gvec
 from ..session import load_table
-from ..sources.standins import document_groups, labels_table, labelled_logits, primary_table
+from ..sources.standins import document_groups, labels_table, primary_table
 from . import oracle as O
 from .catalog import register
 from .experiment import (

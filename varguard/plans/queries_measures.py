@@ -31,7 +31,6 @@ from ..sources.standins import document_groups, labelled_hits, labelled_logits,
 from .experiment import corpus_split_stats
 from . import oracle as O
 from .catalog import register
-from .safety import split_measure_stats
 
 W = O.weights_values()
 W0 = O.weights_values((1.0,))
