@@ -60,7 +60,10 @@ def lexicon_model(
     for cid, w in enumerate(weights):
         rows.append((cid, None, float(bias)))
         rows.extend((cid, t, float(w)) for t in terms)
-    return spark.createDataFrame(rows, WEIGHT_SCHEMA)
+    df = spark.createDataFrame(rows, WEIGHT_SCHEMA)
+    # the parameters already live on the driver: keep them for the inline scorer
+    df._driver_rows = [T.Row(candidate_id=c, term=t, weight=w) for c, t, w in rows]
+    return df
 
 
 def candidate_ids(weights: DataFrame) -> list:
@@ -74,7 +77,9 @@ def candidate_ids(weights: DataFrame) -> list:
 def _small_params(weights: DataFrame, limit: int):
     """The parameter rows when there are at most ``limit`` of them, else None
     (one bounded job answers both questions)."""
-    rows = weights.select("candidate_id", "term", "weight").limit(limit + 1).collect()
+    rows = getattr(weights, "_driver_rows", None)
+    if rows is None:
+        rows = weights.select("candidate_id", "term", "weight").limit(limit + 1).collect()
     return rows if len(rows) <= limit else None
 
 
