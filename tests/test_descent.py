@@ -33,3 +33,48 @@ def test_binding_constraint_raises_lambda(spark):
     _, _, log = fit_constrained(primary, groups, {"idiot": 3.0, "trash": 3.0}, -1.0, DescentConfig(alpha_lambda=1.0, n_epochs=1),
                                 tight, primary_batch=5, group_batch=3)
     assert log[-1][5] > log[0][5]
+
+
+def test_bound_gradient_matches_finite_differences(spark):
+    import math
+    import statistics
+
+    from pyspark.sql import functions as F
+
+    from varguard.operators.train import _group_step, _logit_from_hits
+
+    vocab = ["idiot", "trash", "stupid"]
+    members = [(g, " ".join(TEXTS[(g * 3 + i) % len(TEXTS)] for _ in range(1 + (i % 2)))) for g in range(5) for i in range(3)]
+    gb0 = spark.createDataFrame(members, "group_id long, text string").select(
+        "group_id", F.filter(F.split(F.lower("text"), "[^a-z]+"), lambda t: F.array_contains(F.array(*[F.lit(v) for v in vocab]), t)).alias("hits")
+    )
+    k = 2 * 1.8 / math.sqrt(30)
+    theta = {None: -0.4, "idiot": 0.8, "trash": 0.3, "stupid": -0.2}
+
+    def target(th):
+        vs = []
+        for g in range(5):
+            ps = []
+            for gg, text in members:
+                if gg != g:
+                    continue
+                toks = [t for t in text.lower().split() if t in vocab]
+                z = th[None] + sum(th[t] for t in toks)
+                ps.append(1 / (1 + math.exp(-z)))
+            vs.append(statistics.variance(ps))
+        return statistics.fmean(vs) + k * statistics.stdev(vs)
+
+    def spark_grad(th):
+        logit = _logit_from_hits(F.col("hits"), th[None], {t: th[t] for t in vocab})
+        rows = _group_step(gb0.select("group_id", "hits", logit.alias("logit")), 1.0, k).collect()
+        return {r.term: r.s for r in rows}, next(r.loss_sum for r in rows if r.term is None)
+
+    got, value = spark_grad(theta)
+    assert abs(value - target(theta)) < 1e-12
+    for name in [None] + vocab:
+        e = 1e-6
+        tp, tm = dict(theta), dict(theta)
+        tp[name] += e
+        tm[name] -= e
+        num = (target(tp) - target(tm)) / (2 * e)
+        assert abs(got.get(name, 0.0) - num) < 1e-7

@@ -195,9 +195,18 @@ def _primary_step(pb: DataFrame) -> DataFrame:
     ).select(F.lit("p").alias("side"), "term", "s", "loss_sum", F.col("c").cast("double").alias("c"))
 
 
-def _group_step(gb: DataFrame) -> DataFrame:
-    """Per term the summed variance gradient over groups; the bias row also
-    carries the summed group variance and the number of groups (n >= 2)."""
+def _group_step(gb: DataFrame, sign: float = 1.0, k: float | None = None) -> DataFrame:
+    """Gradient of the batch's constraint target, per term, in one pass.
+
+    With per-group variances v_g (groups with n >= 2), their mean vbar, sample
+    sd s and count G, the target is ``sign * vbar`` (point) or, when ``k`` is
+    given, the predicted bound ``sign * vbar + k * s`` with
+    ``k = 2 t(1 - delta, n_safety - 1) / sqrt(n_safety)``. Its gradient is
+    ``sum_g c_g dv_g`` with ``c_g = sign / G + k (v_g - vbar) / (s (G - 1))``
+    and ``dv_g = 2 / (n_g - 1) (A_g - pbar_g B_g)`` (see variance_gradient).
+    vbar, s and G come from a window over the batch's groups (bounded by the
+    group batch size). Output rows ``(side, term, s, loss_sum, c)``: ``s`` is
+    the gradient entry; the bias row carries the target value and G."""
     p = sigmoid(F.col("logit"))
     rows = gb.select(
         "group_id", p.alias("p"), F.explode_outer(F.concat(F.array(_null_term()), F.col("hits"))).alias("term")
@@ -209,16 +218,30 @@ def _group_step(gb: DataFrame) -> DataFrame:
         F.sum("p").alias("sp"),
         F.var_samp("p").alias("v"),
     )
+    batch = Window.partitionBy()  # the groups of one batch
     per_g = per_gt.filter(F.col("term").isNull() & (F.col("c") >= 2)).select(
-        "group_id", F.col("c").alias("n"), (F.col("sp") / F.col("c")).alias("pbar")
+        "group_id",
+        F.col("c").alias("n"),
+        (F.col("sp") / F.col("c")).alias("pbar"),
+        "v",
+        F.avg("v").over(batch).alias("vbar"),
+        F.coalesce(F.stddev_samp("v").over(batch), F.lit(0.0)).alias("sd"),
+        F.count(F.lit(1)).over(batch).alias("G"),
     )
+    coef = F.lit(sign) / F.col("G")
+    value = F.lit(sign) * F.col("vbar")
+    if k is not None:
+        spread = (F.col("sd") > 0) & (F.col("G") >= 2)
+        coef = coef + F.when(spread, F.lit(k) * (F.col("v") - F.col("vbar")) / (F.col("sd") * (F.col("G") - 1))).otherwise(0.0)
+        value = value + F.lit(k) * F.col("sd")
+    per_g = per_g.select("group_id", "n", "pbar", coef.alias("coef"), value.alias("value"), "G")
     contrib = per_gt.join(per_g, "group_id").select(
         "term",
-        (F.lit(2.0) / (F.col("n") - 1) * (F.col("a") - F.col("pbar") * F.col("b"))).alias("d"),
-        F.when(F.col("term").isNull(), F.col("v")).alias("v"),
-        F.when(F.col("term").isNull(), 1.0).otherwise(0.0).alias("is_group"),
+        (F.col("coef") * F.lit(2.0) / (F.col("n") - 1) * (F.col("a") - F.col("pbar") * F.col("b"))).alias("d"),
+        F.when(F.col("term").isNull(), F.col("value")).alias("value"),
+        F.when(F.col("term").isNull(), F.col("G").cast("double")).alias("G"),
     )
-    return contrib.groupBy("term").agg(F.sum("d").alias("s"), F.sum("v").alias("loss_sum"), F.sum("is_group").alias("c")).select(
+    return contrib.groupBy("term").agg(F.sum("d").alias("s"), F.max("value").alias("loss_sum"), F.max("G").alias("c")).select(
         F.lit("g").alias("side"), "term", "s", "loss_sum", "c"
     )
 
@@ -233,15 +256,20 @@ def fit_constrained(
     primary_batch: int = 12,
     group_batch: int = 5,
     seed: int = 42,
+    n_safety: int | None = None,
 ):
     """Constrained descent on a linear term model.
 
-    Lagrangian ``loss(theta) + lambda * g(theta)`` with g = mean group VPROB -
-    threshold on the batch. theta follows Adam on the Lagrangian gradient;
-    lambda >= 0 follows gradient ascent on g. One Spark job per mini-batch
-    step returns the two sparse gradients and the batch values; theta stays a
-    small literal on the driver. Returns ``(theta, bias, log rows)``; each log
-    row is ``(step, epoch, batch_id, loss, g, lam)`` before the update.
+    Lagrangian ``loss(theta) + lambda * g(theta)``. With ``n_safety`` (the
+    number of safety units) g is the predicted high-confidence bound of the
+    constraint on the batch's groups, ``sign*mean + 2 sd / sqrt(n_safety) *
+    t(1 - delta, n_safety - 1) - sign*threshold`` — what candidate selection
+    tests; without it, the point value ``sign*mean - sign*threshold``.
+    theta follows Adam on the Lagrangian gradient; lambda >= 0 follows
+    gradient ascent on g. One Spark job per mini-batch step returns the two
+    sparse gradients and the batch values; theta stays a small literal on the
+    driver. Returns ``(theta, bias, log rows)``; each log row is
+    ``(step, epoch, batch_id, loss, g, lam)`` before the update.
     """
     spark = primary.sparkSession
     vocab = sorted(init_weights)
@@ -259,6 +287,11 @@ def fit_constrained(
     log = []
     step = 0
     thr = constraint.sign * constraint.threshold
+    k = None
+    if n_safety is not None and n_safety >= 2:
+        from ..functions.stats import t_ppf
+
+        k = 2.0 * t_ppf(1.0 - constraint.delta, n_safety - 1) / float(n_safety) ** 0.5
     for epoch in range(cfg.n_epochs):
         for b in range(n_pb):
             step += 1
@@ -269,24 +302,24 @@ def fit_constrained(
             gb = g_feat.filter((F.col("epoch") == epoch) & (F.col("batch_id") == b % n_gb)).select(
                 F.lit(0).alias("candidate_id"), "group_id", logit.alias("logit"), "hits"
             )
-            got = _primary_step(pb).unionByName(_group_step(gb)).collect()
+            got = _primary_step(pb).unionByName(_group_step(gb, constraint.sign, k)).collect()
             p_rows = {r.term: r for r in got if r.side == "p"}
             g_rows = {r.term: r for r in got if r.side == "g"}
             n_p = p_rows[None].c if None in p_rows else 0.0
             n_g = g_rows[None].c if None in g_rows else 0.0
             dloss = {t: r.s / n_p for t, r in p_rows.items()} if n_p else {}
-            dg = {t: r.s / n_g for t, r in g_rows.items()} if n_g else {}
+            dg = {t: r.s for t, r in g_rows.items()} if n_g else {}
             loss_v = p_rows[None].loss_sum / n_p if n_p else None
-            g_mean = g_rows[None].loss_sum / n_g if n_g else None
-            g_v = None if g_mean is None else constraint.sign * g_mean - thr
+            target = g_rows[None].loss_sum if n_g else None
+            g_v = None if target is None else target - thr
             log.append((step, epoch, b, loss_v, g_v, lam))
-            for k in names:
-                grad = (dloss.get(k) or 0.0) + lam * constraint.sign * (dg.get(k) or 0.0)
-                m[k] = cfg.beta_velocity * m[k] + (1 - cfg.beta_velocity) * grad
-                v[k] = cfg.beta_rmsprop * v[k] + (1 - cfg.beta_rmsprop) * grad * grad
-                mh = m[k] / (1 - cfg.beta_velocity**step)
-                vh = v[k] / (1 - cfg.beta_rmsprop**step)
-                theta[k] -= cfg.alpha_theta * mh / (vh**0.5 + cfg.eps)
+            for name in names:
+                grad = (dloss.get(name) or 0.0) + lam * (dg.get(name) or 0.0)
+                m[name] = cfg.beta_velocity * m[name] + (1 - cfg.beta_velocity) * grad
+                v[name] = cfg.beta_rmsprop * v[name] + (1 - cfg.beta_rmsprop) * grad * grad
+                mh = m[name] / (1 - cfg.beta_velocity**step)
+                vh = v[name] / (1 - cfg.beta_rmsprop**step)
+                theta[name] -= cfg.alpha_theta * mh / (vh**0.5 + cfg.eps)
             if g_v is not None:
                 lam = max(0.0, lam + cfg.alpha_lambda * g_v)
     return {t: theta[t] for t in vocab}, theta[None], log

@@ -36,11 +36,13 @@ def _fit(spark, sf_dir):
     ensure_checkpoint_dir(spark)
     primary = primary_table(spark, sf_dir)
     primary = primary.filter(safety_part(F.col("doc_id")) == "candidate")
-    groups = document_groups(spark, sf_dir)
-    groups = groups.filter(safety_part(F.col("group_id")) == "candidate")
+    all_groups = document_groups(spark, sf_dir).withColumn("part", safety_part(F.col("group_id")))
+    groups = all_groups.filter(F.col("part") == "candidate").drop("part")
+    n_safety = all_groups.filter(F.col("part") == "safety").select("group_id").distinct().count()
     weights = {t: 1.0 for t in LEXICON}
     theta, bias, log = fit_constrained(
-        primary, groups, weights, LEXICON_BIAS, DescentConfig(), VPROB, PRIMARY_BATCH_SIZE, GROUP_BATCH_SIZE
+        primary, groups, weights, LEXICON_BIAS, DescentConfig(), VPROB, PRIMARY_BATCH_SIZE, GROUP_BATCH_SIZE,
+        n_safety=n_safety,
     )
     return spark.createDataFrame(log, LOG_SCHEMA)
 
@@ -48,7 +50,8 @@ def _fit(spark, sf_dir):
 @register("trn4_fit_constrained")
 def trn4_fit_constrained(spark, sf_dir):
     """Adam on theta / ascent on lambda over 3 epochs of mini-batches (12 rows,
-    5 groups) of the candidate part; one row per step."""
+    5 groups) of the candidate part, penalising the predicted safety bound
+    (sized by the safety groups); one row per step."""
     return _fit(spark, sf_dir)
 
 
