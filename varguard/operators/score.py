@@ -196,13 +196,15 @@ def score_with(
     ``loader()`` builds the model once per task and returns a callable mapping
     a list of texts, or a list of lists of texts (ragged groups), to logits of
     the same shape. Arrow batches are re-cut to ``batch_size`` texts per call.
-    Output: the input columns plus ``out_col`` (double, or array<double> when
-    the text column is an array).
+    Output: the input columns except the text (it is not sent back from
+    Python), plus ``out_col`` (double, or array<double> when the text column is
+    an array).
     """
     field = df.schema[text_col]
     nested = isinstance(field.dataType, T.ArrayType)
     out_type = T.ArrayType(T.DoubleType()) if nested else T.DoubleType()
-    schema = T.StructType(df.schema.fields + [T.StructField(out_col, out_type, True)])
+    kept = [f for f in df.schema.fields if f.name != text_col]
+    schema = T.StructType(kept + [T.StructField(out_col, out_type, True)])
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         model = loader()
@@ -214,7 +216,7 @@ def score_with(
                 if nested:
                     chunk = [list(x) if x is not None else [] for x in chunk]
                 outs.extend(model(chunk))
-            res = pdf.copy()
+            res = pdf.drop(columns=[text_col])
             res[out_col] = [list(map(float, o)) for o in outs] if nested else [float(o) for o in outs]
             yield res
 
