@@ -64,3 +64,25 @@ def test_moments_equal_explicit_copies(spark):
                             assert sd == pytest.approx(statistics.stdev(copies), rel=1e-6, abs=1e-9)
                             checked += 1
     assert checked > 20
+
+
+def test_resume_writes_each_cell_once(spark, tmp_path):
+    from pyspark.sql import functions as F
+
+    from varguard.plans.experiment import resume_experiment, results_from_units
+    from varguard.sources.results import read_trials, write_trials
+
+    cfg = ExperimentConfig(n_trials=3)
+    w = lexicon_model(spark, (1.0, 2.0))
+    labels, small = labels_table(spark, SF_SMALL)
+    units, cands = corpus_unit_values(load_table(spark, SF_SMALL, "documents"), labels, ("lang", "source"), w, small)
+    full = results_from_units(units, cands, cfg)
+    cells = str(tmp_path / "cells")
+    write_trials(full.filter(F.col("trial_i") == 0), cells)  # an interrupted run: one trial recorded
+    assert resume_experiment(units, cands, cells, cfg) == 2 * len(cfg.fracs)
+    assert resume_experiment(units, cands, cells, cfg) == 0  # nothing left to do
+    got = read_trials(spark, cells)
+    assert got.count() == 3 * len(cfg.fracs)
+    key = lambda r: (r.frac_id, r.trial_i)
+    want = {key(r): (r.passed_safety, r.gvec, r.performance) for r in full.collect()}
+    assert {key(r): (r.passed_safety, r.gvec, r.performance) for r in got.collect()} == want

@@ -394,3 +394,35 @@ def reconcile(pooled: DataFrame, trials: DataFrame, tol: float = 1e-9) -> DataFr
         F.col("passed_b").isNotNull().alias("in_trials"),
         F.coalesce(same_perf & (F.col("passed_a") == F.col("passed_b")) & (F.col("gvec_a") == F.col("gvec_b")), F.lit(False)).alias("match"),
     )
+
+
+def resume_experiment(units: DataFrame, cands, cells_dir: str, cfg: ExperimentConfig = ExperimentConfig()) -> int:
+    """Record the experiment cells that ``cells_dir`` does not hold yet.
+
+    Recorded cells are read back, the pending (frac_id, trial_i) cells are the
+    grid minus those (anti join), and only pending cells are appended — one
+    output unit per cell, so an interrupted grid resumes without repeating or
+    duplicating cells. The one-plan experiment computes every cell in one pass
+    over the data anyway; the anti join only decides what gets written.
+    Returns the number of cells written."""
+    from pyspark.errors import AnalysisException
+
+    from ..operators.resample import pending_trials, trial_grid
+    from ..sources.results import read_trials, write_trials
+
+    spark = units.sparkSession
+    grid = trial_grid(spark.range(1).select(), cfg.n_trials, list(cfg.fracs)).select(
+        F.col("frac_id").cast("int").alias("frac_id"), F.col("trial_i").cast("int").alias("trial_i")
+    )
+    try:
+        done = read_trials(spark, cells_dir).select("frac_id", "trial_i")
+        done.limit(1).count()
+    except AnalysisException:
+        done = grid.limit(0)
+    pending = pending_trials(grid, done)
+    todo = results_from_units(units, cands, cfg).join(F.broadcast(pending), ["frac_id", "trial_i"], "left_semi")
+    todo = todo.checkpoint()  # computed once, counted and written from the same copy
+    n = todo.count()
+    if n:
+        write_trials(todo, cells_dir, mode="append")
+    return n
