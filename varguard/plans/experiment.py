@@ -39,6 +39,7 @@ from ..operators.resample import min_frac_id, poisson_weight
 from ..operators.score import candidate_ids, score_arrays
 
 KINDS = ("p", "g")  # p: labelled rows (loss), g: groups (constraint measure)
+MOMENTS_BROADCAST_MAX_ROWS = 1_000_000
 PARTS = ("candidate", "safety")
 
 
@@ -259,7 +260,11 @@ def cell_bounds(mom: DataFrame, k: int, cfg: ExperimentConfig) -> DataFrame:
     cum_w = Window.partitionBy("trial_i", "kind", "part", "cand_idx").orderBy("frac_id").rowsBetween(
         Window.unboundedPreceding, Window.currentRow
     )
-    cum = grid.join(F.broadcast(mom), keys, "left").select(
+    # moments have at most (trials + 1) x kinds x 3 parts x fractions x K rows,
+    # fixed by the configuration; broadcast them while that bound is small
+    bound = (cfg.n_trials + 1) * len(KINDS) * 3 * len(cfg.fracs) * k
+    moments = F.broadcast(mom) if bound <= MOMENTS_BROADCAST_MAX_ROWS else mom
+    cum = grid.join(moments, keys, "left").select(
         *keys, *[F.sum(F.coalesce(F.col(m), F.lit(0))).over(cum_w).alias(m) for m in ("sw", "swx", "swx2", "nu")]
     )
     per_cand = Window.partitionBy("cand_idx")
