@@ -33,7 +33,10 @@ def primary_table(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def group_id_of(*cols) -> F.Column:
-    """Stable 60-bit id of a group key (md5 of the key values)."""
+    """Stable 60-bit id of a group key (md5 of the key values), the same in
+    any SQL engine with md5. Two keys collide with probability about
+    n^2 / 2^61 for n distinct keys (4e-5 at ten million groups); group tables
+    that arrive with their own ids keep them."""
     return hash60(F.lit("group"), *[F.col(c) for c in cols])
 
 
