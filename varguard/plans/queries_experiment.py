@@ -231,7 +231,7 @@ def _pooled_frac(col):
 def ex7_reconcile(spark, sf_dir):
     """Pooled rows (fraction cut to 16 decimals) vs per-trial rows, keyed on
     round(data_frac, 10): every row must find its twin."""
-    res = _experiment(spark, sf_dir)
+    res = _experiment(spark, sf_dir).checkpoint()  # both copies read one materialised result
     pooled = res.withColumn("data_frac", _pooled_frac("data_frac"))
     return reconcile(pooled, res)
 
