@@ -345,13 +345,20 @@ def _cn8_sql():
 
 @register("cn8_true_g", _cn8_sql)
 def cn8_true_g(spark, sf_dir):
-    """Ground-truth g (point estimate on the whole group table) per model."""
-    out = None
-    for name, by in GROUPINGS.items():
-        s = summarise(vprob(_members(spark, sf_dir, by)), "vprob")
-        part = s.select(F.lit(name).alias("grouping"), "candidate_id", F.array(round6(g_value(F.col("mean"), VPROB))).alias("gvec"))
-        out = part if out is None else out.unionByName(part)
-    return out
+    """Ground-truth g (point estimate on the whole group table) per model, for
+    two groupings from one scan: members are scored once and emit one row per
+    grouping."""
+    from ..sources.standins import group_id_of
+
+    docs = load_table(spark, sf_dir, "documents").select("doc_id", "text", *[group_id_of(*by).alias(f"_g_{n}") for n, by in GROUPINGS.items()])
+    scored = score_terms(docs, lexicon_model(spark), key_cols=["doc_id"])
+    keyed = scored.select(
+        "candidate_id",
+        "logit",
+        F.explode_outer(F.array(*[F.struct(F.lit(n).alias("grouping"), F.col(f"_g_{n}").alias("group_id")) for n in GROUPINGS])).alias("_k"),
+    ).select("_k.grouping", "_k.group_id", "candidate_id", "logit")
+    s = summarise(vprob(keyed, by=("grouping", "candidate_id")), "vprob", by=("grouping", "candidate_id"))
+    return s.select("grouping", "candidate_id", F.array(round6(g_value(F.col("mean"), VPROB))).alias("gvec"))
 
 
 # ---------------------------------------------------------------- selection, gradients

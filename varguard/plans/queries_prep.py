@@ -212,16 +212,23 @@ def ne2_renest(spark, sf_dir):
     GROUP BY grouping, n_members""",
 )
 def ne3_group_sizes(spark, sf_dir):
-    """Group-size profiles of the three group stand-ins."""
-    out = None
-    for name, g in [
-        ("conversation", conversation_groups(spark, sf_dir)),
-        ("lang_source", document_groups(spark, sf_dir)),
-        ("source", document_groups(spark, sf_dir, by=("source",))),
-    ]:
-        prof = group_sizes(g).select(F.lit(name).alias("grouping"), "n_members", "n_groups")
-        out = prof if out is None else out.unionByName(prof)
-    return out
+    """Group-size profiles of the three group stand-ins; both document
+    groupings come from one scan (each document emits one row per grouping)."""
+    from ..sources.standins import group_id_of
+
+    docs = load_table(spark, sf_dir, "documents")
+    keyed = docs.select(
+        F.explode_outer(
+            F.array(
+                F.struct(F.lit("lang_source").alias("grouping"), group_id_of("lang", "source").alias("group_id")),
+                F.struct(F.lit("source").alias("grouping"), group_id_of("source").alias("group_id")),
+            )
+        ).alias("_g")
+    ).select("_g.grouping", "_g.group_id")
+    doc_sizes = keyed.groupBy("grouping", "group_id").agg(F.count(F.lit(1)).alias("n_members"))
+    doc_prof = doc_sizes.groupBy("grouping", "n_members").agg(F.count(F.lit(1)).alias("n_groups"))
+    conv = group_sizes(conversation_groups(spark, sf_dir)).select(F.lit("conversation").alias("grouping"), "n_members", "n_groups")
+    return conv.unionByName(doc_prof)
 
 
 @register(
