@@ -253,17 +253,29 @@ def cn2_user_measure(spark, sf_dir):
     FROM ({_measures_sql()}) GROUP BY candidate_id""",
 )
 def cn3_bind(spark, sf_dir):
-    """Objective on the labelled table, constraint measure on the group table."""
-    obj = cross_entropy(_scored_primary(spark, sf_dir)).select(
-        "candidate_id", F.lit("objective").alias("quantity"), F.lit("primary").alias("dataset"),
-        F.col("n_rows").alias("n_units"), round6("loss").alias("value"),
+    """Objective on the labelled table, constraint measure on the group table:
+    both bindings evaluated from one scan of the corpus (per-document losses
+    and per-group VPROB are the two kinds of unit), one aggregation."""
+    from .experiment import corpus_unit_values
+
+    w = lexicon_model(spark)
+    labels, small = labels_table(spark, sf_dir)
+    units, cands = corpus_unit_values(load_table(spark, sf_dir, "documents"), labels, ("lang", "source"), w, small)
+    vals = units.select("kind", F.posexplode_outer("xs").alias("cand_idx", "x"))
+    is_p = F.col("kind") == "p"
+    agg = vals.groupBy("cand_idx").agg(
+        F.count(F.when(is_p, F.lit(1))).alias("p_n"),
+        F.avg(F.when(is_p, F.col("x"))).alias("p_v"),
+        F.count(F.when(~is_p, F.col("x"))).alias("g_n"),
+        F.avg(F.when(~is_p, F.col("x"))).alias("g_v"),
     )
-    summ = summarise(group_measures(_members(spark, sf_dir), [VPROB.measure]), "value")
-    con = summ.select(
-        "candidate_id", F.lit(VPROB.name).alias("quantity"), F.lit("groups_lang_source").alias("dataset"),
-        F.col("n").alias("n_units"), round6("mean").alias("value"),
+    ids = F.array(*[F.lit(c) for c in cands])
+    rows = F.array(
+        F.struct(F.lit("objective").alias("quantity"), F.lit("primary").alias("dataset"), F.col("p_n").alias("n_units"), F.col("p_v").alias("value")),
+        F.struct(F.lit(VPROB.name).alias("quantity"), F.lit("groups_lang_source").alias("dataset"), F.col("g_n").alias("n_units"), F.col("g_v").alias("value")),
     )
-    return obj.unionByName(con)
+    out = agg.select(F.element_at(ids, F.col("cand_idx") + 1).alias("candidate_id"), F.explode_outer(rows).alias("_r"))
+    return out.select("candidate_id", "_r.quantity", "_r.dataset", "_r.n_units", round6("_r.value").alias("value"))
 
 
 @register(

@@ -116,24 +116,29 @@ def pf4_seeded_head(spark, sf_dir):
     UNION ALL SELECT 'groups_conversation', count(DISTINCT group_id) FROM ({O.GROUPS_CONV})""",
 )
 def pf5_num_datapoints(spark, sf_dir):
-    """Dataset sizes at the sampling-unit grain (a group counts once)."""
-    parts = [
-        primary_table(spark, sf_dir).agg(F.count(F.lit(1)).alias("num_datapoints")).select(
-            F.lit("primary").alias("dataset"), "num_datapoints"
-        )
-    ]
-    for name, g in [
-        ("groups_lang_source", document_groups(spark, sf_dir)),
-        ("groups_source", document_groups(spark, sf_dir, by=("source",))),
-        ("groups_conversation", conversation_groups(spark, sf_dir)),
-    ]:
-        parts.append(
-            g.agg(F.countDistinct("group_id").alias("num_datapoints")).select(F.lit(name).alias("dataset"), "num_datapoints")
-        )
-    out = parts[0]
-    for p in parts[1:]:
-        out = out.unionByName(p)
-    return out
+    """Dataset sizes at the sampling-unit grain (a group counts once). The
+    labelled count and both document groupings come from one scan of the
+    documents (labels joined by a size-checked broadcast)."""
+    from ..sources.standins import group_id_of, labels_table
+
+    labels, small = labels_table(spark, sf_dir)
+    docs = load_table(spark, sf_dir, "documents").select(
+        "doc_id", group_id_of("lang", "source").alias("g_ls"), group_id_of("source").alias("g_src")
+    )
+    joined = docs.join(F.broadcast(labels) if small else labels, "doc_id", "left")
+    counts = joined.agg(
+        F.count("label").alias("primary"),
+        F.countDistinct("g_ls").alias("groups_lang_source"),
+        F.countDistinct("g_src").alias("groups_source"),
+    )
+    names = ["primary", "groups_lang_source", "groups_source"]
+    docs_rows = counts.select(
+        F.explode_outer(F.array(*[F.struct(F.lit(n).alias("dataset"), F.col(n).alias("num_datapoints")) for n in names])).alias("_r")
+    ).select("_r.dataset", "_r.num_datapoints")
+    conv = conversation_groups(spark, sf_dir).agg(F.countDistinct("group_id").alias("num_datapoints")).select(
+        F.lit("groups_conversation").alias("dataset"), "num_datapoints"
+    )
+    return docs_rows.unionByName(conv)
 
 
 @register("sp1_split_safety", f"SELECT doc_id, label, {O.safety_part('doc_id')} AS part FROM ({O.PRIMARY})")
