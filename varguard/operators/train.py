@@ -120,10 +120,21 @@ def variance_gradient_from_hits(sc: DataFrame, group_col: str = "group_id") -> D
         F.count(F.lit(1)).alias("c"),
         F.sum("p").alias("sp"),
     )
-    per_g = per_gt.filter(F.col("term").isNull() & (F.col("c") >= 2)).select(
-        "candidate_id", group_col, F.col("c").alias("n"), (F.col("sp") / F.col("c")).alias("pbar")
-    )
-    contrib = per_gt.join(per_g, ["candidate_id", group_col]).select(
+    # n and pbar come from the group's bias row, spread over the group's
+    # per-term rows (at most vocabulary + 1 rows per group, even for a hot
+    # group). A window keeps one consumer of per_gt: a filtered branch joined
+    # back would be planned as a second scan.
+    grp = Window.partitionBy("candidate_id", group_col)
+    bias_row = F.col("term").isNull()
+    per_gt = per_gt.select(
+        "candidate_id",
+        "term",
+        "a",
+        "b",
+        F.max(F.when(bias_row, F.col("c"))).over(grp).alias("n"),
+        F.max(F.when(bias_row, F.col("sp") / F.col("c"))).over(grp).alias("pbar"),
+    ).filter(F.col("n") >= 2)
+    contrib = per_gt.select(
         "candidate_id",
         "term",
         (F.lit(2.0) / (F.col("n") - 1) * (F.col("a") - F.col("pbar") * F.col("b"))).alias("d"),
@@ -218,15 +229,25 @@ def _group_step(gb: DataFrame, sign: float = 1.0, k: float | None = None) -> Dat
         F.sum("p").alias("sp"),
         F.var_samp("p").alias("v"),
     )
-    batch = Window.partitionBy()  # the groups of one batch
-    per_g = per_gt.filter(F.col("term").isNull() & (F.col("c") >= 2)).select(
-        "group_id",
-        F.col("c").alias("n"),
-        (F.col("sp") / F.col("c")).alias("pbar"),
-        "v",
-        F.avg("v").over(batch).alias("vbar"),
-        F.coalesce(F.stddev_samp("v").over(batch), F.lit(0.0)).alias("sd"),
-        F.count(F.lit(1)).over(batch).alias("G"),
+    # per-group values from the group's bias row; batch values from the bias
+    # rows of the groups with n >= 2. Windows keep one consumer of per_gt. The
+    # batch window holds one batch (group batch size x (vocabulary + 1) rows).
+    grp, batch = Window.partitionBy("group_id"), Window.partitionBy()
+    bias_row = F.col("term").isNull()
+    staged = per_gt.select(
+        "term",
+        "a",
+        "b",
+        F.max(F.when(bias_row, F.col("c"))).over(grp).alias("n"),
+        F.max(F.when(bias_row, F.col("sp") / F.col("c"))).over(grp).alias("pbar"),
+        F.max(F.when(bias_row, F.col("v"))).over(grp).alias("v"),
+    ).filter(F.col("n") >= 2)
+    unit = F.when(F.col("term").isNull(), F.col("v"))
+    staged = staged.select(
+        "*",
+        F.avg(unit).over(batch).alias("vbar"),
+        F.coalesce(F.stddev_samp(unit).over(batch), F.lit(0.0)).alias("sd"),
+        F.count(unit).over(batch).alias("G"),
     )
     coef = F.lit(sign) / F.col("G")
     value = F.lit(sign) * F.col("vbar")
@@ -234,11 +255,10 @@ def _group_step(gb: DataFrame, sign: float = 1.0, k: float | None = None) -> Dat
         spread = (F.col("sd") > 0) & (F.col("G") >= 2)
         coef = coef + F.when(spread, F.lit(k) * (F.col("v") - F.col("vbar")) / (F.col("sd") * (F.col("G") - 1))).otherwise(0.0)
         value = value + F.lit(k) * F.col("sd")
-    per_g = per_g.select("group_id", "n", "pbar", coef.alias("coef"), value.alias("value"), "G")
-    contrib = per_gt.join(per_g, "group_id").select(
+    contrib = staged.select(
         "term",
-        (F.col("coef") * F.lit(2.0) / (F.col("n") - 1) * (F.col("a") - F.col("pbar") * F.col("b"))).alias("d"),
-        F.when(F.col("term").isNull(), F.col("value")).alias("value"),
+        (coef * F.lit(2.0) / (F.col("n") - 1) * (F.col("a") - F.col("pbar") * F.col("b"))).alias("d"),
+        F.when(F.col("term").isNull(), value).alias("value"),
         F.when(F.col("term").isNull(), F.col("G").cast("double")).alias("G"),
     )
     return contrib.groupBy("term").agg(F.sum("d").alias("s"), F.max("value").alias("loss_sum"), F.max("G").alias("c")).select(
