@@ -65,3 +65,11 @@ def test_hot_group_results_are_exact(spark):
     assert v[0] == pytest.approx(want0, rel=1e-12)
     g = variance_gradient(df, w).collect()
     assert sorted(r.term or "" for r in g) == ["", "idiot", "stupid"]  # bias + the two terms seen
+
+
+@pytest.mark.parametrize("name", sorted(n for n in E.oracle_sql() if not any(x in n for x in ("snk", "stream"))))
+def test_every_query_reads_the_corpus_at_most_once(spark, name):
+    df = E.queries()[name](spark, SF_SMALL)
+    df.collect()  # final adaptive plan of this frame
+    final = df._jdf.queryExecution().executedPlan().toString().split("+- == Initial Plan ==")[0]
+    assert final.count("documents.parquet") <= 1
