@@ -33,6 +33,9 @@ from ..functions.scalar import log_loss, sigmoid
 from .constraints import passes
 from .score import score_terms
 
+GROUP_ASSIGN_BROADCAST_MAX = 1_000_000  # groups; times epochs rows of (group_id, epoch, batch_id)
+
+
 def _null_term():
     return F.lit(None).cast("string")
 
@@ -181,9 +184,13 @@ def descent_features(primary: DataFrame, groups: DataFrame, vocab, epochs: int,
     known = lambda c: F.filter(tokens(F.col(c)), lambda t: F.array_contains(lex, t))
     p = assign_batches(primary.select("doc_id", "label", known("text").alias("hits")), "doc_id", primary_batch, epochs, seed)
     gids = groups.select("group_id").distinct()
-    gb = assign_batches(gids, "group_id", group_batch, epochs, seed)
+    gb = assign_batches(gids, "group_id", group_batch, epochs, seed).select("group_id", "epoch", "batch_id")
     members = groups.select("group_id", known("text").alias("hits"))
-    g = gb.select("group_id", "epoch", "batch_id").join(members, "group_id")
+    # one assignment row per (group, epoch): broadcast it when the group count
+    # allows, so members (and a hot group among them) are never shuffled
+    if gids.limit(GROUP_ASSIGN_BROADCAST_MAX + 1).count() <= GROUP_ASSIGN_BROADCAST_MAX:
+        gb = F.broadcast(gb)
+    g = members.join(gb, "group_id")
     p_path, g_path = scratch_path(spark, "descent-primary"), scratch_path(spark, "descent-groups")
     p.select("epoch", "batch_id", "label", "hits").write.partitionBy("epoch", "batch_id").parquet(p_path)
     g.select("epoch", "batch_id", "group_id", "hits").write.partitionBy("epoch", "batch_id").parquet(g_path)
