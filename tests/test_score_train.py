@@ -108,3 +108,11 @@ def test_variance_gradient_matches_finite_differences(spark):
         tm[j] -= e
         num = (_mean_var(tp, groups, vocab) - _mean_var(tm, groups, vocab)) / (2 * e)
         assert got.get(name, 0.0) == pytest.approx(num, abs=1e-8)
+
+
+def test_null_text_scores_as_bias(spark):
+    d = spark.createDataFrame([(1, None, 0), (2, "idiot", 1)], "doc_id long, text string, label int")
+    w = lexicon_model(spark)
+    for strategy in ("inline", "join"):
+        got = {(r.doc_id, r.candidate_id): r.logit for r in score_terms(d, w, key_cols=["doc_id"], strategy=strategy).collect()}
+        assert got[(1, 0)] == -2.0 and got[(1, 1)] == -2.0 and got[(2, 1)] == 0.0

@@ -15,14 +15,14 @@ def _c(x) -> Column:
 def tokens(text) -> Column:
     """Lower-case word tokens: runs of a-z, empty pieces dropped.
 
-    The whole text is split; nothing is truncated.
+    The whole text is split; nothing is truncated. A NULL text has no tokens.
     """
-    return F.filter(F.split(F.lower(_c(text)), "[^a-z]+"), lambda t: t != F.lit(""))
+    return F.filter(F.split(F.lower(F.coalesce(_c(text), F.lit(""))), "[^a-z]+"), lambda t: t != F.lit(""))
 
 
 def whitespace_tokens(text) -> Column:
-    """Whitespace-separated pieces of the text, empty pieces dropped."""
-    return F.filter(F.split(_c(text), "\\s+"), lambda t: t != F.lit(""))
+    """Whitespace-separated pieces of the text, empty pieces dropped (none for NULL)."""
+    return F.filter(F.split(F.coalesce(_c(text), F.lit("")), "\\s+"), lambda t: t != F.lit(""))
 
 
 def sigmoid(logit) -> Column:
