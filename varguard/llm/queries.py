@@ -9,7 +9,9 @@ from pyspark.sql import DataFrame, SparkSession
 from .common import read
 from .chunk_dedup import exact_dedup
 from .license_scan import BASE_PHRASES, TEMPLATES, scan_licenses
+from .pairwise_quality import score_quality
 from .pfair_mix import mix_sources, root_weights
+from .simhash import simhash_groups
 from .url_filter import judge_urls
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -81,3 +83,13 @@ def op6_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op7_pfair_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = read(spark, sf_dir, "documents")
     return mix_sources(docs, root_weights(docs)).select("doc_id", "source", "block", "phase", "release", "deadline", "slot")
+
+
+@query("op1_simhash")
+def op1_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return simhash_groups(read(spark, sf_dir, "documents"), words=3, max_bits=3)
+
+
+@query("op10_quality")
+def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return score_quality(read(spark, sf_dir, "documents"), read(spark, sf_dir, "labels"))

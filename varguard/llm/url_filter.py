@@ -38,20 +38,25 @@ class Cascade:
         listed = np.zeros(len(h1), bool)
         alive = np.arange(len(h1))
         for level, (bits, k) in enumerate(zip(self.levels, self.hashes, strict=True)):
-            hit = probe(bits, k, h1[alive], h2[alive])
+            hit = probe(bits, k, level, h1[alive], h2[alive])
             listed[alive[~hit]] = level % 2 == 1
             alive = alive[hit]
         listed[alive] = len(self.levels) % 2 == 1
         return listed
 
 
-def positions(n_bits: int, k: int, h1: np.ndarray, h2: np.ndarray) -> np.ndarray:
+def positions(n_bits: int, k: int, level: int, h1: np.ndarray, h2: np.ndarray) -> np.ndarray:
+    """Bit positions of keys; each level mixes the hashes anew, so that an
+    error of one level does not come back in the next but one."""
+    a = h1.astype(np.uint64) + np.uint64(level + 1) * (h2.astype(np.uint64) | np.uint64(1))
+    for shift, factor in ((33, 0xFF51AFD7ED558CCD), (29, 0xC4CEB9FE1A85EC53), (32, 1)):
+        a = (a ^ (a >> np.uint64(shift))) * np.uint64(factor)
     i = np.arange(k, dtype=np.uint64)[:, None]
-    return (h1.astype(np.uint64) + i * (h2.astype(np.uint64) | np.uint64(1))) % np.uint64(n_bits)
+    return (a + i * (a >> np.uint64(17) | np.uint64(1))) % np.uint64(n_bits)
 
 
-def probe(bits: np.ndarray, k: int, h1: np.ndarray, h2: np.ndarray) -> np.ndarray:
-    at = positions(len(bits) * 8, k, h1, h2)
+def probe(bits: np.ndarray, k: int, level: int, h1: np.ndarray, h2: np.ndarray) -> np.ndarray:
+    at = positions(len(bits) * 8, k, level, h1, h2)
     return ((bits[at >> np.uint64(3)] >> (at & np.uint64(7)).astype(np.uint8)) & 1).all(axis=0)
 
 
@@ -65,7 +70,7 @@ def level_bits(keys: DataFrame, n: int, rate: float, level: int) -> tuple[np.nda
 
     def to_bytes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            at = positions(n_bits, k, batch["h1"].to_numpy(zero_copy_only=False), batch["h2"].to_numpy(zero_copy_only=False)).ravel()
+            at = positions(n_bits, k, level, batch["h1"].to_numpy(zero_copy_only=False), batch["h2"].to_numpy(zero_copy_only=False)).ravel()
             yield pa.record_batch({"byte": pa.array((at >> np.uint64(3)).astype(np.int64)), "bit": pa.array((1 << (at & np.uint64(7)).astype(np.int64)).astype(np.int32))})
 
     found = keys.mapInArrow(to_bytes, "byte long, bit int").groupBy("byte").agg(F.bit_or("bit").alias("bits")).toPandas()
@@ -110,11 +115,12 @@ def build_cascade(listed: DataFrame, universe: DataFrame) -> Cascade:
 
 def passing(keys: DataFrame, cascade: Cascade) -> DataFrame:
     """The rows of ``keys(key, h1, h2)`` that the last level accepts."""
-    bits, k = keys.sparkSession.sparkContext.broadcast(cascade.levels[-1]), cascade.hashes[-1]
+    level = len(cascade.levels) - 1
+    bits, k = keys.sparkSession.sparkContext.broadcast(cascade.levels[level]), cascade.hashes[level]
 
     def accept(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            hit = probe(bits.value, k, batch["h1"].to_numpy(zero_copy_only=False), batch["h2"].to_numpy(zero_copy_only=False))
+            hit = probe(bits.value, k, level, batch["h1"].to_numpy(zero_copy_only=False), batch["h2"].to_numpy(zero_copy_only=False))
             yield batch.filter(pa.array(hit))
 
     return keys.mapInArrow(accept, keys.schema)
