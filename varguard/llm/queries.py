@@ -8,10 +8,14 @@ from pyspark.sql import DataFrame, SparkSession
 
 from .common import read
 from .chunk_dedup import exact_dedup
+from .lattice_dedup import embedding_groups
 from .license_scan import BASE_PHRASES, TEMPLATES, scan_licenses
 from .pairwise_quality import score_quality
 from .pfair_mix import mix_sources, root_weights
+from .piece_tokenizer import encode_texts, load_vocabulary
+from .repeat_spans import remove_repeats
 from .simhash import simhash_groups
+from .token_spans import attribute_tokens, sentences
 from .url_filter import judge_urls
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -93,3 +97,23 @@ def op1_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("op10_quality")
 def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return score_quality(read(spark, sf_dir, "documents"), read(spark, sf_dir, "labels"))
+
+
+@query("op3_token_spans")
+def op3_token_spans(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return attribute_tokens(read(spark, sf_dir, "documents"), rule="most", split=sentences)
+
+
+@query("op4_lattice_dedup")
+def op4_lattice_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return embedding_groups(read(spark, sf_dir, "embeddings"), cosine=0.9)
+
+
+@query("op8_piece_tokenizer")
+def op8_piece_tokenizer(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return encode_texts(read(spark, sf_dir, "documents"), load_vocabulary())
+
+
+@query("op9_repeat_spans")
+def op9_repeat_spans(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return remove_repeats(read(spark, sf_dir, "documents"), k=13)
