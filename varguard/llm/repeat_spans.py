@@ -88,10 +88,15 @@ class Block:
         top = (self.edge >> np.uint64(64 - bits)).astype(np.int64)
         return np.searchsorted(top, np.arange((1 << bits) + 1))
 
+    def sent(self, lo: int, hi: int) -> np.ndarray:
+        """The edges of a range in the order in which they are sent: by id."""
+        return lo + np.argsort(self.own[lo:hi], kind="stable")
+
 
 def pack(edges: np.ndarray, ids: np.ndarray, bits: int) -> bytes:
-    """Edges without the bytes that their range implies, and ids byte by byte
-    (the high bytes are alike, so shuffles compress them away)."""
+    """Edges without the bytes that their range implies, and the steps between
+    the ascending ids, byte by byte: nearly all are zero, so shuffles compress them away."""
+    ids = np.diff(ids, prepend=0)
     low = edges.astype("<u8").view(np.uint8).reshape(-1, 8)[:, : 8 - bits // 8]
     return np.int64(len(edges)).tobytes() + low.tobytes() + ids.astype("<i8").view(np.uint8).reshape(-1, 8).T.tobytes()
 
@@ -103,7 +108,7 @@ def unpack(data: bytes, part: int, bits: int) -> tuple[np.ndarray, np.ndarray]:
     low[:, :width] = np.frombuffer(data, np.uint8, n * width, 8).reshape(n, width)
     high = np.uint64(part >> (bits % 8)) << np.uint64(8 * width) if bits >= 8 else np.uint64(0)
     ids = np.frombuffer(data, np.uint8, n * 8, 8 + n * width).reshape(8, n).T
-    return low.view("<u8").ravel() | high, np.ascontiguousarray(ids).view("<i8").ravel()
+    return low.view("<u8").ravel() | high, np.cumsum(np.ascontiguousarray(ids).view("<i8").ravel())
 
 
 def ask(k: int, bits: int, bad: np.ndarray):
@@ -113,7 +118,8 @@ def ask(k: int, bits: int, bad: np.ndarray):
         block = Block(table, k, bad)
         at = block.ranges(bits)
         parts = np.flatnonzero(np.diff(at))
-        data = [pack(block.edge[at[p] : at[p + 1]], block.own[at[p] : at[p + 1]], bits) for p in parts]
+        sent = [block.sent(at[p], at[p + 1]) for p in parts]
+        data = [pack(block.edge[i], block.own[i], bits) for i in sent]
         return pa.table({"part": pa.array(parts, pa.int32()), "block": pa.array([key[0].as_py()] * len(parts), pa.int32()), "data": pa.array(data, pa.binary())})
 
     return run
@@ -158,7 +164,7 @@ def compact(k: int, bits: int, bad: np.ndarray):
             lo, n = at[part], at[part + 1] - at[part]
             flag = np.unpackbits(np.frombuffer(data, np.uint8, -(-n // 8)), count=n).astype(bool)
             ids = np.frombuffer(data, np.uint8, offset=-(-n // 8)).reshape(8, -1).T
-            source[lo : lo + n][flag] = np.ascontiguousarray(ids).view("<i8").ravel()
+            source[block.sent(lo, lo + n)[flag]] = np.ascontiguousarray(ids).view("<i8").ravel()
         comes = source[block.of_window]
         mine = block.ids[words.doc]
         repeated = (comes < mine) & (mine != NO_ID)
