@@ -11,6 +11,8 @@ paths of its words, which are remembered up to a bound.
 
 from __future__ import annotations
 
+import math
+from array import array
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -21,7 +23,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 MARK = "▁"
-#: Words remembered by each Python worker.
+#: Words remembered by each Python worker, twice over: when so many are new, those
+#: not used since the last time are forgotten.
 MEMO = 200_000
 #: Bytes of identifiers after which a batch is sent on.
 FLUSH = 1 << 24
@@ -62,16 +65,23 @@ class Tokenizer:
                 self.automaton.add_word(p[0], (len(p[0]), i, p[1]))
         self.automaton.make_automaton()
         self.byte_ids = vocabulary.byte_ids
+        self.alone = {p[0] for p in vocabulary.pieces if p and len(p[0]) == 1}
+        # no path crosses a newline that no piece holds
+        self.cuts_lines = not any(p and "\n" in p[0] for p in vocabulary.pieces)
+        self.newline = array("i", [self.byte_ids[10]]).tobytes()
         self.unknown = min(p[1] for p in vocabulary.pieces if p) - 10.0
         self.text_of = [p[0].replace(MARK, " ").encode() if p else b"" for p in vocabulary.pieces]
         for b, i in enumerate(vocabulary.byte_ids):
             self.text_of[i] = bytes([b])
         self.memo: dict[str, bytes] = {}
+        self.older: dict[str, bytes] = {}
 
     def best_path(self, marks: int, word: str) -> list[int]:
         """Ids of ``marks`` word marks followed by ``word`` (whose own marks,
         if any, are text and take their bytes). Of equal scores the longer last piece wins."""
         text = MARK * marks + word
+        if MARK not in word and self.alone.issuperset(text):
+            return self.plain_path(text)
         literal = MARK in word
         n = len(text)
         score = [0.0] + [0.0] * n
@@ -108,14 +118,35 @@ class Tokenizer:
             n -= length
         return ids[::-1]
 
+    def plain_path(self, text: str) -> list[int]:
+        """The best path where each character is a piece too: bytes are never needed."""
+        n = len(text)
+        score = [0.0] + [-math.inf] * n
+        back: list = [None] * (n + 1)
+        for last, piece in self.automaton.iter(text):
+            s = score[last + 1 - piece[0]] + piece[2]
+            if s > score[last + 1]:
+                score[last + 1], back[last + 1] = s, piece
+        ids: list[int] = []
+        while n:
+            ids.append(back[n][1])
+            n -= back[n][0]
+        return ids[::-1]
+
     def packed(self, marks: int, word: str) -> bytes:
         key = word if marks == 1 else f"{marks} {word}"  # words hold no space
         got = self.memo.get(key)
+        if got is None and self.cuts_lines and "\n" in word:
+            parts = word.split("\n")
+            return self.newline.join([self.packed(marks, parts[0])] + [self.packed(0, x) if x else b"" for x in parts[1:]])
         if got is None:
-            got = np.array(self.best_path(marks, word), np.int32).tobytes()
+            got = self.older.get(key)
+            if got is None:
+                got = array("i", self.best_path(marks, word)).tobytes()
             if len(word) < 64:
                 if len(self.memo) >= MEMO:
-                    self.memo.clear()
+                    self.older = self.memo.copy()
+                    self.memo.clear()  # the same dict: encode holds on to it
                 self.memo[key] = got
         return got
 
