@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import seed64
+from .common import seed64, written
 
 #: Cuts fall at hashes with these many low zero bits (mean chunk about 2 KB)...
 CUT_BITS = 11
@@ -117,8 +117,9 @@ def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
         if id_bytes >= 64:
             raise ValueError("two chunks share a 64-byte identifier")
         id_bytes = min(64, 2 * id_bytes)
-    made = recipes(texts, id_bytes)
-    groups = made.groupBy("recipe").agg(F.min("doc_id").alias("keep_id"), F.count("*").alias("group_size"))
+    made = written(recipes(texts, id_bytes), "recipes")
+    # checkpointed, so that the join has plain shuffles on both sides, and AQE splits a recipe with very many documents
+    groups = made.groupBy("recipe").agg(F.min("doc_id").alias("keep_id"), F.count("*").alias("group_size")).checkpoint()
     return made.join(groups, "recipe").select(
         F.col("doc_id").alias(id_col),
         "keep_id",
