@@ -105,9 +105,11 @@ def mix_sources(
     id_col: str = "doc_id",
     block_chars: int = BLOCK_CHARS,
     period: int = PERIOD,
+    prefix: str = "",
 ) -> DataFrame:
     """``docs`` with ``block`` (of its source, from 0), ``phase``, ``release``,
-    ``deadline`` and ``slot``; columns of those names in ``docs`` are replaced, all others stay.
+    ``deadline`` and ``slot``, their names headed by ``prefix``; columns of
+    those names in ``docs`` are replaced, all others stay.
 
     A document belongs to the block in which its first character lies; one
     longer than a block leaves the next blocks empty. Documents of a block
@@ -120,7 +122,7 @@ def mix_sources(
     of all rows is ordered by many tasks; only one row for each source reaches the driver.
     """
     spark = docs.sparkSession
-    mine = ["block", "phase", "release", "deadline", "slot"]
+    mine = [prefix + c for c in ("block", "phase", "release", "deadline", "slot")]
     kept = [c for c in docs.columns if c not in mine]
     keyed = docs.select(
         *[F.col(f"`{c}`") for c in kept],
@@ -143,33 +145,33 @@ def mix_sources(
     # one block more than the characters fill, for empty texts at the very end
     blocks = {k: n // block_chars + 1 for k, n in totals.items()}
     spans, places = phases(blocks, {k: named.get(k, least) for k in blocks}, period)
-    span_rows = spark.createDataFrame(spans, "_mix_s string, phase int, _mix_first long, _mix_last long, _mix_slots long, _mix_period long, _mix_base long")
-    place_rows = spark.createDataFrame(places, "_mix_s string, phase int, _mix_i long, _mix_place long")
+    span_rows = spark.createDataFrame(spans, "_mix_s string, _mix_f int, _mix_first long, _mix_last long, _mix_slots long, _mix_period long, _mix_base long")
+    place_rows = spark.createDataFrame(places, "_mix_s string, _mix_f int, _mix_i long, _mix_place long")
 
     prior = Window.partitionBy("_mix_s", "_mix_b").orderBy("_mix_h", id_col, "_mix_n").rowsBetween(Window.unboundedPreceding, -1)
     placed = (
         keyed.withColumn("_mix_p", F.coalesce(F.sum("_mix_n").over(prior), F.lit(0)))
         .join(offsets, ["_mix_s", "_mix_b"])
-        .withColumn("block", F.floor((F.col("_mix_p") + F.col("_mix_o")) / F.lit(block_chars)).cast("long"))
+        .withColumn("_mix_k", F.floor((F.col("_mix_p") + F.col("_mix_o")) / F.lit(block_chars)).cast("long"))
         .join(F.broadcast(span_rows), "_mix_s")
-        .where("block >= _mix_first AND block < _mix_last")
-        .withColumn("_mix_j", F.col("block") - F.col("_mix_first"))
+        .where("_mix_k >= _mix_first AND _mix_k < _mix_last")
+        .withColumn("_mix_j", F.col("_mix_k") - F.col("_mix_first"))
         .withColumn("_mix_i", F.col("_mix_j") % F.col("_mix_slots"))
-        .join(F.broadcast(place_rows), ["_mix_s", "phase", "_mix_i"])
+        .join(F.broadcast(place_rows), ["_mix_s", "_mix_f", "_mix_i"])
     )
     j, m, p, base = (F.col(c) for c in ("_mix_j", "_mix_slots", "_mix_period", "_mix_base"))
     return placed.select(
         *[F.col(f"`{c}`") for c in kept],
-        "block",
-        "phase",
-        (base + F.floor(j * p / m)).cast("long").alias("release"),
-        (base + F.ceil((j + 1) * p / m)).cast("long").alias("deadline"),
-        (base + F.floor(j / m).cast("long") * p + F.col("_mix_place")).alias("slot"),
+        F.col("_mix_k").alias(mine[0]),
+        F.col("_mix_f").alias(mine[1]),
+        (base + F.floor(j * p / m)).cast("long").alias(mine[2]),
+        (base + F.ceil((j + 1) * p / m)).cast("long").alias(mine[3]),
+        (base + F.floor(j / m).cast("long") * p + F.col("_mix_place")).alias(mine[4]),
     )
 
 
-def in_mixed_order(mixed: DataFrame, columns: list[str], id_col: str = "doc_id") -> DataFrame:
+def in_mixed_order(mixed: DataFrame, columns: list[str], slot_col: str = "slot", id_col: str = "doc_id") -> DataFrame:
     """The documents in the order of their slots: files and rows of the table
     written next stand in that order."""
-    order = [F.col("slot"), F.xxhash64(F.col(id_col), F.lit("mix"))]
+    order = [F.col(slot_col), F.xxhash64(F.col(id_col), F.lit("mix"))]
     return mixed.repartitionByRange(*order).sortWithinPartitions(*order).select(*[F.col(f"`{c}`") for c in columns])
