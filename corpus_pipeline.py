@@ -45,7 +45,7 @@ def near(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """All documents, stored in the order of the Pfair schedule."""
-    return in_mixed_order(mix_sources(docs, root_weights(docs)), docs.columns)
+    return in_mixed_order(mix_sources(docs, root_weights(docs), prefix="_mixed_"), docs.columns, "_mixed_slot")
 
 
 def tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
