@@ -13,6 +13,7 @@ from varguard.operators.constraints import (
 )
 from varguard.operators.measures import summarise
 from varguard.operators.train import select_candidate
+from varguard.sources.standins import group_id_of
 
 
 def test_upper_bound_formula(spark):
@@ -33,11 +34,57 @@ def test_ge_constraint_flips_sign(spark):
 def test_empty_group_table_fails_safety(spark):
     empty = spark.createDataFrame([], "candidate_id int, group_id long, pos long, logit double")
     summary = summarise(group_measures(empty, ["VPROB"]), "value", by=("candidate_id", "measure"))
-    bounds = constraint_bounds(summary, [VPROB])
     # no rows at all: a model with no evidence cannot pass
     cand = spark.createDataFrame([(0,)], "candidate_id int")
-    verdict = cand.join(safety_test(bounds), "candidate_id", "left").select(F.coalesce("passed", F.lit(False)).alias("p")).first()
-    assert verdict.p is False
+    verdict = safety_test(constraint_bounds(summary, [VPROB], candidates=cand)).collect()
+    assert [(r.candidate_id, r.n_constraints, r.passed) for r in verdict] == [(0, 1, False)]
+
+
+def test_absent_measure_fails_the_list(spark):
+    other = Constraint("VRANGE <= 0.1", "VRANGE", "<=", 0.1, 0.05)
+    df = spark.createDataFrame([(0, "VPROB", 10, 0, 0.001, 0.001)], "candidate_id int, measure string, n long, n_dropped long, mean double, sd double")
+    row = safety_test(constraint_bounds(df, [VPROB, other])).first()
+    assert row.n_constraints == 2 and row.passed is False
+    assert safety_test(constraint_bounds(df, [VPROB])).first().passed is True
+
+
+def test_report_uses_the_constraints_own_measure(spark):
+    from varguard.operators.score import lexicon_model
+    from varguard.plans.safety import corpus_safety_report, safety_report
+
+    docs = spark.createDataFrame(
+        [(i, "idiot scum" if i % 3 == 0 else "fine words", "en" if i < 12 else None, "a:b" if i % 2 else "a") for i in range(24)],
+        "doc_id long, text string, lang string, source string",
+    )
+    labels = spark.createDataFrame([(i, i % 2) for i in range(24)] + [(0, 1), (0, 1)], "doc_id long, label int")
+    w = lexicon_model(spark)
+    groups = docs.select(group_id_of("lang", "source").alias("group_id"), F.col("doc_id").alias("pos"), "text")
+    primary = docs.join(labels, "doc_id").select("doc_id", "label", "text")
+    both = [VPROB, Constraint("VRANGE <= 0.05", "VRANGE", "<=", 0.05, 0.05)]
+    for c in (VPROB, both[1], both):
+        a = safety_report(primary, groups, w, c).orderBy("candidate_id").collect()
+        assert corpus_safety_report(docs, labels, ("lang", "source"), w, c).orderBy("candidate_id").collect() == a
+        assert a[0].n_rows == 26  # a label row each, though repeated
+        assert "VRANGE" not in str(c) or a[0].passed is False
+    with pytest.raises(KeyError):
+        safety_report(primary, groups, w, Constraint("x", "NOSUCH", "<=", 1.0, 0.05))
+
+
+def test_group_keys_do_not_collide(spark):
+    keys = [("a:b", "c"), ("a", "b:c"), (None, "x"), ("x", None), ("", "x"), ("-", "x"), (None, None), ("1=a", "b")]
+    got = spark.createDataFrame(keys, "l string, s string").select(group_id_of("l", "s").alias("g")).collect()
+    assert len({r.g for r in got}) == len(keys)
+
+
+def test_checkpoint_folder_is_local_only_for_a_local_master():
+    from types import SimpleNamespace
+
+    from varguard.session import ensure_checkpoint_dir
+
+    context = SimpleNamespace(master="spark://host:7077", getCheckpointDir=lambda: None)
+    fake = SimpleNamespace(conf=SimpleNamespace(get=lambda *a: None), sparkContext=context)
+    with pytest.raises(ValueError, match="spark.checkpoint.dir"):
+        ensure_checkpoint_dir(fake)
 
 
 def test_fewer_than_two_units_fails(spark):

@@ -15,24 +15,13 @@ from __future__ import annotations
 
 from collections.abc import Callable, Sequence
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from ..config import Constraint
 from ..functions.scalar import sigmoid
 from ..functions.stats import t_quantile
 
-CONSTRAINT_SCHEMA = T.StructType(
-    [
-        T.StructField("constraint_name", T.StringType(), False),
-        T.StructField("measure", T.StringType(), False),
-        T.StructField("op", T.StringType(), False),
-        T.StructField("threshold", T.DoubleType(), False),
-        T.StructField("delta", T.DoubleType(), False),
-    ]
-)
-
 # Registered group measures: name -> aggregate over the member probability.
 _MEASURES: dict[str, Callable[[Column], Column]] = {}
 
@@ -72,30 +61,31 @@ def group_measures(
     )
 
 
-def constraint_bounds(summary: DataFrame, constraints: Sequence[Constraint], by=("candidate_id",)) -> DataFrame:
+def constraint_bounds(
+    summary: DataFrame, constraints: Sequence[Constraint], by=("candidate_id",), candidates: DataFrame | None = None
+) -> DataFrame:
     """Per (model, constraint): ``n, mean, sd, g`` (point) and ``upper_bound``.
 
     ``summary`` is long form ``(by..., measure, n, n_dropped, mean, sd)``.
-    One small branch per constraint, united; the summary below them is the
-    same plan, so its exchange is reused."""
-    out = None
-    for c in constraints:
-        part = summary.filter(F.col("measure") == c.measure).select(
-            *by,
-            F.lit(c.name).alias("constraint_name"),
-            "n",
-            "mean",
-            "sd",
-            g_value(F.col("mean"), c).alias("g"),
-            t_upper_bound(F.col("n"), F.col("mean"), F.col("sd"), c).alias("upper_bound"),
-        )
-        out = part if out is None else out.unionByName(part)
-    return out
-
-
-def constraints_frame(spark: SparkSession, constraints: Sequence[Constraint]) -> DataFrame:
-    return spark.createDataFrame(
-        [(c.name, c.measure, c.op, float(c.threshold), float(c.delta)) for c in constraints], CONSTRAINT_SCHEMA
+    Every constraint of every model has a row: one whose measure has no
+    summary has n = 0 and no bound, so it can't pass. ``candidates`` lists the
+    models; without it they are those of the summary."""
+    every = F.array(*[F.struct(F.lit(i).alias("i"), F.lit(c.name).alias("name"), F.lit(c.measure).alias("measure")) for i, c in enumerate(constraints)])
+    models = (summary if candidates is None else candidates).select(*by).distinct()
+    asked = models.select(*by, F.explode(every).alias("_c")).select(*by, F.col("_c.i").alias("_i"), F.col("_c.name").alias("constraint_name"), F.col("_c.measure").alias("measure"))
+    found = asked.join(summary.select(*by, "measure", "n", "mean", "sd"), [*by, "measure"], "left").withColumn("n", F.coalesce("n", F.lit(0).cast("long")))
+
+    def own(expr):
+        return F.coalesce(*[F.when(F.col("_i") == i, expr(c)) for i, c in enumerate(constraints)])
+
+    return found.select(
+        *by,
+        "constraint_name",
+        "n",
+        "mean",
+        "sd",
+        own(lambda c: g_value(F.col("mean"), c)).alias("g"),
+        own(lambda c: t_upper_bound(F.col("n"), F.col("mean"), F.col("sd"), c)).alias("upper_bound"),
     )
 
 

@@ -157,7 +157,7 @@ def score_terms(
     key_cols = list(key_cols)
     cand_ids = candidate_ids(weights)
     term_w = weights.filter(F.col("term").isNotNull()).groupBy("term", "candidate_id").agg(F.sum("weight").alias("w"))
-    if weights.limit(BROADCAST_MAX_ROWS + 1).count() <= BROADCAST_MAX_ROWS:
+    if weights.count() <= BROADCAST_MAX_ROWS:
         term_w = F.broadcast(term_w)
     bias_w = F.broadcast(
         weights.filter(F.col("term").isNull()).groupBy("candidate_id").agg(F.sum("weight").alias("b"))

@@ -188,7 +188,7 @@ def descent_features(primary: DataFrame, groups: DataFrame, vocab, epochs: int,
     members = groups.select("group_id", known("text").alias("hits"))
     # one assignment row per (group, epoch): broadcast it when the group count
     # allows, so members (and a hot group among them) are never shuffled
-    if gids.limit(GROUP_ASSIGN_BROADCAST_MAX + 1).count() <= GROUP_ASSIGN_BROADCAST_MAX:
+    if gids.count() <= GROUP_ASSIGN_BROADCAST_MAX:
         gb = F.broadcast(gb)
     g = members.join(gb, "group_id")
     p_path, g_path = scratch_path(spark, "descent-primary"), scratch_path(spark, "descent-groups")

@@ -35,6 +35,7 @@ from ..config import ExperimentConfig
 from ..functions.hashing import hash_key, hex_uniform
 from ..functions.scalar import log_loss, round6, sigmoid
 from ..functions.stats import double_array, t_quantile
+from ..operators.constraints import measure
 from ..operators.resample import min_frac_id, poisson_weight
 from ..operators.score import candidate_ids, score_arrays
 
@@ -43,9 +44,9 @@ MOMENTS_BROADCAST_MAX_ROWS = 1_000_000
 PARTS = ("candidate", "safety")
 
 
-def unit_values(primary: DataFrame, groups: DataFrame, weights: DataFrame):
+def unit_values(primary: DataFrame, groups: DataFrame, weights: DataFrame, measure_name: str = "VPROB"):
     """``(kind, unit, xs)``: per labelled row the per-candidate log loss, per
-    group the per-candidate VPROB (NULL for one-member groups). Returns
+    group the per-candidate measure (NULL where undefined). Returns
     ``(frame, candidate_ids)``. ``primary`` is raw ``(doc_id, label, text)``
     or pre-scored ``(doc_id, label, logits)`` (``labelled_logits``)."""
     if "logits" in primary.columns:
@@ -62,7 +63,7 @@ def unit_values(primary: DataFrame, groups: DataFrame, weights: DataFrame):
     g_arr, _ = score_arrays(groups.select("group_id", "pos", "text"), weights, key_cols=["group_id", "pos"])
     k = len(cands)
     per_group = g_arr.groupBy("group_id").agg(
-        *[F.var_samp(sigmoid(F.element_at("logits", i + 1))).alias(f"_v{i}") for i in range(k)]
+        *[measure(measure_name)(sigmoid(F.element_at("logits", i + 1))).alias(f"_v{i}") for i in range(k)]
     )
     g_units = per_group.select(
         F.lit("g").alias("kind"), F.col("group_id").alias("unit"), F.array(*[F.col(f"_v{i}") for i in range(k)]).alias("xs")
@@ -77,6 +78,7 @@ def corpus_unit_values(
     weights: DataFrame,
     labels_broadcast: bool | None = None,
     groupings: dict | None = None,
+    measures: tuple = ("VPROB",),
 ):
     """``unit_values`` for the common case where the labelled rows and the
     group members are the same corpus: one scan, one scoring of every text.
@@ -85,9 +87,10 @@ def corpus_unit_values(
     ``labels_broadcast``, else a shuffle of ``(doc_id, logits)`` rows), and
     emits one group row per grouping (``kind`` = grouping name, ``'g'`` by
     default, ``unit`` = group id) plus, when labelled, a row ``('p', doc_id)``.
-    One ``groupBy(kind, unit)`` then yields the per-group VPROB (combined
-    map-side, so a hot group costs one partial per task) and the per-document
-    loss. ``groupings`` maps kind names to grouping columns and replaces
+    One ``groupBy`` then yields the per-group measures (combined map-side, so
+    a hot group costs one partial per task) and the loss of each label row: a
+    document labelled several times has a row for each, but is one member of
+    its groups. ``xs`` of a group holds the candidates' values of each of ``measures`` in turn. ``groupings`` maps kind names to grouping columns and replaces
     ``group_cols``. ``labels_broadcast=None`` decides from the checked size of
     ``labels``. Returns ``(frame, candidate_ids)``."""
     from ..sources.standins import group_id_of, labels_fit_broadcast
@@ -102,22 +105,26 @@ def corpus_unit_values(
         weights,
         key_cols=["doc_id"],
     )
-    lab = labels.select("doc_id", F.col("label").cast("int").alias("label"))
+    lab = labels.select("doc_id", F.col("label").cast("int").alias("label")).groupBy("doc_id").agg(F.sort_array(F.collect_list("label")).alias("labels"))
     joined = scored.join(F.broadcast(lab) if labels_broadcast else lab, "doc_id", "left")
     k = len(cands)
-    unit_structs = [F.struct(F.lit(kind).alias("kind"), F.col(c).alias("unit")) for kind, c in gid_cols.items()]
-    unit_structs.append(F.when(F.col("label").isNotNull(), F.struct(F.lit("p").alias("kind"), F.col("doc_id").alias("unit"))))
-    rows = joined.select("logits", "label", F.explode_outer(F.array(*unit_structs)).alias("_u")).filter(F.col("_u").isNotNull())
-    y = F.col("label")
+    def unit(kind, key, copy, label):
+        return F.struct(F.lit(kind).alias("kind"), key.alias("unit"), copy.alias("copy"), label.alias("label"))
+
+    none = F.lit(None).cast("int")
+    of_groups = F.array(*[unit(kind, F.col(c), F.lit(0), none) for kind, c in gid_cols.items()])
+    of_labels = F.transform(F.coalesce("labels", F.array().cast("array<int>")), lambda y, i: unit("p", F.col("doc_id"), i, y))
+    rows = joined.select("logits", F.explode(F.concat(of_groups, of_labels)).alias("_u"))
+    y = F.col("_u.label")
     is_g = F.col("_u.kind") != "p"
     aggs = []
     for i in range(k):
         z = F.element_at("logits", i + 1)
-        aggs.append(F.var_samp(F.when(is_g, sigmoid(z))).alias(f"_v{i}"))
+        aggs += [measure(m)(F.when(is_g, sigmoid(z))).alias(f"_v{j}_{i}") for j, m in enumerate(measures)]
         aggs.append(F.max(F.when(~is_g, log_loss(y, sigmoid(z)))).alias(f"_l{i}"))
-    per_unit = rows.groupBy(F.col("_u.kind").alias("kind"), F.col("_u.unit").alias("unit")).agg(*aggs)
+    per_unit = rows.groupBy(F.col("_u.kind").alias("kind"), F.col("_u.unit").alias("unit"), F.col("_u.copy").alias("copy")).agg(*aggs)
     xs = F.when(
-        F.col("kind") != "p", F.array(*[F.col(f"_v{i}") for i in range(k)])
+        F.col("kind") != "p", F.array(*[F.col(f"_v{j}_{i}").cast("double") for j in range(len(measures)) for i in range(k)])
     ).otherwise(F.array(*[F.col(f"_l{i}") for i in range(k)]))
     return per_unit.select("kind", "unit", xs.alias("xs")), cands
 
@@ -231,7 +238,7 @@ def _sd(n: Column, s1: Column, s2: Column) -> Column:
 def run_experiment(primary: DataFrame, groups: DataFrame, weights: DataFrame, cfg: ExperimentConfig = ExperimentConfig()) -> DataFrame:
     """One result row per (frac_id, trial_i):
     ``frac_id, data_frac, trial_i, candidate_id, performance, passed_safety, gvec``."""
-    units, cands = unit_values(primary, groups, weights)
+    units, cands = unit_values(primary, groups, weights, cfg.constraint.measure)
     return results_from_units(units, cands, cfg)
 
 

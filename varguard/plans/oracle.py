@@ -54,7 +54,8 @@ PRIMARY = (
 
 
 def doc_groups(*by: str) -> str:
-    return f"SELECT {hash60(q('group'), *by)} AS group_id, doc_id AS pos, text FROM documents"
+    key = " || ':' || ".join(f"(CASE WHEN {c} IS NULL THEN '-' ELSE length({c}) || '=' || {c} END)" for c in by)
+    return f"SELECT CAST('0x' || substr(md5('group:' || {key}), 1, 15) AS BIGINT) AS group_id, doc_id AS pos, text FROM documents"
 
 
 GROUPS_LS = doc_groups("lang", "source")

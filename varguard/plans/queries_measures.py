@@ -312,6 +312,23 @@ def cn5_safety_test(spark, sf_dir):
 CN6_LIST = [VPROB, VRANGE]
 
 
+@register(
+    "cn5_no_evidence",
+    f"""WITH m AS ({_measures_sql()}), one AS (SELECT * FROM m WHERE n_members = 1),
+    s AS (SELECT candidate_id, count(vprob) AS n FROM one GROUP BY candidate_id),
+    c AS (SELECT DISTINCT candidate_id FROM ({W}))
+    SELECT c.candidate_id, coalesce(n, 0) AS n_units, false AS passed FROM c LEFT JOIN s ON c.candidate_id = s.candidate_id""",
+)
+def cn5_no_evidence(spark, sf_dir):
+    """The safety test on groups of one member, where the measure is undefined
+    (or on no group at all): every model has a verdict, and it is a fail."""
+    w = lexicon_model(spark)
+    long = group_measures(_members(spark, sf_dir), ["VPROB"]).filter("n_members = 1")
+    summary = summarise(long, "value", by=("candidate_id", "measure"))
+    b = constraint_bounds(summary, [VPROB], candidates=w.select("candidate_id"))
+    return b.select("candidate_id", F.col("n").alias("n_units"), passes(F.col("upper_bound"), F.col("n")).alias("passed"))
+
+
 @register(
     "cn6_constraint_list",
     lambda: _cn_summary_sql(f"{O.safety_part('group_id')} = 'safety'") + ", r AS (" + _cn_rows_sql(CN6_LIST, "*") + ")"

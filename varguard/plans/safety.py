@@ -9,13 +9,16 @@ rows.
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+from functools import reduce
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..config import VPROB, Constraint
 from ..functions.scalar import round6
-from ..operators.constraints import passes, t_upper_bound
-from ..operators.measures import cross_entropy, summarise, vprob
+from ..operators.constraints import group_measures, passes, t_upper_bound
+from ..operators.measures import cross_entropy
 from ..operators.score import score_terms
 
 
@@ -27,34 +30,60 @@ def scored_rows(primary: DataFrame, weights: DataFrame) -> DataFrame:
     return score_terms(primary.select("doc_id", "label", "text"), weights, key_cols=["doc_id"])
 
 
-def safety_report(primary: DataFrame, groups: DataFrame, weights: DataFrame, constraint: Constraint = VPROB) -> DataFrame:
-    """Per model: loss on the labelled rows, VPROB summary and bound over the
-    groups, verdict. ``primary`` is raw (doc_id, label, text) or pre-scored
-    (doc_id, label, candidate_id, logit), see ``labelled_logits``."""
+def as_list(constraints) -> list[Constraint]:
+    return [constraints] if isinstance(constraints, Constraint) else list(constraints)
+
+
+def verdict_columns(constraints: list[Constraint]) -> list:
+    """Report columns from ``n_<i>, d_<i>, mean_<i>, sd_<i>`` of each measure:
+    counts, each measure's mean and sd, the largest upper bound and the verdict. A constraint
+    without evidence has no bound, and then neither has the report, and it fails."""
+    names = list(dict.fromkeys(c.measure for c in constraints))
+    at = {m: i for i, m in enumerate(names)}
+    n = [F.coalesce(f"n_{at[c.measure]}", F.lit(0)) for c in constraints]
+    bounds = [t_upper_bound(k, F.col(f"mean_{at[c.measure]}"), F.col(f"sd_{at[c.measure]}"), c) for k, c in zip(n, constraints, strict=True)]
+    known = reduce(lambda x, y: x & y, [b.isNotNull() for b in bounds])
+    largest = bounds[0] if len(bounds) == 1 else F.when(known, F.greatest(*bounds))
+    verdict = reduce(lambda x, y: x & y, [passes(b, k) for b, k in zip(bounds, n, strict=True)])
+    counts = [F.coalesce(f"n_{i}", F.lit(0)) for i in range(len(names))]
+    dropped = [F.coalesce(f"d_{i}", F.lit(0)) for i in range(len(names))]
+    return [
+        (counts[0] if len(names) == 1 else F.least(*counts)).cast("bigint").alias("n_groups"),
+        (dropped[0] if len(names) == 1 else F.greatest(*dropped)).cast("bigint").alias("n_dropped"),
+        *[x for i, m in enumerate(names) for x in (round6(f"mean_{i}").alias(f"mean_{m.lower()}"), round6(f"sd_{i}").alias(f"sd_{m.lower()}"))],
+        round6(largest).alias("upper_bound"),
+        verdict.alias("passed"),
+    ]
+
+
+def measure_summary(rows: list[tuple[str, F.Column]]) -> list:
+    """Summary columns of :func:`verdict_columns` from each measure's value column."""
+    out = []
+    for i, (_, v) in enumerate(rows):
+        out += [
+            F.count(v).alias(f"n_{i}"),
+            F.avg(v).alias(f"mean_{i}"),
+            F.stddev_samp(v).alias(f"sd_{i}"),
+        ]
+    return out
+
+
+def safety_report(primary: DataFrame, groups: DataFrame, weights: DataFrame, constraint: Constraint | Sequence[Constraint] = VPROB) -> DataFrame:
+    """Per model: loss on the labelled rows, a summary of each constraint's
+    own measure over the groups, the largest upper bound, verdict (all
+    constraints pass). An unregistered measure raises. ``primary`` is raw (doc_id, label, text) or
+    pre-scored (doc_id, label, candidate_id, logit), see ``labelled_logits``."""
+    constraints = as_list(constraint)
+    names = list(dict.fromkeys(c.measure for c in constraints))
     scored = scored_rows(primary, weights)
     loss = cross_entropy(scored)
     members = score_terms(groups.select("group_id", "pos", "text"), weights, key_cols=["group_id", "pos"])
-    summary = summarise(vprob(members), "vprob")
-    bound = t_upper_bound(F.col("n"), F.col("mean"), F.col("sd"), constraint)
-    report = summary.select(
-        "candidate_id",
-        F.col("n").alias("n_groups"),
-        "n_dropped",
-        F.col("mean").alias("mean_vprob"),
-        F.col("sd").alias("sd_vprob"),
-        bound.alias("upper_bound"),
-    ).withColumn("passed", passes(F.col("upper_bound"), F.col("n_groups")))
-    return loss.join(report, "candidate_id", "full").select(
-        "candidate_id",
-        "n_rows",
-        round6("loss").alias("loss"),
-        "n_groups",
-        "n_dropped",
-        round6("mean_vprob").alias("mean_vprob"),
-        round6("sd_vprob").alias("sd_vprob"),
-        round6("upper_bound").alias("upper_bound"),
-        F.coalesce("passed", F.lit(False)).alias("passed"),
-    )
+    long = group_measures(members, names)
+    values = [(m, F.when(F.col("measure") == m, F.col("value"))) for m in names]
+    dropped = [F.sum(F.when((F.col("measure") == m) & F.col("value").isNull(), 1).otherwise(0)).alias(f"d_{i}") for i, m in enumerate(names)]
+    summary = long.groupBy("candidate_id").agg(*measure_summary(values), *dropped)
+    joined = loss.join(summary, "candidate_id", "full")
+    return joined.select("candidate_id", "n_rows", round6("loss").alias("loss"), *verdict_columns(constraints))
 
 
 def split_measure_stats(primary: DataFrame, groups: DataFrame, weights: DataFrame, constraint: Constraint = VPROB) -> DataFrame:
@@ -63,7 +92,6 @@ def split_measure_stats(primary: DataFrame, groups: DataFrame, weights: DataFram
     groups (parts drawn per unit by hash).
 
     ``(candidate_id, loss, n, mean, sd, n_safety, mean_safety, sd_safety)``."""
-    from ..operators.constraints import group_measures
     from ..operators.prep import safety_part
 
     scored = scored_rows(primary, weights)
@@ -85,7 +113,12 @@ def split_measure_stats(primary: DataFrame, groups: DataFrame, weights: DataFram
 
 
 def corpus_safety_report(
-    docs: DataFrame, labels: DataFrame, group_cols, weights: DataFrame, constraint: Constraint = VPROB, labels_broadcast: bool | None = None
+    docs: DataFrame,
+    labels: DataFrame,
+    group_cols,
+    weights: DataFrame,
+    constraint: Constraint | Sequence[Constraint] = VPROB,
+    labels_broadcast: bool | None = None,
 ) -> DataFrame:
     """:func:`safety_report` when the labelled rows and the group members are
     one corpus (documents grouped by columns): one scan and one scoring of
@@ -93,27 +126,18 @@ def corpus_safety_report(
     """
     from .experiment import corpus_unit_values
 
-    units, cands = corpus_unit_values(docs, labels, group_cols, weights, labels_broadcast)
-    vals = units.select("kind", F.posexplode_outer("xs").alias("cand_idx", "x"))
-    is_p, is_g = F.col("kind") == "p", F.col("kind") == "g"
+    constraints = as_list(constraint)
+    names = list(dict.fromkeys(c.measure for c in constraints))
+    units, cands = corpus_unit_values(docs, labels, group_cols, weights, labels_broadcast, measures=tuple(names))
+    k = len(cands)
+    vals = units.select("kind", F.posexplode_outer("xs").alias("at", "x")).withColumn("cand_idx", F.col("at") % k)
+    is_p, x = F.col("kind") == "p", F.col("x")
+    mine = [(F.col("kind") == "g") & (F.floor(F.col("at") / k) == i) for i in range(len(names))]
     agg = vals.groupBy("cand_idx").agg(
         F.count(F.when(is_p, F.lit(1))).alias("n_rows"),
-        F.avg(F.when(is_p, F.col("x"))).alias("loss"),
-        F.count(F.when(is_g, F.col("x"))).alias("n_groups"),
-        F.sum(F.when(is_g & F.col("x").isNull(), 1).otherwise(0)).cast("bigint").alias("n_dropped"),
-        F.avg(F.when(is_g, F.col("x"))).alias("mean_vprob"),
-        F.stddev_samp(F.when(is_g, F.col("x"))).alias("sd_vprob"),
+        F.avg(F.when(is_p, x)).alias("loss"),
+        *measure_summary([(m, F.when(own, x)) for m, own in zip(names, mine, strict=True)]),
+        *[F.sum(F.when(own & x.isNull(), 1).otherwise(0)).alias(f"d_{i}") for i, own in enumerate(mine)],
     )
-    bound = t_upper_bound(F.col("n_groups"), F.col("mean_vprob"), F.col("sd_vprob"), constraint)
     ids = F.array(*[F.lit(c) for c in cands])
-    return agg.select(
-        F.element_at(ids, F.col("cand_idx") + 1).alias("candidate_id"),
-        "n_rows",
-        round6("loss").alias("loss"),
-        "n_groups",
-        "n_dropped",
-        round6("mean_vprob").alias("mean_vprob"),
-        round6("sd_vprob").alias("sd_vprob"),
-        round6(bound).alias("upper_bound"),
-        passes(bound, F.col("n_groups")).alias("passed"),
-    )
+    return agg.select(F.element_at(ids, F.col("cand_idx") + 1).alias("candidate_id"), "n_rows", round6("loss").alias("loss"), *verdict_columns(constraints))

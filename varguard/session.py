@@ -44,12 +44,16 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
     """Return the session's shared checkpoint folder.
 
     On a cluster ``spark.checkpoint.dir`` names a shared folder and is used as
-    is. Only when it is unset (local tests) a fresh scratch folder is made.
+    is. Only when it is unset and the master is local (tests) a fresh scratch
+    folder is made; on a cluster no machine's own folder would do, so it raises.
     """
     current = spark.conf.get("spark.checkpoint.dir", None)
     if not current:
         current = spark.sparkContext.getCheckpointDir()
     if not current:
+        master = spark.sparkContext.master
+        if not (master == "local" or master.startswith("local[")):
+            raise ValueError(f"spark.checkpoint.dir must name a shared folder (master {master})")
         current = tempfile.mkdtemp(prefix="varguard-ckpt-")
         spark.conf.set("spark.checkpoint.dir", current)
     spark.sparkContext.setCheckpointDir(current)
@@ -62,37 +66,6 @@ def scratch_path(spark: SparkSession, name: str) -> str:
     return f"{base}/{name}-{uuid.uuid4().hex[:12]}"
 
 
-def plan_size_bytes(df: DataFrame) -> int | None:
-    """Catalyst's size estimate of a plan (file bytes after pruning), or None
-    when the session does not expose it."""
-    try:
-        return int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
-    except Exception:  # noqa: BLE001
-        return None
-
-
-# Inputs whose plan estimate lies in this range are spread over the cores
-# right after the scan (see load_table).
-SPREAD_MIN_BYTES = 8 * 1024 * 1024
-SPREAD_MAX_BYTES = 1024 * 1024 * 1024
-
-
-def load_table(spark: SparkSession, sf_dir: str, name: str, spread: bool = True) -> DataFrame:
-    """Read one parquet table.
-
-    A mid-sized table stored as few row groups is scanned by as many tasks as
-    it has row groups (one, for the test tables), leaving the other cores idle
-    during scoring. When ``spread`` and the table's size estimate lies between
-    ``SPREAD_MIN_BYTES`` and ``SPREAD_MAX_BYTES``, rows are dealt round-robin
-    over the default parallelism first, at most one partition per MB (a
-    deterministic shuffle of at most 1 GB). Larger inputs are already split by the scan and are never
-    reshuffled; smaller ones are not worth a shuffle."""
-    df = spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
-    if not spread:
-        return df
-    size = plan_size_bytes(df)
-    if size is not None and SPREAD_MIN_BYTES <= size <= SPREAD_MAX_BYTES:
-        # at most one partition per MB of input, at most the default parallelism
-        parts = max(1, min(spark.sparkContext.defaultParallelism, size // (1024 * 1024)))
-        return df.repartition(parts)
-    return df
+def load_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    """Read one parquet table; the scan decides how it is split."""
+    return spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")

@@ -33,11 +33,17 @@ def primary_table(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def group_id_of(*cols) -> F.Column:
-    """Stable 60-bit id of a group key (md5 of the key values), the same in
+    """Stable 60-bit id of a group key (md5 of the marked key values), the same in
     any SQL engine with md5. Two keys collide with probability about
     n^2 / 2^61 for n distinct keys (4e-5 at ten million groups); group tables
     that arrive with their own ids keep them."""
-    return hash60(F.lit("group"), *[F.col(c) for c in cols])
+    return hash60(F.lit("group"), *[marked(F.col(c).cast("string")) for c in cols])
+
+
+def marked(value: F.Column) -> F.Column:
+    """A key part that no other parts can imitate: its length and itself, or
+    ``-`` for NULL, so ('a:b', 'c'), ('a', 'b:c'), (NULL, 'c') and ('c', NULL) differ."""
+    return F.coalesce(F.concat(F.length(value).cast("string"), F.lit("="), value), F.lit("-"))
 
 
 def document_groups(spark: SparkSession, sf_dir: str, by=("lang", "source")) -> DataFrame:
@@ -60,8 +66,8 @@ LABELS_BROADCAST_MAX_ROWS = 8_000_000
 
 def labels_fit_broadcast(labels: DataFrame) -> bool:
     """Whether ``(doc_id, label)`` rows may be broadcast: a row count against
-    ``LABELS_BROADCAST_MAX_ROWS`` (a parquet count reads footers only)."""
-    return labels.limit(LABELS_BROADCAST_MAX_ROWS + 1).count() <= LABELS_BROADCAST_MAX_ROWS
+    ``LABELS_BROADCAST_MAX_ROWS``, summed from one number per task."""
+    return labels.count() <= LABELS_BROADCAST_MAX_ROWS
 
 
 def labelled_logits(spark: SparkSession, sf_dir: str, weights: DataFrame, exploded: bool = True) -> DataFrame:
