@@ -320,10 +320,10 @@ def fit_constrained(
 
         k = 2.0 * t_ppf(1.0 - constraint.delta, n_safety - 1) / float(n_safety) ** 0.5
     for epoch in range(cfg.n_epochs):
-        for b in range(n_pb):
+        for b in range(max(n_pb, n_gb)):  # every batch of either side, the shorter list again
             step += 1
             logit = _logit_from_hits(F.col("hits"), theta[None], {t: theta[t] for t in vocab})
-            pb = p_feat.filter((F.col("epoch") == epoch) & (F.col("batch_id") == b)).select(
+            pb = p_feat.filter((F.col("epoch") == epoch) & (F.col("batch_id") == b % n_pb)).select(
                 F.lit(0).alias("candidate_id"), "label", logit.alias("logit"), "hits"
             )
             gb = g_feat.filter((F.col("epoch") == epoch) & (F.col("batch_id") == b % n_gb)).select(
