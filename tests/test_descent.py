@@ -18,7 +18,7 @@ def test_descent_log_and_progress(spark):
     loose = Constraint("VPROB <= 0.5", "VPROB", "<=", 0.5, 0.05)
     theta, bias, log = fit_constrained(primary, groups, {"idiot": 0.0, "trash": 0.0, "stupid": 0.0}, 0.0, cfg, loose,
                                        primary_batch=5, group_batch=2)
-    assert len(log) == 3 * 2  # 3 epochs x ceil(10 / 5) batches
+    assert len(log) == 3 * 3  # 3 epochs x the longer list: 2 batches of rows, 3 of groups
     assert all(r[5] >= 0.0 for r in log)  # lambda never negative
     assert theta["idiot"] > 0.0 and theta["trash"] > 0.0  # labelled toxic terms gain weight
     first, last = log[0][3], log[-1][3]
