@@ -25,7 +25,7 @@ from pyspark.sql import functions as F
 MARK = "▁"
 #: Words remembered by each Python worker, twice over: when so many are new, those
 #: not used since the last time are forgotten.
-MEMO = 100_000
+MEMO = 150_000
 #: Bytes of identifiers after which a batch is sent on.
 FLUSH = 1 << 24
 
