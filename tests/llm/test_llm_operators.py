@@ -386,3 +386,19 @@ def test_allocation_rules():
             assert owner == {"first": held[0], "last": held[-1], "most": int(np.argmax(shares))}[rule]
     text, ends = field_ends("títle", None, "body")
     assert text == "títle\n\nbody" and ends.tolist() == [7, 8, 12]
+
+
+def test_license_and_repeat_twins_on_odd_tables(docs):
+    """The SQL twins agree on null, empty, very long and repeated rows, where both find something."""
+    import duckdb
+
+    from varguard.llm.queries import LICENSE_SQL, REPEAT_SQL
+
+    con = duckdb.connect()
+    table = docs.select("doc_id", "text").where("text IS NULL OR NOT contains(text, '\\0')")
+    documents = table.toPandas()  # noqa: F841 (read by the SQL)
+    con.register("documents", documents)
+    for df, sql, some in ((scan_licenses(table), LICENSE_SQL, "n_base"), (remove_repeats(table), REPEAT_SQL, "n_removed")):
+        got = sorted((tuple(r) for r in df.collect()), key=str)
+        want = sorted(con.sql(f"SELECT {', '.join(df.columns)} FROM ({sql})").fetchall(), key=str)
+        assert got == want and any(r[df.columns.index(some)] for r in got)

@@ -78,7 +78,49 @@ def op5_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup(read(spark, sf_dir, "documents"))
 
 
-@query("op6_license_scan")
+def _strings(words: list[str]) -> str:
+    return "[" + ", ".join(f"'{w}'" for w in words) + "]"
+
+
+LICENSE_SQL = r"""
+WITH templates(id, base, label, words, phrase, phrase_at) AS (VALUES %s),
+d AS (
+  SELECT row_number() OVER () AS r, doc_id,
+         regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+                            '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS ws FROM documents),
+entries AS (SELECT DISTINCT id, words, unnest(words) AS word FROM templates),
+places AS (
+  SELECT r, word, p FROM (SELECT r, unnest(ws) AS word, generate_subscripts(ws, 1) AS p FROM d)
+  WHERE word IN (SELECT word FROM entries)),
+df AS (SELECT word, count(DISTINCT r) AS n FROM places GROUP BY word),
+rare AS (
+  SELECT id, word, list_position(words, word) AS nth FROM entries LEFT JOIN df USING (word)
+  QUALIFY row_number() OVER (PARTITION BY id ORDER BY coalesce(n, 0), word) <= 3),
+starts AS (SELECT r, id, p - nth AS s, count(*) AS agree FROM places JOIN rare USING (word) GROUP BY ALL),
+found AS (
+  SELECT r, base, label, s,
+         CASE WHEN s < 0 THEN 0 ELSE
+           list_sum(list_transform(range(1, len(words) + 1), lambda i: CASE WHEN ws[s + i] = words[i] THEN 1 ELSE 0 END)) / len(words)
+         END AS part
+  FROM starts JOIN templates USING (id) JOIN d USING (r)
+  WHERE (agree >= 2 OR words = phrase) AND s + phrase_at >= 0
+    AND ws[s + phrase_at + 1 : s + phrase_at + len(phrase)] = phrase),
+facts AS (
+  SELECT r, count(*) FILTER (base) AS n_base, min(s) FILTER (base) AS first_word, max(s) FILTER (base) AS last_word,
+         string_agg(DISTINCT label, ',' ORDER BY label) FILTER (base) AS base_labels,
+         string_agg(DISTINCT label, ',' ORDER BY label) AS labels, coalesce(max(part) FILTER (NOT base), 0) AS best
+  FROM found GROUP BY r)
+SELECT doc_id, CAST(len(ws) AS BIGINT) AS n_words, coalesce(n_base, 0) AS n_base, CAST(first_word AS BIGINT) AS first_word,
+       CAST(last_word AS BIGINT) AS last_word, coalesce(base_labels, '') AS base_labels, coalesce(labels, '') AS labels,
+       CAST(round(CASE WHEN n_base > 0 THEN greatest(best, 0.5) ELSE coalesce(best, 0) END, 6) AS DOUBLE) AS score
+FROM d LEFT JOIN facts USING (r)
+""" % ", ".join(
+    f"({i}, {i < len(BASE_PHRASES)}, '{t.label}', {_strings(t.words)}, {_strings(t.phrase)}, {t.phrase_at})"
+    for i, t in enumerate([*BASE_PHRASES, *TEMPLATES])
+)
+
+
+@query("op6_license_scan", LICENSE_SQL)
 def op6_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scan_licenses(read(spark, sf_dir, "documents"), BASE_PHRASES, TEMPLATES)
 
@@ -114,6 +156,23 @@ def op8_piece_tokenizer(spark: SparkSession, sf_dir: str) -> DataFrame:
     return encode_texts(read(spark, sf_dir, "documents"), load_vocabulary())
 
 
-@query("op9_repeat_spans")
+REPEAT_SQL = r"""
+WITH d AS (
+  SELECT row_number() OVER () AS r, doc_id,
+         list_filter(regexp_split_to_array(coalesce(text, ''), '[\x20\x09-\x0D]+'), lambda x: x <> '') AS ws FROM documents),
+windows AS (
+  SELECT r, doc_id, unnest(range(1, len(ws) - 11)) AS j,
+         unnest(list_transform(range(1, len(ws) - 11), lambda i: array_to_string(ws[i : i + 12], ' '))) AS w FROM d),
+least AS (SELECT w, min(doc_id) AS first_doc FROM windows GROUP BY w),
+gone AS (
+  SELECT r, list(DISTINCT p) AS g
+  FROM (SELECT r, unnest(range(j, j + 13)) AS p FROM windows JOIN least USING (w) WHERE first_doc < doc_id) GROUP BY r)
+SELECT doc_id, CAST(len(ws) AS BIGINT) AS n_words, CAST(coalesce(len(g), 0) AS BIGINT) AS n_removed,
+       sha256(array_to_string(list_filter(ws, lambda x, i: NOT coalesce(list_contains(g, i), false)), ' ')) AS kept_sha256
+FROM d LEFT JOIN gone USING (r)
+"""
+
+
+@query("op9_repeat_spans", REPEAT_SQL)
 def op9_repeat_spans(spark: SparkSession, sf_dir: str) -> DataFrame:
     return remove_repeats(read(spark, sf_dir, "documents"), k=13)
