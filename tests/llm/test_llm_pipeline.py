@@ -5,6 +5,7 @@ from __future__ import annotations
 import importlib.util
 
 import pytest
+from pyspark.sql import functions as F
 
 from varguard.llm.queries import ORACLES, QUERIES
 
@@ -52,3 +53,18 @@ def test_pipeline(spark):
     out = p.STAGES[-1][1](spark, docs, SF)
     assert out.count() == docs.count() and out.where("round_trip = false").count() == 0
     assert p.run(spark, SF).count() > 0
+
+
+@pytest.mark.skipif(importlib.util.find_spec("corpus_pipeline") is None, reason="the pipeline was removed")
+def test_stages_on_empty_and_null_tables(spark):
+    """Empty tables stay empty; rows of nulls only are never dropped as copies or rejected by an untrained model."""
+    import corpus_pipeline as p
+
+    table = spark.read.parquet(f"{SF}/documents.parquet").withColumn("score", F.lit(None).cast("string")).withColumn("fingerprint", F.lit(None).cast("int"))
+    nulls = spark.createDataFrame([(None,) * len(table.columns)] * 3, table.schema)
+    for name, stage in p.STAGES:
+        out = stage(spark, table.limit(0), SF)
+        assert out.count() == 0, name
+        assert stage(spark, nulls, SF).count() == 3, name
+        if name != p.STAGES[-1][0]:
+            assert out.columns == table.columns

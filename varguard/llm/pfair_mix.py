@@ -24,6 +24,8 @@ from pyspark.sql import functions as F
 BLOCK_CHARS, PERIOD = 4096, 1000
 #: Rows that one sub-stream of a source holds on average; it is ordered in one task.
 ROWS_PER_STREAM = 5000
+#: Rows of the schedule (sources x phases x slots) that are broadcast, about 50 MB; more are joined by shuffle.
+BROADCAST_ROWS = 1 << 20
 
 
 def source_key(col: str = "source"):
@@ -153,11 +155,11 @@ def mix_sources(
         keyed.withColumn("_mix_p", F.coalesce(F.sum("_mix_n").over(prior), F.lit(0)))
         .join(offsets, ["_mix_s", "_mix_b"])
         .withColumn("_mix_k", F.floor((F.col("_mix_p") + F.col("_mix_o")) / F.lit(block_chars)).cast("long"))
-        .join(F.broadcast(span_rows), "_mix_s")
+        .join(sized(span_rows, len(spans)), "_mix_s")
         .where("_mix_k >= _mix_first AND _mix_k < _mix_last")
         .withColumn("_mix_j", F.col("_mix_k") - F.col("_mix_first"))
         .withColumn("_mix_i", F.col("_mix_j") % F.col("_mix_slots"))
-        .join(F.broadcast(place_rows), ["_mix_s", "_mix_f", "_mix_i"])
+        .join(sized(place_rows, len(places)), ["_mix_s", "_mix_f", "_mix_i"])
     )
     j, m, p, base = (F.col(c) for c in ("_mix_j", "_mix_slots", "_mix_period", "_mix_base"))
     return placed.select(
@@ -170,6 +172,10 @@ def mix_sources(
     )
 
 
+def sized(table: DataFrame, rows: int) -> DataFrame:
+    return F.broadcast(table) if rows <= BROADCAST_ROWS else table
+
+
 def in_mixed_order(mixed: DataFrame, columns: list[str], slot_col: str = "slot", id_col: str = "doc_id") -> DataFrame:
     """The documents in the order of their slots: files and rows of the table
     written next stand in that order."""
