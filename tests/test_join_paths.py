@@ -29,3 +29,25 @@ def test_corpus_report_both_orders(spark):
     a = corpus_safety_report(docs, labels, ("lang", "source"), w, labels_broadcast=True)
     b = corpus_safety_report(docs, labels, ("lang", "source"), w, labels_broadcast=False)
     assert _rows(a) == _rows(b)
+
+
+def test_gradients_beyond_the_inline_bound(spark, monkeypatch):
+    """Joined and inlined models have the same gradients, on repeated, null and
+    unknown texts, with a candidate that has no bias of its own."""
+    from varguard.operators import score
+    from varguard.operators.train import loss_gradient, variance_gradient
+
+    rows = [(1, 0, "he is bad"), (1, 0, "he is bad"), (1, 1, None), (2, 1, "bad bad he"), (2, 0, ""), (2, 1, "nothing known")]
+    df = spark.createDataFrame(rows, "group_id long, label int, text string")
+    params = [(0, None, -1.0), (0, "he", 0.5), (0, "bad", 1.0), (1, "bad", -2.0), (1, "he", 0.25)]
+    w = spark.createDataFrame(params, "candidate_id int, term string, weight double")
+    both = []
+    for bound in (score.INLINE_MAX, 0):
+        monkeypatch.setattr(score, "INLINE_MAX", bound)
+        got = {}
+        for name, g in (("loss", loss_gradient(df, w)), ("variance", variance_gradient(df, w))):
+            got.update({(name, r.candidate_id, r.term): round(r.grad, 9) for r in g.collect()})
+        logits = score.score_terms(df, w)
+        got["logits"] = sorted((r.group_id, r.label, r.candidate_id, round(r.logit, 9)) for r in logits.collect())
+        both.append(got)
+    assert both[0] == both[1] and len(both[0]) == 13 and len(both[0]["logits"]) == 12

@@ -25,10 +25,6 @@ def flatten_groups(df: DataFrame, group_col: str = "group_id", array_col: str =
     ).select(group_col, "pos", "n_members", "text")
 
 
-# Largest group that may be gathered into one array (one task builds it).
-MAX_NESTED_MEMBERS = 100_000
-
-
 def check_group_bound(df: DataFrame, group_col: str, max_members: int) -> None:
     """Fail fast when a group is too large to gather into one array (a map-side
     combined count per group; only the largest size reaches the driver)."""
@@ -46,13 +42,13 @@ def renest(
     group_col: str = "group_id",
     pos_col: str = "pos",
     out_col: str | None = None,
-    max_members: int | None = MAX_NESTED_MEMBERS,
+    max_members: int | None = None,
 ) -> DataFrame:
     """Back to one array per group, members in ``pos`` order.
 
-    Meant for bounded groups (sentence sets, conversations): the array of a
-    group is built in one task, so group sizes are checked first against
-    ``max_members`` (``None`` skips the check). Large groups stay in long form."""
+    An array is one value of one row, so its group is built in one task: meant
+    for bounded groups (sentence sets, conversations); large ones stay in long
+    form. No group is refused unless ``max_members`` asks for a check first."""
     if max_members is not None:
         check_group_bound(df, group_col, max_members)
     out_col = out_col or f"{value_col}s"
@@ -62,7 +58,7 @@ def renest(
 
 
 def nest_texts(
-    df: DataFrame, group_col: str = "group_id", pos_col: str = "pos", text_col: str = "text", max_members: int | None = MAX_NESTED_MEMBERS
+    df: DataFrame, group_col: str = "group_id", pos_col: str = "pos", text_col: str = "text", max_members: int | None = None
 ) -> DataFrame:
     """Long form -> ``(group_id, n_members, text_groups)`` (bounded groups only)."""
     nested = renest(df, text_col, group_col, pos_col, "text_groups", max_members)

@@ -15,10 +15,10 @@ never empty here, and the plain forms make Catalyst infer a ``size(...) > 0``
 filter that re-evaluates the whole scoring expression (pushed even into join
 conditions).
 
-* join (larger vocabularies): tokens are exploded and hash-joined with the
-  weights (broadcast when the weight table is within ``BROADCAST_MAX_ROWS``,
-  shuffled otherwise), summed per (row, candidate) with a map-side combine, and
-  joined back to the rows so rows without any known term keep the bias.
+* join (larger models): each row's tokens are counted per term and hash-joined
+  with the parameters (broadcast when their table is within
+  ``BROADCAST_MAX_ROWS``, shuffled otherwise), then summed per (row, candidate);
+  the bias is one more entry of the row, so rows without any known term keep it.
 
 ``score_with`` runs any Python callable ``list[str] -> list[float]`` over
 Arrow batches (``mapInPandas``); the model is built once per task.
@@ -38,7 +38,6 @@ from ..functions.scalar import tokens
 
 INLINE_MAX = 256
 BROADCAST_MAX_ROWS = 2_000_000
-MAX_CANDIDATES = 10_000
 
 WEIGHT_SCHEMA = T.StructType(
     [
@@ -67,11 +66,9 @@ def lexicon_model(
 
 
 def candidate_ids(weights: DataFrame) -> list:
-    """Sorted candidate ids of a parameter table (at most MAX_CANDIDATES)."""
-    ids = [r.candidate_id for r in weights.select("candidate_id").distinct().limit(MAX_CANDIDATES + 1).collect()]
-    if len(ids) > MAX_CANDIDATES:
-        raise ValueError(f"more than {MAX_CANDIDATES} candidates")
-    return sorted(ids)
+    """Sorted candidate ids of a parameter table: one value per model, which
+    every scored row holds a logit for."""
+    return sorted(r.candidate_id for r in weights.select("candidate_id").distinct().collect())
 
 
 def _small_params(weights: DataFrame, limit: int):
@@ -126,9 +123,9 @@ def score_terms(
     """One row per (input row, candidate): input columns except the text,
     plus ``candidate_id`` and ``out_col``.
 
-    ``key_cols`` must identify a row (needed by the join strategy only).
-    ``keep_hits`` (inline only) also returns ``hits``: the row's known tokens,
-    one entry per occurrence, for gradients that must not re-read the text.
+    ``keep_hits`` also returns ``hits``: the row's known tokens, one entry per
+    occurrence, for gradients that must not re-read the text. ``key_cols`` is
+    accepted for either strategy; neither needs it.
     """
     small = None
     if strategy in ("auto", "inline"):
@@ -150,28 +147,60 @@ def score_terms(
         )
     if strategy != "join":
         raise ValueError(f"unknown strategy {strategy!r}")
-    if keep_hits:
-        raise ValueError("keep_hits needs the inline strategy")
-    if not key_cols:
-        raise ValueError("the join strategy needs key_cols that identify a row")
-    key_cols = list(key_cols)
-    cand_ids = candidate_ids(weights)
-    term_w = weights.filter(F.col("term").isNotNull()).groupBy("term", "candidate_id").agg(F.sum("weight").alias("w"))
+    return _score_by_join(df, weights, text_col, keep, out_col, keep_hits)
+
+
+def _score_by_join(df: DataFrame, weights: DataFrame, text_col: str, keep: list, out_col: str, keep_hits: bool) -> DataFrame:
+    """Logits through a join on the term, from one scan of ``df``.
+
+    A row's tokens are counted per term before the join (the row's entries lie
+    in one task, so the partial aggregate collapses them before the shuffle);
+    the bias is one more entry, of term NULL, so rows without a known term
+    keep it and nothing is joined back. The parameters meet the entries as one
+    array of weights per term; a very frequent word is a skewed join key that
+    AQE splits when the parameters are too many to broadcast."""
+    cands = candidate_ids(weights)
+    ids = F.array(*[F.lit(c) for c in cands])
+    own = F.map_from_entries(F.collect_list(F.struct("candidate_id", "w")))
+    per_term = (
+        weights.groupBy("term", "candidate_id")
+        .agg(F.sum("weight").alias("w"))
+        .unionByName(_no_bias(weights.sparkSession, cands, weights))
+        .groupBy("term", "candidate_id")
+        .agg(F.sum("w").alias("w"))
+        .groupBy("term")
+        .agg(own.alias("_own"))
+        .select("term", F.transform(ids, lambda c: F.coalesce(F.col("_own")[c], F.lit(0.0))).alias("_ws"))
+    )
     if weights.count() <= BROADCAST_MAX_ROWS:
-        term_w = F.broadcast(term_w)
-    bias_w = F.broadcast(
-        weights.filter(F.col("term").isNull()).groupBy("candidate_id").agg(F.sum("weight").alias("b"))
+        per_term = F.broadcast(per_term)
+    numbered = df.select(  # before the tokens are exploded: a row's entries share its number
+        F.monotonically_increasing_id().alias("_row"),
+        F.struct(*[F.col(f"`{c}`") for c in keep] or [F.lit(0)]).alias("_kept"),
+        F.concat(F.array(F.lit(None).cast("string")), tokens(F.col(text_col))).alias("_ts"),
+    )
+    entries = numbered.select("_row", "_kept", F.explode("_ts").alias("_t"))
+    counted = entries.groupBy("_row", "_t").agg(F.first("_kept").alias("_kept"), F.count(F.lit(1)).alias("_n"))
+    met = counted.join(per_term, counted["_t"].eqNullSafe(per_term["term"]))
+    known = F.when(F.col("_t").isNotNull(), F.array_repeat(F.col("_t"), F.col("_n").cast("int")))
+    extra = [F.flatten(F.collect_list("_known")).alias("hits")] if keep_hits else []
+    rows = (
+        met.select("_row", "_kept", "_n", *([known.alias("_known")] if keep_hits else []), F.posexplode("_ws").alias("_ci", "_w"))
+        .groupBy("_row", "_ci")
+        .agg(F.first("_kept").alias("_kept"), F.sum(F.col("_n") * F.col("_w")).alias(out_col), *extra)
     )
-    toks = df.select(*key_cols, F.explode_outer(tokens(F.col(text_col))).alias("term"))
-    sums = toks.join(term_w, "term").groupBy(*key_cols, "candidate_id").agg(F.sum("w").alias("_s"))
-    base = df.select(*keep, F.explode(F.array(*[F.lit(c) for c in sorted(cand_ids)])).alias("candidate_id"))
-    return (
-        base.join(bias_w, "candidate_id", "left")
-        .join(sums, key_cols + ["candidate_id"], "left")
-        .select(*keep, "candidate_id", (F.coalesce("b", F.lit(0.0)) + F.coalesce("_s", F.lit(0.0))).alias(out_col))
+    return rows.select(
+        *[F.col(f"_kept.`{c}`") for c in keep], F.element_at(ids, F.col("_ci") + 1).alias("candidate_id"), out_col, *(["hits"] if keep_hits else [])
     )
 
 
+def _no_bias(spark: SparkSession, cands: list, weights: DataFrame) -> DataFrame:
+    """A bias of zero for every candidate: added to its own, if it has one."""
+    types = {f.name: f.dataType for f in weights.schema.fields}
+    schema = T.StructType([T.StructField("term", T.StringType()), T.StructField("candidate_id", types["candidate_id"]), T.StructField("w", T.DoubleType())])
+    return spark.createDataFrame([(None, c, 0.0) for c in cands], schema)
+
+
 def class_logits(df: DataFrame, key_cols, logit_col: str = "logit", out_col: str = "class_logits") -> DataFrame:
     """Per-class logit arrays from a per-(row, candidate) score: element i+1 is
     the logit of candidate (class) i. Rows are grouped by key; each group holds

@@ -17,7 +17,7 @@ from ..operators.resample import (
     trial_grid,
 )
 from ..operators.score import lexicon_model
-from ..sources.results import decode_gvec, encode_gvec
+from ..sources.results import decode_gvec, encode_gvec, read_trials, write_pooled, write_trials
 from ..session import load_table, scratch_path
 from ..sources.standins import document_groups, labels_table, primary_table
 from . import oracle as O
@@ -226,15 +226,20 @@ def _pooled_frac(col):
 @register(
     "ex7_reconcile",
     lambda: _wrap(
-        """SELECT round(data_frac, 10) AS frac_key, trial_i, true AS in_pooled, true AS in_trials, true AS match FROM r"""
+        """SELECT round(data_frac, 10) AS frac_key, trial_i, trial_i <> 0 AS in_pooled, trial_i <> 2 AS in_trials,
+        trial_i NOT IN (0, 2) AND (trial_i <> 1 OR performance IS NULL) AS match FROM r"""
     ),
 )
 def ex7_reconcile(spark, sf_dir):
-    """Pooled rows (fraction cut to 16 decimals) vs per-trial rows, keyed on
-    round(data_frac, 10): every row must find its twin."""
+    """A pooled file (fraction cut to 16 decimals) vs per-trial files, keyed on
+    round(data_frac, 10). Three differences are planted: trial 0 isn't in the
+    pooled file, trial 1 has another performance there, trial 2 has no trial file."""
     res = _experiment(spark, sf_dir).checkpoint()  # both copies read one materialised result
-    pooled = res.withColumn("data_frac", _pooled_frac("data_frac"))
-    return reconcile(pooled, res)
+    pooled, cells = scratch_path(spark, "pooled"), scratch_path(spark, "cells")
+    other = F.when(F.col("trial_i") == 1, F.col("performance") + 1).otherwise(F.col("performance"))
+    write_pooled(res.filter("trial_i <> 0").withColumn("performance", other).withColumn("data_frac", _pooled_frac("data_frac")), pooled)
+    write_trials(res.filter("trial_i <> 2"), cells)
+    return reconcile(read_trials(spark, pooled, "pooled"), read_trials(spark, cells))
 
 
 @register(

@@ -21,8 +21,7 @@ from ..operators.score import (
     class_logits,
     lexicon_model,
     lexicon_scorer,
-    batch_token_counts,
-    padding_report,
+    pad_batches,
     score_terms,
     score_with,
 )
@@ -122,7 +121,15 @@ def sc7_pad_batches(spark, sf_dir):
     """Truncate to 512 tokens, batch 12 rows in seeded order, pad to the batch
     maximum; report padding per batch."""
     docs = load_table(spark, sf_dir, "documents").select("doc_id", "text")
-    rep = padding_report(batch_token_counts(docs, "doc_id", max_len=MAX_TOKENS, size=12))
+    padded = pad_batches(docs, "doc_id", max_len=MAX_TOKENS, size=12)
+    tail = F.slice("tokens", F.col("n_tokens") + 1, F.size("tokens"))
+    is_pad = F.size(F.filter(tail, lambda t: t == F.lit("<pad>")))
+    rep = padded.groupBy("batch_id").agg(
+        F.count(F.lit(1)).alias("n_rows"),
+        F.max(F.size("tokens")).alias("max_tokens"),
+        F.sum(F.size("tokens") - is_pad).alias("real_tokens"),
+        F.sum(is_pad).alias("pad_tokens"),
+    )
     return rep.select(
         "batch_id",
         "n_rows",
@@ -430,9 +437,9 @@ def trn1_select_candidate(spark, sf_dir):
 LEX_SQL = ", ".join(O.q(t) for t in LEXICON)
 
 
-def _trn2_sql():
+def _trn2_sql(scored=P_SCORED):
     r = f"(-CAST(label AS DOUBLE) / (p + {O.C}) + (1.0 - label) / (1.0 - p + {O.C})) * p * (1.0 - p)"
-    return f"""WITH s AS (SELECT *, {P} AS p FROM {P_SCORED}),
+    return f"""WITH s AS (SELECT *, {P} AS p FROM {scored}),
     r AS (SELECT doc_id, candidate_id, {r} AS r FROM s),
     h AS (SELECT doc_id, term FROM (SELECT doc_id, unnest({O.tokens_sql('text')}) AS term FROM ({O.PRIMARY}))
           WHERE term IN ({LEX_SQL})),
@@ -450,8 +457,8 @@ def trn2_loss_gradient(spark, sf_dir):
     return g.select("candidate_id", "term", round6("grad").alias("grad"))
 
 
-def _trn3_sql():
-    return f"""WITH s AS (SELECT *, {P} AS p FROM {_g_scored()}),
+def _trn3_sql(w=W):
+    return f"""WITH s AS (SELECT *, {P} AS p FROM {_g_scored(w=w)}),
     g AS (SELECT candidate_id, group_id, count(*) AS n, avg(p) AS pbar FROM s GROUP BY 1, 2 HAVING count(*) >= 2),
     c AS (SELECT s.candidate_id, s.group_id, s.pos, 2.0 / (g.n - 1) * (s.p - g.pbar) * s.p * (1.0 - s.p) AS k
           FROM s JOIN g ON s.candidate_id = g.candidate_id AND s.group_id = g.group_id),
@@ -469,3 +476,30 @@ def trn3_variance_gradient(spark, sf_dir):
     """Gradient of the mean within-group variance of p w.r.t. every weight."""
     g = variance_gradient(document_groups(spark, sf_dir), lexicon_model(spark))
     return g.select("candidate_id", "term", round6("grad").alias("grad"))
+
+
+# Models beyond the inline scorer's bound: 30 candidates of eleven parameters.
+MANY_WEIGHTS = tuple(round(0.1 * (i + 1), 1) for i in range(30))
+MANY = O.weights_values(MANY_WEIGHTS)
+MANY_SCORED = O.scored(O.PRIMARY, ["doc_id"], ["label"], MANY)
+
+
+@register("sc3_join_scorer", f"SELECT doc_id, candidate_id, round(logit, 6) AS logit FROM {MANY_SCORED}")
+def sc3_join_scorer(spark, sf_dir):
+    """Models too large to inline, scored by joining counted tokens with the parameters."""
+    s = score_terms(primary_table(spark, sf_dir), lexicon_model(spark, MANY_WEIGHTS))
+    return s.select("doc_id", "candidate_id", round6("logit").alias("logit"))
+
+
+@register("trn2_large_model", lambda: _trn2_sql(MANY_SCORED))
+def trn2_large_model(spark, sf_dir):
+    """Loss gradient of models too large to inline."""
+    g = loss_gradient_from_hits(labelled_hits(spark, sf_dir, lexicon_model(spark, MANY_WEIGHTS)))
+    return g.select("candidate_id", "term", round6("grad").alias("grad"))
+
+
+@register("trn3_large_model", lambda: _trn3_sql(MANY))
+def trn3_large_model(spark, sf_dir):
+    """Variance gradient of models too large to inline."""
+    g = variance_gradient(document_groups(spark, sf_dir), lexicon_model(spark, MANY_WEIGHTS))
+    return g.select("candidate_id", "term", round6("grad").alias("grad"))

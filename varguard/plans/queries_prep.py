@@ -27,9 +27,17 @@ from ..operators.prep import (
     take_split,
 )
 from ..operators.score import lexicon_model, score_terms
-from ..session import load_table
+from ..session import load_table, scratch_path
 from ..sources.standins import conversation_groups, document_groups, primary_table
-from ..sources.text import apply_metadata, labelled_from_primary
+from ..sources.text import (
+    apply_metadata,
+    labelled_from_primary,
+    read_labelled_text,
+    read_metadata,
+    read_text_groups,
+    write_labelled_text,
+    write_metadata,
+)
 from . import oracle as O
 from .catalog import register
 
@@ -42,8 +50,10 @@ FROM ({O.PRIMARY})"""
 
 @register("src1_labelled_text", LABELLED_SQL)
 def src1_labelled_text(spark, sf_dir):
-    """Labelled text in its declared shape (acl.id, text, label, split)."""
-    return labelled_from_primary(primary_table(spark, sf_dir))
+    """Labelled text written as CSV and read in its declared shape (acl.id, text, label, split)."""
+    path = scratch_path(spark, "labelled")
+    write_labelled_text(labelled_from_primary(primary_table(spark, sf_dir)), path)
+    return read_labelled_text(spark, path)
 
 
 @register("src2_declared_columns", LABELLED_SQL)
@@ -62,7 +72,9 @@ def src2_declared_columns(spark, sf_dir):
         F.col("toxic").cast("int").alias("label"),
         derive_split(F.col("doc_id")).alias("split"),
     )
-    return apply_metadata(wide)
+    path = scratch_path(spark, "metadata")
+    write_metadata(spark, path)
+    return apply_metadata(wide, read_metadata(spark, path))
 
 
 GROUP_ARRAYS_SQL = (
@@ -73,8 +85,12 @@ GROUP_ARRAYS_SQL = (
 
 @register("src3_text_groups", GROUP_ARRAYS_SQL)
 def src3_text_groups(spark, sf_dir):
-    """Text groups as one ragged array per group (conversations by turn)."""
-    return nest_texts(conversation_groups(spark, sf_dir))
+    """Text groups, one ragged array per group, read from JSON files
+    (conversations by turn, written first)."""
+    path = scratch_path(spark, "groups")
+    nest_texts(conversation_groups(spark, sf_dir)).select("group_id", "text_groups").write.json(path)
+    groups = read_text_groups(spark, path, "json")
+    return groups.select("group_id", F.size("text_groups").alias("n_members"), "text_groups")
 
 
 @register("pf1_take_split", f"SELECT * FROM ({LABELLED_SQL}) WHERE split = 'train'")

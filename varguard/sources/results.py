@@ -79,11 +79,14 @@ def read_trials(spark: SparkSession, path: str, layout: str = "partitioned", fmt
     directory names). ``named``: one-row files ``data_frac_<f>_trial_<i>.csv``
     whose key is parsed from the file name (``file_data_frac``,
     ``file_trial_i``); the 4-decimal name is only a label, join on
-    round(data_frac, 10) or on frac_id."""
+    round(data_frac, 10) or on frac_id. ``pooled``: files with the columns of
+    the trial files, any number of rows each."""
     if layout == "partitioned":
         reader = spark.read.schema(RESULT_SCHEMA)
         df = reader.option("header", True).csv(path) if fmt == "csv" else reader.parquet(path)
         return df.withColumn("gvec", decode_gvec(F.col("gvec")))
+    if layout == "pooled":
+        return spark.read.schema(TRIAL_FILE_SCHEMA).option("header", True).csv(path).withColumn("gvec", decode_gvec(F.col("gvec")))
     if layout == "named":
         df = spark.read.schema(TRIAL_FILE_SCHEMA).option("header", True).csv(path)
         name = F.col("_metadata.file_name")
@@ -95,6 +98,12 @@ def read_trials(spark: SparkSession, path: str, layout: str = "partitioned", fmt
     raise ValueError(f"unknown layout {layout!r}")
 
 
+def write_pooled(results: DataFrame, path: str) -> None:
+    """All cells as CSV files with the columns of the trial files."""
+    names = [f.name for f in TRIAL_FILE_SCHEMA.fields]
+    results.withColumn("gvec", encode_gvec(F.col("gvec"))).select(*names).write.option("header", True).csv(path)
+
+
 def pool_trials(cells: DataFrame | list[DataFrame]) -> DataFrame:
     """All cells in one table, ordered by (frac_id, trial_i)."""
     if isinstance(cells, list):

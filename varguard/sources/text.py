@@ -48,6 +48,19 @@ def read_labelled_text(spark: SparkSession, path: str, fmt: str = "csv") -> Data
     raise ValueError(f"unsupported format {fmt!r}")
 
 
+def write_labelled_text(df: DataFrame, path: str) -> None:
+    """The CSV files that :func:`read_labelled_text` reads back unchanged:
+    quotes doubled, outer blanks and newlines kept, NULL apart from the empty text."""
+    df.select(*[F.col(f"`{c}`") for c in PRIMARY_COLUMNS]).write.options(
+        header=True, quote='"', escape='"', ignoreLeadingWhiteSpace=False, ignoreTrailingWhiteSpace=False
+    ).csv(path)
+
+
+def write_metadata(spark: SparkSession, path: str, meta: dict = METADATA) -> None:
+    schema = "all_col_names array<string>, sensitive_col_names array<string>"
+    spark.createDataFrame([(list(meta["all_col_names"]), list(meta.get("sensitive_col_names") or []))], schema).coalesce(1).write.json(path)
+
+
 def read_metadata(spark: SparkSession, path: str) -> dict:
     """Column-name metadata document ``{all_col_names, sensitive_col_names}``."""
     row = spark.read.option("multiLine", True).json(path).first()
@@ -86,11 +99,14 @@ def labelled_from_primary(primary: DataFrame) -> DataFrame:
     )
 
 
-def read_text_groups(spark: SparkSession, path: str, fmt: str = "parquet") -> DataFrame:
-    """One row per group: ``(group_id BIGINT, text_groups ARRAY<STRING>)``."""
-    reader = spark.read.schema(GROUPS_SCHEMA)
-    if fmt == "parquet":
-        return reader.parquet(path)
-    if fmt == "json":
-        return reader.json(path)
-    raise ValueError(f"unsupported format {fmt!r}")
+def read_text_groups(spark: SparkSession, path: str, fmt: str = "parquet", positional: bool = False) -> DataFrame:
+    """One row per group: ``(group_id BIGINT, text_groups ARRAY<STRING>)``.
+
+    ``positional``: the files hold arrays without ids; a group gets a unique
+    number that rises with its place in the files (not dense)."""
+    schema = T.StructType([f for f in GROUPS_SCHEMA.fields if not (positional and f.name == "group_id")])
+    reader = spark.read.schema(schema)
+    if fmt not in ("parquet", "json"):
+        raise ValueError(f"unsupported format {fmt!r}")
+    groups = reader.parquet(path) if fmt == "parquet" else reader.json(path)
+    return groups.select(F.monotonically_increasing_id().alias("group_id"), "text_groups") if positional else groups
