@@ -59,8 +59,13 @@ def lexicon_model(
     for cid, w in enumerate(weights):
         rows.append((cid, None, float(bias)))
         rows.extend((cid, t, float(w)) for t in terms)
+    return parameter_frame(spark, rows)
+
+
+def parameter_frame(spark: SparkSession, rows: list[tuple]) -> DataFrame:
+    """A parameter table of ``(candidate_id, term, weight)`` tuples; they live on
+    the driver already and are kept for the inline scorer."""
     df = spark.createDataFrame(rows, WEIGHT_SCHEMA)
-    # the parameters already live on the driver: keep them for the inline scorer
     df._driver_rows = [T.Row(candidate_id=c, term=t, weight=w) for c, t, w in rows]
     return df
 

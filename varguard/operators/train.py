@@ -31,10 +31,7 @@ from ..config import (
 )
 from ..functions.scalar import log_loss, sigmoid
 from .constraints import passes
-from .score import score_terms
-
-GROUP_ASSIGN_BROADCAST_MAX = 1_000_000  # groups; times epochs rows of (group_id, epoch, batch_id)
-
+from .score import parameter_frame, score_terms
 
 def _null_term():
     return F.lit(None).cast("string")
@@ -159,42 +156,16 @@ class DescentConfig:
     eps: float = 1e-8
 
 
-def _logit_from_hits(hits, bias: float, weights: dict) -> "F.Column":
-    if not weights:
-        return F.lit(bias)
-    wmap = F.create_map(*[x for t, w in sorted(weights.items()) for x in (F.lit(t), F.lit(float(w)))])
-    return F.aggregate(hits, F.lit(float(bias)), lambda acc, t: acc + F.coalesce(F.element_at(wmap, t), F.lit(0.0)))
-
-
-def descent_features(primary: DataFrame, groups: DataFrame, vocab, epochs: int, primary_batch: int, group_batch: int, seed: int = 42):
-    """Sparse, batched training inputs, written once as tables partitioned by
-    ``(epoch, batch_id)`` under the session's checkpoint folder. A step then
-    reads only its own partition directory (partition pruning), so the work
-    of a step follows the batch size, not the data size, and the lineage is cut.
-
-    * primary: ``(epoch, batch_id, label, hits)``;
-    * groups: ``(epoch, batch_id, group_id, hits)`` — whole groups per batch.
-    """
-    from ..functions.scalar import tokens
+def _known_words(df: DataFrame, model: DataFrame, keys: list, name: str) -> DataFrame:
+    """``df`` with only the words the model knows left of its texts, written
+    once to the shared folder: what every step reads."""
     from ..session import scratch_path
-    from .prep import assign_batches
 
-    spark = primary.sparkSession
-    lex = F.array(*[F.lit(t) for t in sorted(vocab)])
-    known = lambda c: F.filter(tokens(F.col(c)), lambda t: F.array_contains(lex, t))
-    p = assign_batches(primary.select("doc_id", "label", known("text").alias("hits")), "doc_id", primary_batch, epochs, seed)
-    gids = groups.select("group_id").distinct()
-    gb = assign_batches(gids, "group_id", group_batch, epochs, seed).select("group_id", "epoch", "batch_id")
-    members = groups.select("group_id", known("text").alias("hits"))
-    # one assignment row per (group, epoch): broadcast it when the group count
-    # allows, so members (and a hot group among them) are never shuffled
-    if gids.count() <= GROUP_ASSIGN_BROADCAST_MAX:
-        gb = F.broadcast(gb)
-    g = members.join(gb, "group_id")
-    p_path, g_path = scratch_path(spark, "descent-primary"), scratch_path(spark, "descent-groups")
-    p.select("epoch", "batch_id", "label", "hits").write.partitionBy("epoch", "batch_id").parquet(p_path)
-    g.select("epoch", "batch_id", "group_id", "hits").write.partitionBy("epoch", "batch_id").parquet(g_path)
-    return spark.read.parquet(p_path), spark.read.parquet(g_path)
+    spark = df.sparkSession
+    path = scratch_path(spark, name)
+    hits = score_terms(df.select(*keys, "text"), model, keep_hits=True)
+    hits.select(*keys, F.concat_ws(" ", "hits").alias("text")).write.parquet(path)
+    return spark.read.parquet(path)
 
 
 def _primary_step(pb: DataFrame) -> DataFrame:
@@ -214,17 +185,18 @@ def _primary_step(pb: DataFrame) -> DataFrame:
 
 
 def _group_step(gb: DataFrame, sign: float = 1.0, k: float | None = None) -> DataFrame:
-    """Gradient of the batch's constraint target, per term, in one pass.
+    """Gradient of the constraint target over all groups, per term, in one pass.
 
     With per-group variances v_g (groups with n >= 2), their mean vbar, sample
     sd s and count G, the target is ``sign * vbar`` (point) or, when ``k`` is
     given, the predicted bound ``sign * vbar + k * s`` with
-    ``k = 2 t(1 - delta, n_safety - 1) / sqrt(n_safety)``. Its gradient is
-    ``sum_g c_g dv_g`` with ``c_g = sign / G + k (v_g - vbar) / (s (G - 1))``
-    and ``dv_g = 2 / (n_g - 1) (A_g - pbar_g B_g)`` (see variance_gradient).
-    vbar, s and G come from a window over the batch's groups (bounded by the
-    group batch size). Output rows ``(side, term, s, loss_sum, c)``: ``s`` is
-    the gradient entry; the bias row carries the target value and G."""
+    ``k = 2 t(1 - delta, n_safety - 1) / sqrt(n_safety)``. With
+    ``dv_g = 2 / (n_g - 1) (A_g - pbar_g B_g)`` (see variance_gradient) and
+    D1 = sum_g dv_g, D2 = sum_g v_g dv_g its gradient is
+    ``sign D1 / G + k (D2 - vbar D1) / (s (G - 1))``: plain sums per term,
+    combined map-side; only the term-sized result meets vbar, s and G.
+    Output rows ``(side, term, s, loss_sum, c)``: ``s`` is the gradient entry;
+    the bias row carries the target value and G."""
     p = sigmoid(F.col("logit"))
     rows = gb.select(
         "group_id", p.alias("p"), F.explode_outer(F.concat(F.array(_null_term()), F.col("hits"))).alias("term")
@@ -236,10 +208,8 @@ def _group_step(gb: DataFrame, sign: float = 1.0, k: float | None = None) -> Dat
         F.sum("p").alias("sp"),
         F.var_samp("p").alias("v"),
     )
-    # per-group values from the group's bias row; batch values from the bias
-    # rows of the groups with n >= 2. Windows keep one consumer of per_gt. The
-    # batch window holds one batch (group batch size x (vocabulary + 1) rows).
-    grp, batch = Window.partitionBy("group_id"), Window.partitionBy()
+    # per-group values from the group's bias row, spread over its terms
+    grp = Window.partitionBy("group_id")
     bias_row = F.col("term").isNull()
     staged = per_gt.select(
         "term",
@@ -249,27 +219,30 @@ def _group_step(gb: DataFrame, sign: float = 1.0, k: float | None = None) -> Dat
         F.max(F.when(bias_row, F.col("sp") / F.col("c"))).over(grp).alias("pbar"),
         F.max(F.when(bias_row, F.col("v"))).over(grp).alias("v"),
     ).filter(F.col("n") >= 2)
+    dv = F.lit(2.0) / (F.col("n") - 1) * (F.col("a") - F.col("pbar") * F.col("b"))
     unit = F.when(F.col("term").isNull(), F.col("v"))
-    staged = staged.select(
-        "*",
-        F.avg(unit).over(batch).alias("vbar"),
-        F.coalesce(F.stddev_samp(unit).over(batch), F.lit(0.0)).alias("sd"),
-        F.count(unit).over(batch).alias("G"),
+    sums = staged.groupBy("term").agg(
+        F.sum(dv).alias("d1"),
+        F.sum(F.col("v") * dv).alias("d2"),
+        F.avg(unit).alias("vbar"),
+        F.stddev_samp(unit).alias("sd"),
+        F.count(unit).alias("G"),
     )
-    coef = F.lit(sign) / F.col("G")
-    value = F.lit(sign) * F.col("vbar")
+    every = Window.partitionBy(F.lit(0))  # one row per parameter
+    sums = sums.select("term", "d1", "d2", *[F.max(c).over(every).alias(c) for c in ("vbar", "sd", "G")])
+    grad, value = F.lit(sign) * F.col("d1") / F.col("G"), F.lit(sign) * F.col("vbar")
     if k is not None:
         spread = (F.col("sd") > 0) & (F.col("G") >= 2)
-        coef = coef + F.when(spread, F.lit(k) * (F.col("v") - F.col("vbar")) / (F.col("sd") * (F.col("G") - 1))).otherwise(0.0)
-        value = value + F.lit(k) * F.col("sd")
-    contrib = staged.select(
+        bent = F.lit(k) * (F.col("d2") - F.col("vbar") * F.col("d1")) / (F.col("sd") * (F.col("G") - 1))
+        grad = grad + F.when(spread, bent).otherwise(0.0)
+        value = value + F.lit(k) * F.coalesce("sd", F.lit(0.0))
+    at_bias = F.col("term").isNull()
+    return sums.select(
+        F.lit("g").alias("side"),
         "term",
-        (coef * F.lit(2.0) / (F.col("n") - 1) * (F.col("a") - F.col("pbar") * F.col("b"))).alias("d"),
-        F.when(F.col("term").isNull(), value).alias("value"),
-        F.when(F.col("term").isNull(), F.col("G").cast("double")).alias("G"),
-    )
-    return contrib.groupBy("term").agg(F.sum("d").alias("s"), F.max("value").alias("loss_sum"), F.max("G").alias("c")).select(
-        F.lit("g").alias("side"), "term", "s", "loss_sum", "c"
+        grad.alias("s"),
+        F.when(at_bias, value).alias("loss_sum"),
+        F.when(at_bias, F.col("G").cast("double")).alias("c"),
     )
 
 
@@ -280,88 +253,66 @@ def fit_constrained(
     init_bias: float,
     cfg: DescentConfig = DescentConfig(),
     constraint: Constraint = VPROB,
-    primary_batch: int = 12,
-    group_batch: int = 5,
-    seed: int = 42,
     n_safety: int | None = None,
 ):
-    """Constrained descent on a linear term model.
+    """Constrained descent on a linear term model, ``cfg.n_epochs`` steps.
 
     Lagrangian ``loss(theta) + lambda * g(theta)``. With ``n_safety`` (the
     number of safety units) g is the predicted high-confidence bound of the
-    constraint on the batch's groups, ``sign*mean + 2 sd / sqrt(n_safety) *
-    t(1 - delta, n_safety - 1) - sign*threshold`` — what candidate selection
-    tests; without it, the point value ``sign*mean - sign*threshold``.
-    theta follows Adam on the Lagrangian gradient; lambda >= 0 follows
-    gradient ascent on g. One Spark job per mini-batch step returns the two
-    sparse gradients and the batch values; theta stays a small literal on the
-    driver. Returns ``(theta, bias, log rows)``; each log row is
-    ``(step, epoch, batch_id, loss, g, lam)`` before the update.
+    constraint, ``sign*mean + 2 sd / sqrt(n_safety) * t(1 - delta, n_safety - 1)
+    - sign*threshold`` — what candidate selection tests; without it, the point
+    value ``sign*mean - sign*threshold``. theta follows Adam on the Lagrangian
+    gradient; lambda >= 0 follows gradient ascent on g.
+
+    Every step uses all rows and all groups: one Spark job of map-side combined
+    sums, which returns one row per parameter and side. Between steps theta is
+    a small parameter table. Returns ``(theta, bias, log rows)``; a log row is
+    ``(step, loss, g, lam, theta)``, all before the update; theta lists
+    ``(term, weight)``, the bias under term NULL. Without any row there is no
+    step: theta stays and the log is empty.
     """
     spark = primary.sparkSession
-    vocab = sorted(init_weights)
-    p_feat, g_feat = descent_features(primary, groups, vocab, cfg.n_epochs, primary_batch, group_batch, seed)
-    n_pb = p_feat.groupBy("epoch").agg(F.max("batch_id").alias("m")).agg(F.max("m")).first()[0]
-    n_gb = g_feat.groupBy("epoch").agg(F.max("batch_id").alias("m")).agg(F.max("m")).first()[0]
-    if n_pb is None or n_gb is None:
-        raise ValueError("empty training input")
-    n_pb, n_gb = int(n_pb) + 1, int(n_gb) + 1
-    names = [None] + vocab
-    theta = {None: float(init_bias), **{t: float(init_weights[t]) for t in vocab}}
-    m = {k: 0.0 for k in names}
-    v = {k: 0.0 for k in names}
-    lam = float(cfg.lambda_init)
-    log = []
-    step = 0
+    names = [None, *sorted(init_weights)]
+    theta = {None: float(init_bias), **{t: float(w) for t, w in init_weights.items()}}
+    model = lambda: parameter_frame(spark, [(0, t, theta[t]) for t in names])
+    p_feat = _known_words(primary, model(), ["label"], "descent-primary")
+    g_feat = _known_words(groups, model(), ["group_id"], "descent-groups")
+    m, v, lam, log = dict.fromkeys(names, 0.0), dict.fromkeys(names, 0.0), float(cfg.lambda_init), []
     thr = constraint.sign * constraint.threshold
     k = None
     if n_safety is not None and n_safety >= 2:
         from ..functions.stats import t_ppf
 
         k = 2.0 * t_ppf(1.0 - constraint.delta, n_safety - 1) / float(n_safety) ** 0.5
-    for epoch in range(cfg.n_epochs):
-        for b in range(max(n_pb, n_gb)):  # every batch of either side, the shorter list again
-            step += 1
-            logit = _logit_from_hits(F.col("hits"), theta[None], {t: theta[t] for t in vocab})
-            pb = p_feat.filter((F.col("epoch") == epoch) & (F.col("batch_id") == b % n_pb)).select(
-                F.lit(0).alias("candidate_id"), "label", logit.alias("logit"), "hits"
-            )
-            gb = g_feat.filter((F.col("epoch") == epoch) & (F.col("batch_id") == b % n_gb)).select(
-                F.lit(0).alias("candidate_id"), "group_id", logit.alias("logit"), "hits"
-            )
-            got = _primary_step(pb).unionByName(_group_step(gb, constraint.sign, k)).collect()
-            p_rows = {r.term: r for r in got if r.side == "p"}
-            g_rows = {r.term: r for r in got if r.side == "g"}
-            n_p = p_rows[None].c if None in p_rows else 0.0
-            n_g = g_rows[None].c if None in g_rows else 0.0
-            dloss = {t: r.s / n_p for t, r in p_rows.items()} if n_p else {}
-            dg = {t: r.s for t, r in g_rows.items()} if n_g else {}
-            loss_v = p_rows[None].loss_sum / n_p if n_p else None
-            target = g_rows[None].loss_sum if n_g else None
-            g_v = None if target is None else target - thr
-            log.append((step, epoch, b, loss_v, g_v, lam))
-            for name in names:
-                grad = (dloss.get(name) or 0.0) + lam * (dg.get(name) or 0.0)
-                m[name] = cfg.beta_velocity * m[name] + (1 - cfg.beta_velocity) * grad
-                v[name] = cfg.beta_rmsprop * v[name] + (1 - cfg.beta_rmsprop) * grad * grad
-                mh = m[name] / (1 - cfg.beta_velocity**step)
-                vh = v[name] / (1 - cfg.beta_rmsprop**step)
-                theta[name] -= cfg.alpha_theta * mh / (vh**0.5 + cfg.eps)
-            if g_v is not None:
-                lam = max(0.0, lam + cfg.alpha_lambda * g_v)
-    return {t: theta[t] for t in vocab}, theta[None], log
-
-
-LOG_SCHEMA = "step int, epoch int, batch_id long, loss double, g double, lam double"
+    for step in range(1, cfg.n_epochs + 1):
+        w = model()
+        sides = _primary_step(score_terms(p_feat, w, keep_hits=True)).unionByName(
+            _group_step(score_terms(g_feat, w, keep_hits=True), constraint.sign, k)
+        )
+        got = {(r.side, r.term): r for r in sides.collect()}  # one row per parameter and side
+        rows, target = got.get(("p", None)), got.get(("g", None))
+        if rows is None:
+            break
+        loss_v, g_v = rows.loss_sum / rows.c, None if target is None else target.loss_sum - thr
+        log.append((step, loss_v, g_v, lam, [(t, theta[t]) for t in names]))
+        for t in names:
+            dp, dg = got.get(("p", t)), got.get(("g", t))
+            grad = (dp.s / rows.c if dp else 0.0) + (lam * dg.s if dg else 0.0)
+            m[t] = cfg.beta_velocity * m[t] + (1 - cfg.beta_velocity) * grad
+            v[t] = cfg.beta_rmsprop * v[t] + (1 - cfg.beta_rmsprop) * grad * grad
+            mh, vh = m[t] / (1 - cfg.beta_velocity**step), v[t] / (1 - cfg.beta_rmsprop**step)
+            theta[t] -= cfg.alpha_theta * mh / (vh**0.5 + cfg.eps)
+        if g_v is not None:
+            lam = max(0.0, lam + cfg.alpha_lambda * g_v)
+    return {t: theta[t] for t in names[1:]}, theta[None], log
+
+
+LOG_SCHEMA = "step int, loss double, g double, lam double, theta array<struct<term:string,weight:double>>"
 
 
 def best_iterate(log: DataFrame) -> DataFrame:
-    """Lowest-loss logged step whose g is <= 0 (``solution_found`` false if none)."""
+    """Lowest-loss logged step whose g is <= 0, with its parameters
+    (``solution_found`` false if none)."""
     ok = F.coalesce(F.col("g") <= 0, F.lit(False)) & F.col("loss").isNotNull()
-    best = log.agg(F.min_by(F.when(ok, F.struct("step", "loss", "g")), F.when(ok, F.struct("loss", "step"))).alias("_b"))
-    return best.select(
-        F.col("_b").isNotNull().alias("solution_found"),
-        F.col("_b.step").alias("step"),
-        F.col("_b.loss").alias("loss"),
-        F.col("_b.g").alias("g"),
-    )
+    best = log.agg(F.min_by(F.when(ok, F.struct("step", "loss", "g", "theta")), F.when(ok, F.struct("loss", "step"))).alias("_b"))
+    return best.select(F.col("_b").isNotNull().alias("solution_found"), *[F.col(f"_b.{c}").alias(c) for c in ("step", "loss", "g", "theta")])
