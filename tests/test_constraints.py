@@ -112,3 +112,26 @@ def test_user_measure_registration(spark):
     row = group_measures(m, ["VMAX", "VPROB"]).orderBy("measure").collect()
     assert [r.measure for r in row] == ["VMAX", "VPROB"]
     assert row[0].value == pytest.approx(1.0)
+
+
+def test_constraints_bound_to_their_own_tables(spark):
+    from varguard.operators.constraints import bind, evaluate_bindings
+
+    small = spark.createDataFrame([(0, 1, 0.0), (0, 1, 1.0), (0, 2, 0.5)], "candidate_id int, group_id long, logit double")
+    large = spark.createDataFrame([(0, g, float(i)) for g in range(7) for i in range(2)], "candidate_id int, group_id long, logit double")
+    spread = Constraint("VRANGE <= 0.5", "VRANGE", "<=", 0.5, 0.05)
+    limit = Constraint("VPROB <= 0.05", "VPROB", "<=", 0.05, 0.05)
+    got = {(r.quantity, r.dataset): r for r in evaluate_bindings([bind(limit, "a", small, 2), bind(spread, "b", large, 3), bind(limit, "b", large, 7)]).collect()}
+    gap = 1 / (1 + 2.718281828459045**-1.0) - 0.5
+    assert got["VPROB <= 0.05", "a"].n_units == 1 and got["VPROB <= 0.05", "a"].n_batches == 1  # one group has no variance
+    assert got["VRANGE <= 0.5", "b"].n_units == 7 and got["VRANGE <= 0.5", "b"].n_batches == 3
+    assert abs(got["VRANGE <= 0.5", "b"].value - gap) < 1e-9 and abs(got["VPROB <= 0.05", "b"].value - gap * gap / 2) < 1e-9
+
+
+def test_unknown_measure_cannot_be_bound(spark):
+    import pytest
+
+    from varguard.operators.constraints import bind
+
+    with pytest.raises(KeyError):
+        bind(Constraint("x", "NOPE", "<=", 0.5, 0.05), "a", spark.range(1), 2)

@@ -45,3 +45,20 @@ def test_experiment_paths_agree(spark):
     assert sorted((r.frac_id, r.trial_i, tuple(r.gvec)) for r in a.collect()) == sorted(
         (r.frac_id, r.trial_i, tuple(r.gvec)) for r in b.collect()
     )
+
+
+def test_label_rows_are_folded_before_the_shuffle(spark):
+    """Folded label rows are one unit for each value, with the same sums; groups are unchanged."""
+    w = lexicon_model(spark)
+    labels, small = labels_table(spark, SF_SMALL)
+    docs = load_table(spark, SF_SMALL, "documents")
+    plain, _ = corpus_unit_values(docs, labels, ("lang", "source"), w, small)
+    folded, _ = corpus_unit_values(docs, labels, ("lang", "source"), w, small, fold=F.col("doc_id") % 2)
+    p = {r.unit: r for r in folded.filter("kind = 'p'").collect()}
+    rows = plain.filter("kind = 'p'").collect()
+    assert sorted(p) == [0, 1] and sum(r.n for r in p.values()) == len(rows)
+    for parity, r in p.items():
+        want = sum(x.xs[0] for x in rows if x.unit % 2 == parity)
+        assert abs(r.xs[0] - want) < 1e-9
+    groups = lambda u: sorted((r.unit, [None if x is None else round(x, 12) for x in r.xs]) for r in u.filter("kind = 'g'").collect())
+    assert groups(plain) == groups(folded)

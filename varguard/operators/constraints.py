@@ -14,6 +14,7 @@ on one summary row per (model, constraint).
 from __future__ import annotations
 
 from collections.abc import Callable, Sequence
+from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -129,3 +130,56 @@ def safety_test(bounds: DataFrame, by=("candidate_id",), bound_col: str = "upper
 
 register_measure("VPROB", lambda p: F.var_samp(p))
 register_measure("VRANGE", lambda p: F.when(F.count(p) >= 2, F.max(p) - F.min(p)))
+
+
+@dataclass(frozen=True)
+class Binding:
+    """A constraint with the group table it is measured on, the batch size in
+    groups of that table, and the table's name."""
+
+    constraint: Constraint
+    dataset: str
+    members: DataFrame
+    batch: int
+
+
+def bind(constraint: Constraint, dataset: str, members: DataFrame, batch: int) -> Binding:
+    """Bind a constraint to scored members ``(candidate_id, group_id, logit)``."""
+    measure(constraint.measure)  # an unknown measure fails here
+    if batch < 1:
+        raise ValueError("a batch holds one group at least")
+    return Binding(constraint, dataset, members, batch)
+
+
+def evaluate_bindings(bindings: Sequence[Binding]) -> DataFrame:
+    """``(candidate_id, quantity, dataset, n_units, n_batches, value)``: each
+    constraint's measure averaged over the groups of its own table."""
+    if not bindings:
+        raise ValueError("no bindings")
+    tables: dict[int, list[Binding]] = {}
+    for b in bindings:
+        tables.setdefault(id(b.members), []).append(b)
+    out = None
+    for same in tables.values():  # bindings of one table share its scan and aggregation
+        long = group_measures(same[0].members, [b.constraint.measure for b in same])
+        of = lambda b: F.when(F.col("measure") == b.constraint.measure, F.col("value"))
+        per_model = long.groupBy("candidate_id").agg(
+            *[F.count(of(b)).alias(f"_n{i}") for i, b in enumerate(same)],
+            *[F.avg(of(b)).alias(f"_v{i}") for i, b in enumerate(same)],
+            F.count(F.when(F.col("measure") == same[0].constraint.measure, F.lit(1))).alias("_groups"),
+        )
+        rows = F.array(
+            *[
+                F.struct(
+                    F.lit(b.constraint.name).alias("quantity"),
+                    F.lit(b.dataset).alias("dataset"),
+                    F.col(f"_n{i}").alias("n_units"),
+                    F.ceil(F.col("_groups") / F.lit(b.batch)).alias("n_batches"),
+                    F.col(f"_v{i}").alias("value"),
+                )
+                for i, b in enumerate(same)
+            ]
+        )
+        found = per_model.select("candidate_id", F.explode(rows).alias("_b")).select("candidate_id", "_b.*")
+        out = found if out is None else out.unionByName(found)
+    return out

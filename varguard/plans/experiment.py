@@ -79,6 +79,7 @@ def corpus_unit_values(
     labels_broadcast: bool | None = None,
     groupings: dict | None = None,
     measures: tuple = ("VPROB",),
+    fold: Column | None = None,
 ):
     """``unit_values`` for the common case where the labelled rows and the
     group members are the same corpus: one scan, one scoring of every text.
@@ -92,7 +93,12 @@ def corpus_unit_values(
     document labelled several times has a row for each, but is one member of
     its groups. ``xs`` of a group holds the candidates' values of each of ``measures`` in turn. ``groupings`` maps kind names to grouping columns and replaces
     ``group_cols``. ``labels_broadcast=None`` decides from the checked size of
-    ``labels``. Returns ``(frame, candidate_ids)``."""
+    ``labels``.
+
+    ``fold``: an integer Column over ``doc_id``. The label rows are then summed
+    map-side into one unit for each of its values (``xs`` the summed losses,
+    ``n`` the label rows, ``n_known`` those with a loss), so the shuffle holds
+    group-sized rows only. Returns ``(frame, candidate_ids)``."""
     from ..sources.standins import group_id_of, labels_fit_broadcast
 
     if labels_broadcast is None:
@@ -113,7 +119,8 @@ def corpus_unit_values(
 
     none = F.lit(None).cast("int")
     of_groups = F.array(*[unit(kind, F.col(c), F.lit(0), none) for kind, c in gid_cols.items()])
-    of_labels = F.transform(F.coalesce("labels", F.array().cast("array<int>")), lambda y, i: unit("p", F.col("doc_id"), i, y))
+    own = (lambda y, i: unit("p", F.col("doc_id"), i, y)) if fold is None else (lambda y, i: unit("p", fold.cast("long"), F.lit(0), y))
+    of_labels = F.transform(F.coalesce("labels", F.array().cast("array<int>")), own)
     rows = joined.select("logits", F.explode(F.concat(of_groups, of_labels)).alias("_u"))
     y = F.col("_u.label")
     is_g = F.col("_u.kind") != "p"
@@ -121,12 +128,18 @@ def corpus_unit_values(
     for i in range(k):
         z = F.element_at("logits", i + 1)
         aggs += [measure(m)(F.when(is_g, sigmoid(z))).alias(f"_v{j}_{i}") for j, m in enumerate(measures)]
-        aggs.append(F.max(F.when(~is_g, log_loss(y, sigmoid(z)))).alias(f"_l{i}"))
+        aggs.append(F.sum(F.when(~is_g, log_loss(y, sigmoid(z)))).alias(f"_l{i}"))
+    aggs += [F.count(F.when(~is_g, F.lit(1))).alias("n"), F.count(F.when(~is_g, y)).alias("n_known")] if fold is not None else []
     per_unit = rows.groupBy(F.col("_u.kind").alias("kind"), F.col("_u.unit").alias("unit"), F.col("_u.copy").alias("copy")).agg(*aggs)
     xs = F.when(
         F.col("kind") != "p", F.array(*[F.col(f"_v{j}_{i}").cast("double") for j in range(len(measures)) for i in range(k)])
     ).otherwise(F.array(*[F.col(f"_l{i}") for i in range(k)]))
-    return per_unit.select("kind", "unit", xs.alias("xs")), cands
+    return per_unit.select("kind", "unit", xs.alias("xs"), *(["n", "n_known"] if fold is not None else [])), cands
+
+
+def mean_loss(of_p: Column) -> Column:
+    """Mean loss over folded label rows ``(x, n_known)`` for which ``of_p`` holds."""
+    return F.sum(F.when(of_p, F.col("x"))) / F.sum(F.when(of_p & (F.col("n_known") > 0), F.col("n_known")))
 
 
 def corpus_split_stats(
@@ -140,11 +153,14 @@ def corpus_split_stats(
     from ..config import FRAC_DATA_IN_SAFETY
     from ..operators.prep import safety_part
 
-    units, cands = corpus_unit_values(docs, labels, None, weights, labels_broadcast, groupings)
-    part = safety_part(F.col("unit"), FRAC_DATA_IN_SAFETY if frac_safety is None else frac_safety)
-    vals = units.select("kind", part.alias("part"), F.posexplode_outer("xs").alias("cand_idx", "x"))
+    frac = FRAC_DATA_IN_SAFETY if frac_safety is None else frac_safety
+    fold = F.when(safety_part(F.col("doc_id"), frac) == "candidate", 0).otherwise(1)
+    units, cands = corpus_unit_values(docs, labels, None, weights, labels_broadcast, groupings, fold=fold)
+    of_row = F.when(F.col("unit") == 0, "candidate").otherwise("safety")
+    part = F.when(F.col("kind") == "p", of_row).otherwise(safety_part(F.col("unit"), frac))
+    vals = units.select("kind", part.alias("part"), "n_known", F.posexplode_outer("xs").alias("cand_idx", "x"))
     kind, prt, x = F.col("kind"), F.col("part"), F.col("x")
-    aggs = [F.avg(F.when((kind == "p") & (prt == "candidate"), x)).alias("loss")]
+    aggs = [mean_loss((kind == "p") & (prt == "candidate")).alias("loss")]
     names = list(groupings)
     for i, name in enumerate(names):
         for p_name, sfx in (("candidate", ""), ("safety", "_safety")):

@@ -5,10 +5,12 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from ..config import LEXICON, SAFETY_BATCH_SIZE, VPROB, Constraint
+from ..config import LEXICON, PRIMARY_BATCH_SIZE, SAFETY_BATCH_SIZE, VPROB, Constraint
 from ..functions.scalar import log_loss, positive_logit, round6, sigmoid
 from ..operators.constraints import (
+    bind,
     constraint_bounds,
+    evaluate_bindings,
     g_value,
     group_measures,
     passes,
@@ -27,7 +29,7 @@ from ..operators.score import (
 )
 from ..operators.train import loss_gradient_from_hits, select_candidate, variance_gradient
 from ..session import load_table
-from ..sources.standins import document_groups, labelled_hits, labelled_logits, labels_table, primary_table
+from ..sources.standins import conversation_groups, document_groups, labelled_hits, labelled_logits, labels_table, primary_table
 from .experiment import corpus_split_stats
 from . import oracle as O
 from .catalog import register
@@ -251,38 +253,32 @@ def cn2_user_measure(spark, sf_dir):
     return long.select("candidate_id", "group_id", "n_members", "measure", round6("value").alias("value"))
 
 
-@register(
-    "cn3_bind",
-    f"""SELECT candidate_id, 'objective' AS quantity, 'primary' AS dataset, count(*) AS n_units,
+def _cn3_sql():
+    conv = f"({_measures_sql(O.GROUPS_CONV)})"
+    row = "SELECT candidate_id, {q} AS quantity, {d} AS dataset, count({m}) AS n_units, CAST(ceil(count(*) / {b}) AS BIGINT) AS n_batches, round(avg({m}), 6) AS value FROM {t} GROUP BY candidate_id"
+    return f"""SELECT candidate_id, 'objective' AS quantity, 'primary' AS dataset, count(*) AS n_units,
+      CAST(ceil(count(*) / {PRIMARY_BATCH_SIZE}.0) AS BIGINT) AS n_batches,
       round(avg({O.log_loss('label', P)}), 6) AS value FROM {P_SCORED} GROUP BY candidate_id
-    UNION ALL
-    SELECT candidate_id, {O.q(VPROB.name)}, 'groups_lang_source', count(vprob), round(avg(vprob), 6)
-    FROM ({_measures_sql()}) GROUP BY candidate_id""",
-)
-def cn3_bind(spark, sf_dir):
-    """Objective on the labelled table, constraint measure on the group table:
-    both bindings evaluated from one scan of the corpus (per-document losses
-    and per-group VPROB are the two kinds of unit), one aggregation."""
-    from .experiment import corpus_unit_values
+    UNION ALL {row.format(q=O.q(VPROB.name), d="'conversations'", m='vprob', b=f'{SAFETY_BATCH_SIZE}.0', t=conv)}
+    UNION ALL {row.format(q=O.q(VRANGE.name), d="'conversations'", m='vrange', b='5.0', t=conv)}"""
+
 
+@register("cn3_bind", _cn3_sql)
+def cn3_bind(spark, sf_dir):
+    """Objective on the labelled documents, and two constraints bound to a
+    table of their own, the conversations, each with its batch size."""
     w = lexicon_model(spark)
-    labels, small = labels_table(spark, sf_dir)
-    units, cands = corpus_unit_values(load_table(spark, sf_dir, "documents"), labels, ("lang", "source"), w, small)
-    vals = units.select("kind", F.posexplode_outer("xs").alias("cand_idx", "x"))
-    is_p = F.col("kind") == "p"
-    agg = vals.groupBy("cand_idx").agg(
-        F.count(F.when(is_p, F.lit(1))).alias("p_n"),
-        F.avg(F.when(is_p, F.col("x"))).alias("p_v"),
-        F.count(F.when(~is_p, F.col("x"))).alias("g_n"),
-        F.avg(F.when(~is_p, F.col("x"))).alias("g_v"),
-    )
-    ids = F.array(*[F.lit(c) for c in cands])
-    rows = F.array(
-        F.struct(F.lit("objective").alias("quantity"), F.lit("primary").alias("dataset"), F.col("p_n").alias("n_units"), F.col("p_v").alias("value")),
-        F.struct(F.lit(VPROB.name).alias("quantity"), F.lit("groups_lang_source").alias("dataset"), F.col("g_n").alias("n_units"), F.col("g_v").alias("value")),
+    talks = score_terms(conversation_groups(spark, sf_dir), w)
+    bound = evaluate_bindings([bind(VPROB, "conversations", talks, SAFETY_BATCH_SIZE), bind(VRANGE, "conversations", talks, 5)])
+    objective = cross_entropy(_scored_primary(spark, sf_dir, w)).select(
+        "candidate_id",
+        F.lit("objective").alias("quantity"),
+        F.lit("primary").alias("dataset"),
+        F.col("n_rows").alias("n_units"),
+        F.ceil(F.col("n_rows") / F.lit(PRIMARY_BATCH_SIZE)).alias("n_batches"),
+        F.col("loss").alias("value"),
     )
-    out = agg.select(F.element_at(ids, F.col("cand_idx") + 1).alias("candidate_id"), F.explode_outer(rows).alias("_r"))
-    return out.select("candidate_id", "_r.quantity", "_r.dataset", "_r.n_units", round6("_r.value").alias("value"))
+    return objective.unionByName(bound).withColumn("value", round6("value"))
 
 
 @register(

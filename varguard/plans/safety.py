@@ -122,20 +122,21 @@ def corpus_safety_report(
 ) -> DataFrame:
     """:func:`safety_report` when the labelled rows and the group members are
     one corpus (documents grouped by columns): one scan and one scoring of
-    every text, one shuffle of small per-unit rows, one aggregation to K rows.
+    every text, one shuffle of per-group rows (losses are summed map-side), one
+    aggregation to K rows.
     """
-    from .experiment import corpus_unit_values
+    from .experiment import corpus_unit_values, mean_loss
 
     constraints = as_list(constraint)
     names = list(dict.fromkeys(c.measure for c in constraints))
-    units, cands = corpus_unit_values(docs, labels, group_cols, weights, labels_broadcast, measures=tuple(names))
+    units, cands = corpus_unit_values(docs, labels, group_cols, weights, labels_broadcast, measures=tuple(names), fold=F.lit(0))
     k = len(cands)
-    vals = units.select("kind", F.posexplode_outer("xs").alias("at", "x")).withColumn("cand_idx", F.col("at") % k)
+    vals = units.select("kind", "n", "n_known", F.posexplode_outer("xs").alias("at", "x")).withColumn("cand_idx", F.col("at") % k)
     is_p, x = F.col("kind") == "p", F.col("x")
     mine = [(F.col("kind") == "g") & (F.floor(F.col("at") / k) == i) for i in range(len(names))]
     agg = vals.groupBy("cand_idx").agg(
-        F.count(F.when(is_p, F.lit(1))).alias("n_rows"),
-        F.avg(F.when(is_p, x)).alias("loss"),
+        F.coalesce(F.sum(F.when(is_p, F.col("n"))), F.lit(0)).alias("n_rows"),
+        mean_loss(is_p).alias("loss"),
         *measure_summary([(m, F.when(own, x)) for m, own in zip(names, mine, strict=True)]),
         *[F.sum(F.when(own & x.isNull(), 1).otherwise(0)).alias(f"d_{i}") for i, own in enumerate(mine)],
     )
