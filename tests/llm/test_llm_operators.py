@@ -5,6 +5,7 @@ from __future__ import annotations
 import hashlib
 import random
 import zlib
+from fractions import Fraction
 
 import numpy as np
 import pytest
@@ -17,7 +18,7 @@ from varguard.llm.e8 import decode, shortest_vectors
 from varguard.llm.lattice_dedup import embedding_groups
 from varguard.llm.license_scan import scan_licenses
 from varguard.llm.pairwise_quality import score_quality
-from varguard.llm.pfair_mix import edf_period, mix_sources, phases
+from varguard.llm.pfair_mix import counts_before, edf, edf_period, mix_sources, phases, whole_weights
 from varguard.llm.piece_tokenizer import Tokenizer, decode_ids, encode_texts, load_vocabulary
 from varguard.llm.repeat_spans import Block, pack, remove_repeats, unpack
 from varguard.llm.simhash import simhash_groups
@@ -192,6 +193,41 @@ def test_pfair_windows_and_deviation():
             assert abs(sum(x < t for x in order[k]) - t * m / period) < 1
 
 
+@pytest.mark.parametrize("n, most", [(20, 4000), (500, 1500), (1200, 1000)])
+def test_schedule_follows_the_given_weights(n, most):
+    """One source of weight 1/2 among n, one of an odd weight: less than one block off at every slot, over many pieces."""
+    weights = {"a": 0.5, "b": 0.1 / 3} | {f"c{i}": (0.5 - 0.1 / 3) / (n - 2) for i in range(n - 2)}
+    spans, places = phases(dict.fromkeys(weights, most), weights, 100)
+    length = next(s[5] for s in spans if s[1] == 0)
+    assert length >= 2 * most - 2
+    at = {}
+    for k, f, i, x in places:
+        if f == 0:
+            at.setdefault(k, []).append((i, x))
+    total = sum(map(Fraction, weights.values()))
+    for k, w in weights.items():
+        share = Fraction(w) / total
+        for i, (j, x) in enumerate(sorted(at.get(k, []))):
+            assert i == j
+            assert abs(i - share * x) < 1 and abs(i + 1 - share * (x + 1)) < 1
+        assert abs(len(at.get(k, [])) - share * length) < 1
+
+
+@pytest.mark.parametrize("seed", range(20))
+def test_pieces_meet_within_all_windows(seed):
+    """Wherever a phase is cut, blocks before and after the cut fit their windows."""
+    rng = random.Random(seed)
+    n = rng.choice([2, 3, 7, 20])
+    m = whole_weights([rng.choice([rng.random() + 0.01, 1.0, rng.randrange(1, 9) / 7]) for _ in range(n)])
+    cuts = [0, *sorted(rng.sample(range(1, 400), 60)), 400]
+    for a, b in zip(cuts, cuts[1:]):  # noqa: B905
+        at, end = counts_before(a, m, sum(m)), counts_before(b, m, sum(m))
+        for slot, i in enumerate(edf(m, sum(m), a, b, at, end), a):
+            assert at[i] * sum(m) // m[i] <= slot < -(-(at[i] + 1) * sum(m) // m[i])
+            at[i] += 1
+        assert at == end
+
+
 def test_phases_place_every_block_once():
     blocks = {"a": 7, "b": 2500, "c": 130, "d": 0}
     spans, places = phases(blocks, {"a": 1.0, "b": 2.0, "c": 3.0, "d": 1.0}, 100)

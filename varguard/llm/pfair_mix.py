@@ -6,9 +6,9 @@ floor((j-1)/w) and due at slot ceil(j/w); earliest-deadline-first over these win
 puts exactly one block into every slot and keeps each source less than one block
 from its target at all times.
 
-Weights are held as whole slots per period, and the windows repeat with it. So
-the schedule of one period gives the slot of any block by arithmetic: nothing
-walks over the blocks one by one, whatever their number. When a source is
+Weights are exact fractions, never rounded to slots. A phase's slots are cut into pieces:
+how many blocks of each source precede a cut follows from the weights alone, so
+pieces are scheduled apart, by many tasks. When a source is
 used up the rest go on in a new phase with their weights scaled up, and every
 document keeps its place exactly once.
 """
@@ -16,15 +16,21 @@ document keeps its place exactly once.
 from __future__ import annotations
 
 import heapq
+from collections.abc import Iterator
+from fractions import Fraction
+from math import lcm
+from typing import NamedTuple
 
-from pyspark.sql import DataFrame, Window
+import numpy as np
+import pyarrow as pa
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-#: Characters of a block, and slots of a period (a weight is a multiple of 1/PERIOD).
+#: Characters of a block, and least slots of a piece of the schedule.
 BLOCK_CHARS, PERIOD = 4096, 1000
 #: Rows that one sub-stream of a source holds on average; it is ordered in one task.
 ROWS_PER_STREAM = 5000
-#: Rows of the schedule (sources x phases x slots) that are broadcast, about 50 MB; more are joined by shuffle.
+#: Blocks of the schedule that are broadcast, about 50 MB; more are joined by shuffle.
 BROADCAST_ROWS = 1 << 20
 
 
@@ -41,64 +47,166 @@ def root_weights(docs: DataFrame, source_col: str = "source", text_col: str = "t
     return {r["s"]: max(r["n"], 1.0) ** 0.5 for r in rows}
 
 
-def slots_per_period(weights: dict[str, float], period: int) -> dict[str, int]:
-    """Whole slots by largest remainder, one at least; they add up to the period
-    (which is lengthened where there are more sources than slots)."""
-    period = max(period, len(weights))
-    spare, total = period - len(weights), sum(weights.values())
-    exact = {k: spare * w / total for k, w in weights.items()}
-    out = {k: 1 + int(x) for k, x in exact.items()}
-    short = period - sum(out.values())
-    for k in sorted(exact, key=lambda k: (int(exact[k]) - exact[k], k))[:short]:
-        out[k] += 1
+class Phase(NamedTuple):
+    """Slots base..base+length-1, in pieces of ``step``. ``alive``, ``done`` and ``end``: indices of
+    the sources with blocks left, their blocks before the phase and within it."""
+
+    base: int
+    length: int
+    step: int
+    alive: list[int]
+    done: list[int]
+    end: list[int]
+
+
+def whole_weights(weights: list[float]) -> list[int]:
+    """Whole numbers in exactly the same proportions."""
+    exact = [Fraction(w) for w in weights]
+    common = lcm(*[x.denominator for x in exact])
+    return [int(x * common) for x in exact]
+
+
+def due(j: int, m: int, total: int) -> int:
+    """The deadline of block j (from 0) of a source of weight m / total."""
+    return -(-(j + 1) * total // m)
+
+
+def ceilings(slots: np.ndarray, m: list[int], total: int) -> np.ndarray:
+    """ceil(slot * weight) for each slot and weight; where doubles come too near a whole number, in whole numbers."""
+    x = np.multiply.outer(slots.astype(float), np.array([k / total for k in m]))
+    out = np.ceil(x).astype(np.int64)
+    for a, k in zip(*np.nonzero(np.abs(x - np.rint(x)) <= 1e-15 * x), strict=True):
+        out[a, k] = -(-int(slots[a]) * m[k] // total)
     return out
 
 
-def edf_period(slots: dict[str, int]) -> dict[str, list[int]]:
-    """The slot of each block within a period: earliest deadline first among released blocks."""
-    period = sum(slots.values())
-    out: dict[str, list[int]] = {k: [] for k in slots}
-    waiting = [(0, k, 1) for k in sorted(slots)]  # release, source, block
+def counts_before(slot: int, m: list[int], total: int) -> list[int]:
+    """Blocks of each source that stand before ``slot``: floor or ceiling of slot * weight, and such that the
+    slots on either side can be filled within all windows.
+
+    The floors have to stand before it. Of the blocks whose windows contain the cut, those due first are
+    added as long as, for every a, no more blocks than slots lie between a and the
+    cut. Such sets are a matroid, so this order leaves as few early deadlines as any
+    does; the fractional schedule satisfies all bounds, so a whole one does too.
+    """
+    low = [slot * k // total for k in m]
+    short = slot - sum(low)
+    across = [i for i, k in enumerate(m) if slot * k % total]
+    if not short:
+        return low
+    release = {i: low[i] * total // m[i] for i in across}
+    begin = min(release.values())
+    room, known = [np.array([short])], np.array(low)
+    for a in range(begin, slot, rows := max(1, (1 << 20) // len(m))):
+        at = np.arange(a, min(a + rows, slot))
+        room.append(slot - at - np.maximum(known - ceilings(at, m, total), 0).sum(axis=1))
+    free = np.concatenate(room)  # at 0 for the whole, then for each slot from begin
+    for i in sorted(across, key=lambda i: (due(low[i], m[i], total), i)):
+        within = free[: release[i] - begin + 2]
+        if within.min() > 0:
+            within -= 1
+            low[i] += 1
+    return low
+
+
+def edf(m: list[int], total: int, start: int, stop: int, done: list[int], end: list[int] | None = None) -> list[int]:
+    """The source in each slot from ``start`` to ``stop``: earliest deadline first among released blocks,
+    ``done`` blocks before them and, where given, ``end`` at their end."""
+    waiting = [(j * total // m[i], i, j) for i, j in enumerate(done) if end is None or j < end[i]]
     heapq.heapify(waiting)
-    ready: list[tuple[int, str, int]] = []  # deadline, source, block
-    for slot in range(period):
+    ready: list[tuple[int, int, int]] = []  # deadline, source, block
+    out = []
+    for slot in range(start, stop):
         while waiting and waiting[0][0] <= slot:
-            _, k, j = heapq.heappop(waiting)
-            heapq.heappush(ready, (-(-j * period // slots[k]), k, j))
-        _, k, j = heapq.heappop(ready)
-        out[k].append(slot)
-        if j < slots[k]:
-            heapq.heappush(waiting, (j * period // slots[k], k, j + 1))
+            _, i, j = heapq.heappop(waiting)
+            heapq.heappush(ready, (due(j, m[i], total) if end is None else min(due(j, m[i], total), stop), i, j))
+        _, i, j = heapq.heappop(ready)
+        out.append(i)
+        if end is None or j + 1 < end[i]:
+            heapq.heappush(waiting, ((j + 1) * total // m[i], i, j + 1))
+    return out
+
+
+def edf_period(slots: dict[str, int]) -> dict[str, list[int]]:
+    """The slot of each block, where sources have whole slots of a period."""
+    keys = sorted(slots)
+    order = edf([slots[k] for k in keys], sum(slots.values()), 0, sum(slots.values()), [0] * len(keys))
+    return {k: [at for at, i in enumerate(order) if keys[i] == k] for k in keys}
+
+
+def plan(blocks: list[int], m: list[int], period: int) -> list[Phase]:
+    """The phases: each lasts until a source has had its last block, so there are at
+    most as many as sources."""
+    done, base, out = [0] * len(blocks), 0, []
+    while alive := [i for i, n in enumerate(blocks) if n > done[i]]:
+        w, left, total = [m[i] for i in alive], [blocks[i] - done[i] for i in alive], sum(m[i] for i in alive)
+        length = min(n * total // k for n, k in zip(left, w, strict=True))
+        # a window's length at most, so that a cut looks at no more slots than a piece has
+        step = max(period, -(-2 * total // min(w)))
+        if length > step:
+            end = counts_before(length, w, total)
+        else:
+            end = np.bincount(edf(w, total, 0, length, [0] * len(w)), minlength=len(w)).tolist()
+        for i, n in enumerate(left):  # one at most: a last block due with the next slot
+            if end[i] < n and due(n - 1, w[i], total) <= length + 1:
+                end[i], length = n, length + 1
+                break
+        out.append(Phase(base, length, step, alive, [done[i] for i in alive], end))
+        for i, n in zip(alive, end, strict=True):
+            done[i] += n
+        base += length
+    return out
+
+
+def piece(phase: Phase, m: list[int], start: int) -> list[tuple[int, int, int, int, int]]:
+    """``(source, block, release, deadline, slot)`` of the piece that begins at ``start``."""
+    w, stop = [m[i] for i in phase.alive], min(start + phase.step, phase.length)
+    total = sum(w)
+    at = counts_before(start, w, total)
+    end = phase.end if stop == phase.length else counts_before(stop, w, total)
+    out = []
+    for slot, i in enumerate(edf(w, total, start, stop, at, end), phase.base + start):
+        j = at[i]
+        at[i] += 1
+        out.append((phase.alive[i], phase.done[i] + j, phase.base + j * total // w[i], phase.base + due(j, w[i], total), slot))
     return out
 
 
 def phases(blocks: dict[str, int], weights: dict[str, float], period: int) -> tuple[list[tuple], list[tuple]]:
-    """Rows ``(source, phase, first, last, slots, period, base)`` and ``(source, phase, index, place)``:
-    blocks first..last-1 of a source run in that phase, block first+j at slot
-    base + (j div slots) * period + place of j mod slots. A phase runs until a
-    source is used up; there are at most as many phases as sources."""
-    left, done = {k: n for k, n in blocks.items() if n}, dict.fromkeys(blocks, 0)
-    spans, places, base, phase = [], [], 0, 0
-    while left:
-        slots = slots_per_period({k: weights[k] for k in left}, period)
-        order, length = edf_period(slots), sum(slots.values())
-        whole = min(left[k] // slots[k] for k in left)
-        after = {k: left[k] - whole * slots[k] for k in left}
-        # the rest: until the first source has had its last block
-        end = min([0 if not after[k] else order[k][after[k] - 1] + 1 for k in left if after[k] < slots[k]], default=0)
-        for k in list(left):
-            n = whole * slots[k] + sum(1 for x in order[k] if x < end)
-            spans.append((k, phase, done[k], done[k] + n, slots[k], length, base))
-            places += [(k, phase, i, x) for i, x in enumerate(order[k])]
-            done[k] += n
-            left[k] -= n
-            if not left[k]:
-                del left[k]
-        base += whole * length + end
-        phase += 1
+    """A small schedule as lists: rows ``(source, phase, first, last, blocks, length, base)``, as blocks
+    first..last-1 of a source run in that phase, and ``(source, phase, index, place)``:
+    block first+index at slot base + place."""
+    keys = sorted(blocks)
+    m = whole_weights([weights[k] for k in keys])
+    spans, places = [], []
+    for f, p in enumerate(plan([blocks[k] for k in keys], m, period)):
+        spans += [(keys[i], f, d, d + n, max(n, 1), p.length, p.base) for i, d, n in zip(p.alive, p.done, p.end, strict=True)]
+        first = dict(zip(p.alive, p.done, strict=True))
+        for start in range(0, p.length, p.step):
+            places += [(keys[i], f, j - first[i], slot - p.base) for i, j, _, _, slot in piece(p, m, start)]
     return spans, places
 
 
+def schedule(spark: SparkSession, blocks: dict[str, int], weights: dict[str, float], period: int) -> DataFrame:
+    """``(_mix_s, _mix_k, _mix_f, _mix_r, _mix_d, _mix_t)``: source, block, phase, release, deadline and slot of every block."""
+    keys = sorted(blocks)
+    m = whole_weights([weights[k] for k in keys])
+    planned = plan([blocks[k] for k in keys], m, period)
+    named = pa.array(keys, pa.string())
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for f, start in zip(batch["f"].to_pylist(), batch["start"].to_pylist(), strict=True):
+                i, *rest = (pa.array(c, pa.int64()) for c in zip(*piece(planned[f], m, start), strict=True))
+                columns = [named.take(i), rest[0], pa.array([f] * len(i), pa.int32()), *rest[1:]]
+                yield pa.RecordBatch.from_arrays(columns, names=["_mix_s", "_mix_k", "_mix_f", "_mix_r", "_mix_d", "_mix_t"])
+
+    rows = spark.createDataFrame([(f, p.length, p.step) for f, p in enumerate(planned)], "f int, length long, step long")
+    starts = rows.select("f", F.explode(F.expr("sequence(0L, length - 1, step)")).alias("start"))
+    pieces = sum(-(-p.length // p.step) for p in planned)
+    return starts.repartition(max(1, min(pieces, 1024))).mapInArrow(run, "_mix_s string, _mix_k long, _mix_f int, _mix_r long, _mix_d long, _mix_t long")
+
+
 def mix_sources(
     docs: DataFrame,
     weights: dict[str | None, float],
@@ -146,29 +254,18 @@ def mix_sources(
     least = min(named.values(), default=1.0)
     # one block more than the characters fill, for empty texts at the very end
     blocks = {k: n // block_chars + 1 for k, n in totals.items()}
-    spans, places = phases(blocks, {k: named.get(k, least) for k in blocks}, period)
-    span_rows = spark.createDataFrame(spans, "_mix_s string, _mix_f int, _mix_first long, _mix_last long, _mix_slots long, _mix_period long, _mix_base long")
-    place_rows = spark.createDataFrame(places, "_mix_s string, _mix_f int, _mix_i long, _mix_place long")
+    slots = schedule(spark, blocks, {k: named.get(k, least) for k in blocks}, period)
 
     prior = Window.partitionBy("_mix_s", "_mix_b").orderBy("_mix_h", id_col, "_mix_n").rowsBetween(Window.unboundedPreceding, -1)
     placed = (
         keyed.withColumn("_mix_p", F.coalesce(F.sum("_mix_n").over(prior), F.lit(0)))
         .join(offsets, ["_mix_s", "_mix_b"])
         .withColumn("_mix_k", F.floor((F.col("_mix_p") + F.col("_mix_o")) / F.lit(block_chars)).cast("long"))
-        .join(sized(span_rows, len(spans)), "_mix_s")
-        .where("_mix_k >= _mix_first AND _mix_k < _mix_last")
-        .withColumn("_mix_j", F.col("_mix_k") - F.col("_mix_first"))
-        .withColumn("_mix_i", F.col("_mix_j") % F.col("_mix_slots"))
-        .join(sized(place_rows, len(places)), ["_mix_s", "_mix_f", "_mix_i"])
+        .join(sized(slots, sum(blocks.values())), ["_mix_s", "_mix_k"])
     )
-    j, m, p, base = (F.col(c) for c in ("_mix_j", "_mix_slots", "_mix_period", "_mix_base"))
     return placed.select(
         *[F.col(f"`{c}`") for c in kept],
-        F.col("_mix_k").alias(mine[0]),
-        F.col("_mix_f").alias(mine[1]),
-        (base + F.floor(j * p / m)).cast("long").alias(mine[2]),
-        (base + F.ceil((j + 1) * p / m)).cast("long").alias(mine[3]),
-        (base + F.floor(j / m).cast("long") * p + F.col("_mix_place")).alias(mine[4]),
+        *[F.col(c).alias(name) for c, name in zip(("_mix_k", "_mix_f", "_mix_r", "_mix_d", "_mix_t"), mine, strict=True)],
     )
 
 
