@@ -193,6 +193,17 @@ def test_pfair_windows_and_deviation():
             assert abs(sum(x < t for x in order[k]) - t * m / period) < 1
 
 
+def test_license_scan_finds_phrases_whatever_the_corpus(spark):
+    """A mandatory phrase is found though the rarest words of the whole template stand outside it or nowhere."""
+    bsd, mpl = "Redistribution and use in source and binary forms are permitted provided that", "This file is released under the Mozilla Public License"
+    common = ["license public", "the license of the public", "mozilla public the license"] * 3
+    for others in ([], common, ["without modification are permitted", "subject to the terms", *common]):
+        table = spark.createDataFrame(list(enumerate([bsd, mpl, *others])), "doc_id long, text string")
+        got = {r["doc_id"]: (r["labels"], r["score"]) for r in scan_licenses(table).collect()}
+        assert got[0] == ("bsd", round(8 / 14, 6)) and got[1] == ("mpl", round(4 / 9, 6))
+        assert all(got[i] == ("", 0.0) for i in range(2, len(got)))
+
+
 @pytest.mark.parametrize("n, most", [(20, 4000), (500, 1500), (1200, 1000)])
 def test_schedule_follows_the_given_weights(n, most):
     """One source of weight 1/2 among n, one of an odd weight: less than one block off at every slot, over many pieces."""

@@ -1,8 +1,9 @@
 """License scans by a positional rare-token index, in DataFrame functions only.
 
 The words of all licence templates get their document frequency over the
-whole corpus. Each template is indexed under its rarest words, with their positions
-in it. A file's occurrences of such a word, less that position, are places
+whole corpus. Each template is indexed under the rarest words of its mandatory phrase,
+with their positions in the template: wherever the phrase stands, they all agree, so no
+place is lost, whichever words are rare in the corpus. A file's occurrences of such a word, less that position, are places
 where the template may start; places on which two rare words of a template
 agree (one, for phrases that are checked whole) are candidates, and a template's
 mandatory phrase must then stand at its place word by word. All of it happens within the
@@ -65,7 +66,7 @@ TEMPLATES = [
     Template("mpl", "subject to the terms of the mozilla public license", "mozilla public license"),
 ]
 
-#: Rare words of a template in the index; candidates need two of them.
+#: Rare words of a mandatory phrase in the index; candidates need two of them.
 RARE = 3
 
 
@@ -86,9 +87,9 @@ def strings(values: Sequence[str]) -> Column:
 
 
 def rare_positions(template: Template, df: dict[str, int]) -> list[int]:
-    """The positions of the template's highest-IDF words (the first place of each); ties: the
-    alphabetically first word."""
-    first = {w: i for i, w in reversed(list(enumerate(template.words)))}
+    """The template positions of its mandatory phrase's highest-IDF words (the first place of each within
+    the phrase); ties: the alphabetically first word."""
+    first = {w: i for i, w in reversed(list(enumerate(template.phrase, template.phrase_at)))}
     return [first[w] for w in sorted(first, key=lambda w: (df[w], w))[:RARE]]
 
 
