@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 from varguard.llm.chunk_dedup import exact_dedup, normalised
 from varguard.llm.common import read, written
 from varguard.llm.pairwise_quality import train_quality, with_score
-from varguard.llm.pfair_mix import in_mixed_order, mix_sources, root_weights
+from varguard.llm.pfair_mix import in_mixed_order, mix_sources, root_weights, with_stored_place
 from varguard.llm.piece_tokenizer import encode_texts, load_vocabulary
 from varguard.llm.simhash import simhash_groups
 
@@ -49,8 +49,9 @@ def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The documents' token ids, each decoded again and compared."""
-    return encode_texts(docs, load_vocabulary())
+    """The documents' token ids, each decoded again and compared, in the mixed order; ``mixed_place`` is a document's place in it."""
+    placed = with_stored_place(docs.select("doc_id", "text"), "mixed_place")
+    return encode_texts(placed.orderBy("mixed_place"), load_vocabulary(), place_col="mixed_place")
 
 
 STAGES = [("quality", quality), ("exact_dedup", exact), ("near_dedup", near), ("mix", mix), ("tokens", tokens)]

@@ -55,6 +55,32 @@ def test_pipeline(spark):
     assert p.run(spark, SF).count() > 0
 
 
+@pytest.mark.skipif(importlib.util.find_spec("corpus_pipeline") is None, reason="the pipeline was removed")
+def test_run_keeps_the_mixed_order(spark, monkeypatch):
+    """The rows of run() stand in the order of the schedule, though the mixed table has many files of different sizes."""
+    import corpus_pipeline as p
+    from varguard.llm.pfair_mix import mix_sources, root_weights
+
+    stored = {}
+
+    def keeping(df, name):
+        stored[name] = p_written(df, name)
+        return stored[name]
+
+    p_written = p.written
+    monkeypatch.setattr(p, "written", keeping)
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        rows = p.run(spark, SF).collect()
+    finally:
+        spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+    assert len(stored["mix"].inputFiles()) > 4
+    before = stored["near_dedup"]
+    mixed = mix_sources(before, root_weights(before)).orderBy("slot", F.xxhash64("doc_id", F.lit("mix")))
+    assert [r["doc_id"] for r in rows] == [r["doc_id"] for r in mixed.select("doc_id").collect()]
+    assert [r["mixed_place"] for r in rows] == list(range(len(rows)))
+
+
 @pytest.mark.skipif(importlib.util.find_spec("corpus_pipeline") is None, reason="the pipeline was removed")
 def test_stages_on_empty_and_null_tables(spark):
     """Empty tables stay empty; rows of nulls only are never dropped as copies or rejected by an untrained model."""

@@ -16,6 +16,7 @@ document keeps its place exactly once.
 from __future__ import annotations
 
 import heapq
+import re
 from collections.abc import Iterator
 from fractions import Fraction
 from math import lcm
@@ -23,6 +24,7 @@ from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -278,3 +280,20 @@ def in_mixed_order(mixed: DataFrame, columns: list[str], slot_col: str = "slot",
     written next stand in that order."""
     order = [F.col(slot_col), F.xxhash64(F.col(id_col), F.lit("mix"))]
     return mixed.repartitionByRange(*order).sortWithinPartitions(*order).select(*[F.col(f"`{c}`") for c in columns])
+
+
+def with_stored_place(docs: DataFrame, name: str) -> DataFrame:
+    """``docs`` with ``name``, its rows' places from 0 in the order in which the table was written: files by part
+    number, rows as they stand in a file. Spark itself reads files in the order of their sizes. Rows that
+    don't come from files are numbered, with gaps, as their partitions stand."""
+    try:
+        kept = docs.select("*", F.col("_metadata.file_path").alias("_file"), F.col("_metadata.row_index").alias("_row"))
+    except AnalysisException:
+        return docs.withColumn(name, F.monotonically_increasing_id())
+    files = kept.groupBy("_file").agg((F.max("_row") + 1).alias("n")).collect()
+    starts, total = [], 0
+    for r in sorted(files, key=lambda r: [int(x) if x.isdigit() else x for x in re.split(r"(\d+)", re.sub(r"(part-\d+)-.*?([-.]c\d+)", r"\1\2", r["_file"]))]):
+        starts.append((r["_file"], total))
+        total += r["n"]
+    first = docs.sparkSession.createDataFrame(starts, "_file string, _first long")
+    return kept.join(F.broadcast(first), "_file").withColumn(name, F.col("_first") + F.col("_row")).drop("_file", "_row", "_first")

@@ -197,8 +197,10 @@ def share(df: DataFrame, vocabulary: Vocabulary) -> Shared:
     return Shared(df.sparkSession.sparkContext.broadcast(vocabulary), str(hash((vocabulary.byte_ids, len(vocabulary.pieces), vocabulary.pieces[-1]))))
 
 
-def encode_texts(docs: DataFrame, vocabulary: Vocabulary, id_col: str = "doc_id", text_col: str = "text", check: bool = True) -> DataFrame:
-    """``(doc_id, n_tokens, ids, round_trip)`` of each row's whole text.
+def encode_texts(
+    docs: DataFrame, vocabulary: Vocabulary, id_col: str = "doc_id", text_col: str = "text", check: bool = True, place_col: str | None = None
+) -> DataFrame:
+    """``(doc_id, n_tokens, ids, round_trip)`` of each row's whole text, and the long ``place_col`` where given.
 
     ``round_trip`` says whether decoding the ids gave the text's very bytes
     (null without ``check``). Null texts have null ids, count and check; empty ones have no ids. Repeated
@@ -216,24 +218,27 @@ def encode_texts(docs: DataFrame, vocabulary: Vocabulary, id_col: str = "doc_id"
                 rows.append((ids, None if data is None or not check else made.decode(ids) == data))
                 size += len(ids or b"")
                 if size >= FLUSH or at + 1 == len(texts):
-                    yield out(batch["id"].slice(start, len(rows)), rows)
+                    yield out(batch.slice(start, len(rows)), rows)
                     start, size, rows = at + 1, 0, []
 
-    def out(ids: pa.Array, rows: list) -> pa.RecordBatch:
+    def out(batch: pa.RecordBatch, rows: list) -> pa.RecordBatch:
         sizes = np.array([len(r[0] or b"") // 4 for r in rows], np.int64)
         offsets = pa.array(np.concatenate([[0], np.cumsum(sizes)]).astype(np.int32), mask=np.array([r[0] is None for r in rows] + [False]))
         values = pa.Array.from_buffers(pa.int32(), int(sizes.sum()), [None, pa.py_buffer(b"".join(r[0] or b"" for r in rows))])
         return pa.record_batch(
             {
-                "id": ids,
+                "id": batch["id"],
                 "n_tokens": pa.array([None if r[0] is None else len(r[0]) // 4 for r in rows], pa.int64()),
                 "ids": pa.ListArray.from_arrays(offsets, values),
                 "round_trip": pa.array([r[1] for r in rows], pa.bool_()),
             }
+            | ({"place": batch["place"]} if place_col else {})
         )
 
-    texts = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text"))
-    return texts.mapInArrow(run, "id long, n_tokens long, ids array<int>, round_trip boolean").withColumnRenamed("id", id_col)
+    place = [F.col(place_col).cast("long").alias("place")] if place_col else []
+    texts = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text"), *place)
+    made = texts.mapInArrow(run, "id long, n_tokens long, ids array<int>, round_trip boolean" + (", place long" if place_col else ""))
+    return made.withColumnsRenamed({"id": id_col} | ({"place": place_col} if place_col else {}))
 
 
 def decode_ids(table: DataFrame, vocabulary: Vocabulary, id_col: str = "doc_id", ids_col: str = "ids") -> DataFrame:
