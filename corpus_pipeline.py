@@ -2,7 +2,7 @@
 
 A stage takes ``(spark, docs, sf_dir)`` and returns a DataFrame; all but the last
 return the columns of ``docs``. A row without ``doc_id`` is never dropped as a
-copy: it can't be told from others. Rows that share an id are one document.
+copy: it can't be told from others. Rows that share an id are judged each by its text.
 """
 
 from __future__ import annotations
@@ -15,7 +15,7 @@ from varguard.llm.common import read, written
 from varguard.llm.pairwise_quality import train_quality, with_score
 from varguard.llm.pfair_mix import in_mixed_order, mix_sources, root_weights, with_stored_place
 from varguard.llm.piece_tokenizer import encode_texts, load_vocabulary
-from varguard.llm.simhash import simhash_groups
+from varguard.llm.simhash import simhash_groups, with_fingerprint
 
 
 def same_columns(result: DataFrame, docs: DataFrame) -> DataFrame:
@@ -37,10 +37,12 @@ def exact(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each SimHash component, the one with the smallest id."""
-    groups = simhash_groups(docs, words=3, max_bits=3)
-    gone = groups.where("doc_id <> component_id").select(F.col("doc_id").alias("_gone")).distinct()
-    return same_columns(docs.join(gone, F.col("doc_id") == F.col("_gone"), "left_anti"), docs)
+    """One document of each SimHash component, the one with the smallest id. Where rows of an id have
+    different texts, each is judged by its own."""
+    copies = simhash_groups(docs, words=3, max_bits=3).where("doc_id <> component_id").select("doc_id", "fingerprint").distinct()
+    keyed = with_fingerprint(docs, "_fp", words=3)
+    gone = copies.select(F.col("doc_id").alias("_gone"), F.col("fingerprint").alias("_gone_fp"))
+    return same_columns(keyed.join(gone, (F.col("doc_id") == F.col("_gone")) & (F.col("_fp") == F.col("_gone_fp")), "left_anti"), docs)
 
 
 def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

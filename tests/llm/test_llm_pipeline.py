@@ -81,6 +81,16 @@ def test_run_keeps_the_mixed_order(spark, monkeypatch):
     assert [r["mixed_place"] for r in rows] == list(range(len(rows)))
 
 
+@pytest.mark.skipif(importlib.util.find_spec("corpus_pipeline") is None, reason="the pipeline was removed")
+def test_near_keeps_a_row_of_each_component(spark):
+    """An id with two texts: the copy of another's goes, the text that represents its component stays."""
+    import corpus_pipeline as p
+
+    x, y = " ".join(f"river{i}" for i in range(60)), " ".join(f"stone{i}" for i in range(60))
+    docs = spark.createDataFrame([(3, x), (7, x), (7, y), (9, y), (None, y)], "doc_id long, text string")
+    assert sorted(map(tuple, p.near(spark, docs, SF).collect()), key=str) == sorted([(3, x), (7, y), (None, y)], key=str)
+
+
 @pytest.mark.skipif(importlib.util.find_spec("corpus_pipeline") is None, reason="the pipeline was removed")
 def test_stages_on_empty_and_null_tables(spark):
     """Empty tables stay empty; rows of nulls only are never dropped as copies or rejected by an untrained model."""

@@ -61,6 +61,19 @@ def fingerprints(docs: DataFrame, id_col: str, text_col: str, words: int) -> Dat
     return docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text")).mapInArrow(run, "id long, fp long")
 
 
+def with_fingerprint(docs: DataFrame, name: str, words: int = 3, text_col: str = "text") -> DataFrame:
+    """``docs`` with ``name``, the fingerprint as :func:`simhash_groups` gives it."""
+
+    @F.pandas_udf("long")
+    def fp(texts):
+        import pandas as pd
+
+        found = [fingerprint(t.encode() if isinstance(t, str) else b"", words) for t in texts]
+        return pd.Series(np.array(found, np.uint64).view(np.int64))
+
+    return docs.withColumn(name, F.lower(F.lpad(F.hex(fp(F.col(text_col).cast("string"))), 16, "0")))
+
+
 def bands(max_bits: int) -> list[range]:
     cuts = [round(i * 64 / (max_bits + 2)) for i in range(max_bits + 3)]
     return [range(a, b) for a, b in zip(cuts, cuts[1:])]  # noqa: B905
