@@ -5,16 +5,20 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
+from .block_neighbours import nearest_neighbours
 from .common import read
 from .chunk_dedup import exact_dedup
 from .lattice_dedup import embedding_groups
 from .license_scan import BASE_PHRASES, TEMPLATES, scan_licenses
 from .pairwise_quality import score_quality
 from .pfair_mix import mix_sources, root_weights
+from .phrase_mining import collocations
 from .piece_tokenizer import encode_texts, load_vocabulary
 from .repeat_spans import remove_repeats
 from .simhash import simhash_groups
+from .target_resample import resample_to_target
 from .token_spans import attribute_tokens, sentences
 from .url_filter import judge_urls
 
@@ -176,3 +180,105 @@ FROM d LEFT JOIN gone USING (r)
 @query("op9_repeat_spans", REPEAT_SQL)
 def op9_repeat_spans(spark: SparkSession, sf_dir: str) -> DataFrame:
     return remove_repeats(read(spark, sf_dir, "documents"), k=13)
+
+
+LOWER_SQL = "translate(%s, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
+
+# crc32 is linear: a byte's part depends on its distance from the end, that of the start value on the length
+RESAMPLE_SQL = r"""
+WITH RECURSIVE
+steps(b, i, v) AS (
+  SELECT CAST(b AS UBIGINT), 0, CAST(b AS UBIGINT) FROM range(256) t(b)
+  UNION ALL
+  SELECT b, i + 1, CASE WHEN v %% 2 = 1 THEN xor(v >> 1, CAST(3988292384 AS UBIGINT)) ELSE v >> 1 END FROM steps WHERE i < 8),
+tab AS (SELECT b, v FROM steps WHERE i = 8),
+texts AS (
+  SELECT false AS target, row_number() OVER () AS r, doc_id, text FROM documents
+  UNION ALL SELECT true, -row_number() OVER (), NULL, text FROM benchmark),
+words AS (SELECT target, r, doc_id, regexp_extract_all(%s, '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS ws FROM texts),
+feats AS (
+  SELECT target, r, unnest(ws || list_transform(range(1, len(ws)), lambda i: ws[i] || ' ' || ws[i + 1])) AS f FROM words),
+each AS (SELECT f, hex(encode(f)) AS h, CAST(length(hex(encode(f))) // 2 AS BIGINT) AS size FROM (SELECT DISTINCT f FROM feats)),
+part(k, b, v) AS (
+  SELECT CAST(0 AS BIGINT), b, v FROM tab
+  UNION ALL
+  SELECT k + 1, p.b, xor(p.v >> 8, t.v) FROM part p JOIN tab t ON t.b = p.v %% 256 WHERE k + 1 < (SELECT max(size) FROM each)),
+start(k, v) AS (
+  SELECT CAST(0 AS BIGINT), CAST(4294967295 AS UBIGINT)
+  UNION ALL
+  SELECT k + 1, xor(s.v >> 8, t.v) FROM start s JOIN tab t ON t.b = s.v %% 256 WHERE k < (SELECT max(size) FROM each)),
+bytes AS (
+  SELECT f, size, size - 1 - i AS k, CAST('0x' || substr(h, 2 * i + 1, 2) AS UBIGINT) AS b
+  FROM (SELECT f, h, size, unnest(range(size)) AS i FROM each)),
+sums AS (SELECT f, any_value(size) AS size, bit_xor(p.v) AS v FROM bytes JOIN part p USING (k, b) GROUP BY f),
+hashed AS (SELECT f, xor(xor(sums.v, start.v), CAST(4294967295 AS UBIGINT)) %% 10000 AS bucket FROM sums JOIN start ON start.k = size),
+placed AS (SELECT target, r, bucket FROM feats JOIN hashed USING (f)),
+counted AS (SELECT bucket, count(*) FILTER (NOT target) AS s, count(*) FILTER (target) AS t FROM placed GROUP BY bucket),
+gain AS (
+  SELECT bucket, floor(1000 * ln((t + 1)::DOUBLE * ((SELECT sum(s) FROM counted) + 10000)::DOUBLE
+         / ((s + 1)::DOUBLE * ((SELECT sum(t) FROM counted) + 10000)::DOUBLE))) AS g FROM counted),
+weights AS (SELECT r, floor(sum(g) / count(*)) AS w FROM placed JOIN gain USING (bucket) WHERE NOT target GROUP BY r),
+scored AS (
+  SELECT doc_id, len(ws) AS n_words, CAST(greatest(2 * len(ws) - 1, 0) AS BIGINT) AS n_features, CAST(coalesce(w, 0) AS BIGINT) AS weight,
+         CAST(coalesce(w, 0) + floor(-1000 * ln(-ln((CAST('0x' || substr(sha256('7:' || doc_id), 1, 8) AS UBIGINT)::DOUBLE + 0.5) / 4294967296))) AS BIGINT) AS score
+  FROM words LEFT JOIN weights USING (r) WHERE NOT target),
+ranks AS (SELECT *, row_number() OVER (PARTITION BY n_words >= 20 ORDER BY score DESC, doc_id) AS place FROM scored)
+SELECT doc_id, n_features, weight, score,
+       CASE WHEN n_words >= 20 AND place <= 25 * (SELECT count(*) FROM scored WHERE n_words >= 20) // 100 THEN place END AS rank
+FROM ranks
+""" % (LOWER_SQL % "coalesce(text, '')")
+
+
+@query("op11_resample", RESAMPLE_SQL)
+def op11_resample(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return resample_to_target(read(spark, sf_dir, "documents"), read(spark, sf_dir, "benchmark"), percent=25, seed=7, min_words=20)
+
+
+NEIGHBOUR_SQL = r"""
+WITH e AS (
+  SELECT vec_id, list_transform(embedding, lambda x: CAST(x AS DOUBLE)) AS v FROM embeddings
+  WHERE len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0 AND len(list_filter(embedding, lambda x: x <> 0)) > 0),
+pairs AS (
+  SELECT q.vec_id AS query_id, c.vec_id, list_reduce(list_transform(list_zip(q.v, c.v), lambda p: p[1] * p[2]), lambda x, y: x + y) AS score
+  FROM e q JOIN e c ON q.vec_id <> c.vec_id AND len(q.v) = len(c.v) WHERE q.vec_id % 20 = 0)
+SELECT query_id, CAST(row_number() OVER near AS INTEGER) AS rank, vec_id, score FROM pairs
+WINDOW near AS (PARTITION BY query_id ORDER BY score DESC, vec_id) QUALIFY row_number() OVER near <= 20
+"""
+
+
+@query("op12_neighbours", NEIGHBOUR_SQL)
+def op12_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return nearest_neighbours(read(spark, sf_dir, "embeddings"), F.col("vec_id") % 20 == 0, k=20)
+
+
+COLLOCATION_SQL = r"""
+WITH pieces AS (
+  SELECT coalesce(lang, 'und') AS lang, unnest(string_split_regex(%s, '[.,;:!?\x0A-\x0D]')) AS piece FROM documents),
+words AS (SELECT lang, regexp_extract_all(piece, '[^\x20\x09]+') AS ws FROM pieces),
+grams AS (
+  SELECT lang, size, unnest(list_transform(range(1, len(ws) - size + 2), lambda i: array_to_string(ws[i : i + size - 1], ' '))) AS phrase
+  FROM words, range(1, 5) t(size)),
+f AS (SELECT lang, phrase, any_value(size) AS size, count(*) AS f FROM grams GROUP BY lang, phrase HAVING count(*) >= 30),
+total AS (SELECT lang, CAST(sum(len(ws)) AS BIGINT) AS n FROM words GROUP BY lang),
+long AS (SELECT lang, phrase, size, f AS a, string_split(phrase, ' ') AS w FROM f WHERE size > 1),
+cuts AS (
+  SELECT lang, phrase, a, k, array_to_string(w[1 : k], ' ') AS head, array_to_string(w[k + 1 :], ' ') AS tail
+  FROM (SELECT *, unnest(range(1, size)) AS k FROM long)),
+scored AS (
+  SELECT c.lang, c.phrase, a, k, h.f AS l, t.f AS r, CAST(CAST(2000000 AS HUGEINT) * a // (CAST(h.f AS HUGEINT) + t.f) AS BIGINT) AS score
+  FROM cuts c JOIN f h ON h.lang = c.lang AND h.phrase = c.head JOIN f t ON t.lang = c.lang AND t.phrase = c.tail),
+best AS (SELECT * FROM scored QUALIFY row_number() OVER (PARTITION BY lang, phrase ORDER BY score, k) = 1),
+inside AS (
+  SELECT lang, array_to_string(w[pos : pos + part - 1], ' ') AS phrase, max(a) AS longer
+  FROM (SELECT lang, w, a, part, unnest(range(1, size - part + 2)) AS pos FROM (SELECT *, unnest(range(2, size)) AS part FROM long)) GROUP BY ALL),
+ranked AS (
+  SELECT b.*, row_number() OVER (PARTITION BY b.lang ORDER BY score DESC, a DESC, encode(b.phrase)) AS rank
+  FROM best b LEFT JOIN inside i ON i.lang = b.lang AND i.phrase = b.phrase
+  WHERE longer IS NULL OR 100 * CAST(longer AS HUGEINT) < 80 * CAST(a AS HUGEINT))
+SELECT lang, rank, phrase, a, l, r, n, score FROM ranked JOIN total USING (lang) WHERE rank <= 2000
+""" % (LOWER_SQL % "coalesce(text, '')")
+
+
+@query("op13_collocations", COLLOCATION_SQL)
+def op13_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return collocations(read(spark, sf_dir, "documents"), least=30, most_words=4, top=2000, percent=80)
