@@ -2,9 +2,9 @@
 
 Vectors are kept as int8 copies with a rigorous error bound and packed into blocks. Every query
 block meets every block of candidates (an equi-join on the strip of blocks): an integer matrix
-product gives all inner products of the tile, and the bounds of quantisation tell which pairs may
-be among the nearest. Those are computed again in double precision on the vectors themselves
-and merged by heaps.
+product gives all inner products of the tile within the bounds of quantisation. A first pass over the tiles
+finds each query's k-th largest lower bound, a second one the pairs whose upper bound reaches it. Those
+are computed again in double precision on the vectors themselves and merged by heaps.
 
 Equal vectors are one node that keeps its smallest ids: of equal rows only those can be among
 the nearest, so a vector that holds a third of all rows costs no more than any other.
@@ -81,36 +81,71 @@ def tile_bounds(x: Block, y: Block, part: slice) -> tuple[np.ndarray, np.ndarray
     return low, high
 
 
-def surviving_pairs(tiles: DataFrame, keep: int) -> DataFrame:
-    """``(a, b, low, high)``: the pairs whose upper bound reaches the ``keep``-th largest lower bound that the query
-    has among the blocks that follow one another in a task (a strip's, as the join makes them)."""
+def meetings(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple]:
+    """``(row, x, new, y)`` of each tile: the query block and a block of candidates; ``new``: another query block than before."""
+    key, x = None, None
+    for batch in batches:
+        for row in batch.to_pylist():
+            if new := (row["strip"], row["nth"]) != key:
+                key, x = (row["strip"], row["nth"]), Block(row["dim"], row["ids"], row["copies"], row["facts"])
+            yield row, x, new, Block(row["dim"], row["c_ids"], row["c_copies"], row["c_facts"])
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        key, x, best, found = None, None, None, []
+
+def largest(values: np.ndarray, keep: int) -> np.ndarray:
+    """The ``keep`` largest of each row, in any order."""
+    return np.partition(values, values.shape[1] - keep, axis=1)[:, -keep:] if values.shape[1] > keep else values
+
+
+def least_scores(tiles: DataFrame, keep: int) -> DataFrame:
+    """``(nth, least)``: for each query of a block the ``keep``-th largest lower bound over all candidates; no pair
+    whose upper bound is below it can be among the ``keep`` nearest. Each strip sends its largest bounds only."""
+
+    def of_strip(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        nth, best = None, None
+        for row, x, new, y in meetings(batches):
+            if new:
+                if best is not None:
+                    yield pa.record_batch({"nth": pa.array([nth], pa.int64()), "best": pa.array([best.tobytes()], pa.binary())})
+                nth, best = row["nth"], np.full((len(x.ids), keep), -np.inf)
+            for at in range(0, len(y.ids), TILE):
+                best = largest(np.concatenate([best, tile_bounds(x, y, slice(at, at + TILE))[0]], axis=1), keep)
+        if best is not None:
+            yield pa.record_batch({"nth": pa.array([nth], pa.int64()), "best": pa.array([best.tobytes()], pa.binary())})
+
+    def of_all(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        nth, best = None, None
 
         def out() -> pa.RecordBatch:
-            a, b, low, high = (np.concatenate(z) for z in zip(*found, strict=True))
-            fit = high >= best[a, 0]
-            return pa.record_batch({"a": pa.array(x.ids[a[fit]]), "b": pa.array(b[fit]), "low": pa.array(low[fit]), "high": pa.array(high[fit])})
+            return pa.record_batch({"nth": pa.array([nth], pa.int64()), "least": pa.array([best.min(axis=1).tobytes()], pa.binary())})
 
         for batch in batches:
             for row in batch.to_pylist():
-                if (new := (row["strip"], row["nth"])) != key:
-                    if found:
+                found = np.frombuffer(row["best"], np.float64).reshape(-1, keep)
+                if row["nth"] == nth:
+                    best = largest(np.concatenate([best, found], axis=1), keep)
+                else:
+                    if best is not None:
                         yield out()
-                    key, x, found = new, Block(row["dim"], row["ids"], row["copies"], row["facts"]), []
-                    best = np.full((len(x.ids), keep), -np.inf)  # of each query, ascending
-                y = Block(row["dim"], row["c_ids"], row["c_copies"], row["c_facts"])
-                for at in range(0, len(y.ids), TILE):
-                    part = slice(at, at + TILE)
-                    low, high = tile_bounds(x, y, part)
-                    best = np.sort(np.partition(np.concatenate([best, low], axis=1), low.shape[1], axis=1)[:, -keep:], axis=1)
-                    a, b = np.nonzero(high >= best[:, :1])
-                    found.append((a, y.ids[part][b], low[a, b], high[a, b]))
-        if found:
+                    nth, best = row["nth"], found
+        if best is not None:
             yield out()
 
-    return tiles.mapInArrow(run, "a long, b long, low double, high double")
+    bests = tiles.mapInArrow(of_strip, "nth long, best binary")
+    return bests.repartition("nth").sortWithinPartitions("nth").mapInArrow(of_all, "nth long, least binary")
+
+
+def surviving_pairs(tiles: DataFrame) -> DataFrame:
+    """``(a, b)``: pairs whose upper bound reaches their query's ``least``."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for row, x, _, y in meetings(batches):
+            least = np.frombuffer(row["least"], np.float64)[:, None]
+            for at in range(0, len(y.ids), TILE):
+                part = slice(at, at + TILE)
+                a, b = np.nonzero(tile_bounds(x, y, part)[1] >= least)
+                yield pa.record_batch({"a": pa.array(x.ids[a]), "b": pa.array(y.ids[part][b])})
+
+    return tiles.mapInArrow(run, "a long, b long")
 
 
 def by_query(rows: DataFrame, pick, schema: str, *order: str) -> DataFrame:
@@ -194,24 +229,23 @@ def nearest_neighbours(
     asking = written(packed(nodes.where("asks"), block).withColumn("nth", F.monotonically_increasing_id()), "queries")
     n = max(1, blocks.count())
     strips = min(n, max(-(-n // strip), int(spark.conf.get("spark.sql.shuffle.partitions"))))
-    sent = asking.withColumn("strip", F.explode(F.sequence(F.lit(0), F.lit(strips - 1))))
     met = blocks.select(
         F.pmod(F.xxhash64("nth"), F.lit(strips)).cast("int").alias("strip"), "dim", *[F.col(c).alias(f"c_{c}") for c in ("ids", "copies", "facts")]
     )
-    tiles = sent.join(met, ["strip", "dim"]).select("strip", "nth", "dim", "ids", "copies", "facts", "c_ids", "c_copies", "c_facts")
-    bounded = surviving_pairs(tiles, k + 1)
 
-    def reach(found: list) -> list:
-        """The candidates whose upper bound reaches the (k + 1)-th largest lower bound of all strips."""
-        most = heapq.nlargest(k + 1, (low for _, low, _ in found))
-        return [(b,) for b, _, high in found if len(most) <= k or high >= most[-1]]
+    def tiles(asking: DataFrame) -> DataFrame:
+        """Merged: a query block meets the blocks of its strip one after the other."""
+        sent = asking.withColumn("strip", F.explode(F.sequence(F.lit(0), F.lit(strips - 1))))
+        return sent.join(met.hint("merge"), ["strip", "dim"])
+
+    least = written(least_scores(tiles(asking), k + 1), "least")
+    survivors = surviving_pairs(tiles(asking.join(least, "nth")))
 
     def merge(found: list) -> list:
         """The k + 1 nearest rows of a query, each with its vector's node."""
         entries = ((-score, i is None, i or 0, b) for b, score, ids in found for i in ids)
         return [(-s, None if none else i, b) for s, none, i, b in heapq.nsmallest(k + 1, entries)]
 
-    survivors = by_query(bounded, reach, "a long, b long")
     near = by_query(inner_products(survivors, nodes), merge, "a long, score double, vec long, b long")
     lists = near.groupBy("a").agg(F.collect_list(F.struct("score", "vec", "b")).alias("near"))  # k + 1 entries
     of_query = rows.where("asks").select("id", "v").join(nodes.where("asks").select("v", F.col("node").alias("a")), "v").select("id", "a")
