@@ -101,9 +101,9 @@ def from_planes(data: bytes, kind) -> np.ndarray:
     return np.ascontiguousarray(np.frombuffer(data, np.uint8).reshape(kind.itemsize, -1).T).view(kind).ravel().astype(kind.newbyteorder("="))
 
 
-@lru_cache(maxsize=4)
+@lru_cache(maxsize=2)
 def powers(base: int, size: int) -> tuple[np.ndarray, np.ndarray]:
-    """Powers of ``base`` and of its inverse modulo 2^64."""
+    """Powers of ``base`` and of its inverse modulo 2^64. A worker keeps those for bytes and for words."""
     both = []
     for x in (base, pow(base, -1, 1 << 64)):
         row = np.full(size, x, np.uint64)
@@ -121,11 +121,12 @@ def mixed(x: np.ndarray, salt: int) -> np.ndarray:
 
 def spans(values: np.ndarray, start: np.ndarray, end: np.ndarray, base: int) -> np.ndarray:
     """Polynomial hashes of ``values[start:end]`` for each pair, from one prefix sum."""
-    size = 1 << max(10, int(len(values)).bit_length())
+    size = (len(values) // (1 << 19) + 1) << 19  # few sizes: most chunks are equally long
     up, down = powers(base, size)
     prefix = np.zeros(len(values) + 1, np.uint64)
-    np.cumsum(values * up[: len(values)], out=prefix[1:])
-    return (prefix[end] - prefix[start]) * down[start]
+    np.multiply(values, up[: len(values)], out=prefix[1:])
+    np.cumsum(prefix[1:], out=prefix[1:])
+    return (prefix[end] - prefix[start]) * down[start]  # differences of sums wrap as the sums do
 
 
 class Chunk:
