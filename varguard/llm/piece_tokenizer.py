@@ -11,6 +11,7 @@ paths of its words, which are remembered up to a bound.
 
 from __future__ import annotations
 
+import hashlib
 import math
 from array import array
 from collections.abc import Iterator
@@ -194,7 +195,12 @@ class Shared:
 
 
 def share(df: DataFrame, vocabulary: Vocabulary) -> Shared:
-    return Shared(df.sparkSession.sparkContext.broadcast(vocabulary), str(hash((vocabulary.byte_ids, len(vocabulary.pieces), vocabulary.pieces[-1]))))
+    return Shared(df.sparkSession.sparkContext.broadcast(vocabulary), vocabulary_digest(vocabulary))
+
+
+def vocabulary_digest(vocabulary: Vocabulary) -> str:
+    """A name that two vocabularies share only if all their pieces, scores and byte ids are equal."""
+    return hashlib.sha256(repr(vocabulary).encode("utf-8", "surrogatepass")).hexdigest()
 
 
 def encode_texts(
