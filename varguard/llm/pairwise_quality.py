@@ -92,14 +92,14 @@ class PairwiseModel:
 
 
 def train_rows(docs: DataFrame, labels: DataFrame, label_col: str, max_train: int) -> DataFrame:
-    """``(id, label, text)`` of at most ``max_train`` labelled documents that aren't held out.
-    They are picked among the ids before any text moves."""
+    """``(id, label, text)`` of the documents of at most ``max_train`` labels that aren't held out.
+    Labels are picked before any text moves; an id that several documents have brings all of them."""
     marked = labels.select(F.col("doc_id").alias("id"), F.col(label_col).cast("int").alias("label"))
     picked = (
         marked.where("id IS NOT NULL AND label IN (0, 1)").where(~held_out(F.col("id"))).orderBy(F.xxhash64("id"), "id", "label").limit(max_train)
     )
     texts = docs.select(F.col("doc_id").alias("id"), F.col("text"))
-    return texts.join(F.broadcast(picked), "id")  # max_train rows at most
+    return texts.join(F.broadcast(picked), "id")  # max_train labels at most
 
 
 def fit(x: np.ndarray, label: np.ndarray, ids: np.ndarray) -> PairwiseModel:
@@ -132,8 +132,10 @@ def fit(x: np.ndarray, label: np.ndarray, ids: np.ndarray) -> PairwiseModel:
 
 
 def train_quality(docs: DataFrame, labels: DataFrame, label_col: str = "quality", max_train: int = MAX_TRAIN) -> PairwiseModel:
-    """The model learnt from ``labels(doc_id, quality)``; bounded by ``max_train`` rows."""
-    rows = feature_table(train_rows(docs, labels, label_col, max_train), ["id", "label"]).collect()
+    """The model learnt from ``labels(doc_id, quality)``, from ``max_train`` rows at most: where ids repeat
+    in ``docs``, equal rows count once and the first by hash are taken."""
+    found = feature_table(train_rows(docs, labels, label_col, max_train), ["id", "label"]).distinct()
+    rows = found.orderBy(F.xxhash64("id", "x"), "id", "label", "x").limit(max_train).collect()
     x = np.array([r["x"] for r in rows]).reshape(len(rows), N_FEATURES)
     return fit(x, np.array([r["label"] for r in rows], int), np.array([r["id"] for r in rows], np.int64))
 
@@ -156,7 +158,7 @@ def score_quality(docs: DataFrame, labels: DataFrame, label_col: str = "quality"
 
     Null and empty texts are scored like any other, repeated rows each.
     Labels that are null, or on null or unknown ids, are ignored; a label
-    given several times counts as often. An empty table gives an empty result, empty
+    given several times counts once. An empty table gives an empty result, empty
     ``labels`` score 1/2. Other columns are never looked at.
     """
     model = train_quality(docs, labels, label_col, max_train)
