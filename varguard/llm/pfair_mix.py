@@ -230,21 +230,22 @@ def mix_sources(
     own, null and empty texts have no characters and go with the block at which
     they fall. Repeated rows keep their number. An empty table gives an empty result.
 
-    Each source is cut by hash into sub-streams, so that a source with a third
-    of all rows is ordered by many tasks; only one row for each source reaches the driver.
+    Each source is cut by hash of id and text into sub-streams, so that neither a source nor an id with a third
+    of all rows is ordered by one task; only one row for each source reaches the driver.
     """
     spark = docs.sparkSession
     mine = [prefix + c for c in ("block", "phase", "release", "deadline", "slot")]
     kept = [c for c in docs.columns if c not in mine]
     keyed = docs.select(
-        *[F.col(f"`{c}`") for c in kept],
+        F.struct(*[F.col(f"`{c}`") for c in kept]).alias("_mix_row"),  # so no name of theirs can clash
         source_key(source_col).alias("_mix_s"),
         F.xxhash64(F.col(id_col), F.lit("mix")).alias("_mix_h"),
+        F.xxhash64(F.col(id_col), F.col(text_col)).alias("_mix_x"),
         F.coalesce(F.length(text_col), F.lit(0)).cast("long").alias("_mix_n"),
     )
     rows = docs.count()
     streams = max(1, -(-rows // ROWS_PER_STREAM))
-    keyed = keyed.withColumn("_mix_b", F.pmod(F.shiftright("_mix_h", 20), F.lit(streams)))
+    keyed = keyed.withColumn("_mix_b", F.pmod("_mix_x", F.lit(streams)))
     sizes = keyed.groupBy("_mix_s", "_mix_b").agg(F.sum("_mix_n").alias("n"))
     before = Window.partitionBy("_mix_s").orderBy("_mix_b").rowsBetween(Window.unboundedPreceding, -1)
     offsets = sizes.select("_mix_s", "_mix_b", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("_mix_o"))
@@ -258,7 +259,7 @@ def mix_sources(
     blocks = {k: n // block_chars + 1 for k, n in totals.items()}
     slots = schedule(spark, blocks, {k: named.get(k, least) for k in blocks}, period)
 
-    prior = Window.partitionBy("_mix_s", "_mix_b").orderBy("_mix_h", id_col, "_mix_n").rowsBetween(Window.unboundedPreceding, -1)
+    prior = Window.partitionBy("_mix_s", "_mix_b").orderBy("_mix_h", "_mix_x", "_mix_n").rowsBetween(Window.unboundedPreceding, -1)
     placed = (
         keyed.withColumn("_mix_p", F.coalesce(F.sum("_mix_n").over(prior), F.lit(0)))
         .join(offsets, ["_mix_s", "_mix_b"])
@@ -266,7 +267,7 @@ def mix_sources(
         .join(sized(slots, sum(blocks.values())), ["_mix_s", "_mix_k"])
     )
     return placed.select(
-        *[F.col(f"`{c}`") for c in kept],
+        *[F.col(f"_mix_row.`{c}`") for c in kept],
         *[F.col(c).alias(name) for c, name in zip(("_mix_k", "_mix_f", "_mix_r", "_mix_d", "_mix_t"), mine, strict=True)],
     )
 
