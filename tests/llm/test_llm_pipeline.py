@@ -12,8 +12,8 @@ from varguard.llm.queries import ORACLES, QUERIES
 SF = "/root/testdata/sf0.001"
 
 
-def test_all_ten_operators_are_registered():
-    assert sorted(int(n[2:].split("_")[0]) for n in QUERIES) == list(range(1, 11))
+def test_all_operators_are_registered():
+    assert sorted(int(n[2:].split("_")[0]) for n in QUERIES) == list(range(1, 14))
     assert set(ORACLES) <= set(QUERIES)
 
 
@@ -22,7 +22,7 @@ def test_query_equals_its_twin(spark, name):
     import duckdb
 
     con = duckdb.connect()
-    for t in ("documents", "pages"):
+    for t in ("documents", "pages", "embeddings", "benchmark"):
         con.sql(f"CREATE VIEW {t} AS SELECT * FROM '{SF}/{t}.parquet'")
     df = QUERIES[name](spark, SF)
     want = con.sql(f"SELECT {', '.join(df.columns)} FROM ({ORACLES[name]})").fetchall()
@@ -104,3 +104,17 @@ def test_stages_on_empty_and_null_tables(spark):
         assert stage(spark, nulls, SF).count() == 3, name
         if name != p.STAGES[-1][0]:
             assert out.columns == table.columns
+
+
+@pytest.mark.skipif(importlib.util.find_spec("corpus_pipeline") is None, reason="the pipeline was removed")
+def test_stages_keep_columns_with_internal_names(spark):
+    import corpus_pipeline as p
+
+    names = ["score", "_score", "sha", "fp", "_fp", "gone_id", "_gone_key", "mixed_slot", "_mixed_slot", "_mix_h", "_mix_s", "_mix_n", "_mix_b", "_mix_row", "_mix_x"]
+    table = spark.read.parquet(f"{SF}/documents.parquet").limit(60)
+    docs = table.withColumns({n: F.concat(F.lit(f"{n}:"), "doc_id") for n in names})
+    for _, stage in p.STAGES[:-1]:
+        out = stage(spark, docs, SF)
+        assert out.columns == docs.columns
+        rows = out.collect()
+        assert rows and all(r[n] == f"{n}:{r['doc_id']}" for r in rows for n in names)

@@ -175,7 +175,7 @@ def brute_phrases(rows, least, most, top, percent):
 def phrase_rows():
     rng = random.Random(2)
     rows = [(rng.choice(["en", "de", None]), prose(rng, rng.randrange(200), "     \t,.;\n")) for _ in range(80)]
-    rows += [("en", "New York City! " * 50), (None, "New  York\tcity " * 31), ("fr", None), ("fr", ""), ("", "a b " * 40), ("en", "Œuvre\x85x\xa0y çà " * 35)]
+    rows += [("en", "New York City! " * 50), (None, "New  York\tcity " * 31), ("fr", None), ("fr", ""), ("blank", " \t"), ("", "a b " * 40), ("en", "Œuvre\x85x\xa0y çà " * 35)]
     return rows + [("de", "very long text " * 4000), ("und", "river stone " * 20), ("zz", "x y " * 29)]
 
 
@@ -211,3 +211,40 @@ def test_planes_round_trip():
     for kind in (np.uint64, np.uint32):
         x = np.sort(np.random.default_rng(1).integers(0, np.iinfo(kind).max, 1000, kind))
         assert (from_planes(planes(x), kind) == x).all()
+
+
+# ------------------------------------------------------------------ mended operators
+def test_two_vocabularies_in_one_session(spark):
+    from varguard.llm.piece_tokenizer import Vocabulary, encode_texts, load_vocabulary
+
+    big = load_vocabulary()
+    docs = spark.createDataFrame([(1, "the of")], "doc_id long, text string").coalesce(1)
+    first = encode_texts(docs, big).first()["ids"]
+    a, b = first[0], first[-1]
+    swapped = list(big.pieces)
+    swapped[a], swapped[b] = swapped[b], swapped[a]  # the same length and last piece
+    other = Vocabulary(**{**vars(big), "pieces": tuple(swapped)})
+    second, again = (encode_texts(docs, v).first()["ids"] for v in (other, big))
+    swap = {a: b, b: a}
+    assert first == again and second == [swap.get(i, i) for i in first] and first != second
+
+
+def test_a_hot_id_does_not_pass_the_training_bound(spark, monkeypatch):
+    from varguard.llm import pairwise_quality as q
+
+    seen = []
+    monkeypatch.setattr(q, "fit", lambda x, label, ids: seen.append(len(x)) or q.PairwiseModel([0.0] * q.N_FEATURES, [1.0] * q.N_FEATURES, [0.0] * q.N_FEATURES, 0.0))
+    hot = next(i for i in range(1, 99) if zlib.crc32(str(i).encode()) % 3 != 1)
+    docs = spark.range(2000).selectExpr(f"{hot}L AS doc_id", "concat('text ', repeat('x', CAST(id AS INT) % 500), id) AS text")
+    q.train_quality(docs, spark.createDataFrame([(hot, 1)], "doc_id long, quality int"), max_train=10)
+    assert seen == [10]
+
+
+def test_rows_without_id_fall_into_several_substreams(spark, monkeypatch):
+    from varguard.llm import pfair_mix
+
+    monkeypatch.setattr(pfair_mix, "ROWS_PER_STREAM", 50)
+    docs = spark.range(600).selectExpr("CAST(NULL AS LONG) AS doc_id", "concat('text ', id) AS text", "'s' AS source", "id AS _mix_b", "'mine' AS _mix_h")
+    out = pfair_mix.mix_sources(docs, {"s": 1.0}, block_chars=100)
+    assert out.count() == 600 and out.where("_mix_h <> 'mine'").count() == 0 and out.select("_mix_b").distinct().count() == 600
+    assert out.columns == [*docs.columns, "block", "phase", "release", "deadline", "slot"]
