@@ -22,32 +22,44 @@ def same_columns(result: DataFrame, docs: DataFrame) -> DataFrame:
     return result.select(*[F.col(f"`{c}`") for c in docs.columns])
 
 
+def free_name(docs: DataFrame, name: str) -> str:
+    """``name``, with as many underscores in front as keep it apart from the start of any column of ``docs``."""
+    while any(c.lower().startswith(name.lower()) for c in docs.columns):
+        name = "_" + name
+    return name
+
+
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the pairwise classifier scores 1/2 or more."""
     model = train_quality(docs, read(spark, sf_dir, "labels"))
-    return same_columns(with_score(docs, model, score_col="_score").where("_score >= 0.5"), docs)
+    score = free_name(docs, "score")
+    return same_columns(with_score(docs, model, score_col=score).where(F.col(score) >= 0.5), docs)
+
+
+def without(keyed: DataFrame, gone: DataFrame, docs: DataFrame) -> DataFrame:
+    """The rows of ``keyed`` (the columns of ``docs`` and a key) whose id and key aren't in ``gone``."""
+    key, name = keyed.columns[-1], free_name(keyed, "gone")
+    gone = gone.toDF(f"{name}_id", f"{name}_key")
+    return same_columns(keyed.join(gone, (F.col("doc_id") == F.col(f"{name}_id")) & (F.col(f"`{key}`") == F.col(f"{name}_key")), "left_anti"), docs)
 
 
 def exact(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each set of equal texts, the one with the smallest id."""
     copies = exact_dedup(docs).where("NOT kept AND doc_id IS NOT NULL").select("doc_id", "text_sha256").distinct()
-    keyed = docs.withColumn("_sha", F.sha2(normalised(F.col("text")), 256))
-    gone = copies.select(F.col("doc_id").alias("_gone"), F.col("text_sha256").alias("_gone_sha"))
-    return same_columns(keyed.join(gone, (F.col("doc_id") == F.col("_gone")) & (F.col("_sha") == F.col("_gone_sha")), "left_anti"), docs)
+    return without(docs.withColumn(free_name(docs, "sha"), F.sha2(normalised(F.col("text")), 256)), copies, docs)
 
 
 def near(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each SimHash component, the one with the smallest id. Where rows of an id have
     different texts, each is judged by its own."""
     copies = simhash_groups(docs, words=3, max_bits=3).where("doc_id <> component_id").select("doc_id", "fingerprint").distinct()
-    keyed = with_fingerprint(docs, "_fp", words=3)
-    gone = copies.select(F.col("doc_id").alias("_gone"), F.col("fingerprint").alias("_gone_fp"))
-    return same_columns(keyed.join(gone, (F.col("doc_id") == F.col("_gone")) & (F.col("_fp") == F.col("_gone_fp")), "left_anti"), docs)
+    return without(with_fingerprint(docs, free_name(docs, "fp"), words=3), copies, docs)
 
 
 def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """All documents, stored in the order of the Pfair schedule."""
-    return in_mixed_order(mix_sources(docs, root_weights(docs), prefix="_mixed_"), docs.columns, "_mixed_slot")
+    prefix = free_name(docs, "mixed_")
+    return in_mixed_order(mix_sources(docs, root_weights(docs), prefix=prefix), docs.columns, f"{prefix}slot")
 
 
 def tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
