@@ -99,3 +99,29 @@ class ExperimentConfig:
     constraint: Constraint = VPROB
     seed: int = SEED
     min_units: int = 2
+    #: A list of constraints, each with its own delta, in place of ``constraint``.
+    constraints: tuple = ()
+    #: Metric that candidates are chosen by, and the one that results report (``operators.measures.register_metric``).
+    objective: str = "log_loss"
+    performance: str = "log_loss"
+    #: For each constraint the measure that its true g is evaluated with (None or missing: its own).
+    evaluations: tuple = ()
+
+    def __post_init__(self):
+        if len(self.evaluations) > len(self.all_constraints):
+            raise ValueError("more evaluations than constraints")
+
+    @property
+    def all_constraints(self) -> tuple:
+        return tuple(self.constraints) or (self.constraint,)
+
+    @property
+    def evaluation_measures(self) -> list:
+        """The measure that each constraint's true g is evaluated with."""
+        given = list(self.evaluations) + [None] * (len(self.all_constraints) - len(self.evaluations))
+        return [e or c.measure for e, c in zip(given, self.all_constraints, strict=True)]
+
+    @property
+    def measures(self) -> list:
+        """Every group measure that the experiment needs, once."""
+        return list(dict.fromkeys([c.measure for c in self.all_constraints] + self.evaluation_measures))

@@ -13,9 +13,12 @@ on one summary row per (model, constraint).
 
 from __future__ import annotations
 
-from collections.abc import Callable, Sequence
+from collections.abc import Callable, Iterator, Sequence
 from dataclasses import dataclass
+from functools import reduce
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -35,14 +38,122 @@ def register_measure(name: str, agg: Callable[[Column], Column]) -> None:
     and combined map-side (a huge group never sits in one task).
     """
     _MEASURES[name] = agg
+    _MERGEABLE.pop(name, None)
+
+
+@dataclass(frozen=True)
+class Mergeable:
+    """A user's group measure in Python: a state of a few doubles, and functions on it.
+
+    ``init()`` gives the state of no members, ``update(state, p)`` takes in an array of member probabilities,
+    ``merge(a, b)`` joins the states of two parts of a group, ``finish(state)`` is the measure's value
+    (None: undefined). A state is a sequence of floats."""
+
+    init: Callable[[], Sequence[float]]
+    update: Callable[[Sequence[float], np.ndarray], Sequence[float]]
+    merge: Callable[[Sequence[float], Sequence[float]], Sequence[float]]
+    finish: Callable[[Sequence[float]], float | None]
+
+
+_MERGEABLE: dict[str, Mergeable] = {}
+#: Groups whose states a task holds before it sends them on.
+HELD_GROUPS = 1 << 16
+
+
+def register_mergeable(name: str, init, update, merge, finish) -> None:
+    """Bind a Python function to a measure name usable in constraints. Every task makes one state for each
+    of its groups, and states are merged per group, so a group of any size never sits in one task."""
+    _MERGEABLE[name] = Mergeable(init, update, merge, finish)
+    _MEASURES.pop(name, None)
+
+
+def is_mergeable(name: str) -> bool:
+    return name in _MERGEABLE
 
 
 def measure(name: str) -> Callable[[Column], Column]:
+    """The Spark aggregate of a measure; one in Python (``register_mergeable``) has none."""
     if name not in _MEASURES:
-        raise KeyError(f"unknown measure {name!r}; registered: {sorted(_MEASURES)}")
+        raise KeyError(f"unknown measure {name!r}; registered: {sorted([*_MEASURES, *_MERGEABLE])}")
     return _MEASURES[name]
 
 
+def check_measure(name: str) -> None:
+    if name not in _MERGEABLE:
+        measure(name)
+
+
+def partial_states(members: DataFrame, keys: list[str], m: Mergeable, held_groups: int = HELD_GROUPS) -> DataFrame:
+    """``(keys..., n_members, state)``: a state for each group and task (several where a task meets more than
+    ``held_groups`` groups). ``members`` has the keys and ``p``; NULL probabilities count as members only."""
+    fields = [f for f in members.schema.fields if f.name in keys]
+    order = [f.name for f in fields]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: dict[tuple, list] = {}
+
+        def out() -> pa.RecordBatch:
+            rows = [(*key, n, list(map(float, state))) for key, (n, state) in held.items()]
+            held.clear()
+            cols = list(zip(*rows, strict=True))
+            types = [*key_types, pa.int64(), pa.list_(pa.float64())]
+            return pa.record_batch([pa.array(c, t) for c, t in zip(cols, types, strict=True)], names=[*order, "n_members", "state"])
+
+        key_types: list = []
+        for batch in batches:
+            key_types = key_types or [batch.schema.field(c).type for c in order]
+            table = pa.Table.from_batches([batch]).group_by(order, use_threads=False).aggregate([("p", "list")])
+            lists = table["p_list"].combine_chunks()
+            lists = lists.chunk(0) if isinstance(lists, pa.ChunkedArray) else lists
+            for key, values in zip(zip(*[table[c].to_pylist() for c in order], strict=True), lists, strict=True):
+                p = values.values
+                n, state = held.get(key) or (0, m.init())
+                held[key] = [n + len(p), m.update(state, p.drop_null().to_numpy(zero_copy_only=False))]
+            if len(held) >= held_groups:
+                yield out()
+        if held:
+            yield out()
+
+    ddl = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in fields) + ", n_members long, state array<double>"
+    return members.select(*order, "p").mapInArrow(run, ddl)
+
+
+def merged_measure(members: DataFrame, keys: list[str], m: Mergeable) -> DataFrame:
+    """``(keys..., n_members, value)``: the tasks' states of a group come sorted into one task and are merged one
+    after the other, so it holds a single state at a time."""
+    states = partial_states(members, keys, m)
+    order = states.columns[:-2]
+    ddl = ", ".join(f"`{c}` {t}" for c, t in states.dtypes[:-2]) + ", n_members long, value double"
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        last, n, state, key_types = None, 0, None, []
+
+        def made(rows: list) -> pa.RecordBatch:
+            cols = list(zip(*rows, strict=True)) or [()] * (len(order) + 2)
+            return pa.record_batch([pa.array(c, t) for c, t in zip(cols, [*key_types, pa.int64(), pa.float64()], strict=True)], names=[*order, "n_members", "value"])
+
+        def row() -> tuple:
+            value = m.finish(state)
+            return (*last, n, None if value is None else float(value))
+
+        for batch in batches:
+            key_types = key_types or [batch.schema.field(c).type for c in order]
+            rows = []
+            for *key, count, part in zip(*[batch[c].to_pylist() for c in (*order, "n_members", "state")], strict=True):
+                if state is not None and key == last:
+                    n, state = n + count, m.merge(state, part)
+                else:
+                    if state is not None:
+                        rows.append(row())
+                    last, n, state = key, count, part
+            if rows:
+                yield made(rows)
+        if state is not None:
+            yield made([row()])
+
+    return states.repartition(*order).sortWithinPartitions(*order).mapInArrow(run, ddl)
+
+
 def group_measures(
     members: DataFrame,
     names: Sequence[str],
@@ -54,6 +165,16 @@ def group_measures(
     measure of every group, from one aggregation."""
     names = list(dict.fromkeys(names))
     p = sigmoid(F.col(logit_col))
+    theirs = [n for n in names if is_mergeable(n)]
+    if theirs:
+        probabilities = members.select(*by, group_col, p.alias("p"))
+        cols = [*by, group_col, "n_members"]
+        found = [
+            merged_measure(probabilities, [*by, group_col], _MERGEABLE[n]).select(*cols, F.lit(n).alias("measure"), "value") for n in theirs
+        ]
+        own = [n for n in names if n not in theirs]
+        found += [group_measures(members, own, group_col, logit_col, by)] if own else []
+        return reduce(DataFrame.unionByName, found)
     aggs = [measure(n)(p).alias(f"_m{i}") for i, n in enumerate(names)]
     per_group = members.groupBy(*by, group_col).agg(F.count(F.lit(1)).alias("n_members"), *aggs)
     pairs = F.array(*[F.struct(F.lit(n).alias("measure"), F.col(f"_m{i}").cast("double").alias("value")) for i, n in enumerate(names)])
@@ -132,6 +253,28 @@ register_measure("VPROB", lambda p: F.var_samp(p))
 register_measure("VRANGE", lambda p: F.when(F.count(p) >= 2, F.max(p) - F.min(p)))
 
 
+def _entropic_update(state, p):
+    """State: members, their sum, the largest t p, and the sum of exp(t p) scaled by it (so nothing overflows)."""
+    return state if not len(p) else _entropic_merge(state, (len(p), p.sum(), ENTROPIC_T * p.max(), np.exp(ENTROPIC_T * (p - p.max())).sum()))
+
+
+def _entropic_merge(a, b):
+    top = max(a[2], b[2])
+    return a[0] + b[0], a[1] + b[1], top, sum(x[3] * np.exp(x[2] - top) for x in (a, b) if x[0])
+
+
+#: How strongly the largest probabilities of a group count in VENTROPIC.
+ENTROPIC_T = 10.0
+# a measure in Python: log-mean-exp of a group's probabilities less their mean, 0 where all are equal
+register_mergeable(
+    "VENTROPIC",
+    lambda: (0.0, 0.0, -np.inf, 0.0),
+    _entropic_update,
+    _entropic_merge,
+    lambda s: (s[2] + np.log(s[3] / s[0])) / ENTROPIC_T - s[1] / s[0] if s[0] >= 2 else None,
+)
+
+
 @dataclass(frozen=True)
 class Binding:
     """A constraint with the group table it is measured on, the batch size in
@@ -145,7 +288,7 @@ class Binding:
 
 def bind(constraint: Constraint, dataset: str, members: DataFrame, batch: int) -> Binding:
     """Bind a constraint to scored members ``(candidate_id, group_id, logit)``."""
-    measure(constraint.measure)  # an unknown measure fails here
+    check_measure(constraint.measure)  # an unknown one fails here
     if batch < 1:
         raise ValueError("a batch holds one group at least")
     return Binding(constraint, dataset, members, batch)

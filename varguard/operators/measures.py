@@ -7,12 +7,55 @@ task, not one task holding the group.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from collections.abc import Callable
+from dataclasses import dataclass
+
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.scalar import log_loss, sigmoid
 
 
+@dataclass(frozen=True)
+class Metric:
+    """A performance function over labelled rows: ``terms(label, probability)`` are its row values, ``finish`` turns
+    their means into the metric. Sums of terms merge in any order, so a metric is resampled, cut and
+    combined map-side like a mean."""
+
+    name: str
+    terms: Callable[[Column, Column], list[Column]]
+    finish: Callable[[list[Column]], Column]
+
+
+_METRICS: dict[str, Metric] = {}
+
+
+def register_metric(name: str, terms: Callable[[Column, Column], list[Column]], finish: Callable[[list[Column]], Column] = lambda means: means[0]) -> None:
+    """Bind a performance or objective function to a name that an experiment's configuration can give."""
+    _METRICS[name] = Metric(name, terms, finish)
+
+
+def metric(name: str) -> Metric:
+    if name not in _METRICS:
+        raise KeyError(f"unknown metric {name!r}; registered: {sorted(_METRICS)}")
+    return _METRICS[name]
+
+
+def _balanced_terms(y: Column, p: Column) -> list[Column]:
+    y, yes = y.cast("double"), (p >= 0.5).cast("double")
+    return [y * yes, y, (1 - y) * (1 - yes), 1 - y]
+
+
+register_metric("log_loss", lambda y, p: [log_loss(y, p)])
+register_metric("brier", lambda y, p: [(p - y.cast("double")) * (p - y.cast("double"))])
+# mean of the shares of positive and of negative rows that are told right; NULL where either is absent
+register_metric(
+    "balanced_accuracy",
+    _balanced_terms,
+    lambda m: (F.when(m[1] > 0, m[0] / m[1]) + F.when(m[3] > 0, m[2] / m[3])) / 2,
+)
+
+
 def cross_entropy(scored: DataFrame, label_col: str = "label", logit_col: str = "logit", by=("candidate_id",)) -> DataFrame:
     """Mean clipped log loss from logits: ``(by..., n_rows, loss)``."""
     return scored.groupBy(*by).agg(

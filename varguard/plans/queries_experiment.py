@@ -5,8 +5,9 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from ..config import EXPERIMENT_CANDIDATE_WEIGHTS, N_TRIALS, VPROB, ExperimentConfig
+from ..config import EXPERIMENT_CANDIDATE_WEIGHTS, N_TRIALS, VPROB, Constraint, ExperimentConfig
 from ..functions.scalar import round6
+from ..operators.constraints import ENTROPIC_T
 from ..operators.resample import (
     bootstrap,
     bootstrap_weights,
@@ -27,8 +28,11 @@ from .experiment import (
     corpus_unit_values,
     failure_rate,
     learning_curve,
+    mean_loss,
     reconcile,
     results_from_units,
+    resume_experiment,
+    run_corpus_experiment,
     solution_rate,
 )
 
@@ -54,20 +58,37 @@ def _hex_u(h: str, slot: int) -> str:
 POISSON = poisson_cdf()
 
 
-def _experiment(spark, sf_dir):
+def _experiment(spark, sf_dir, cfg=CFG):
     w = lexicon_model(spark, tuple(EXPERIMENT_CANDIDATE_WEIGHTS))
     labels, small = labels_table(spark, sf_dir)
     docs = load_table(spark, sf_dir, "documents")
-    units, cands = corpus_unit_values(docs, labels, ("lang", "source"), w, labels_broadcast=small)
-    return results_from_units(units, cands, CFG)
-
-
-def ex1_sql() -> str:
-    c = VPROB
+    return run_corpus_experiment(docs, labels, ("lang", "source"), w, cfg, labels_broadcast=small)
+
+
+#: Group measures of :func:`ex1_sql` as DuckDB aggregates of p.
+MEASURE_SQL = {
+    "VPROB": "var_samp(p)",
+    "VRANGE": "CASE WHEN count(*) >= 2 THEN max(p) - min(p) END",
+    "VENTROPIC": f"CASE WHEN count(*) >= 2 THEN ln(avg(exp({ENTROPIC_T!r} * p))) / {ENTROPIC_T!r} - avg(p) END",
+}
+RIGHT = "CAST((p >= 0.5) = (label = 1) AS DOUBLE)"
+#: Metrics as DuckDB aggregates over rows (label, p).
+METRIC_SQL = {
+    "log_loss": f"avg({O.log_loss('label', 'p')})",
+    "brier": "avg((p - label) * (p - label))",
+    "balanced_accuracy": f"(avg({RIGHT}) FILTER (label = 1) + avg({RIGHT}) FILTER (label = 0)) / 2",
+}
+#: The objectives that have one term: a row's value.
+TERM_SQL = {"log_loss": O.log_loss("label", "p"), "brier": "(p - label) * (p - label)"}
+
+
+def ex1_sql(cfg=CFG) -> str:
+    cs = list(enumerate(cfg.all_constraints))
+    gk = {m: f"g{j or ''}" for j, m in enumerate(cfg.measures)}
+    evaluated = [gk[m] for m in cfg.evaluation_measures]
     ps = O.scored(O.PRIMARY, ["doc_id"], ["label"], W4)
     gs = O.scored(O.GROUPS_LS, ["group_id", "pos"], [], W4)
     fr = ", ".join(f"({k}, CAST({f!r} AS DOUBLE))" for k, f in enumerate(FRACS))
-    tq = O.t_q("n_s - 1", 1 - c.delta)
 
     def sd(n, s1, s2):
         return f"CASE WHEN {n} >= 2 THEN sqrt(greatest(({s2} - {s1} * {s1} / {n}) / ({n} - 1), 0.0)) END"
@@ -75,14 +96,38 @@ def ex1_sql() -> str:
     def pk(kind, part, e):
         return f"max(CASE WHEN kind = '{kind}' AND part = '{part}' THEN {e} END)"
 
+    def on_all(form):
+        return " AND ".join(form.format(i=i) for i, _ in cs)
+
+    groups = " UNION ALL ".join(f"SELECT '{k}', group_id, candidate_id, {MEASURE_SQL[m]} FROM gp GROUP BY group_id, candidate_id" for m, k in gk.items())
+    kinds = ", ".join(f"('{k}')" for k in ("p", *gk.values()))
+    true_g = ", ".join(f"avg(CASE WHEN kind = '{k}' THEN x END) AS vmean{i}" for i, k in enumerate(evaluated))
+    sums = ", ".join(
+        f"{pk(gk[c.measure], part, col)} AS {name}{part[0]}{i}"
+        for i, c in cs for part in ("candidate", "safety") for col, name in (("sw", "n_"), ("swx", "s1_"), ("swx2", "s2_"), ("nu", "nu_"))
+    )
+    stats = ", ".join(
+        f"CASE WHEN n_{s}{i} > 0 THEN s1_{s}{i} / n_{s}{i} END AS mean_{s}{i}, {sd(f'n_{s}{i}', f's1_{s}{i}', f's2_{s}{i}')} AS sd_{s}{i}"
+        for i, _ in cs for s in "cs"
+    )
+
+    def bound(i, c, part, wide):
+        t = O.t_q(f"n_s{i} - 1", 1 - c.delta)
+        return f"CASE WHEN n_s{i} >= 2 THEN {c.sign!r} * mean_{part}{i} + {wide} * sd_{part}{i} / sqrt(n_s{i}) * {t} - {c.sign * c.threshold!r} END"
+
+    both = ", ".join(f"{bound(i, c, 'c', 2.0)} AS pb{i}, {bound(i, c, 's', 1.0)} AS sb{i}" for i, c in cs)
+    g_true = ", ".join(f"round({c.sign!r} * truth.vmean{i} - {c.sign * c.threshold!r}, 6)" for i, c in cs)
+    no_g = ", ".join("CAST('-inf' AS DOUBLE)" for _ in cs)
     return f"""WITH ps AS {ps},
     gs AS {gs},
-    u AS (SELECT 'p' AS kind, doc_id AS unit, candidate_id, {O.log_loss('label', O.sigmoid('logit'))} AS x FROM ps
-          UNION ALL
-          SELECT 'g', group_id, candidate_id, var_samp({O.sigmoid('logit')}) FROM gs GROUP BY group_id, candidate_id),
-    truth AS (SELECT candidate_id, avg(CASE WHEN kind = 'p' THEN x END) AS perf, avg(CASE WHEN kind = 'g' THEN x END) AS vmean
-              FROM u GROUP BY candidate_id),
-    ut AS (SELECT u.*, t.trial_i, md5(concat_ws(':', {O.SEED_S}, 'trial', t.trial_i, u.kind, u.unit)) AS h
+    gp AS (SELECT *, {O.sigmoid('logit')} AS p FROM gs),
+    pp AS (SELECT *, {O.sigmoid('logit')} AS p FROM ps),
+    u AS (SELECT 'p' AS kind, doc_id AS unit, candidate_id, {TERM_SQL[cfg.objective]} AS x FROM pp
+          UNION ALL {groups}),
+    perf AS (SELECT candidate_id, {METRIC_SQL[cfg.performance]} AS perf FROM pp GROUP BY candidate_id),
+    truth AS (SELECT candidate_id, any_value(perf) AS perf, {true_g}
+              FROM u JOIN perf USING (candidate_id) GROUP BY candidate_id),
+    ut AS (SELECT u.*, t.trial_i, md5(concat_ws(':', {O.SEED_S}, 'trial', t.trial_i, u.kind[1], u.unit)) AS h
            FROM u, range({CFG.n_trials}) t(trial_i) WHERE u.x IS NOT NULL),
     s AS (SELECT trial_i, kind, candidate_id, x,
             CASE WHEN {_hex_u('h', 0)} < {CFG.frac_safety!r} THEN 'safety' ELSE 'candidate' END AS part,
@@ -91,7 +136,7 @@ def ex1_sql() -> str:
     m AS (SELECT trial_i, kind, part, frac_id, candidate_id, sum(w) AS sw, sum(w * x) AS swx, sum(w * x * x) AS swx2,
             count(*) AS nu FROM s WHERE w > 0 GROUP BY ALL),
     grid AS (SELECT t.trial_i, k.kind, pa.part, f.frac_id, c.candidate_id
-             FROM range({CFG.n_trials}) t(trial_i), (VALUES ('p'), ('g')) k(kind), (VALUES ('candidate'), ('safety')) pa(part),
+             FROM range({CFG.n_trials}) t(trial_i), (VALUES {kinds}) k(kind), (VALUES ('candidate'), ('safety')) pa(part),
                   range({len(FRACS)}) f(frac_id), (SELECT DISTINCT candidate_id FROM truth) c),
     cum AS (SELECT g.trial_i, g.kind, g.part, g.frac_id, g.candidate_id,
               sum(coalesce(m.sw, 0)) OVER win AS sw, sum(coalesce(m.swx, 0)) OVER win AS swx,
@@ -102,23 +147,18 @@ def ex1_sql() -> str:
                            ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW)),
     cell AS (SELECT trial_i, frac_id, candidate_id,
                {pk('p', 'candidate', 'CASE WHEN sw > 0 THEN swx / sw END')} AS loss_c,
-               {pk('g', 'candidate', 'sw')} AS n_c, {pk('g', 'candidate', 'swx')} AS s1_c,
-               {pk('g', 'candidate', 'swx2')} AS s2_c, {pk('g', 'candidate', 'nu')} AS nu_c,
-               {pk('g', 'safety', 'sw')} AS n_s, {pk('g', 'safety', 'swx')} AS s1_s,
-               {pk('g', 'safety', 'swx2')} AS s2_s, {pk('g', 'safety', 'nu')} AS nu_s
+               {sums}
              FROM cum GROUP BY trial_i, frac_id, candidate_id),
-    st AS (SELECT *, CASE WHEN n_c > 0 THEN s1_c / n_c END AS mean_c, {sd('n_c', 's1_c', 's2_c')} AS sd_c,
-                     CASE WHEN n_s > 0 THEN s1_s / n_s END AS mean_s, {sd('n_s', 's1_s', 's2_s')} AS sd_s FROM cell),
-    b AS (SELECT *, CASE WHEN n_s >= 2 THEN mean_c + 2.0 * sd_c / sqrt(n_s) * {tq} - {c.threshold!r} END AS pb,
-                    CASE WHEN n_s >= 2 THEN mean_s + sd_s / sqrt(n_s) * {tq} - {c.threshold!r} END AS sb FROM st),
+    st AS (SELECT *, {stats} FROM cell),
+    b AS (SELECT *, {both} FROM st),
     f AS (SELECT *, row_number() OVER (PARTITION BY trial_i, frac_id ORDER BY loss_c, candidate_id) AS rk
-          FROM b WHERE coalesce(pb <= 0, false) AND nu_c >= {CFG.min_units} AND loss_c IS NOT NULL),
-    sel AS (SELECT trial_i, frac_id, candidate_id, coalesce(sb <= 0, false) AND nu_s >= {CFG.min_units} AS ok FROM f WHERE rk = 1),
+          FROM b WHERE {on_all(f"coalesce(pb{{i}} <= 0, false) AND nu_c{{i}} >= {CFG.min_units}")} AND loss_c IS NOT NULL),
+    sel AS (SELECT trial_i, frac_id, candidate_id, {on_all(f"coalesce(sb{{i}} <= 0, false) AND nu_s{{i}} >= {CFG.min_units}")} AS ok FROM f WHERE rk = 1),
     cells AS (SELECT t.trial_i, fr.frac_id, fr.data_frac FROM range({CFG.n_trials}) t(trial_i), (VALUES {fr}) fr(frac_id, data_frac))
     SELECT CAST(cells.frac_id AS INTEGER) AS frac_id, cells.data_frac, CAST(cells.trial_i AS INTEGER) AS trial_i,
       sel.candidate_id, CASE WHEN coalesce(sel.ok, false) THEN round(truth.perf, 6) END AS performance,
       coalesce(sel.ok, false) AS passed_safety,
-      CASE WHEN coalesce(sel.ok, false) THEN [round(truth.vmean - {c.threshold!r}, 6)] ELSE [CAST('-inf' AS DOUBLE)] END AS gvec
+      CASE WHEN coalesce(sel.ok, false) THEN [{g_true}] ELSE [{no_g}] END AS gvec
     FROM cells LEFT JOIN sel ON cells.trial_i = sel.trial_i AND cells.frac_id = sel.frac_id
     LEFT JOIN truth ON sel.candidate_id = truth.candidate_id"""
 
@@ -129,6 +169,43 @@ def ex1_run_experiment(spark, sf_dir):
     return _experiment(spark, sf_dir)
 
 
+TWO = ExperimentConfig(constraints=(VPROB, Constraint("VRANGE <= 0.55", "VRANGE", "<=", 0.55, 0.1)))
+USER = ExperimentConfig(
+    constraints=(VPROB, Constraint("VENTROPIC <= 0.12", "VENTROPIC", "<=", 0.12, 0.05)),
+    objective="brier",
+    performance="balanced_accuracy",
+    evaluations=("VRANGE", None),
+)
+
+
+@register("ex1_two_constraints", lambda: ex1_sql(TWO))
+def ex1_two_constraints(spark, sf_dir):
+    """The experiment under a list of constraints, each with its own measure, threshold and delta: a solution is safe
+    under both, gvec has both."""
+    return _experiment(spark, sf_dir, TWO)
+
+
+@register("ex1_user_functions", lambda: ex1_sql(USER))
+def ex1_user_functions(spark, sf_dir):
+    """The experiment with functions of the user's: another objective, a performance metric of several terms, a
+    constraint on a measure in Python, another evaluation of the first constraint's true g."""
+    return _experiment(spark, sf_dir, USER)
+
+
+@register("gr4_resume", ex1_sql)
+def gr4_resume(spark, sf_dir):
+    """An interrupted grid resumed: all but the last trials and fractions are recorded first, the rest is computed and appended."""
+    w = lexicon_model(spark, tuple(EXPERIMENT_CANDIDATE_WEIGHTS))
+    labels, small = labels_table(spark, sf_dir)
+    units, cands = corpus_unit_values(load_table(spark, sf_dir, "documents"), labels, ("lang", "source"), w, small)
+    units = units.checkpoint()
+    path = scratch_path(spark, "cells")
+    done = (F.col("trial_i") < N_TRIALS - 3) | ((F.col("trial_i") == N_TRIALS - 1) & (F.col("frac_id") > 4))
+    write_trials(results_from_units(units, cands, CFG).filter(done), path)
+    resume_experiment(units, cands, path, CFG)
+    return read_trials(spark, path)
+
+
 @register(
     "ex2_ground_truth",
     lambda: f"""WITH ps AS {O.scored(O.PRIMARY, ['doc_id'], ['label'], W4)},
@@ -143,10 +220,10 @@ def ex2_ground_truth(spark, sf_dir):
     (one scan of the corpus, one aggregation)."""
     w = lexicon_model(spark, tuple(EXPERIMENT_CANDIDATE_WEIGHTS))
     labels, small = labels_table(spark, sf_dir)
-    units, cands = corpus_unit_values(load_table(spark, sf_dir, "documents"), labels, ("lang", "source"), w, small)
-    vals = units.select("kind", F.posexplode_outer("xs").alias("cand_idx", "x"))
+    units, cands = corpus_unit_values(load_table(spark, sf_dir, "documents"), labels, ("lang", "source"), w, small, fold=F.lit(0))
+    vals = units.select("kind", "n_known", F.posexplode_outer("xs").alias("cand_idx", "x"))
     agg = vals.groupBy("cand_idx").agg(
-        F.avg(F.when(F.col("kind") == "p", F.col("x"))).alias("perf"),
+        mean_loss(F.col("kind") == "p").alias("perf"),
         F.avg(F.when(F.col("kind") == "g", F.col("x"))).alias("vmean"),
     )
     ids = F.array(*[F.lit(c) for c in cands])

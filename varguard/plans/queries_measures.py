@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from ..config import LEXICON, PRIMARY_BATCH_SIZE, SAFETY_BATCH_SIZE, VPROB, Constraint
 from ..functions.scalar import log_loss, positive_logit, round6, sigmoid
 from ..operators.constraints import (
+    ENTROPIC_T,
     bind,
     constraint_bounds,
     evaluate_bindings,
@@ -253,6 +254,18 @@ def cn2_user_measure(spark, sf_dir):
     return long.select("candidate_id", "group_id", "n_members", "measure", round6("value").alias("value"))
 
 
+@register(
+    "cn2_python_measure",
+    lambda: f"""SELECT candidate_id, group_id, count(*) AS n_members, 'VENTROPIC' AS measure,
+    round(CASE WHEN count(*) >= 2 THEN ln(avg(exp({ENTROPIC_T!r} * {O.sigmoid('logit')}))) / {ENTROPIC_T!r} - avg({O.sigmoid('logit')}) END, 6) AS value
+    FROM {_g_scored(O.GROUPS_LS)} GROUP BY candidate_id, group_id""",
+)
+def cn2_python_measure(spark, sf_dir):
+    """A user's measure in Python (init / update / merge / finish): states of each group made by all tasks, merged per group."""
+    long = group_measures(_members(spark, sf_dir), ["VENTROPIC"])
+    return long.select("candidate_id", "group_id", "n_members", "measure", round6("value").alias("value"))
+
+
 def _cn3_sql():
     conv = f"({_measures_sql(O.GROUPS_CONV)})"
     row = "SELECT candidate_id, {q} AS quantity, {d} AS dataset, count({m}) AS n_units, CAST(ceil(count(*) / {b}) AS BIGINT) AS n_batches, round(avg({m}), 6) AS value FROM {t} GROUP BY candidate_id"
