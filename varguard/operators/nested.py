@@ -65,6 +65,35 @@ def nest_texts(
     return nested.select(group_col, F.size("text_groups").alias("n_members"), "text_groups")
 
 
+def chunk_groups(
+    df: DataFrame, value_col: str, size: int = 1024, max_bytes: int | None = None, group_col: str = "group_id", pos_col: str = "pos", out_col: str | None = None
+) -> DataFrame:
+    """Ragged groups as arrays of bounded size: ``(group_id, chunk, part, first_pos, n_members, <value>s)``.
+
+    Chunk i has the members at positions i * size to (i + 1) * size - 1 (positions may have gaps), so a member's chunk
+    needs no look at its group: a group of any size is built by as many tasks as it has chunks. With ``max_bytes`` a chunk of
+    strings falls into parts whose members begin within so many bytes of each other. In the order of (chunk, part) the
+    arrays together are the group's; members at NULL positions are a chunk of their own, first in order."""
+    out_col = out_col or f"{value_col}s"
+    keyed = df.select(group_col, pos_col, value_col, F.floor(F.col(pos_col) / F.lit(size)).cast("long").alias("chunk"))
+    part = F.lit(0)
+    if max_bytes is not None:
+        before = Window.partitionBy(group_col, "chunk").orderBy(pos_col).rowsBetween(Window.unboundedPreceding, -1)
+        part = F.floor(F.coalesce(F.sum(F.coalesce(F.octet_length(value_col), F.lit(0))).over(before), F.lit(0)) / F.lit(max_bytes)).cast("int")
+    keyed = keyed.withColumn("part", part)
+    return keyed.groupBy(group_col, "chunk", "part").agg(
+        F.min(pos_col).alias("first_pos"),
+        F.count(F.lit(1)).alias("n_members"),
+        F.array_sort(F.collect_list(F.struct(pos_col, value_col))).alias("_ms"),
+    ).select(group_col, "chunk", "part", "first_pos", "n_members", F.transform("_ms", lambda s: s[pos_col]).alias("positions"), F.transform("_ms", lambda s: s[value_col]).alias(out_col))
+
+
+def flatten_chunks(chunks: DataFrame, array_col: str, value_col: str, group_col: str = "group_id", pos_col: str = "pos") -> DataFrame:
+    """The inverse of :func:`chunk_groups`: ``(group_id, pos, <value>)``, one row per member, without a shuffle."""
+    pairs = F.arrays_zip(F.col("positions").alias("p"), F.col(array_col).alias("v"))
+    return chunks.select(group_col, F.explode(pairs).alias("_m")).select(group_col, F.col("_m.p").alias(pos_col), F.col("_m.v").alias(value_col))
+
+
 def group_sizes(df: DataFrame, group_col: str = "group_id") -> DataFrame:
     """Size profile: ``(n_members, n_groups)``."""
     sizes = df.groupBy(group_col).agg(F.count(F.lit(1)).alias("n_members"))

@@ -21,14 +21,18 @@ conditions).
   the bias is one more entry of the row, so rows without any known term keep it.
 
 ``score_with`` runs any Python callable ``list[str] -> list[float]`` over
-Arrow batches (``mapInPandas``); the model is built once per task.
+Arrow batches (``mapInPandas``); the model is built once per Python worker.
 """
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Callable, Iterator
 
+import numpy as np
 import pandas as pd
+import pyarrow as pa
+from pyspark import cloudpickle
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -37,6 +41,8 @@ from ..config import CANDIDATE_WEIGHTS, LEXICON, LEXICON_BIAS
 from ..functions.scalar import tokens
 
 INLINE_MAX = 256
+#: Scored rows that ``score_with`` sends on together.
+SCORED_ROWS = 4096
 BROADCAST_MAX_ROWS = 2_000_000
 
 WEIGHT_SCHEMA = T.StructType(
@@ -161,7 +167,9 @@ def _score_by_join(df: DataFrame, weights: DataFrame, text_col: str, keep: list,
     A row's tokens are counted per term before the join (the row's entries lie
     in one task, so the partial aggregate collapses them before the shuffle);
     the bias is one more entry, of term NULL, so rows without a known term
-    keep it and nothing is joined back. The parameters meet the entries as one
+    keep it and nothing is joined back. A row is named by its kept columns and a digest of its text, never by a number
+    that a task run again could give differently; rows equal in both are one with the count of its bias entries, and
+    come apart at the end. The parameters meet the entries as one
     array of weights per term; a very frequent word is a skewed join key that
     AQE splits when the parameters are too many to broadcast."""
     cands = candidate_ids(weights)
@@ -179,24 +187,27 @@ def _score_by_join(df: DataFrame, weights: DataFrame, text_col: str, keep: list,
     )
     if weights.count() <= BROADCAST_MAX_ROWS:
         per_term = F.broadcast(per_term)
-    numbered = df.select(  # before the tokens are exploded: a row's entries share its number
-        F.monotonically_increasing_id().alias("_row"),
+    named = df.select(
         F.struct(*[F.col(f"`{c}`") for c in keep] or [F.lit(0)]).alias("_kept"),
+        F.unhex(F.sha2(F.coalesce(F.col(text_col), F.lit("")), 256)).alias("_row"),
         F.concat(F.array(F.lit(None).cast("string")), tokens(F.col(text_col))).alias("_ts"),
     )
-    entries = numbered.select("_row", "_kept", F.explode("_ts").alias("_t"))
-    counted = entries.groupBy("_row", "_t").agg(F.first("_kept").alias("_kept"), F.count(F.lit(1)).alias("_n"))
+    entries = named.select("_kept", "_row", F.explode("_ts").alias("_t"))
+    counted = entries.groupBy("_kept", "_row", "_t").agg(F.count(F.lit(1)).alias("_n"))
     met = counted.join(per_term, counted["_t"].eqNullSafe(per_term["term"]))
-    known = F.when(F.col("_t").isNotNull(), F.array_repeat(F.col("_t"), F.col("_n").cast("int")))
-    extra = [F.flatten(F.collect_list("_known")).alias("hits")] if keep_hits else []
+    no_term = F.col("_t").isNull()
+    known = [F.collect_list(F.when(~no_term, F.struct("_t", "_n"))).alias("_known")] if keep_hits else []
     rows = (
-        met.select("_row", "_kept", "_n", *([known.alias("_known")] if keep_hits else []), F.posexplode("_ws").alias("_ci", "_w"))
-        .groupBy("_row", "_ci")
-        .agg(F.first("_kept").alias("_kept"), F.sum(F.col("_n") * F.col("_w")).alias(out_col), *extra)
+        met.select("_kept", "_row", "_t", "_n", F.posexplode("_ws").alias("_ci", "_w"))
+        .groupBy("_kept", "_row", "_ci")
+        .agg(F.max(F.when(no_term, F.col("_n"))).alias("_copies"), F.sum(F.col("_n") * F.col("_w")).alias("_sum"), *known)
     )
+    copies = F.col("_copies")
+    hits = [F.flatten(F.transform("_known", lambda x: F.array_repeat(x["_t"], (x["_n"] / copies).cast("int")))).alias("hits")] if keep_hits else []
     return rows.select(
-        *[F.col(f"_kept.`{c}`") for c in keep], F.element_at(ids, F.col("_ci") + 1).alias("candidate_id"), out_col, *(["hits"] if keep_hits else [])
-    )
+        *[F.col(f"_kept.`{c}`") for c in keep], F.element_at(ids, F.col("_ci") + 1).alias("candidate_id"), (F.col("_sum") / copies).alias(out_col), *hits,
+        F.explode(F.array_repeat(F.lit(0), copies.cast("int"))).alias("_copy"),
+    ).drop("_copy")
 
 
 def _no_bias(spark: SparkSession, cands: list, weights: DataFrame) -> DataFrame:
@@ -218,6 +229,37 @@ def class_logits(df: DataFrame, key_cols, logit_col: str = "logit", out_col: str
     )
 
 
+#: Models that a Python worker keeps, the last used ones; by the digest of their loader.
+MODELS_KEPT = 2
+_models: dict[str, Callable[[list], list]] = {}
+
+
+def worker_model(key: str, loader: Callable[[], Callable[[list], list]]) -> Callable[[list], list]:
+    """The model of ``loader``, built when this worker process first meets ``key`` and kept for its later tasks."""
+    model = _models.pop(key, None) or loader()
+    _models[key] = model
+    while len(_models) > MODELS_KEPT:
+        _models.pop(next(iter(_models)))
+    return model
+
+
+def recut(frames: Iterator[pd.DataFrame], size: int) -> Iterator[list[pd.DataFrame]]:
+    """The rows of ``frames`` in batches of ``size`` (lists of slices): all but the last are full, wherever frames end."""
+    held, n = [], 0
+    for frame in frames:
+        at = 0
+        while n + len(frame) - at >= size:
+            held.append(frame.iloc[at : at + size - n])
+            yield held
+            at += size - n
+            held, n = [], 0
+        if at < len(frame):
+            held.append(frame.iloc[at:])
+            n += len(frame) - at
+    if held:
+        yield held
+
+
 def score_with(
     df: DataFrame,
     loader: Callable[[], Callable[[list], list]],
@@ -227,9 +269,10 @@ def score_with(
 ) -> DataFrame:
     """Score any Python model over Arrow batches.
 
-    ``loader()`` builds the model once per task and returns a callable mapping
-    a list of texts, or a list of lists of texts (ragged groups), to logits of
-    the same shape. Arrow batches are re-cut to ``batch_size`` texts per call.
+    ``loader()`` builds the model, once in each Python worker process, which keeps it for its later tasks, and
+    returns a callable mapping a list of texts, or a list of lists of texts (ragged groups), to logits of
+    the same shape. Rows are cut into calls of ``batch_size`` texts across Arrow batches: only a partition's last
+    call may be smaller. Scored rows go on about an Arrow batch at a time.
     Output: the input columns except the text (it is not sent back from
     Python), plus ``out_col`` (double, or array<double> when the text column is
     an array).
@@ -240,19 +283,28 @@ def score_with(
     kept = [f for f in df.schema.fields if f.name != text_col]
     schema = T.StructType(kept + [T.StructField(out_col, out_type, True)])
 
+    if batch_size < 1:
+        raise ValueError("a batch holds one text at least")
+    key = hashlib.sha256(cloudpickle.dumps(loader)).hexdigest()
+
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        model = loader()
-        for pdf in batches:
-            texts = pdf[text_col].tolist()
-            outs: list = []
-            for start in range(0, len(texts), batch_size):
-                chunk = texts[start : start + batch_size]
-                if nested:
-                    chunk = [list(x) if x is not None else [] for x in chunk]
-                outs.extend(model(chunk))
-            res = pdf.drop(columns=[text_col])
+        model, parts, outs = None, [], []
+
+        def scored() -> pd.DataFrame:
+            res = pd.concat(parts, ignore_index=True)
             res[out_col] = [list(map(float, o)) for o in outs] if nested else [float(o) for o in outs]
-            yield res
+            return res
+
+        for slices in recut(batches, batch_size):
+            model = model or worker_model(key, loader)
+            texts = [t for s in slices for t in s[text_col].tolist()]
+            outs.extend(model([list(x) if x is not None else [] for x in texts] if nested else texts))
+            parts += [s.drop(columns=[text_col]) for s in slices]
+            if len(outs) >= max(SCORED_ROWS, batch_size):
+                yield scored()
+                parts, outs = [], []
+        if parts:
+            yield scored()
 
     return df.mapInPandas(run, schema)
 
@@ -279,28 +331,6 @@ def lexicon_scorer(weight: float = CANDIDATE_WEIGHTS[0], bias: float = LEXICON_B
     return load
 
 
-def batch_token_counts(
-    df: DataFrame, key: str, text_col: str = "text", max_len: int = 512, size: int = 12, seed: int = 42
-) -> DataFrame:
-    """Token counts per row after truncation to ``max_len``, rows cut into
-    batches of ``size`` in seeded order, and each batch's longest row:
-    ``(key, batch_id, n_tokens, batch_max)``. Only keys and counts are indexed
-    and shuffled; a batch holds at most ``size`` rows, so the per-batch window
-    is bounded."""
-    from pyspark.sql import Window
-
-    from ..functions.scalar import whitespace_tokens
-    from .prep import dense_index, order_key
-
-    n_tok = F.size(F.slice(whitespace_tokens(F.col(text_col)), 1, max_len))
-    staged = df.select(key, n_tok.alias("n_tokens"), order_key(key, seed).alias("_ok"))
-    indexed = dense_index(staged, ["_ok", key], "_idx")
-    batched = indexed.select(key, "n_tokens", F.floor(F.col("_idx") / F.lit(size)).cast("bigint").alias("batch_id"))
-    return batched.withColumn("batch_max", F.max("n_tokens").over(Window.partitionBy("batch_id"))).select(
-        key, "batch_id", "n_tokens", "batch_max"
-    )
-
-
 def pad_batches(
     df: DataFrame,
     key: str,
@@ -313,21 +343,72 @@ def pad_batches(
     """Token batches as a corpus job: whitespace tokens truncated to
     ``max_len``, rows cut into batches of ``size`` in seeded order, each row
     padded to the longest row **of its batch**:
-    ``(key, batch_id, n_tokens, batch_max, tokens)``. Batches are assigned on
-    keys and counts; the token arrays join back by key."""
-    from ..functions.scalar import whitespace_tokens
+    ``(key, batch_id, n_tokens, batch_max, tokens)``.
 
-    counts = batch_token_counts(df, key, text_col, max_len, size, seed)
-    toks = df.select(key, F.slice(whitespace_tokens(F.col(text_col)), 1, max_len).alias("_t"))
-    return counts.join(toks, key).select(
+    The tokens move once: the seeded order is that of a uniform hash, so its first digits are the range that a row goes to
+    (no sampling), where rows are sorted and written once, as one string a row. The sizes of the ranges make places
+    batch numbers. A batch then lies in one range, but for those across the ends of ranges, whose longest rows are looked up
+    first (at most one for each range reaches the driver); padding happens where the rows are."""
+    from ..functions.scalar import whitespace_tokens
+    from .prep import LOCAL_BITS, order_key
+
+    n = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    cut = F.slice(whitespace_tokens(F.col(text_col)), 1, max_len)
+    staged = df.select(key, order_key(key, seed).alias("_ok"), cut.alias("_t"))
+    staged = staged.select(key, "_ok", F.size("_t").alias("n_tokens"), F.array_join("_t", " ").alias("_t"))
+    at = F.shiftright(F.conv(F.substring("_ok", 1, 8), 16, 10).cast("long") * n, 32).cast("int")
+    tagged = staged.repartitionById(n, at).sortWithinPartitions("_ok", key).drop("_ok").withColumn("_mid", F.monotonically_increasing_id()).checkpoint()
+    pid, local = F.shiftright("_mid", LOCAL_BITS), F.col("_mid").bitwiseAND(F.lit((1 << LOCAL_BITS) - 1))
+    starts, total = {}, 0
+    for r in sorted(tagged.groupBy(pid.alias("p")).count().collect()):  # a row for each range
+        starts[r["p"]], total = total, total + r["count"]
+    starts = starts or {0: 0}
+    first = F.element_at(F.create_map(*[F.lit(x) for p, o in starts.items() for x in (p, o)]), pid)
+    placed = tagged.select(key, "n_tokens", "_t", F.floor((first + local) / F.lit(size)).cast("bigint").alias("batch_id"))
+    across = sorted({o // size for o in starts.values() if o % size})
+    found = placed.where(F.col("batch_id").isin(across)).groupBy("batch_id").agg(F.max("n_tokens").alias("m")).collect() if across else []
+    longest = {r["batch_id"]: r["m"] for r in found}
+    with_max = placed.mapInArrow(batch_longest(longest), f"`{key}` {dict(placed.dtypes)[key]}, n_tokens int, _t string, batch_id long, batch_max int")
+    own = F.when(F.col("n_tokens") > 0, F.split("_t", " ")).otherwise(F.array().cast("array<string>"))
+    return with_max.select(
         key,
         "batch_id",
         "n_tokens",
         "batch_max",
-        F.concat("_t", F.array_repeat(F.lit(pad), F.col("batch_max") - F.col("n_tokens"))).alias("tokens"),
+        F.concat(own, F.array_repeat(F.lit(pad), F.col("batch_max") - F.col("n_tokens"))).alias("tokens"),
     )
 
 
+def batch_longest(known: dict[int, int]):
+    """For ``mapInArrow``: rows in the order of ``batch_id`` with ``batch_max``, their batch's largest ``n_tokens``; for the
+    batches in ``known`` the one given there. Holds an Arrow batch and a batch."""
+
+    def done(table: pa.Table) -> Iterator[pa.RecordBatch]:
+        ids, n = table["batch_id"].to_numpy(), table["n_tokens"].to_numpy()
+        begins = np.flatnonzero(np.diff(ids, prepend=-1))
+        most = np.maximum.reduceat(n, begins)
+        most = np.array([known.get(i, m) for i, m in zip(ids[begins].tolist(), most.tolist(), strict=True)], np.int32)
+        whole = table.append_column("batch_max", pa.array(np.repeat(most, np.diff(np.append(begins, len(ids))))))
+        yield from whole.combine_chunks().to_batches()
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held = None
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            table = pa.Table.from_batches([batch])
+            table = table if held is None else pa.concat_tables([held, table])
+            ids = table["batch_id"].to_numpy()
+            whole = int(np.searchsorted(ids, ids[-1]))  # the last batch may go on
+            if whole:
+                yield from done(table.slice(0, whole))
+            held = table.slice(whole)
+        if held is not None:
+            yield from done(held)
+
+    return run
+
+
 def padding_report(padded: DataFrame) -> DataFrame:
     """Per batch: rows, longest row, real tokens and padding tokens."""
     return padded.groupBy("batch_id").agg(

@@ -268,7 +268,7 @@ def fit_constrained(
     sums, which returns one row per parameter and side. Between steps theta is
     a small parameter table. Returns ``(theta, bias, log rows)``; a log row is
     ``(step, loss, g, lam, theta)``, all before the update; theta lists
-    ``(term, weight)``, the bias under term NULL. Without any row there is no
+    ``(term, weight, grad)``, grad that of the Lagrangian, the bias under term NULL. Without any row there is no
     step: theta stays and the log is empty.
     """
     spark = primary.sparkSession
@@ -294,10 +294,13 @@ def fit_constrained(
         if rows is None:
             break
         loss_v, g_v = rows.loss_sum / rows.c, None if target is None else target.loss_sum - thr
-        log.append((step, loss_v, g_v, lam, [(t, theta[t]) for t in names]))
+        grads = {}
         for t in names:
             dp, dg = got.get(("p", t)), got.get(("g", t))
-            grad = (dp.s / rows.c if dp else 0.0) + (lam * dg.s if dg else 0.0)
+            grads[t] = (dp.s / rows.c if dp else 0.0) + (lam * dg.s if dg else 0.0)
+        log.append((step, loss_v, g_v, lam, [(t, theta[t], grads[t]) for t in names]))
+        for t in names:
+            grad = grads[t]
             m[t] = cfg.beta_velocity * m[t] + (1 - cfg.beta_velocity) * grad
             v[t] = cfg.beta_rmsprop * v[t] + (1 - cfg.beta_rmsprop) * grad * grad
             mh, vh = m[t] / (1 - cfg.beta_velocity**step), v[t] / (1 - cfg.beta_rmsprop**step)
@@ -307,7 +310,7 @@ def fit_constrained(
     return {t: theta[t] for t in names[1:]}, theta[None], log
 
 
-LOG_SCHEMA = "step int, loss double, g double, lam double, theta array<struct<term:string,weight:double>>"
+LOG_SCHEMA = "step int, loss double, g double, lam double, theta array<struct<term:string,weight:double,grad:double>>"
 
 
 def best_iterate(log: DataFrame) -> DataFrame:

@@ -8,7 +8,9 @@ from pyspark.sql import functions as F
 from ..config import FRAC_DATA_IN_SAFETY, PRIMARY_BATCH_SIZE, N_EPOCHS, PRONOUN_TERMS
 from ..operators.nested import (
     chop_groups,
+    chunk_groups,
     expand_terms,
+    flatten_chunks,
     flatten_groups,
     group_sizes,
     hard_groups,
@@ -224,6 +226,26 @@ def ne2_renest(spark, sf_dir):
     return nested.select("group_id", F.transform("logits", lambda x: F.round(x, 6)).alias("logits"))
 
 
+@register(
+    "ne2_chunked_groups",
+    lambda: f"""SELECT group_id, pos // 256 AS chunk, min(pos) AS first_pos, count(*) AS n_members, list(round(logit, 6) ORDER BY pos) AS logits
+    FROM {O.scored(O.GROUPS_SRC, ["group_id", "pos"], [], O.weights_values((1.0,)))} GROUP BY group_id, pos // 256""",
+)
+def ne2_chunked_groups(spark, sf_dir):
+    """Scores of groups of any size as arrays of at most 256 members: a group is nested by many tasks."""
+    scored = score_terms(document_groups(spark, sf_dir, ("source",)), lexicon_model(spark, (1.0,)), key_cols=["group_id", "pos"])
+    chunks = chunk_groups(scored, "logit", size=256, out_col="logits")
+    return chunks.select("group_id", "chunk", "first_pos", "n_members", F.transform("logits", lambda x: F.round(x, 6)).alias("logits"))
+
+
+@register("src3_chunked_groups", O.GROUPS_SRC)
+def src3_chunked_groups(spark, sf_dir):
+    """Text groups of any size written as arrays of bounded members and bytes, read back and flattened."""
+    path = scratch_path(spark, "chunked-groups")
+    chunk_groups(document_groups(spark, sf_dir, ("source",)), "text", size=256, max_bytes=1 << 20).write.parquet(path)
+    return flatten_chunks(spark.read.parquet(path), "texts", "text")
+
+
 @register(
     "ne3_group_sizes",
     f"""SELECT grouping, n_members, count(*) AS n_groups FROM (

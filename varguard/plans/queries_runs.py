@@ -7,14 +7,17 @@ from pyspark.sql import functions as F
 
 from ..config import LEXICON, LEXICON_BIAS, VPROB
 from ..functions.scalar import round6
+from ..operators.minibatch import LOG_SCHEMA as MINIBATCH_LOG
+from ..operators.minibatch import MiniBatchConfig, fit_minibatch
 from ..operators.prep import safety_part
 from ..operators.train import LOG_SCHEMA, DescentConfig, best_iterate, fit_constrained
 from ..session import scratch_path
+from ..sources.named import write_named_trials
 from ..sources.results import pool_trials, read_trials, write_log, write_trials
 from ..sources.standins import document_groups, primary_table
 from . import oracle as O
 from .catalog import register
-from .queries_experiment import _experiment, ex1_sql
+from .queries_experiment import _experiment, _wrap, ex1_sql
 
 
 @register("snk1_src4_trials_roundtrip", ex1_sql)
@@ -34,12 +37,42 @@ def snk2_pool_trials(spark, sf_dir):
     return pool_trials(read_trials(spark, path))
 
 
-def _fit(spark, sf_dir):
+@register(
+    "src4_named_trials",
+    lambda: _wrap(
+        """SELECT round(data_frac, 4) AS file_data_frac, trial_i AS file_trial_i, round(data_frac, 10) AS data_frac, trial_i,
+        performance, passed_safety, gvec FROM r"""
+    ),
+)
+def src4_named_trials(spark, sf_dir):
+    """Experiment cells in files named by their cell, one row each; the key is read back from the file names."""
+    path = scratch_path(spark, "named")
+    write_named_trials(_experiment(spark, sf_dir), path)
+    return read_trials(spark, path, "named").withColumn("data_frac", F.round("data_frac", 10))
+
+
+@register("trn4_minibatch")
+def trn4_minibatch(spark, sf_dir):
+    """Descent in mini-batches of 12 labelled rows and 5 groups, three epochs, eight shards averaged after each: a
+    row per epoch and parameter."""
+    primary, groups, n_safety = _fit_tables(spark, sf_dir)
+    cfg = MiniBatchConfig(alpha_theta=0.001, alpha_lambda=0.005)
+    _, _, log = fit_minibatch(primary, groups, dict.fromkeys(LEXICON, 1.0), LEXICON_BIAS, cfg, VPROB, n_safety, shards=8)
+    rows = spark.createDataFrame(log, MINIBATCH_LOG).select("epoch", "steps", *[round6(c).alias(c) for c in ("loss", "g", "lam")], F.explode("theta").alias("_t"))
+    return rows.select("epoch", "steps", "loss", "g", "lam", "_t.term", round6("_t.weight").alias("weight"))
+
+
+def _fit_tables(spark, sf_dir):
     primary = primary_table(spark, sf_dir).filter(safety_part(F.col("doc_id")) == "candidate")
     all_groups = document_groups(spark, sf_dir).withColumn("part", safety_part(F.col("group_id")))
     groups = all_groups.filter(F.col("part") == "candidate").drop("part")
     sizes = all_groups.filter(F.col("part") == "safety").groupBy("group_id").count()
     n_safety = sizes.filter("count >= 2").count()  # the units a safety test will have
+    return primary, groups, n_safety
+
+
+def _fit(spark, sf_dir):
+    primary, groups, n_safety = _fit_tables(spark, sf_dir)
     _, _, log = fit_constrained(primary, groups, dict.fromkeys(LEXICON, 1.0), LEXICON_BIAS, DescentConfig(), VPROB, n_safety)
     return spark.createDataFrame(log, LOG_SCHEMA)
 
@@ -47,7 +80,7 @@ def _fit(spark, sf_dir):
 def _log_rows(log):
     """A row per step and parameter."""
     rows = log.select("step", *[round6(c).alias(c) for c in ("loss", "g", "lam")], F.explode_outer("theta").alias("_t"))
-    return rows.select("step", "loss", "g", "lam", "_t.term", round6("_t.weight").alias("weight"))
+    return rows.select("step", "loss", "g", "lam", "_t.term", round6("_t.weight").alias("weight"), round6("_t.grad").alias("grad"))
 
 
 def _descent_sql(select: str) -> str:
@@ -86,20 +119,20 @@ def _descent_sql(select: str) -> str:
             f"dg{i} AS (SELECT '' AS term, sum(d) AS d FROM co{i} UNION ALL SELECT term, sum(d) FROM gw JOIN co{i} USING (pos) GROUP BY term)",
             f"f{i} AS MATERIALIZED (SELECT (SELECT avg(loss) FROM ds{i}) AS loss, "
             f"{VPROB.sign!r} * vbar + k * sd - {VPROB.sign * VPROB.threshold!r} AS g, lam FROM st{i}, kk, l{i})",
-            f"am{i} AS (SELECT t.term, t.w, {cfg.beta_velocity!r} * m + {1 - cfg.beta_velocity!r} * x AS m, "
-            f"{cfg.beta_rmsprop!r} * v + {1 - cfg.beta_rmsprop!r} * x * x AS v FROM (SELECT th{i}.*, coalesce(dl{i}.d, 0) + lam * coalesce(dg{i}.d, 0) AS x "
+            f"am{i} AS MATERIALIZED (SELECT t.term, t.w, {cfg.beta_velocity!r} * m + {1 - cfg.beta_velocity!r} * x AS m, "
+            f"{cfg.beta_rmsprop!r} * v + {1 - cfg.beta_rmsprop!r} * x * x AS v, x FROM (SELECT th{i}.*, coalesce(dl{i}.d, 0) + lam * coalesce(dg{i}.d, 0) AS x "
             f"FROM th{i} LEFT JOIN dl{i} USING (term) LEFT JOIN dg{i} USING (term), l{i}) t)",
             f"th{i + 1} AS MATERIALIZED (SELECT term, w - {cfg.alpha_theta!r} * (m / {1 - cfg.beta_velocity**i!r}) / "
             f"(sqrt(v / {1 - cfg.beta_rmsprop**i!r}) + {cfg.eps!r}) AS w, m, v FROM am{i})",
             f"l{i + 1} AS MATERIALIZED (SELECT greatest(0.0, lam + {cfg.alpha_lambda!r} * g) AS lam FROM f{i})",
         ]
     log = " UNION ALL ".join(
-        f"SELECT CAST({i} AS INTEGER) AS step, loss, g, lam, nullif(term, '') AS term, w FROM f{i}, th{i}" for i in range(1, cfg.n_epochs + 1)
+        f"SELECT CAST({i} AS INTEGER) AS step, loss, g, lam, nullif(term, '') AS term, w, x FROM f{i}, am{i}" for i in range(1, cfg.n_epochs + 1)
     )
     return f"WITH {', '.join(parts)}, log AS ({log}) {select}"
 
 
-LOG_SQL = "SELECT step, round(loss, 6) AS loss, round(g, 6) AS g, round(lam, 6) AS lam, term, round(w, 6) AS weight FROM log"
+LOG_SQL = "SELECT step, round(loss, 6) AS loss, round(g, 6) AS g, round(lam, 6) AS lam, term, round(w, 6) AS weight, round(x, 6) AS grad FROM log"
 
 
 @register("trn4_fit_constrained", lambda: _descent_sql(LOG_SQL))
@@ -149,8 +182,6 @@ def snk2_stream_pool(spark, sf_dir):
 
 
 def _stream_rate_sql():
-    from .queries_experiment import _wrap
-
     return _wrap(
         """SELECT frac_id, data_frac, count(*) AS n_trials, round(avg(CAST(passed_safety AS DOUBLE)), 6) AS solution_rate,
         round(sqrt(avg(CAST(passed_safety AS DOUBLE)) * (1.0 - avg(CAST(passed_safety AS DOUBLE))) / count(*)), 6) AS se_solution_rate
