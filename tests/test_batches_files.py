@@ -160,3 +160,17 @@ def test_the_join_scorer_names_rows_by_what_they_hold(spark):
     assert a == b and len(a) == 16
     plan = score_terms(df, lexicon_model(spark), strategy="join")._jdf.queryExecution().toString()
     assert "monotonically" not in plan
+
+
+@pytest.mark.parametrize("kind", ["even", "ties", "two", "one", "tail"])
+def test_quantiles_without_a_sort(spark, kind):
+    import numpy as np
+
+    from varguard.operators.nested import exact_quantile
+
+    rng = np.random.default_rng(1)
+    x = {"even": rng.normal(size=30_000), "ties": rng.integers(0, 7, 30_000) / 7, "two": np.repeat([0.0, 1.0], [27_000, 3000]), "one": np.zeros(20_000), "tail": rng.pareto(0.5, 25_000)}[kind]
+    df = spark.createDataFrame(pd.DataFrame({"x": x, "k": range(len(x))})).repartition(6).checkpoint()
+    for p in (0.0, 0.5, 0.9, 0.999, 1.0):
+        assert exact_quantile(df, "x", p, near_values=100) == pytest.approx(np.quantile(x, p), rel=1e-12, abs=1e-12)
+    assert exact_quantile(df.limit(0), "x", 0.5) is None and exact_quantile(df.limit(1), "x", 0.3) is not None

@@ -13,7 +13,6 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..config import PRONOUN_SLOT, PRONOUN_TERMS
-from .prep import dense_index
 
 
 def flatten_groups(df: DataFrame, group_col: str = "group_id", array_col: str = "text_groups") -> DataFrame:
@@ -109,23 +108,43 @@ def chop_groups(df: DataFrame, k: int, group_col: str = "group_id", pos_col: str
     return df.withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= k)
 
 
-def exact_quantile(df: DataFrame, col: str, p: float) -> float | None:
-    """Exact quantile with linear interpolation (like SQL percentile_cont),
-    computed with a distributed dense index; only two values reach the driver."""
-    # A hash of the whole row breaks ties: many units can share one value
-    # (e.g. variance 0), and equal range keys would all land in one partition.
-    vals = df.select(F.col(col).alias("_v"), F.xxhash64(*[F.col(c) for c in df.columns]).alias("_t")).filter(
-        F.col("_v").isNotNull()
-    )
-    n = vals.count()
+#: Accuracy of the quantile sketch (its rank error is 1 / SKETCH of the rows), and values that may reach the driver.
+SKETCH, NEAR_VALUES = 1000, 10_000
+
+
+def exact_quantile(df: DataFrame, col: str, p: float, near_values: int = NEAR_VALUES) -> float | None:
+    """Exact quantile with linear interpolation (like SQL percentile_cont), without a sort of all values.
+
+    A mergeable sketch (``percentile_approx``) brackets the two ranks, counts of what lies below and inside the bracket place
+    them, and only what is inside is looked at again, until ``near_values`` distinct values at most are left: those come to the
+    driver with their counts. Each round keeps a few thousandths of the rows. NULLs are left out; no value gives None."""
+    vals = df.select(F.col(col).cast("double").alias("_v")).filter(F.col("_v").isNotNull())
+    v, n = F.col("_v"), vals.count()
     if n == 0:
         return None
     h = p * (n - 1)
     lo, hi = int(h // 1), min(int(h // 1) + 1, n - 1)
-    # Rows that tie on (value, hash) may swap positions between re-runs, but
-    # they carry the same value, so the value found at each position is fixed.
-    picked = dense_index(vals, ["_v", "_t"], "_i").filter(F.col("_i").isin(lo, hi)).select("_i", "_v").collect()
-    got = {r["_i"]: r["_v"] for r in picked}
+    below, inside, margin = 0, n, 2.0 / SKETCH
+    while inside > near_values:
+        shares = [max(0.0, (lo - below) / inside - margin), min(1.0, (hi + 1 - below) / inside + margin)]
+        a, b = vals.agg(F.percentile_approx(v, shares, 10 * SKETCH).alias("q")).first()["q"]
+        found = vals.agg(F.count(F.when(v < a, 1)).alias("less"), F.count(F.when((v >= a) & (v <= b), 1)).alias("m")).first()
+        if not below + found["less"] <= lo or not hi < below + found["less"] + found["m"]:
+            margin *= 2  # the sketch missed
+            continue
+        below += found["less"]
+        vals = vals.filter((v >= a) & (v <= b))
+        if a == b:
+            return a
+        if found["m"] == inside:  # many rows at few values: equal ones are counted, not sorted
+            break
+        inside = found["m"]
+    got, before = {}, below
+    for r in vals.groupBy("_v").count().orderBy("_v").collect():
+        for rank in (lo, hi):
+            if before <= rank < before + r["count"]:
+                got[rank] = r["_v"]
+        before += r["count"]
     return got[lo] + (h - lo) * (got[hi] - got[lo])
 
 
