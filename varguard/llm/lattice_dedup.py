@@ -22,15 +22,29 @@ from pyspark.sql import functions as F
 from .common import connected_components, seed64, written
 from .e8 import decode, neighbours, shortest_vectors
 
-#: Tables, neighbouring cells probed in each, and the projection's scale in lattice units:
-#: a pair of cosine 0.9 is found with probability 0.98, one of 0.95 with 0.9999.
-TABLES, PROBES, SCALE = 6, 8, 0.85
+#: Neighbouring cells probed in each table, the projection's scale in lattice units, and the chance that a pair just at the
+#: cosine meets in some table. Together they give the number of tables: 6 for a cosine of 0.9.
+PROBES, SCALE, RECALL = 8, 0.85, 0.97
 #: Nodes of a cell that one task holds.
 CELL_ROWS = 4096
 #: Candidates compared at a time.
 STEP = 1 << 18
 
 
+def tables_for(cosine: float, probes: int, scale: float, recall: float = RECALL) -> int:
+    """Tables that let a pair of this cosine meet with probability ``recall``. The chance in one table is that of two
+    correlated normal points in 8 dimensions, whatever the vectors' length; it is measured on 20,000 drawn pairs."""
+    rng = np.random.default_rng(seed64("recall"))
+    x, y = rng.normal(size=(2, 20_000, 8))
+    x, y = x * scale, (cosine * x + np.sqrt(max(0.0, 1 - cosine * cosine)) * y) * scale
+    shell, cells = shortest_vectors(), [decode(x), decode(y)]
+    meets = (cells[0] == cells[1]).all(axis=1)
+    for a, own, other in ((x, *cells), (y, *cells[::-1])):
+        meets |= (neighbours(a, own, probes, shell) == other[:, None, :]).all(axis=2).any(axis=1)
+    missed = 1 - meets.mean()
+    return 1 if missed <= 1 - recall else int(np.ceil(np.log(1 - recall) / np.log(missed)))
+
+
 def projection(table: int, dim: int, scale: float) -> np.ndarray:
     return np.random.default_rng(seed64("e8", table, dim)).normal(size=(dim, 8)) * scale
 
@@ -189,7 +203,7 @@ def cosine_of(x: np.ndarray, y: np.ndarray) -> float:
 def embedding_groups(
     vectors: DataFrame,
     cosine: float = 0.9,
-    tables: int = TABLES,
+    tables: int | None = None,
     probes: int = PROBES,
     scale: float = SCALE,
     id_col: str = "vec_id",
@@ -198,12 +212,14 @@ def embedding_groups(
 ) -> DataFrame:
     """``(vec_id, n_links, component_id, kept)`` for each row of ``vectors``.
 
-    Links have a cosine of ``cosine`` or more; equal vectors all link with each
+    Links have a cosine of ``cosine`` or more, found with probability ``RECALL`` at least (the number of ``tables`` follows from
+    the cosine where it isn't given; low cosines take many); equal vectors all link with each
     other. Vectors that are null, empty, zero, or hold null or non-finite
     components link with nothing (component: their own id). Vectors of different lengths never link. Repeated
     rows count each; a null id gets the smallest id of its component. An empty
     table gives an empty result; other columns (labels too) are ignored.
     """
+    tables = tables_for(cosine, probes, scale) if tables is None else tables
     component = F.col(vector_col).cast("array<double>")
     ok = F.coalesce(
         F.forall(component, lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf"))) & F.exists(component, lambda x: x != 0), F.lit(False)
