@@ -92,13 +92,13 @@ d AS (
   SELECT row_number() OVER () AS r, doc_id,
          regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
                             '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS ws FROM documents),
-entries AS (SELECT DISTINCT id, words, unnest(words) AS word FROM templates),
+entries AS (SELECT DISTINCT id, phrase, phrase_at, unnest(phrase) AS word FROM templates),
 places AS (
   SELECT r, word, p FROM (SELECT r, unnest(ws) AS word, generate_subscripts(ws, 1) AS p FROM d)
   WHERE word IN (SELECT word FROM entries)),
 df AS (SELECT word, count(DISTINCT r) AS n FROM places GROUP BY word),
 rare AS (
-  SELECT id, word, list_position(words, word) AS nth FROM entries LEFT JOIN df USING (word)
+  SELECT id, word, phrase_at + list_position(phrase, word) AS nth FROM entries LEFT JOIN df USING (word)
   QUALIFY row_number() OVER (PARTITION BY id ORDER BY coalesce(n, 0), word) <= 3),
 starts AS (SELECT r, id, p - nth AS s, count(*) AS agree FROM places JOIN rare USING (word) GROUP BY ALL),
 found AS (
