@@ -248,3 +248,74 @@ def test_rows_without_id_fall_into_several_substreams(spark, monkeypatch):
     out = pfair_mix.mix_sources(docs, {"s": 1.0}, block_chars=100)
     assert out.count() == 600 and out.where("_mix_h <> 'mine'").count() == 0 and out.select("_mix_b").distinct().count() == 600
     assert out.columns == [*docs.columns, "block", "phase", "release", "deadline", "slot"]
+
+
+@pytest.mark.parametrize("cosine", [0.9, 0.8])
+def test_planted_pairs_are_found_at_any_cosine(spark, cosine):
+    from varguard.llm.lattice_dedup import embedding_groups
+
+    rng = np.random.default_rng(8)
+    n, dim = 1500, 48
+    x, y = rng.normal(size=(2, n, dim))
+    x /= np.linalg.norm(x, axis=1, keepdims=True)
+    y -= (x * y).sum(axis=1, keepdims=True) * x
+    y /= np.linalg.norm(y, axis=1, keepdims=True)
+    c = cosine + np.where(np.arange(n) % 3 == 0, -0.002, 0.002)  # a third just below: never linked
+    z = c[:, None] * x + np.sqrt(1 - c * c)[:, None] * y
+    rows = [(2 * i, v.tolist()) for i, v in enumerate(x)] + [(2 * i + 1, v.tolist()) for i, v in enumerate(z)]
+    got = embedding_groups(spark.createDataFrame(rows, "vec_id long, embedding array<double>").repartition(6), cosine=cosine)
+    linked = {r["vec_id"] for r in got.where("n_links = 1 AND vec_id % 2 = 1 AND component_id = vec_id - 1").collect()}
+    true = {2 * i + 1 for i in range(n) if i % 3}
+    assert not linked - true and len(linked) >= 0.95 * len(true)
+
+
+def test_licence_twin_on_phrases_apart_from_their_templates(spark):
+    import duckdb
+
+    from varguard.llm.license_scan import BASE_PHRASES, TEMPLATES, scan_licenses
+    from varguard.llm.queries import LICENSE_SQL
+
+    texts = [
+        "Redistribution and use in source and binary forms are permitted provided that",
+        "released under the Mozilla Public License", "license public license public " * 20, "modification binary permitted subject to terms", None, "", "MIT License mit license",
+        "permission is hereby granted, free of charge, to any person", "Apache License. Licensed under the Apache License, Version 2.0", "x general public license " * 3,
+    ]
+    rows = [(i, t, "clash") for i, t in enumerate(texts)] + [(None, texts[0], None), (3, texts[1], None)]
+    documents = spark.createDataFrame(rows, "doc_id long, text string, labels string").toPandas()
+    got = scan_licenses(spark.createDataFrame(rows, "doc_id long, text string, labels string"), BASE_PHRASES, TEMPLATES)
+    con = duckdb.connect()
+    con.register("documents", documents.astype({"doc_id": "Int64"}))
+    want = con.sql(f"SELECT {', '.join(got.columns)} FROM ({LICENSE_SQL})").fetchall()
+    assert sorted(map(str, map(tuple, got.collect()))) == sorted(map(str, want))
+    assert {r[0]: r[6] for r in want if r[0] in (0, 1)} == {0: "bsd", 1: "mpl"}
+
+
+def test_quality_fit_is_the_pairs_optimum_and_scores_follow_it(spark):
+    from varguard.llm import pairwise_quality as q
+
+    rng = np.random.default_rng(4)
+    x = rng.normal(size=(120, q.N_FEATURES))
+    label = (x[:, 0] + 0.8 * x[:, 3] + rng.normal(size=120) > 0.2).astype(int)
+    ids = np.arange(120)
+    model = q.fit(x, label, ids)
+    z = (x - x.mean(axis=0)) / (x.std(axis=0) + 1e-9)
+    good, bad = np.flatnonzero(label == 1), np.flatnonzero(label == 0)
+    pairs = [(g, bad[zlib.crc32(f"{g}:{j}".encode()) % len(bad)]) for g in good for j in range(q.PAIRS_EACH)]
+    diff = np.array([z[g] - z[b] for g, b in pairs])
+
+    def loss(w):
+        return np.logaddexp(0, -diff @ w).mean() + q.L2 / 2 * w @ w
+
+    w = np.array(model.weights)
+    for i in range(len(w)):  # no step along any weight lowers the loss
+        for h in (1e-3, -1e-3):
+            assert loss(w + h * np.eye(len(w))[i]) >= loss(w) - 1e-12
+    ranked = np.sort(z @ w)
+    assert abs(model.threshold - (ranked[len(bad) - 1] + ranked[len(bad)]) / 2) < 1e-9
+    assert (model.scores(x) >= 0.5).sum() == len(good)
+    texts = ["A plain text.", "", "BUY!!! $$$ " * 9, "x" * 500, None]
+    docs = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "doc_id long, text string")
+    got = {r["doc_id"]: r["s"] for r in q.with_score(docs, model, score_col="s").collect()}
+    for i, t in enumerate(texts):
+        f = (np.array(q.features((t or "").encode())) - model.mean) / model.scale
+        assert abs(got[i] - 1 / (1 + math.exp(min(500, max(-500, model.threshold - f @ w))))) < 1e-9
