@@ -150,6 +150,8 @@ def corpus_unit_values(
         weights,
         key_cols=["doc_id"],
     )
+    if any(is_mergeable(m) for m in measures):
+        scored = scored.checkpoint()  # ids and logits, no texts: measures in Python read the members once more
     k = len(cands)
     entry = lambda kind, unit: F.struct(F.lit(kind).alias("kind"), unit.cast("long").alias("unit"))
     of_groups = [entry(kind, F.col(c)) for kind, c in gid_cols.items()]
