@@ -319,3 +319,25 @@ def test_quality_fit_is_the_pairs_optimum_and_scores_follow_it(spark):
     for i, t in enumerate(texts):
         f = (np.array(q.features((t or "").encode())) - model.mean) / model.scale
         assert abs(got[i] - 1 / (1 + math.exp(min(500, max(-500, model.threshold - f @ w))))) < 1e-9
+
+
+def test_every_link_of_a_hot_cell_is_counted(spark):
+    """Near copies that share their cells, in parts and over several Arrow batches; whole-number and float vectors."""
+    from varguard.llm.lattice_dedup import embedding_groups
+
+    rng = np.random.default_rng(12)
+    v = np.concatenate([np.round(100 * (rng.normal(size=24) + rng.normal(size=(220, 24)) * 0.02)), np.round(100 * rng.normal(size=(60, 24)))])
+    v[5], v[6] = v[4], -v[4]
+    u = v / np.linalg.norm(v, axis=1, keepdims=True)
+    near = (u @ u.T >= 0.9).sum(axis=1) - 1
+    before = spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "37")
+    try:
+        for kind in ("int", "float", "double"):
+            table = spark.createDataFrame([(i, [float(c) for c in x]) for i, x in enumerate(v)], "vec_id long, embedding array<double>")
+            table = table.selectExpr("vec_id", f"CAST(embedding AS array<{kind}>) AS embedding", "'x' AS node", "1 AS key")
+            for cell_rows in (4096, 40):
+                got = {r["vec_id"]: r["n_links"] for r in embedding_groups(table, cell_rows=cell_rows).collect()}
+                assert [got[i] for i in range(len(v))] == near.tolist()
+    finally:
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", before)

@@ -2,16 +2,16 @@
 
 In each of several tables a random projection maps a vector to 8 dimensions,
 where it is decoded to the nearest point of the E8 lattice: its cell. A vector probes its own
-cell and the neighbouring cells nearest to it. Vectors that meet are compared
-through 8-bit copies with a rigorous error bound, and what may reach the cosine is verified
-on the vectors themselves in double precision.
+cell and the neighbouring cells nearest to it. Only ids and 128-bit sketches are sent to the cells; vectors that meet are compared by their sketches,
+and what may reach the cosine is verified on the vectors themselves in double precision.
 
-Equal vectors are one node. A cell with many nodes is split by salt and its
+Equal vectors (known by a digest of their components) are one node. A cell with many nodes is split and its
 probes are sent to each part, so no task holds a cell whole.
 """
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -23,10 +23,14 @@ from .common import connected_components, seed64, written
 from .e8 import decode, neighbours, shortest_vectors
 
 #: Neighbouring cells probed in each table, the projection's scale in lattice units, and the chance that a pair just at the
-#: cosine meets in some table. Together they give the number of tables: 6 for a cosine of 0.9.
-PROBES, SCALE, RECALL = 8, 0.85, 0.97
+#: cosine meets in some table. Together they give the number of tables: 6 for a cosine of 0.9, so 24 rows a vector.
+PROBES, SCALE, RECALL = 3, 0.7, 0.97
+#: Bits of a sketch, and the chance that a pair just at the cosine differs in more of them than are allowed.
+SKETCH, SKETCH_MISS = 128, 1e-4
 #: Nodes of a cell that one task holds.
 CELL_ROWS = 4096
+#: Large cells that are broadcast, 16 bytes each.
+BROADCAST_CELLS = 1 << 20
 #: Candidates compared at a time.
 STEP = 1 << 18
 
@@ -58,16 +62,25 @@ def cell_key(points: np.ndarray, table: int, dim: int) -> np.ndarray:
     return h.view(np.int64)
 
 
-def small_copies(v: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """8-bit copies of unit vectors, and the largest angle between copy and vector."""
-    q = np.rint(v * (127 / np.abs(v).max(axis=1, keepdims=True)))
-    cos = (q * v).sum(axis=1) / np.linalg.norm(q, axis=1)
-    return q.astype(np.int8), np.arccos(np.clip(cos, -1, 1)) + 1e-6
+def sketches(v: np.ndarray, dim: int) -> np.ndarray:
+    """(n, 2) whole numbers: on which side of ``SKETCH`` random planes a vector lies."""
+    planes = np.random.default_rng(seed64("sketch", dim)).normal(size=(dim, SKETCH))
+    return np.packbits(v @ planes >= 0, axis=1).view(np.int64)
+
+
+def sketch_bits(cosine: float) -> int:
+    """Differing bits that a pair of this cosine or more exceeds with a chance of ``SKETCH_MISS`` at most."""
+    p, below = math.acos(max(-1.0, min(1.0, cosine))) / math.pi, 0.0
+    for bits in range(SKETCH + 1):
+        below += math.comb(SKETCH, bits) * p**bits * (1 - p) ** (SKETCH - bits)
+        if below >= 1 - SKETCH_MISS:
+            break
+    return bits
 
 
 def lattice_rows(nodes: DataFrame, tables: int, probes: int, scale: float) -> DataFrame:
-    """``(key, probe, node, q, err)``: for each table a row at the node's own
-    cell, and a probe at that cell and at each neighbouring one."""
+    """``(key, node, s0, s1)``: for each table a row at the node's own cell, and a probe at each neighbouring one. A cell's
+    key is even, a probe's key is the cell's plus 1. Rows carry the sketch, never the vector."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         shell = shortest_vectors()
@@ -82,78 +95,74 @@ def lattice_rows(nodes: DataFrame, tables: int, probes: int, scale: float) -> Da
                 v = flat[starts[at][:, None] + np.arange(dim)]
                 v = v / np.abs(v).max(axis=1, keepdims=True)
                 v = v / np.linalg.norm(v, axis=1, keepdims=True)
-                q, err = small_copies(v)
-                q = [x.tobytes() for x in q]
+                rest = [pa.array(np.ascontiguousarray(x)) for x in (ids[at], *sketches(v, dim).T)]
                 for t in range(tables):
                     x = v @ projection(t, dim, scale)
                     own = decode(x)
-                    near = np.concatenate([own[:, None, :], neighbours(x, own, probes, shell)], axis=1)
-                    keys = cell_key(near, t, dim)
-                    for j in range(-1, probes + 1):
-                        yield pa.record_batch(
-                            {
-                                "key": pa.array(keys[:, max(j, 0)]),
-                                "probe": pa.array([j >= 0] * len(at)),
-                                "node": pa.array(ids[at]),
-                                "q": pa.array(q, pa.binary()),
-                                "err": pa.array(err),
-                            }
-                        )
-
-    return nodes.select("node", "v").mapInArrow(run, "key long, probe boolean, node long, q binary, err double")
-
-
-def split_cells(rows: DataFrame, cell_rows: int) -> DataFrame:
-    """``rows`` with a ``salt``: cells of more than ``cell_rows`` nodes fall
-    into parts, and a probe of such a cell goes to every part."""
-    large = rows.where("NOT probe").groupBy("key").count().where(F.col("count") > cell_rows)
-    parts = large.select("key", F.ceil(F.col("count") * 2 / cell_rows).cast("int").alias("parts"))
-    n = F.coalesce("parts", F.lit(1))
-    salts = F.when(F.col("probe"), F.sequence(F.lit(0), n - 1)).otherwise(F.array(F.pmod(F.xxhash64("node"), n).cast("int")))
-    return rows.join(parts, "key", "left").withColumn("salt", F.explode(salts)).drop("parts")
+                    near = own[:, None, :]
+                    if probes:
+                        near = np.concatenate([near, neighbours(x, own, probes, shell)], axis=1)
+                    keys = cell_key(near, t, dim) & np.int64(-2)
+                    for j in range(probes + 1):
+                        yield pa.RecordBatch.from_arrays([pa.array(keys[:, j] | np.int64(j > 0)), *rest], names=["key", "node", "s0", "s1"])
+
+    return nodes.select("node", "v").mapInArrow(run, "key long, node long, s0 long, s1 long")
+
+
+def split_cells(rows: DataFrame, own: DataFrame, most_cells: int, cell_rows: int) -> DataFrame:
+    """``rows`` with cells of more than ``cell_rows`` nodes (counted on ``own``) in parts, each with a key of its own. A probe of
+    such a cell goes to every part; a node stands in one part and probes the others. There are at most ``most_cells`` such
+    cells; up to ``BROADCAST_CELLS`` they are broadcast, more are joined by shuffle."""
+    large = own.groupBy("key").count().where(F.col("count") > cell_rows)
+    large = large.select(F.col("key").alias("cell"), F.ceil(F.col("count") * 2 / cell_rows).cast("int").alias("parts")).checkpoint()
+    if most_cells <= BROADCAST_CELLS:
+        large = F.broadcast(large)
+    probe = F.col("key").bitwiseAND(F.lit(1).cast("long"))
+    joined = rows.join(large, F.col("key") - probe == F.col("cell"), "left")
+    mine = F.pmod(F.xxhash64("node"), F.col("parts")).cast("int")
+    asks = F.when((probe == 0) & (F.col("part") == F.col("mine")), F.lit(0)).otherwise(F.lit(1)).cast("long")
+    part_key = F.xxhash64("cell", "part").bitwiseAND(F.lit(-2).cast("long")) + asks
+    parts = F.when(F.col("parts").isNull(), F.array(F.lit(0))).otherwise(F.sequence(F.lit(0), F.col("parts") - 1))
+    dealt = joined.select("*", mine.alias("mine"), F.explode(parts).alias("part"))
+    return dealt.select(F.when(F.col("parts").isNull(), F.col("key")).otherwise(part_key).alias("key"), "node", "s0", "s1")
 
 
 def meeting_pairs(rows: DataFrame, cosine: float) -> DataFrame:
-    """Distinct ``(a, b)``, a < b, of nodes that meet in a cell and whose
-    small copies don't rule the cosine out."""
-    most = float(np.arccos(cosine)) + 1e-9
+    """Distinct ``(a, b)``, a < b, of nodes that meet in a cell and whose sketches differ in few enough bits."""
+    most = sketch_bits(cosine)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: tuple | None = None  # the last cell's own rows: a cell may go on in the next batch
+        held = np.empty((4, 0), np.int64)  # the last cell's own rows: a cell may go on in the next batch
         for batch in batches:
             if not batch.num_rows:
                 continue
-            key = np.stack([batch["key"].to_numpy(), batch["salt"].to_numpy().astype(np.int64)])
-            probe = batch["probe"].to_numpy(zero_copy_only=False)
-            node, err = batch["node"].to_numpy(), batch["err"].to_numpy()
-            q = np.array(batch["q"].to_pylist(), object)
-            if held is not None:
-                key = np.concatenate([held[0], key], axis=1)
-                probe = np.concatenate([np.zeros(held[0].shape[1], bool), probe])
-                node, err, q = (np.concatenate([h, x]) for h, x in zip(held[1:], (node, err, q), strict=True))
-            new = np.concatenate([[True], (key[:, 1:] != key[:, :-1]).any(axis=0)])
-            cell = np.cumsum(new) - 1
-            own = np.flatnonzero(~probe)
+            rows = np.stack([batch[c].to_numpy() for c in ("key", "node", "s0", "s1")])
+            rows = np.concatenate([held, rows], axis=1)
+            probe = rows[0] & 1
+            rows[0] -= probe
+            key, node, s0, s1 = rows
+            cell = np.cumsum(np.concatenate([[True], key[1:] != key[:-1]])) - 1
+            own = np.flatnonzero(probe == 0)
             count = np.bincount(cell[own], minlength=cell[-1] + 1)
             first = np.cumsum(count) - count  # own rows precede a cell's probes, so they are in order of cells
-            asks = np.flatnonzero(probe)
-            each = count[cell[asks]]
+            # a new node meets the own rows before it, a probe all own rows of its cell
+            asks = np.arange(held.shape[1], len(key))
+            each = count[cell]
+            each[own] = np.arange(len(own)) - first[cell[own]]
+            each = each[asks]
             for lo, hi in steps(each):
                 left = np.repeat(asks[lo:hi], each[lo:hi])
                 nth = np.arange(len(left)) - np.repeat(np.cumsum(each[lo:hi]) - each[lo:hi], each[lo:hi])
                 right = own[first[cell[left]] + nth] if len(left) else left
-                other = node[left] != node[right]
-                left, right = left[other], right[other]
-                if len(left):
-                    cos = cosines(q, left, right)
-                    near = np.arccos(np.clip(cos, -1, 1)) - err[left] - err[right] <= most
+                differing = sum(np.bitwise_count((s[left] ^ s[right]).view(np.uint64)).astype(np.int16) for s in (s0, s1))
+                near = (differing <= most) & (node[left] != node[right])
+                if near.any():
                     a, b = node[left[near]], node[right[near]]
                     pairs = np.unique(np.stack([np.minimum(a, b), np.maximum(a, b)]), axis=1)
                     yield pa.record_batch({"a": pa.array(pairs[0]), "b": pa.array(pairs[1])})
-            last = np.flatnonzero((cell == cell[-1]) & ~probe)
-            held = (key[:, last], node[last], err[last], q[last])
+            held = rows[:, (cell == cell[-1]) & (probe == 0)]
 
-    dealt = rows.repartition("key", "salt").sortWithinPartitions("key", "salt", "probe")
+    dealt = rows.repartition(F.col("key").bitwiseAND(F.lit(-2).cast("long"))).sortWithinPartitions("key")
     return dealt.mapInArrow(run, "a long, b long").distinct()
 
 
@@ -167,20 +176,6 @@ def steps(each: np.ndarray) -> Iterator[tuple[int, int]]:
         lo = hi
 
 
-def cosines(q: np.ndarray, left: np.ndarray, right: np.ndarray) -> np.ndarray:
-    used, at = np.unique(np.concatenate([left, right]), return_inverse=True)
-    x = np.frombuffer(b"".join(q[used]), np.int8).reshape(len(used), -1).astype(np.float32) if len({len(v) for v in q[used]}) == 1 else None
-    l, r = at[: len(left)], at[len(left) :]
-    if x is None:  # vectors of several lengths: their cells differ, but a batch holds many cells
-        return np.array([float(np.dot(u, v)) / float(np.linalg.norm(u) * np.linalg.norm(v)) for u, v in ((as_float(q[i]), as_float(q[j])) for i, j in zip(left, right, strict=True))])
-    x /= np.linalg.norm(x, axis=1, keepdims=True)
-    return np.einsum("ij,ij->i", x[l], x[r])
-
-
-def as_float(q: bytes) -> np.ndarray:
-    return np.frombuffer(q, np.int8).astype(np.float64)
-
-
 def verified(pairs: DataFrame, nodes: DataFrame, cosine: float) -> DataFrame:
     """The pairs whose cosine is really reached, in double precision."""
     a = nodes.select(F.col("node").alias("a"), F.col("v").alias("va"))
@@ -188,18 +183,21 @@ def verified(pairs: DataFrame, nodes: DataFrame, cosine: float) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            va, vb = (batch[c].to_pylist() for c in ("va", "vb"))
-            ok = [cosine_of(np.array(x, np.float64), np.array(y, np.float64)) >= cosine for x, y in zip(va, vb, strict=True)]
-            yield batch.select(["a", "b"]).filter(pa.array(ok, pa.bool_()))
+            ends = [batch[c].offsets.to_numpy() for c in ("va", "vb")]
+            flat = [batch[c].flatten().to_numpy(zero_copy_only=False).astype(np.float64) for c in ("va", "vb")]
+            size, other = np.diff(ends[0]), np.diff(ends[1])
+            ok = np.zeros(len(size), bool)
+            for dim in np.unique(size).tolist():
+                at = np.flatnonzero((size == dim) & (other == dim))
+                x, y = (f[e[at][:, None] - e[0] + np.arange(dim)] for f, e in zip(flat, ends, strict=True))
+                x, y = (u / np.abs(u).max(axis=1, keepdims=True) for u in (x, y))  # no overflow, no underflow
+                dot = [np.einsum("ij,ij->i", u, w) for u, w in ((x, y), (x, x), (y, y))]
+                ok[at] = dot[0] / np.sqrt(dot[1] * dot[2]) >= cosine
+            yield batch.select(["a", "b"]).filter(pa.array(ok))
 
     return pairs.join(a, "a").join(b, "b").select("a", "b", "va", "vb").mapInArrow(run, "a long, b long")
 
 
-def cosine_of(x: np.ndarray, y: np.ndarray) -> float:
-    x, y = x / np.abs(x).max(), y / np.abs(y).max()  # no overflow, no underflow
-    return float(x @ y / np.sqrt((x @ x) * (y @ y)))
-
-
 def embedding_groups(
     vectors: DataFrame,
     cosine: float = 0.9,
@@ -217,32 +215,42 @@ def embedding_groups(
     other. Vectors that are null, empty, zero, or hold null or non-finite
     components link with nothing (component: their own id). Vectors of different lengths never link. Repeated
     rows count each; a null id gets the smallest id of its component. An empty
-    table gives an empty result; other columns (labels too) are ignored.
+    table gives an empty result; other columns (labels too) are ignored. Vectors may be of any length; one is a row.
     """
     tables = tables_for(cosine, probes, scale) if tables is None else tables
-    component = F.col(vector_col).cast("array<double>")
+    given = F.col(vector_col)
+    component = given.cast("array<double>")
     ok = F.coalesce(
         F.forall(component, lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf"))) & F.exists(component, lambda x: x != 0), F.lit(False)
     )
-    rows = vectors.select(F.col(id_col).cast("long").alias("id"), F.when(ok, component).alias("v"))
+    # floats stay floats while they travel; + 0.0 makes the two zeros one
+    narrow = vectors.select(vector_col).schema[0].dataType.simpleString() == "array<float>"
+    digits = F.concat_ws(",", F.transform(component, lambda x: x + F.lit(0.0)).cast("array<string>"))
+    rows = vectors.select(
+        F.col(id_col).cast("long").alias("id"),
+        F.when(ok, given if narrow else component).alias("v"),
+        F.when(ok, F.unhex(F.sha2(digits, 256))).alias("same"),
+    )
     valid = rows.where("v IS NOT NULL")
     nodes = written(
-        valid.groupBy("v").agg(F.min("id").alias("first"), F.count("*").alias("size")).withColumn("node", F.monotonically_increasing_id()), "e8nodes"
+        valid.groupBy("same").agg(F.first("v").alias("v"), F.min("id").alias("first"), F.count("*").alias("size")).withColumn("node", F.monotonically_increasing_id()),
+        "e8nodes",
     )
-    cells = split_cells(lattice_rows(nodes, tables, probes, scale), cell_rows)
+    most_cells = tables * nodes.count() // cell_rows
+    cells = split_cells(lattice_rows(nodes, tables, probes, scale), lattice_rows(nodes, tables, 0, scale), most_cells, cell_rows)
     links = verified(meeting_pairs(cells, cosine), nodes, cosine).checkpoint()
     sizes = nodes.select("node", "size")
     both = links.union(links.select("b", "a")).toDF("node", "other")
     degree = both.join(sizes.toDF("other", "n"), "other").groupBy("node").agg(F.sum("n").alias("others"))
-    named = nodes.join(connected_components(links), "node", "left").withColumn("c", F.coalesce("component", "node"))
+    named = nodes.select("node", "same", "first", "size").join(connected_components(links), "node", "left").withColumn("c", F.coalesce("component", "node"))
     smallest = named.groupBy("c").agg(F.min("first").alias("component_id"))
     facts = (
         named.join(smallest, "c")
         .join(degree, "node", "left")
-        .select("v", "component_id", (F.col("size") - 1 + F.coalesce("others", F.lit(0))).cast("long").alias("n_links"))
+        .select("same", "component_id", (F.col("size") - 1 + F.coalesce("others", F.lit(0))).cast("long").alias("n_links"))
     )
     joined = rows.where("v IS NULL").select("id", F.lit(0).cast("long").alias("n_links"), F.col("id").alias("component_id"))
-    joined = joined.union(valid.join(facts, "v").select("id", "n_links", "component_id"))
+    joined = joined.union(valid.select("id", "same").join(facts, "same").select("id", "n_links", "component_id"))
     return joined.select(
         F.col("id").alias(id_col), "n_links", "component_id", F.coalesce(F.col("id") == F.col("component_id"), F.lit(False)).alias("kept")
     )
