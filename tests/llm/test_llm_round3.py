@@ -341,3 +341,29 @@ def test_every_link_of_a_hot_cell_is_counted(spark):
                 assert [got[i] for i in range(len(v))] == near.tolist()
     finally:
         spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", before)
+
+
+def test_a_rule_table_beyond_the_bound_is_judged_in_passes(spark, monkeypatch):
+    from varguard.llm import url_filter as u
+
+    urls = [f"http://s{i % 7}.h{i}.{'com' if i % 3 else 'net'}/p{i % 11}/x" for i in range(1500)] + [None, "", "h://"]
+    pages = spark.createDataFrame([(i, x, "clash") for i, x in enumerate(urls)], "page_id long, url string, rule string")
+    rules = [("block" if i % 4 else "allow", f"h{i}.{'com' if i % 3 else 'net'}/") for i in range(0, 1500, 2)] + [("block", f"H{i}.com/p{i % 11}/") for i in range(1, 1500, 5)] + [("allow", "net/p3/")]
+    table = spark.createDataFrame([*rules, ("allow", None), (None, "h2.net/")], "verdict string, rule string")
+    first = {}
+    for verdict, rule in rules:
+        first.setdefault(rule.lower(), verdict)
+    want = {}
+    for i, x in enumerate(urls):
+        host, _, path = (x or "").partition("://")[2].partition("/")
+        labels = host.split(".")
+        tails = {".".join(labels[k:]) + ("/" + path)[:n] for k in range(len(labels)) for n in range(len(path) + 2)} if host else set()
+        rule = max(tails & set(first), key=len, default=None)
+        want[i] = (rule, first.get(rule, "allow"))
+    assert len({v for _, v in want.values()}) == 2 and {r["page_id"]: (r["rule"], r["verdict"]) for r in u.judge_urls(pages, table).collect()} == want
+    ranges, given = [], u.passes
+    monkeypatch.setattr(u, "passes", lambda *a: ranges.append(given(*a)) or ranges[-1])
+    monkeypatch.setattr(u, "SHARD_BITS", 2000)
+    monkeypatch.setattr(u, "MAX_BITS", 2500)
+    assert {r["page_id"]: (r["rule"], r["verdict"]) for r in u.judge_urls(pages, table).collect()} == want
+    assert len(ranges[-1]) > 2 and any(len(r) > 1 for r in ranges[:-1])  # the pages, and keys while the cascades are built
