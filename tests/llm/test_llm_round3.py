@@ -367,3 +367,40 @@ def test_a_rule_table_beyond_the_bound_is_judged_in_passes(spark, monkeypatch):
     monkeypatch.setattr(u, "MAX_BITS", 2500)
     assert {r["page_id"]: (r["rule"], r["verdict"]) for r in u.judge_urls(pages, table).collect()} == want
     assert len(ranges[-1]) > 2 and any(len(r) > 1 for r in ranges[:-1])  # the pages, and keys while the cascades are built
+
+
+def test_cuts_look_at_the_slots_that_matter():
+    """The counts at a cut are those of a look at every slot; a tiny source lengthens neither pieces nor the driver's work."""
+    import random
+
+    from varguard.llm import pfair_mix as p
+
+    def every_slot(slot, m, total):
+        low = [slot * k // total for k in m]
+        short, added = slot - sum(low), []
+        for i in sorted((i for i, k in enumerate(m) if slot * k % total), key=lambda i: (p.due(low[i], m[i], total), i)):
+            chosen = [*added, low[i] * total // m[i]]
+            free = [slot - a - sum(max(n - -(-a * k // total), 0) for n, k in zip(low, m, strict=True)) for a in range(slot)]
+            if len(chosen) <= short and all(sum(r >= a for r in chosen) <= f for a, f in enumerate(free)):
+                added = chosen
+                yield i
+
+    rng = random.Random(5)
+    for _ in range(60):
+        m = p.whole_weights([rng.choice([0.001, 0.003, 0.02, 0.3, 1.0, rng.random() + 0.01]) for _ in range(rng.choice([2, 3, 6]))])
+        slot, total = rng.randrange(1, 150), sum(m)
+        low = [slot * k // total for k in m]
+        want = list(low)
+        for i in every_slot(slot, m, total):
+            want[i] += 1
+        assert p.counts_before(slot, m, total) == want and sum(want) == slot
+    chars = [4 * 10**9, 2 * 10**9, 1]
+    blocks, m = [n // 4096 + 1 for n in chars], p.whole_weights([n**0.5 for n in chars])
+    planned = p.plan(blocks, m, 1000)
+    assert all(x.step == 1000 for x in planned[:1]) and planned[0].length > 100 * 1000
+    assert [sum(n for x in planned for i, n in zip(x.alive, x.end, strict=True) if i == k) for k in range(3)] == blocks
+    seen, phase, total = [0] * 3, planned[0], sum(m)
+    for start in range(0, phase.length, phase.step):
+        for i, j, release, deadline, slot in p.piece(phase, m, start):
+            assert j == seen[i] and release <= slot < deadline and abs(j + 1 - m[i] * (slot + 1) / total) < 1
+            seen[i] += 1

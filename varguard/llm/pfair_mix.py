@@ -90,6 +90,10 @@ def counts_before(slot: int, m: list[int], total: int) -> list[int]:
     added as long as, for every a, no more blocks than slots lie between a and the
     cut. Such sets are a matroid, so this order leaves as few early deadlines as any
     does; the fractional schedule satisfies all bounds, so a whole one does too.
+
+    Not every a is looked at. Free at a are more slots than ``short`` less the fractions of a block (slot * weight above its
+    floor) of the sources released before a. While these fractions are 1 at most together, the free slots, a whole number, are
+    ``short`` at least, and no more blocks are added than that. So one source with a long window lengthens no scan.
     """
     low = [slot * k // total for k in m]
     short = slot - sum(low)
@@ -97,14 +101,19 @@ def counts_before(slot: int, m: list[int], total: int) -> list[int]:
     if not short:
         return low
     release = {i: low[i] * total // m[i] for i in across}
-    begin = min(release.values())
+    begin, skipped = slot, 0
+    for i in sorted(across, key=release.__getitem__):
+        skipped += slot * m[i] % total
+        if skipped > total:
+            begin = release[i]
+            break
     room, known = [np.array([short])], np.array(low)
     for a in range(begin, slot, rows := max(1, (1 << 20) // len(m))):
         at = np.arange(a, min(a + rows, slot))
         room.append(slot - at - np.maximum(known - ceilings(at, m, total), 0).sum(axis=1))
     free = np.concatenate(room)  # at 0 for the whole, then for each slot from begin
     for i in sorted(across, key=lambda i: (due(low[i], m[i], total), i)):
-        within = free[: release[i] - begin + 2]
+        within = free[: max(1, release[i] - begin + 2)]
         if within.min() > 0:
             within -= 1
             low[i] += 1
@@ -143,9 +152,9 @@ def plan(blocks: list[int], m: list[int], period: int) -> list[Phase]:
     while alive := [i for i, n in enumerate(blocks) if n > done[i]]:
         w, left, total = [m[i] for i in alive], [blocks[i] - done[i] for i in alive], sum(m[i] for i in alive)
         length = min(n * total // k for n, k in zip(left, w, strict=True))
-        # a window's length at most, so that a cut looks at no more slots than a piece has
-        step = max(period, -(-2 * total // min(w)))
-        if length > step:
+        # twice the second longest window at least, so that a cut looks at no more slots than a piece has
+        step = max(period, -(-2 * total // sorted(w)[min(1, len(w) - 1)]))
+        if length > period:
             end = counts_before(length, w, total)
         else:
             end = np.bincount(edf(w, total, 0, length, [0] * len(w)), minlength=len(w)).tolist()
