@@ -290,6 +290,59 @@ def test_licence_twin_on_phrases_apart_from_their_templates(spark):
     assert {r[0]: r[6] for r in want if r[0] in (0, 1)} == {0: "bsd", 1: "mpl"}
 
 
+def test_licence_index_of_many_templates_is_brute_force(spark):
+    """Hundreds of templates from a table, words shared among them; rows with odd ids and clashing columns."""
+    from varguard.llm.license_scan import scan_licenses, templates_of
+
+    rng = random.Random(8)
+    vocabulary = [f"w{i}" for i in range(40)] + ["ß", "the", "the", "the"]
+    rows = []
+    for i in range(400):
+        words = rng.choices(vocabulary, k=rng.randint(3, 14))
+        at = rng.randrange(len(words))
+        rows.append((f"L{i % 90:02d}", " ".join(words).replace("w", "W"), " ".join(words[at : at + rng.randint(1, 4)])))
+    rows += [rows[0], ("phrase", None, "Only-this phrase"), ("repeat", None, "ha ha ha"), (None, "a b", "a"), ("none", "a b", None), ("none", "a b", "  ")]
+    templates = templates_of(spark.createDataFrame(rows, "label string, text string, mandatory string"))
+    assert len(templates) == len({(t.label, t.text, t.mandatory) for t in templates}) <= 402 and "none" not in {t.label for t in templates}
+
+    texts = [" ".join(rng.choices(vocabulary, k=rng.choice([0, 1, 5, 30, 60]))) for _ in range(60)]
+    texts += [t.text + " end" for t in templates[:40]] + [None, "", "ha ha ha ha", "only this, PHRASE", "the " * 5000, " ".join(rng.choices(vocabulary, k=4000))]
+    docs = spark.createDataFrame([(None if i == 3 else i, t, "x", 1) for i, t in enumerate(texts)], "doc_id long, text string, _words string, labels int")
+    base = templates[:30]
+    got = {r["doc_id"]: r for r in scan_licenses(docs, base, templates[30:]).collect()}
+    assert len(got) == len(texts)
+    for i, t in enumerate(texts):
+        words = re.findall(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+", re.sub("[A-Z]", lambda m: m[0].lower(), t or ""))
+        found = []
+        for n, x in enumerate(templates):
+            k = len(x.phrase)
+            for p in range(len(words) - k + 1):
+                if words[p : p + k] == x.phrase:
+                    s = p - x.phrase_at
+                    same = sum(a == b for a, b in zip(words[s : s + len(x.words)], x.words)) if s >= 0 else 0  # noqa: B905
+                    found.append((n, s, same / len(x.words)))
+        starts = [s for n, s, _ in found if n < 30]
+        best = max([f[2] for f in found if f[0] >= 30], default=0.0)
+        r = got[None if i == 3 else i]
+        assert (r["n_words"], r["n_base"], r["first_word"], r["last_word"]) == (len(words), len(starts), min(starts, default=None), max(starts, default=None))
+        assert r["base_labels"] == ",".join(sorted({templates[n].label for n, _, _ in found if n < 30}))
+        assert r["labels"] == ",".join(sorted({templates[n].label for n, _, _ in found}))
+        assert r["score"] == pytest.approx(max(best, 0.5) if starts else best, abs=1e-6)
+
+
+def test_licence_templates_are_checked(spark):
+    from varguard.llm.license_scan import scan_licenses, templates_of
+
+    schema = "label string, text string, mandatory string"
+    with pytest.raises(ValueError, match="not in the text"):
+        templates_of(spark.createDataFrame([("x", "some license", "other license")], schema))
+    with pytest.raises(ValueError, match="more than 1 "):
+        templates_of(spark.createDataFrame([("x", "a", "a"), ("x", "b", "b")], schema), most=1)
+    none = templates_of(spark.createDataFrame([], schema))
+    rows = scan_licenses(spark.createDataFrame([(1, "mit license")], "doc_id long, text string"), none, none).collect()
+    assert [tuple(r) for r in rows] == [(1, 2, 0, None, None, "", "", 0.0)]
+
+
 def test_quality_fit_is_the_pairs_optimum_and_scores_follow_it(spark):
     from varguard.llm import pairwise_quality as q
 

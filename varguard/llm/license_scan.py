@@ -1,21 +1,24 @@
 """License scans by a positional rare-token index, in DataFrame functions only.
 
-The words of all licence templates get their document frequency over the
-whole corpus. Each template is indexed under the rarest words of its mandatory phrase,
-with their positions in the template: wherever the phrase stands, they all agree, so no
-place is lost, whichever words are rare in the corpus. A file's occurrences of such a word, less that position, are places
-where the template may start; places on which two rare words of a template
-agree (one, for phrases that are checked whole) are candidates, and a template's
-mandatory phrase must then stand at its place word by word. All of it happens within the
-file's row: no join and no shuffle, and the index is as large as the
-template list, whatever the corpus.
+The words of all mandatory phrases get their document frequency over the whole
+corpus. Each template is posted under the highest-IDF words of its phrase, with
+their positions in the template. A file that holds the phrase holds these words, and
+they are the rarest of it in that file too, so which words a file has to look up
+is settled once for all files. A file's words that are in the index are looked up once each, in a hash table
+of buckets: a posting's place in the file, less its position, is where the template may start. Starts on which two
+postings of a template agree are candidates (its other words are looked at no
+earlier), and the mandatory phrase must then stand at its place word by word; no phrase is lost, whichever words are
+rare in the corpus. All of it happens within the file's row: no join and no shuffle. The work for a file follows from its
+hits and their postings, not from the number of templates, and the index is as large
+as the template list, whatever the corpus.
 """
 
 from __future__ import annotations
 
+import json
+import zlib
 from collections.abc import Sequence
 from dataclasses import dataclass
-from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -69,6 +72,26 @@ TEMPLATES = [
 #: Rare words of a mandatory phrase in the index; candidates need two of them.
 RARE = 3
 
+#: A candidate is one number: the template above, its start (plus an offset, as a start may lie before the text) below.
+START_BITS, START_OFFSET = 33, 1 << 32
+
+BUCKETS = "array<array<struct<word:string,postings:array<struct<template:bigint,at:int>>>>>"
+
+
+def templates_of(table: DataFrame, most: int = 100_000) -> list[Template]:
+    """The templates in the rows ``(label, text, mandatory)`` of ``table``: words as in a file, repeated rows once,
+    rows without label or phrase left out. A null text stands for the phrase. ValueError where a phrase doesn't stand
+    in its text, or at more than ``most`` rows (the index is part of the plan)."""
+    words = lambda c: F.array_join(words_of(F.col(c)), " ")
+    cleaned = table.select("label", words("mandatory").alias("mandatory"), F.coalesce(words("text"), F.lit("")).alias("text"))
+    rows = cleaned.where("label IS NOT NULL AND mandatory <> ''").distinct().limit(most + 1).collect()
+    if len(rows) > most:
+        raise ValueError(f"more than {most} licence templates")
+    out = sorted((r["label"], r["text"] or r["mandatory"], r["mandatory"]) for r in rows)
+    if lost := [label for label, text, phrase in out if f" {phrase} " not in f" {text} "]:
+        raise ValueError(f"mandatory phrase not in the text of {lost[:5]}")
+    return [Template(*r) for r in out]
+
 
 def words_of(text: Column) -> Column:
     return F.regexp_extract_all(ascii_lower(F.coalesce(text, F.lit(""))), F.lit(WORD), F.lit(0))
@@ -77,13 +100,14 @@ def words_of(text: Column) -> Column:
 def document_frequency(docs: DataFrame, vocabulary: list[str], text_col: str = "text") -> dict[str, int]:
     """In how many rows of ``docs`` each word of the vocabulary stands; only
     that many rows reach the driver."""
-    present = F.array_intersect(words_of(F.col(text_col)), strings(vocabulary))
+    present = F.array_intersect(words_of(F.col(text_col)), fixed(vocabulary, "array<string>"))
     rows = docs.select(F.explode(present).alias("word")).groupBy("word").count().collect()
     return {w: 0 for w in vocabulary} | {r["word"]: r["count"] for r in rows}
 
 
-def strings(values: Sequence[str]) -> Column:
-    return F.array(*[F.lit(v) for v in values]) if values else F.array().cast("array<string>")
+def fixed(value: Sequence, ddl: str) -> Column:
+    """A nested value as one literal of the plan."""
+    return F.from_json(F.lit(json.dumps(value)), ddl)
 
 
 def rare_positions(template: Template, df: dict[str, int]) -> list[int]:
@@ -93,47 +117,71 @@ def rare_positions(template: Template, df: dict[str, int]) -> list[int]:
     return [first[w] for w in sorted(first, key=lambda w: (df[w], w))[:RARE]]
 
 
-def starts_of(hits: Column, word: str, offset: int) -> Column:
-    """Places where a template would start, by its word at ``offset``."""
-    return F.transform(F.filter(hits, lambda h: h["word"] == word), lambda h: h["pos"] - offset)
+def posted(templates: Sequence[Template], df: dict[str, int]) -> dict[str, list[tuple[int, int]]]:
+    """Index word -> (template, position). A phrase of one distinct word is posted twice, so that it agrees with itself."""
+    index: dict[str, list[tuple[int, int]]] = {}
+    for n, t in enumerate(templates):
+        at = rare_positions(t, df)
+        for i in at if len(at) > 1 else at * 2:
+            index.setdefault(t.words[i], []).append((n, i))
+    return index
+
 
+def hash_table(index: dict[str, list[tuple[int, int]]]) -> tuple[Column, int]:
+    """The index dealt to buckets by CRC-32 of the word, about one word each, and the number of buckets."""
+    buckets: list[list[dict]] = [[] for _ in range(max(1, len(index)))]
+    for word, postings in sorted(index.items()):
+        entry = {"word": word, "postings": [{"template": n, "at": i} for n, i in postings]}
+        buckets[zlib.crc32(word.encode()) % len(buckets)].append(entry)
+    return fixed(buckets, BUCKETS), len(buckets)
 
-def stands(words: Column, phrase: list[str], start: Column) -> Column:
-    """Whether ``phrase`` stands at word ``start`` (from 0)."""
-    return (start >= 0) & (F.slice(words, F.greatest(start, F.lit(0)) + 1, F.lit(len(phrase))) == strings(phrase))
 
+def starts(hits: Column, index: dict[str, list[tuple[int, int]]]) -> Column:
+    """Every posting of every hit as template and start in one number, ascending."""
+    table, n = hash_table(index)
 
-def found_at(words: Column, hits: Column, template: Template, df: dict[str, int]) -> Column:
-    """Verified places of one template, ascending and distinct."""
-    lists = [starts_of(hits, template.words[i], i) for i in rare_positions(template, df)]
-    if len(lists) == 1 or template.words == template.phrase:
-        places = F.array_distinct(lists[0])  # checked whole, so its rarest word will do
-    else:
-        pairs = [F.array_intersect(a, b) for i, a in enumerate(lists) for b in lists[i + 1 :]]
-        places = reduce(F.array_union, pairs)
-    return F.array_sort(F.filter(places, lambda s: stands(words, template.phrase, s + template.phrase_at)))
+    def of_hit(hit: Column) -> Column:
+        bucket = F.get(table, (F.crc32(hit["word"].cast("binary")) % F.lit(n)).cast("int"))
+        postings = F.filter(bucket, lambda e: e["word"] == hit["word"])[0]["postings"]
+        return F.transform(postings, lambda p: F.shiftleft(p["template"], START_BITS) + (hit["pos"] - p["at"] + F.lit(START_OFFSET)))
 
+    return F.sort_array(F.flatten(F.transform(hits, of_hit)))
 
-def coverage(words: Column, template: Template, start: Column) -> Column:
-    """The part of the template's words that stand at their places."""
-    same = F.zip_with(F.slice(words, F.greatest(start, F.lit(0)) + 1, F.lit(len(template.words))), strings(template.words), lambda a, b: F.coalesce(a == b, F.lit(False)).cast("int"))
-    return F.when(start >= 0, F.aggregate(same, F.lit(0), lambda x, y: x + y) / F.lit(float(len(template.words)))).otherwise(F.lit(0.0))
 
+def agreed(starts: Column) -> Column:
+    """The numbers that stand more than once in the ascending ``starts``, each once."""
+    return F.array_distinct(F.filter(starts, lambda s, i: s == F.get(starts, i + 1)))
 
-def coverages(words: Column, template: Template, places: Column) -> Column:
-    return F.transform(places, lambda s: coverage(words, template, s))
 
+def verified(words: Column, candidates: Column, templates: Sequence[Template]) -> Column:
+    """``(template, start, part)`` of the candidates whose mandatory phrase stands word by word; ``part`` of the template's
+    words stand at their places (0 where the template would start before the text)."""
+    texts = fixed([t.words for t in templates], "array<array<string>>")
+    phrases = fixed([t.phrase for t in templates], "array<array<string>>")
+    phrase_at = fixed([t.phrase_at for t in templates], "array<int>")
 
-def joined(labels: list[tuple[str, Column]]) -> Column:
-    """Distinct labels whose condition holds, sorted and comma-joined."""
-    by: dict[str, Column] = {}
-    for label, holds in labels:
-        by[label] = by[label] | holds if label in by else holds
-    return F.array_join(F.array_compact(F.array(*[F.when(by[k], F.lit(k)) for k in sorted(by)])), ",")
+    def stands(c: Column) -> Column:
+        phrase, first = F.get(phrases, c["template"]), c["start"] + F.get(phrase_at, c["template"])
+        return (first >= 0) & (F.slice(words, F.greatest(first, F.lit(0)) + 1, F.size(phrase)) == phrase)
+
+    def with_part(c: Column) -> Column:
+        text = F.get(texts, c["template"])
+        same = F.zip_with(F.slice(words, F.greatest(c["start"], F.lit(0)) + 1, F.size(text)), text, lambda a, b: a == b)
+        part = F.when(c["start"] >= 0, F.size(F.filter(same, lambda x: x)) / F.size(text)).otherwise(F.lit(0.0))
+        return F.struct(c["template"].alias("template"), c["start"].alias("start"), part.alias("part"))
+
+    split = F.transform(
+        candidates,
+        lambda s: F.struct(
+            F.shiftright(s, START_BITS).cast("int").alias("template"),
+            (s.bitwiseAND(F.lit((1 << START_BITS) - 1)) - F.lit(START_OFFSET)).cast("int").alias("start"),
+        ),
+    )
+    return F.transform(F.filter(split, stands), with_part)
 
 
 def scan_licenses(
-    docs: DataFrame, phrases: list[Template] = BASE_PHRASES, templates: list[Template] = TEMPLATES, id_col: str = "doc_id", text_col: str = "text"
+    docs: DataFrame, phrases: Sequence[Template] = BASE_PHRASES, templates: Sequence[Template] = TEMPLATES, id_col: str = "doc_id", text_col: str = "text"
 ) -> DataFrame:
     """``(doc_id, n_words, n_base, first_word, last_word, base_labels, labels, score)``.
 
@@ -143,42 +191,30 @@ def scan_licenses(
     template's words that stand at their places, at least 0.5 where a phrase stands, else 0.
 
     Every row gives a row, repeated ones too; null and empty texts have no
-    words, empty labels and score 0. An empty table gives an empty result;
-    other columns are ignored.
+    words, empty labels and score 0. A very long text is one row like any other, its hits are
+    numbers, sorted once. An empty table gives an empty result;
+    other columns are ignored, whatever their names.
     """
     both = [*phrases, *templates]
-    df = document_frequency(docs, sorted({w for t in both for w in t.words}), text_col)
-    index = sorted({t.words[i] for t in both for i in rare_positions(t, df)})
+    index = posted(both, document_frequency(docs, sorted({w for t in both for w in t.phrase}), text_col))
+    labels = fixed([t.label for t in both], "array<string>")
     words = F.col("_words")
-    hits = F.when(
-        F.arrays_overlap(words, strings(index)),
-        F.filter(F.transform(words, lambda w, i: F.when(w.isin(index), F.struct(i.alias("pos"), w.alias("word")))), lambda h: h.isNotNull()),
-    ).otherwise(F.array().cast("array<struct<pos:int,word:string>>"))
-    scan = docs.select(F.col(id_col).alias("_id"), words_of(F.col(text_col)).alias("_words")).withColumn("_hits", hits)
-    scan = scan.select(
-        "_id",
-        F.size("_words").cast("long").alias("_n"),
-        F.size("_hits").alias("_h"),
-        *[F.when(F.size("_hits") > 0, found_at(words, F.col("_hits"), t, df)).alias(f"_p{i}") for i, t in enumerate(phrases)],
-        *[
-            F.when(F.size("_hits") > 0, coverages(words, t, found_at(words, F.col("_hits"), t, df))).alias(f"_t{i}")
-            for i, t in enumerate(templates)
-        ],
-    )
-    count = lambda c: F.coalesce(F.size(c), F.lit(0))
-    at = [F.col(f"_p{i}") for i in range(len(phrases))]
-    base = [(t.label, count(F.when(c.isNotNull(), c)) > 0) for t, c in zip(phrases, at, strict=True)]
-    more = [(t.label, count(F.when(F.col(f"_t{i}").isNotNull(), F.col(f"_t{i}"))) > 0) for i, t in enumerate(templates)]
-    zero = F.lit(0).cast("long")
-    best = F.greatest(F.lit(0.0), F.lit(0.0), *[F.array_max(f"_t{i}") for i in range(len(templates))])
-    n_base = reduce(lambda a, b: a + b, [F.when(c.isNotNull(), F.size(c)).otherwise(0).cast("long") for c in at], zero)
+    # a word's own place, or null; the test of membership is a hash set's
+    hit = lambda w, i: F.when(w.isin(*index), F.struct(i.alias("pos"), w.alias("word")))
+    scan = docs.select(F.col(id_col).alias("_id"), words_of(F.col(text_col)).alias("_words"))
+    scan = scan.withColumn("_starts", starts(F.filter(F.transform(words, hit), lambda h: h.isNotNull()), index))
+    scan = scan.select("_id", F.size("_words").cast("long").alias("_n"), verified(words, agreed(F.col("_starts")), both).alias("_found"))
+    at_base = F.transform(F.filter("_found", lambda f: f["template"] < len(phrases)), lambda f: f["start"])
+    scan = scan.select("_id", "_n", "_found", at_base.alias("_base"))
+    named = lambda found: F.array_join(F.sort_array(F.array_distinct(F.transform(found, lambda f: F.get(labels, f["template"])))), ",")
+    best = F.coalesce(F.array_max(F.transform(F.filter("_found", lambda f: f["template"] >= len(phrases)), lambda f: f["part"])), F.lit(0.0))
     return scan.select(
         F.col("_id").alias(id_col),
         F.col("_n").alias("n_words"),
-        n_base.alias("n_base"),
-        F.array_min(F.array_compact(F.array(*[F.array_min(c) for c in at]))).cast("long").alias("first_word"),
-        F.array_max(F.array_compact(F.array(*[F.array_max(c) for c in at]))).cast("long").alias("last_word"),
-        joined(base).alias("base_labels"),
-        joined(base + more).alias("labels"),
-        F.round(F.when(n_base > 0, F.greatest(best, F.lit(0.5))).otherwise(best), 6).alias("score"),
+        F.size("_base").cast("long").alias("n_base"),
+        F.array_min("_base").cast("long").alias("first_word"),
+        F.array_max("_base").cast("long").alias("last_word"),
+        named(F.filter("_found", lambda f: f["template"] < len(phrases))).alias("base_labels"),
+        named(F.col("_found")).alias("labels"),
+        F.round(F.when(F.size("_base") > 0, F.greatest(best, F.lit(0.5))).otherwise(best), 6).alias("score"),
     )
