@@ -25,7 +25,8 @@ from pyspark.sql import functions as F
 
 from .common import ascii_lower
 
-WORD = r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"
+#: What stands between words, in lower-cased text.
+BETWEEN = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 
 
 @dataclass(frozen=True)
@@ -94,7 +95,10 @@ def templates_of(table: DataFrame, most: int = 100_000) -> list[Template]:
 
 
 def words_of(text: Column) -> Column:
-    return F.regexp_extract_all(ascii_lower(F.coalesce(text, F.lit(""))), F.lit(WORD), F.lit(0))
+    """The text's words in order. A text of ASCII only is lower-cased by ``lower``, which does the same to it for less."""
+    text = F.coalesce(text, F.lit(""))
+    low = F.when(F.octet_length(text) == F.char_length(text), F.lower(text)).otherwise(ascii_lower(text))
+    return F.array_remove(F.split(low, BETWEEN), "")
 
 
 def document_frequency(docs: DataFrame, vocabulary: list[str], text_col: str = "text") -> dict[str, int]:
