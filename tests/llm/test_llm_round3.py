@@ -457,3 +457,43 @@ def test_cuts_look_at_the_slots_that_matter():
         for i, j, release, deadline, slot in p.piece(phase, m, start):
             assert j == seen[i] and release <= slot < deadline and abs(j + 1 - m[i] * (slot + 1) / total) < 1
             seen[i] += 1
+
+
+def test_repeat_spans_of_a_hot_id_and_of_null_ids(spark, monkeypatch):
+    """A third of the rows share an id, a third have none: they spread over the blocks, with results as by brute force."""
+    from varguard.llm import repeat_spans
+
+    rng = random.Random(21)
+    text = lambda n: " ".join(f"w{rng.randrange(400)}" for _ in range(n))
+    shared = [text(rng.randrange(13, 40)) for _ in range(12)]
+    rows = []
+    for i in range(180):
+        parts = [text(rng.randrange(0, 30)), rng.choice(shared), text(rng.randrange(0, 30)), rng.choice(shared)]
+        rows.append(({0: 7, 1: None}.get(i % 3, i), " ".join(parts)))
+    rows += [(7, None), (None, ""), (7, rows[0][1]), (3, "w1 " * 30)]
+    table = spark.createDataFrame(rows, "doc_id long, text string").repartition(5)
+    sizes = []
+    real = repeat_spans.written
+
+    def seen(df, name):
+        out = real(df, name)
+        sizes.append(out.where("row_kind = 'path'").groupBy("source_id").agg(F.countDistinct("source_block")).where("source_id = 7").first()[1])
+        return out
+
+    monkeypatch.setattr(repeat_spans, "written", seen)
+    got = sorted((tuple(r) for r in repeat_spans.remove_repeats(table).collect()), key=str)
+    first = {}
+    for i, t in rows:
+        words = (t or "").split()
+        for p in range(len(words) - 12):
+            if i is not None:
+                w = tuple(words[p : p + 13])
+                first[w] = min(i, first.get(w, i))
+    want = []
+    for i, t in rows:
+        words = (t or "").split()
+        gone = {p + j for p in range(len(words) - 12) if i is not None and first[tuple(words[p : p + 13])] < i for j in range(13)}
+        kept = " ".join(w for p, w in enumerate(words) if p not in gone)
+        want.append((i, len(words), len(gone), hashlib.sha256(kept.encode()).hexdigest()))
+    assert got == sorted(want, key=str) and sum(r[2] for r in got) > 0
+    assert sizes[0] > 3  # blocks that hold sources under the hot id

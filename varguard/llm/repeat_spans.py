@@ -127,27 +127,30 @@ def ask(k: int, bits: int, bad: np.ndarray):
 
 def answer(bits: int):
     """For each block, which of its edges start in a smaller document of
-    another block (a bit each, in the order in which they came), and in which."""
+    another block (a bit each, in the order in which they came), in which, and in whose block."""
 
     def run(key: tuple, table: pa.Table) -> pa.Table:
         came = [unpack(d, key[0].as_py(), bits) for d in table["data"].to_pylist()]
         edges, ids = (np.concatenate(x) for x in zip(*came, strict=True))
-        order = np.lexsort((ids, edges))
+        blocks = np.repeat(np.array(table["block"].to_pylist(), np.int32), [len(e) for e, _ in came])
+        order = np.lexsort((blocks, ids, edges))
         new = np.concatenate([[True], edges[order][1:] != edges[order][:-1]])
-        least = np.empty_like(ids)
-        least[order] = ids[order][np.flatnonzero(new)][np.cumsum(new) - 1]
+        best = np.empty(len(ids), np.int64)
+        best[order] = order[np.flatnonzero(new)][np.cumsum(new) - 1]
+        least, holder = ids[best], blocks[best]
         older = least < ids
         data, at = [], 0
         for e, _ in came:
             flag = older[at : at + len(e)]
-            data.append(np.packbits(flag).tobytes() + least[at : at + len(e)][flag].astype("<i8").view(np.uint8).reshape(-1, 8).T.tobytes())
+            found = least[at : at + len(e)][flag].astype("<i8").view(np.uint8).reshape(-1, 8).T.tobytes()
+            data.append(np.packbits(flag).tobytes() + found + holder[at : at + len(e)][flag].astype("<i4").view(np.uint8).reshape(-1, 4).T.tobytes())
             at += len(e)
         return pa.table({"block": table["block"], "part": pa.array([key[0].as_py()] * len(came), pa.int32()), "answer": pa.array(data, pa.binary())})
 
     return run
 
 
-RESULT = "row_kind string, doc_id long, n_words long, n_removed long, kept_sha256 string, source_id long, path binary"
+RESULT = "row_kind string, doc_id long, n_words long, n_removed long, kept_sha256 string, source_id long, source_block int, path binary"
 
 
 def compact(k: int, bits: int, bad: np.ndarray):
@@ -159,13 +162,15 @@ def compact(k: int, bits: int, bad: np.ndarray):
             return empty()
         block = Block(docs, k, bad)
         words, at = block.words, block.ranges(bits)
-        source = block.own.copy()
+        source, holder = block.own.copy(), np.full(len(block.own), key[0].as_py(), np.int32)
         for part, data in zip(answers["part"].to_pylist(), answers["answer"].to_pylist(), strict=True):
             lo, n = at[part], at[part + 1] - at[part]
             flag = np.unpackbits(np.frombuffer(data, np.uint8, -(-n // 8)), count=n).astype(bool)
-            ids = np.frombuffer(data, np.uint8, offset=-(-n // 8)).reshape(8, -1).T
-            source[block.sent(lo, lo + n)[flag]] = np.ascontiguousarray(ids).view("<i8").ravel()
-        comes = source[block.of_window]
+            found = np.frombuffer(data, np.uint8, offset=-(-n // 8)).reshape(12, -1)  # 8 bytes of the id, 4 of its block
+            edges = block.sent(lo, lo + n)[flag]
+            source[edges] = np.ascontiguousarray(found[:8].T).view("<i8").ravel()
+            holder[edges] = np.ascontiguousarray(found[8:].T).view("<i4").ravel()
+        comes, where = source[block.of_window], holder[block.of_window]
         mine = block.ids[words.doc]
         repeated = (comes < mine) & (mine != NO_ID)
         # every word of a repeated window goes
@@ -175,28 +180,29 @@ def compact(k: int, bits: int, bad: np.ndarray):
         keep = np.cumsum(cover)[: len(words.codes)] == 0
         # consecutive repeated windows of a document with one source are one path
         at_window = np.flatnonzero(repeated)
-        paths: set[tuple[int, bytes]] = set()
+        paths: set[tuple[int, int, bytes]] = set()
         if len(at_window):
-            breaks = (np.diff(words.at[at_window]) != 1) | (np.diff(words.doc[at_window]) != 0) | (np.diff(comes[at_window]) != 0)
+            same = (np.diff(words.doc[at_window]) == 0) & (np.diff(comes[at_window]) == 0) & (np.diff(where[at_window]) == 0)
+            breaks = ~same | (np.diff(words.at[at_window]) != 1)
             first = np.concatenate([[0], np.flatnonzero(breaks) + 1])
             last = np.concatenate([first[1:], [len(at_window)]]) - 1
             for a, b in zip(at_window[first].tolist(), at_window[last].tolist(), strict=True):
                 doc = words.doc[a]
                 lo, hi = words.at[a] - words.starts[doc], words.at[b] - words.starts[doc] + k
-                paths.add((int(comes[a]), b" ".join(words.lists[doc][lo:hi])))
+                paths.add((int(comes[a]), int(where[a]), b" ".join(words.lists[doc][lo:hi])))
         out = []
         for i, (id_, found) in enumerate(zip(block.ids.tolist(), words.lists, strict=True)):
             left = keep[words.starts[i] : words.starts[i] + len(found)]
             kept = hashlib.sha256(b" ".join(compress(found, left.tolist()))).hexdigest()
-            out.append(("doc", None if id_ == NO_ID else id_, len(found), len(found) - int(left.sum()), kept, None, None))
-        out += [("path", None, None, None, None, s, text) for s, text in sorted(paths)]
+            out.append(("doc", None if id_ == NO_ID else id_, len(found), len(found) - int(left.sum()), kept, None, None, None))
+        out += [("path", None, None, None, None, *p) for p in sorted(paths)]
         return as_table(out)
 
     return run
 
 
-NAMES = ["row_kind", "doc_id", "n_words", "n_removed", "kept_sha256", "source_id", "path"]
-TYPES = [pa.string(), pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.int64(), pa.binary()]
+NAMES = ["row_kind", "doc_id", "n_words", "n_removed", "kept_sha256", "source_id", "source_block", "path"]
+TYPES = [pa.string(), pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.int64(), pa.int32(), pa.binary()]
 
 
 def as_table(rows: list[tuple]) -> pa.Table:
@@ -244,8 +250,8 @@ def remove_repeats(docs: DataFrame, k: int = 13, id_col: str = "doc_id", text_co
     for word, in a document with a smaller id; all windows are judged on the input.
     Null and empty texts have no words. Rows with a null id have no
     order: nothing of them goes, and they are nobody's source. Rows that repeat an id are no smaller
-    than each other, so copies under one id both stay. An empty table gives an empty result; other
-    columns are ignored.
+    than each other, so copies under one id both stay; they are dealt to blocks by id and text. A very long text is one row
+    of one block, whole. An empty table gives an empty result; other columns are ignored.
 
     Hashes are 64 bits. Every path is verified, and windows that only share a
     hash get another one in a further round, until none is wrong (none are expected
@@ -255,20 +261,20 @@ def remove_repeats(docs: DataFrame, k: int = 13, id_col: str = "doc_id", text_co
     size = source.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     blocks = max(16, -(-size // BLOCK_BYTES))
     bits = max(8, int(np.ceil(np.log2(max(1, size / 6 / RANGE_EDGES)))))
-    block = F.pmod(F.xxhash64("doc_id"), F.lit(blocks)).cast("int")
+    # by id and text: rows that share an id, or have none, spread over all blocks
+    block = F.pmod(F.xxhash64("doc_id", "text"), F.lit(blocks)).cast("int")
     dealt = source.withColumn("block", block)
     bad = np.array([], np.uint64)
     while True:
         asked = dealt.groupBy("block").applyInArrow(ask(k, bits, bad), "part int, block int, data binary")
         answers = asked.groupBy("part").applyInArrow(answer(bits), "block int, part int, answer binary")
         rows = written(dealt.groupBy("block").cogroup(answers.groupBy("block")).applyInArrow(compact(k, bits, bad), RESULT), "repeats")
-        paths = rows.where("row_kind = 'path'").select("source_id", "path").distinct()
-        wanted = paths.select(F.col("source_id").alias("doc_id")).distinct()
+        paths = rows.where("row_kind = 'path'").select(F.col("source_block").alias("block"), "source_id", "path").distinct()
+        wanted = paths.select("block", F.col("source_id").alias("doc_id")).distinct()
         if wanted.count() <= BROADCAST_IDS:
             wanted = F.broadcast(wanted)
-        sources = dealt.join(wanted, "doc_id", "left_semi").select("doc_id", "text", "block")
-        claims = paths.withColumn("block", F.pmod(F.xxhash64("source_id"), F.lit(blocks)).cast("int"))
-        wrong = sources.groupBy("block").cogroup(claims.groupBy("block")).applyInArrow(verify(k, bad), "edge long")
+        sources = dealt.join(wanted, ["block", "doc_id"], "left_semi").select("doc_id", "text", "block")
+        wrong = sources.groupBy("block").cogroup(paths.groupBy("block")).applyInArrow(verify(k, bad), "edge long")
         found = [r["edge"] for r in wrong.distinct().collect()]
         if not found:
             break
