@@ -5,6 +5,7 @@ from __future__ import annotations
 import hashlib
 import random
 import zlib
+from collections import Counter
 from fractions import Fraction
 
 import numpy as np
@@ -22,7 +23,7 @@ from varguard.llm.pfair_mix import counts_before, edf, edf_period, mix_sources,
 from varguard.llm.piece_tokenizer import Tokenizer, decode_ids, encode_texts, load_vocabulary
 from varguard.llm.repeat_spans import Block, pack, remove_repeats, unpack
 from varguard.llm.simhash import simhash_groups
-from varguard.llm.token_spans import RULES, allocate, attribute_tokens, field_ends, sentences, token_ends
+from varguard.llm.token_spans import RULES, allocate, attribute_tokens, field_ends, lines, sentences, token_ends
 from varguard.llm.url_filter import build_cascade, judge_urls
 
 SCHEMA = "doc_id long, text string, source string, block string, slot int, score string, key long"
@@ -431,6 +432,32 @@ def test_token_spans(docs):
     assert attribute_tokens(docs.limit(0)).count() == 0
 
 
+@pytest.mark.parametrize("rule", RULES)
+def test_token_counts_of_sections_are_brute_force(spark, rule):
+    """Every token is dealt by hand, byte by byte; sections of a few bytes give tokens that cross several."""
+    texts = ["One line.\nTwo lines, antidisestablishmentarianism!\nDrei Zeilen: Größe \U0001f600 ok.", "a  b\n\n\nc" * 5, "x", None, "", "word " * 400]
+    cuts = {"lines": lines, "fours": lambda data: np.append(np.arange(4, len(data), 4), len(data))}
+    texts_of_ascii = [t for t in texts if t is None or t.isascii()]
+    for name, rows in (("lines", texts), ("fours", texts_of_ascii)):
+        table = spark.createDataFrame([(i, t, "x", 0) for i, t in enumerate(rows)], "doc_id long, text string, section string, id int")
+        got = sorted(tuple(r) for r in attribute_tokens(table, rule=rule, split=cuts[name]).where("section IS NOT NULL").collect())
+        want = []
+        for i, t in enumerate(rows):
+            data = (t or "").encode()
+            ends = cuts[name](data).tolist() if data else []
+            owner_of_byte = [k for k, (a, b) in enumerate(zip([0, *ends], ends)) for _ in range(a, b)]  # noqa: B905
+            n_tokens, n_crossing, start = Counter(), Counter(), 0
+            for end in token_ends(t, None).tolist() if data else []:
+                held = owner_of_byte[start:end]
+                best = max(sorted(set(held)), key=held.count)
+                n_tokens[{"first": held[0], "last": held[-1], "most": best}[rule]] += 1
+                n_crossing.update(set(held) if len(set(held)) > 1 else ())
+                start = end
+            for k, (a, b) in enumerate(zip([0, *ends], ends)):  # noqa: B905
+                want.append((i, k, len(data[:a].decode()), len(data[:b].decode()), n_tokens[k], n_crossing[k]))
+        assert got == want and sum(r[5] for r in got) > 0
+
+
 def test_allocation_rules():
     tokens, sections = np.array([3, 10, 11, 20]), np.array([5, 6, 11, 20])
     starts = [0, 3, 10, 11]

@@ -106,6 +106,8 @@ def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     (their keep_id is null where the whole group has none). An empty table
     gives an empty result; other columns are ignored.
 
+    A very long text is cut into chunks within its row; only chunks and their identifiers are shuffled.
+
     If two contents ever share an identifier, it is widened and everything is done again, so the
     result never rests on a hash alone.
     """

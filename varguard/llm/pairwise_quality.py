@@ -156,7 +156,7 @@ def with_score(docs: DataFrame, model: PairwiseModel, text_col: str = "text", sc
 def score_quality(docs: DataFrame, labels: DataFrame, label_col: str = "quality", max_train: int = MAX_TRAIN) -> DataFrame:
     """``(doc_id, held_out, score, predicted)`` for every row of ``docs``.
 
-    Null and empty texts are scored like any other, repeated rows each.
+    Null and empty texts are scored like any other, repeated rows each, very long texts whole.
     Labels that are null, or on null or unknown ids, are ignored; a label
     given several times counts once. An empty table gives an empty result, empty
     ``labels`` score 1/2. Other columns are never looked at.

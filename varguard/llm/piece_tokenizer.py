@@ -210,7 +210,8 @@ def encode_texts(
 
     ``round_trip`` says whether decoding the ids gave the text's very bytes
     (null without ``check``). Null texts have null ids, count and check; empty ones have no ids. Repeated
-    rows and null ids stay. An empty table gives an empty result; other columns are ignored.
+    rows and null ids stay. A very long text is encoded whole, in its row; of equal scores the longer last piece wins.
+    An empty table gives an empty result; other columns are ignored.
     """
     shared = share(docs, vocabulary)
 

@@ -129,7 +129,8 @@ def simhash_groups(docs: DataFrame, words: int = 3, max_bits: int = 3, id_col: s
     fingerprint; ``component_id`` is the smallest id reachable. Texts without
     words (null, empty, white space) have fingerprint zero and link like any
     other. Repeated rows stay, a row with null id gets its component's smallest id (null where
-    there is none). An empty table gives an empty result; other columns are ignored.
+    there is none). A very long text is hashed whole, a bounded number of shingles at a time; a bit set in just half of them
+    is 0. An empty table gives an empty result; other columns are ignored.
 
     Rows of one fingerprint are one node of the search, so exact copies cost nothing in it.
     """

@@ -92,7 +92,8 @@ def attribute_tokens(
     ``split`` gives the ends of a text's sections in bytes (lines by default),
     ``vocabulary`` is the path of a byte-level rank file. Null and empty texts have no sections and give one row
     with section and span null and no tokens, so that every row is accounted for. Repeated rows
-    and null ids stay. An empty table gives an empty result; other columns are ignored.
+    and null ids stay. A very long text is encoded whole, in its row; a token that two sections share equally goes by rule
+    ``most`` to the first of them. An empty table gives an empty result; other columns are ignored.
     """
     if rule not in RULES:
         raise ValueError(f"rule must be one of {RULES}")
