@@ -104,7 +104,8 @@ def words_of(text: Column) -> Column:
 def document_frequency(docs: DataFrame, vocabulary: list[str], text_col: str = "text") -> dict[str, int]:
     """In how many rows of ``docs`` each word of the vocabulary stands; only
     that many rows reach the driver."""
-    present = F.array_intersect(words_of(F.col(text_col)), fixed(vocabulary, "array<string>"))
+    # a hash set kept by the plan, where array_intersect would build one for each row
+    present = F.array_distinct(F.filter(words_of(F.col(text_col)), lambda w: w.isin(*vocabulary)))
     rows = docs.select(F.explode(present).alias("word")).groupBy("word").count().collect()
     return {w: 0 for w in vocabulary} | {r["word"]: r["count"] for r in rows}
 
