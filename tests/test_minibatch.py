@@ -9,7 +9,8 @@ import pytest
 from conftest import SF_SMALL
 
 from varguard.config import VPROB
-from varguard.operators.minibatch import MiniBatchConfig, fit_minibatch
+from varguard.operators.minibatch import MiniBatchConfig, batch_rows, fit_minibatch
+from varguard.operators.score import parameter_frame
 from varguard.sources.standins import document_groups, primary_table
 
 TERMS = ["trash", "idiot", "the", "of"]
@@ -131,3 +132,14 @@ def test_an_epoch_is_a_job_whatever_its_batches(spark):
         seen.append(len(sc.statusTracker().getJobIdsForGroup(f"mini-{times}")))
     sc.setJobGroup("", "")
     assert seen[0] == seen[1]
+
+
+def test_group_rows_are_sent_once_an_epoch(spark):
+    """Ten times the steps send no more rows of groups, however often a batch of groups comes round."""
+    model = parameter_frame(spark, [(0, None, 0.0), (0, "the", 1.0), (0, "of", 0.5)])
+    groups = spark.range(60).selectExpr("id % 12 AS group_id", "repeat('the ', CAST(id AS INT)) AS text")
+    for n in (60, 600):
+        rows = spark.range(n).selectExpr("id AS doc_id", "'the of' AS text", "CAST(id % 2 AS INT) AS label")
+        sent, shards = batch_rows(rows, groups, model, CFG, 2, "doc_id", "group_id")
+        assert shards == 2 and sent.where("kind = 1").count() == 60 * CFG.n_epochs
+        assert sent.where("kind = 0").count() == n * CFG.n_epochs

@@ -7,16 +7,19 @@ averaged, weighted by their steps (local SGD), and the next epoch begins with th
 With one shard this is the sequential descent.
 
 Members of a group with the same known words are one row with a count, so a group of any size is as
-large as its variety of known words; a task holds the rows of one step at a time.
+large as its variety of known words. A batch of groups is sent once an epoch, however many steps take it again: the
+task keeps its batches of groups in a temporary file and holds the rows of one step at a time.
 """
 
 from __future__ import annotations
 
+import tempfile
 from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -48,7 +51,7 @@ def _hits(df: DataFrame, model: DataFrame, keys: list[str]) -> DataFrame:
 def batch_rows(primary: DataFrame, groups: DataFrame, model: DataFrame, cfg: MiniBatchConfig, shards: int, key: str, group_col: str) -> tuple[DataFrame, int]:
     """``(epoch, shard, step, kind, unit, label, n, hits)``, written once, and the number of shards: at most one for each batch of
     labelled rows and of groups. In its shard, step i has the i-th batch of rows (kind 0) and the batch of groups (kind 1)
-    of number i modulo those that the shard has."""
+    of number i modulo those that the shard has; a batch of groups stands once, under its own number."""
     rows = _written(_hits(primary.where(F.col("label").isNotNull()), model, [key, "label"]), "minibatch-rows")
     folded = _hits(groups, model, [group_col]).groupBy(group_col, "hits").agg(F.count(F.lit(1)).alias("n"))
     folded = _written(folded, "minibatch-groups")
@@ -65,43 +68,76 @@ def batch_rows(primary: DataFrame, groups: DataFrame, model: DataFrame, cfg: Min
     p = p.select("epoch", "shard", F.col("turn").alias("step"), F.lit(0).alias("kind"), F.lit(None).cast("long").alias("unit"), F.col("label").cast("double"), F.lit(1.0).alias("n"), "hits")
     if not n_groups:
         return _written(p, "minibatch"), shards
-    # batches that a shard has: of numbers shard, shard + shards, ...
-    mine = lambda total: F.floor((F.lit(total - 1) - F.col("shard")) / F.lit(shards)) + 1
-    g = dealt(units, group_col, cfg.group_batch).where(F.col("turn") < mine(batches))
-    g = g.withColumn("step", F.explode(F.sequence(F.col("turn"), mine(batches) - 1, mine(group_batches))))
+    steps = F.floor((F.lit(batches - 1) - F.col("shard")) / F.lit(shards)) + 1  # batches of numbers shard, shard + shards, ...
+    g = dealt(units, group_col, cfg.group_batch).where(F.col("turn") < steps)
     g = g.join(folded, group_col).select(
-        "epoch", "shard", "step", F.lit(1).alias("kind"), F.xxhash64(group_col).alias("unit"), F.lit(None).cast("double").alias("label"), F.col("n").cast("double").alias("n"), "hits"
+        "epoch", "shard", F.col("turn").alias("step"), F.lit(1).alias("kind"), F.xxhash64(group_col).alias("unit"), F.lit(None).cast("double").alias("label"), F.col("n").cast("double").alias("n"), "hits"
     )
     return _written(p.unionByName(g), "minibatch"), shards
 
 
+def parameters_of(hits: pa.Array, terms: pa.Array) -> pa.Array:
+    """Numbers of each row's parameters: the bias (0) and its words."""
+    size = pc.list_value_length(hits).to_numpy() + 1
+    end = np.concatenate([[0], np.cumsum(size)])
+    word = np.ones(end[-1], bool)
+    word[end[:-1]] = False
+    at = np.zeros(len(word), np.int32)
+    at[word] = pc.index_in(hits.flatten(), value_set=terms).to_numpy() + 1
+    return pa.ListArray.from_arrays(pa.array(end, pa.int32()), pa.array(at))
+
+
+class GroupBatches:
+    """A shard's batches of groups in a temporary file; the one last read stays at hand."""
+
+    def __init__(self):
+        self.file, self.sink, self.source, self.count, self.held = tempfile.TemporaryFile(), None, None, 0, (None, None)
+
+    def add(self, rows: pa.RecordBatch) -> None:
+        self.sink = self.sink or pa.ipc.new_file(self.file, rows.schema)
+        self.sink.write_batch(rows)
+        self.count += 1
+
+    def at_step(self, step: int) -> pa.RecordBatch | None:
+        if not self.count:
+            return None
+        if self.source is None:
+            self.sink.close()
+            self.source = pa.ipc.open_file(self.file)
+        if (i := step % self.count) != self.held[0]:
+            self.held = i, self.source.get_batch(i)
+        return self.held[1]
+
+    def close(self) -> None:
+        self.file.close()
+
+
 class Walker:
     """Parameters of a shard and their way through its batches; index 0 is the bias."""
 
-    def __init__(self, theta, m, v, lam: float, t: int, terms: dict[str, int], cfg: MiniBatchConfig, constraint: Constraint, k: float | None):
+    def __init__(self, theta, m, v, lam: float, t: int, cfg: MiniBatchConfig, constraint: Constraint, k: float | None):
         self.theta, self.m, self.v = (np.array(x, float) for x in (theta, m, v))
-        self.lam, self.t, self.terms, self.cfg, self.constraint, self.k = lam, t, terms, cfg, constraint, k
+        self.lam, self.t, self.cfg, self.constraint, self.k = lam, t, cfg, constraint, k
         self.steps, self.loss, self.g, self.n_g = 0, 0.0, 0.0, 0
 
-    def _scores(self, rows: list) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    def _scores(self, rows: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """Row and parameter of every known word (and bias), and the rows' probabilities."""
-        each = [[0, *(self.terms[w] for w in r["hits"])] for r in rows]
-        row, at = np.repeat(np.arange(len(rows)), [len(x) for x in each]), np.concatenate(each).astype(int)
+        row, at = np.repeat(np.arange(len(rows)), pc.list_value_length(rows["at"]).to_numpy()), rows["at"].flatten().to_numpy()
         with np.errstate(over="ignore"):
             return row, at, 1 / (1 + np.exp(-np.bincount(row, self.theta[at], len(rows))))
 
-    def loss_gradient(self, rows: list) -> tuple[float, np.ndarray]:
+    def loss_gradient(self, rows: pa.RecordBatch) -> tuple[float, np.ndarray]:
         row, at, p = self._scores(rows)
-        y, c = np.array([r["label"] for r in rows]), STABILITY_CONST
+        y, c = rows["label"].to_numpy(), STABILITY_CONST
         loss = -y * np.log(p + c) - (1 - y) * np.log(1 - p + c)
         r = (-y / (p + c) + (1 - y) / (1 - p + c)) * p * (1 - p)
         return float(loss.mean()), np.bincount(at, r[row], len(self.theta)) / len(rows)
 
-    def target_gradient(self, rows: list) -> tuple[float, np.ndarray]:
+    def target_gradient(self, rows: pa.RecordBatch) -> tuple[float, np.ndarray]:
         """The constraint's value over a batch of groups (mean variance, or with k the predicted bound) and its gradient."""
         row, at, p = self._scores(rows)
-        _, group = np.unique([r["unit"] for r in rows], return_inverse=True)
-        n = np.array([r["n"] for r in rows])
+        _, group = np.unique(rows["unit"].to_numpy(), return_inverse=True)
+        n = rows["n"].to_numpy()
         size = np.bincount(group, n)
         away = p - (np.bincount(group, n * p) / size)[group]
         var = np.bincount(group, n * away * away) / (size - 1)
@@ -114,11 +150,10 @@ class Walker:
             value += self.k * sd
         return float(value - sign * self.constraint.threshold), np.bincount(at, (slope * share[group])[row], len(self.theta))
 
-    def step(self, rows: list) -> None:
+    def step(self, rows: pa.RecordBatch, members: pa.RecordBatch | None) -> None:
         cfg = self.cfg
-        loss, grad = self.loss_gradient([r for r in rows if r["kind"] == 0])
-        members = [r for r in rows if r["kind"] == 1]
-        g, bent = self.target_gradient(members) if members else (None, 0.0)
+        loss, grad = self.loss_gradient(rows)
+        g, bent = self.target_gradient(members) if members is not None else (None, 0.0)
         grad = grad + self.lam * bent
         self.t += 1
         self.m = cfg.beta_velocity * self.m + (1 - cfg.beta_velocity) * grad
@@ -134,12 +169,12 @@ class Walker:
 WALK_SCHEMA = "shard int, steps long, loss double, g double, n_g long, lam double, at int, theta double, m double, v double"
 
 
-def walk(rows: DataFrame, start: tuple, terms: dict[str, int], cfg: MiniBatchConfig, constraint: Constraint, k: float | None) -> DataFrame:
+def walk(rows: DataFrame, shards: int, start: tuple, names: list, cfg: MiniBatchConfig, constraint: Constraint, k: float | None) -> DataFrame:
     """Each shard's way through an epoch's rows: ``(shard, steps, loss, g, n_g, lam, at, theta, m, v)``, a row for each parameter
     (``loss`` and ``g`` summed over its steps)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        key, held, walker = (None, None), [], None
+        terms, key, held, groups, walker = pa.array(names[1:], pa.string()), None, [], None, None
 
         def out() -> pa.RecordBatch:
             n = len(walker.theta)
@@ -148,23 +183,37 @@ def walk(rows: DataFrame, start: tuple, terms: dict[str, int], cfg: MiniBatchCon
             cols = {c: pa.array(x, kinds.get(c, pa.float64())) for c, x in head.items()}
             return pa.record_batch(cols | {"at": pa.array(range(n), pa.int32()), "theta": pa.array(walker.theta), "m": pa.array(walker.m), "v": pa.array(walker.v)})
 
+        def done() -> None:
+            """The rows held are a batch of groups or a step's batch of rows."""
+            whole = pa.Table.from_batches(held).combine_chunks().to_batches()[0]
+            if key[1]:
+                groups.add(whole)
+            else:
+                walker.step(whole, groups.at_step(key[2]))
+
         for batch in batches:
-            for r in batch.to_pylist():
-                if (new := (r["shard"], r["step"])) != key:
-                    if held:
-                        walker.step(held)
-                    if new[0] != key[0]:
-                        if walker:
-                            yield out()
-                        walker = Walker(*start, terms, cfg, constraint, k)
-                    key, held = new, []
-                held.append(r)
+            cols = {c: batch[c] for c in ("unit", "label", "n")} | {"at": parameters_of(batch["hits"], terms)}
+            ready, keys = pa.record_batch(cols), np.stack([batch[c].to_numpy() for c in ("shard", "kind", "step")], 1)
+            cuts = [0, *(np.flatnonzero((keys[1:] != keys[:-1]).any(axis=1)) + 1).tolist(), len(keys)]
+            for lo, hi in zip(cuts[:-1], cuts[1:], strict=True):
+                if hi > lo:
+                    if (new := tuple(keys[lo].tolist())) != key:
+                        if held:
+                            done()
+                        if key is None or new[0] != key[0]:
+                            if walker:
+                                yield out()
+                                groups.close()
+                            walker, groups = Walker(*start, cfg, constraint, k), GroupBatches()
+                        key, held = new, []
+                    held.append(ready.slice(lo, hi - lo))
         if held:
-            walker.step(held)
+            done()
             yield out()
+            groups.close()
 
-    order = ["shard", "step", "kind", "unit", "label", "hits"]
-    return rows.repartition("shard").sortWithinPartitions(*order).mapInArrow(run, WALK_SCHEMA)
+    order = ["shard", F.col("kind").desc(), "step", "unit", "label", "hits"]  # a shard's groups before its rows
+    return rows.repartitionById(shards, "shard").sortWithinPartitions(*order).mapInArrow(run, WALK_SCHEMA)
 
 
 def fit_minibatch(
@@ -189,14 +238,13 @@ def fit_minibatch(
     """
     spark = primary.sparkSession
     names = [None, *sorted(init_weights)]
-    terms = {w: i for i, w in enumerate(names) if w is not None}
     theta = [float(init_bias), *(float(init_weights[w]) for w in names[1:])]
     m, v, lam, t, log = [0.0] * len(names), [0.0] * len(names), float(cfg.lambda_init), 0, []
     k = 2.0 * t_ppf(1.0 - constraint.delta, n_safety - 1) / float(n_safety) ** 0.5 if n_safety is not None and n_safety >= 2 else None
     model = parameter_frame(spark, [(0, w, x) for w, x in zip(names, theta, strict=True)])
-    rows, _ = batch_rows(primary, groups, model, cfg, shards, key, group_col)
+    rows, shards = batch_rows(primary, groups, model, cfg, shards, key, group_col)
     for epoch in range(cfg.n_epochs):
-        walked = walk(rows.where(F.col("epoch") == epoch).drop("epoch"), (theta, m, v, lam, t), terms, cfg, constraint, k)
+        walked = walk(rows.where(F.col("epoch") == epoch).drop("epoch"), shards, (theta, m, v, lam, t), names, cfg, constraint, k)
         n = F.sum("steps")
         mean = lambda c: (F.sum(F.col(c) * F.col("steps")) / n).alias(c)
         got = walked.groupBy("at").agg(
