@@ -3,7 +3,7 @@
 from conftest import SF_SMALL
 
 import varguard.sources.standins as S
-from varguard.operators.score import lexicon_model
+from varguard.operators.score import lexicon_model, score_terms
 from varguard.plans.safety import corpus_safety_report
 from varguard.session import load_table
 
@@ -51,3 +51,26 @@ def test_gradients_beyond_the_inline_bound(spark, monkeypatch):
         got["logits"] = sorted((r.group_id, r.label, r.candidate_id, round(r.logit, 9)) for r in logits.collect())
         both.append(got)
     assert both[0] == both[1] and len(both[0]) == 13 and len(both[0]["logits"]) == 12
+
+
+def test_unknown_words_never_cross_a_shuffle(spark):
+    """A text of many words that no model knows sends the bias and its known words only."""
+    docs = spark.range(20).selectExpr("id", "concat('trash trash ', array_join(transform(sequence(1, 2000), i -> concat('word', translate(i, '0123456789', 'abcdefghij'))), ' ')) AS text")
+    scored = score_terms(docs, lexicon_model(spark, (1.0, 2.0)), strategy="join", keep_hits=True)
+    got = scored.collect()
+    assert {(r.id, r.candidate_id, r.logit, tuple(r.hits)) for r in got} == {(i, c, 2.0 * c, ("trash", "trash")) for i in range(20) for c in (0, 1)}
+    plan = scored._jdf.queryExecution().optimizedPlan().toString()
+    semi, counted = plan.index("LeftSemi"), plan.rindex("Aggregate [_kept")
+    assert counted < semi  # below the first aggregation, so before its shuffle
+
+
+def test_shuffled_parameters_score_like_broadcast_ones(spark, monkeypatch):
+    from varguard.operators import score
+
+    docs = spark.createDataFrame([(1, "trash of trash idiot"), (1, "trash of trash idiot"), (2, None), (3, "nothing")], "id long, text string")
+    both = []
+    for bound in (score.BROADCAST_MAX_ROWS, 0):
+        monkeypatch.setattr(score, "BROADCAST_MAX_ROWS", bound)
+        scored = score_terms(docs, lexicon_model(spark, (1.0, 2.0)), strategy="join", keep_hits=True).collect()
+        both.append(sorted((r.id, r.candidate_id, r.logit, sorted(r.hits)) for r in scored))
+    assert both[0] == both[1] and len(both[0]) == 8 and both[0][0] == (1, 0, 1.0, ["idiot", "trash", "trash"])

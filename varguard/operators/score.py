@@ -167,7 +167,8 @@ def _score_by_join(df: DataFrame, weights: DataFrame, text_col: str, keep: list,
     A row's tokens are counted per term before the join (the row's entries lie
     in one task, so the partial aggregate collapses them before the shuffle);
     the bias is one more entry, of term NULL, so rows without a known term
-    keep it and nothing is joined back. A row is named by its kept columns and a digest of its text, never by a number
+    keep it and nothing is joined back. Parameters within the broadcast bound drop unknown
+    words before anything is shuffled, and a row's entries meet once for all candidates. A row is named by its kept columns and a digest of its text, never by a number
     that a task run again could give differently; rows equal in both are one with the count of its bias entries, and
     come apart at the end. The parameters meet the entries as one
     array of weights per term; a very frequent word is a skewed join key that
@@ -185,7 +186,8 @@ def _score_by_join(df: DataFrame, weights: DataFrame, text_col: str, keep: list,
         .agg(own.alias("_own"))
         .select("term", F.transform(ids, lambda c: F.coalesce(F.col("_own")[c], F.lit(0.0))).alias("_ws"))
     )
-    if weights.count() <= BROADCAST_MAX_ROWS:
+    fits = weights.count() <= BROADCAST_MAX_ROWS
+    if fits:
         per_term = F.broadcast(per_term)
     named = df.select(
         F.struct(*[F.col(f"`{c}`") for c in keep] or [F.lit(0)]).alias("_kept"),
@@ -193,15 +195,26 @@ def _score_by_join(df: DataFrame, weights: DataFrame, text_col: str, keep: list,
         F.concat(F.array(F.lit(None).cast("string")), tokens(F.col(text_col))).alias("_ts"),
     )
     entries = named.select("_kept", "_row", F.explode("_ts").alias("_t"))
+    if fits:
+        known_terms = F.broadcast(per_term.select("term"))
+        entries = entries.join(known_terms, entries["_t"].eqNullSafe(known_terms["term"]), "left_semi")
     counted = entries.groupBy("_kept", "_row", "_t").agg(F.count(F.lit(1)).alias("_n"))
     met = counted.join(per_term, counted["_t"].eqNullSafe(per_term["term"]))
     no_term = F.col("_t").isNull()
-    known = [F.collect_list(F.when(~no_term, F.struct("_t", "_n"))).alias("_known")] if keep_hits else []
-    rows = (
-        met.select("_kept", "_row", "_t", "_n", F.posexplode("_ws").alias("_ci", "_w"))
-        .groupBy("_kept", "_row", "_ci")
-        .agg(F.max(F.when(no_term, F.col("_n"))).alias("_copies"), F.sum(F.col("_n") * F.col("_w")).alias("_sum"), *known)
-    )
+    copies = F.max(F.when(no_term, F.col("_n"))).alias("_copies")
+    if fits:
+        each = met.groupBy("_kept", "_row").agg(copies, F.array_sort(F.collect_list(F.struct("_t", "_n", "_ws"))).alias("_met"))
+        zero = F.array(*[F.lit(0.0) for _ in cands])
+        sums = F.aggregate("_met", zero, lambda acc, x: F.zip_with(acc, x["_ws"], lambda a, w: a + x["_n"] * w))
+        known = [F.filter("_met", lambda x: x["_t"].isNotNull()).alias("_known")] if keep_hits else []
+        rows = each.select("_kept", "_row", "_copies", *known, F.posexplode(sums).alias("_ci", "_sum"))
+    else:
+        known = [F.collect_list(F.when(~no_term, F.struct("_t", "_n"))).alias("_known")] if keep_hits else []
+        rows = (
+            met.select("_kept", "_row", "_t", "_n", F.posexplode("_ws").alias("_ci", "_w"))
+            .groupBy("_kept", "_row", "_ci")
+            .agg(copies, F.sum(F.col("_n") * F.col("_w")).alias("_sum"), *known)
+        )
     copies = F.col("_copies")
     hits = [F.flatten(F.transform("_known", lambda x: F.array_repeat(x["_t"], (x["_n"] / copies).cast("int")))).alias("hits")] if keep_hits else []
     return rows.select(
