@@ -207,6 +207,37 @@ def test_colliding_fingerprints_are_told_apart_by_words(monkeypatch):
     assert counts == {b"ab cd": 3, b"cd ab": 2, b"xx cd": 1}
 
 
+def test_phrases_are_exact_whatever_fingerprints_share(spark, monkeypatch):
+    rows = phrase_rows()
+    docs = spark.createDataFrame([(lang, t) for lang, t in rows], "lang string, text string")
+    monkeypatch.setattr(phrase_mining, "gram_bits", lambda words: 6)  # 64 fingerprints in all
+    assert sorted(map(tuple, collocations(docs, chunk_bytes=2000).collect())) == brute_phrases(rows, 30, 4, 2000, 80)
+
+
+def test_rows_between_passes_follow_ranges_not_phrases(spark, monkeypatch):
+    words = [f"w{chr(97 + i // 26)}{chr(97 + i % 26)}" for i in range(400)]
+    docs = spark.createDataFrame([("en", " ".join(words))] * 40, "lang string, text string").repartition(4)
+    seen = {}
+
+    def counted(df, name, write=phrase_mining.written):
+        out = write(df, name)
+        seen[name] = out.count()
+        return out
+
+    monkeypatch.setattr(phrase_mining, "written", counted)
+    collocations(docs, chunk_bytes=4000)
+    ranges = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    assert seen["counts"] == 400 + 399 + 398 + 397 and seen["chunks"] >= 10
+    assert seen["phrases"] <= 2 * seen["chunks"] * ranges < seen["chunks"] * 799
+
+
+def test_fingerprints_are_sent_as_short_differences():
+    keys = np.unique(np.random.default_rng(3).integers(0, 1 << 35, 20_000, np.uint64))
+    data = phrase_mining.packed(keys)
+    assert (phrase_mining.unpacked(data) == keys).all() and len(data) < 3.2 * len(keys)
+    assert phrase_mining.gram_bits(5_000_000_000) == 41 and phrase_mining.gram_bits(1 << 60) == 64
+
+
 def test_planes_round_trip():
     for kind in (np.uint64, np.uint32):
         x = np.sort(np.random.default_rng(1).integers(0, np.iinfo(kind).max, 1000, kind))

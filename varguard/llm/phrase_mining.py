@@ -4,7 +4,7 @@ Texts are packed into chunks of one language. Prefix polynomials (NumPy, modulo
 word and every n-gram of a chunk. The shuffle sums fingerprints, each with a pointer to the chunk
 it occurs in, and those that reach the threshold go back along their pointers. There
 the chunk's words tell whether occurrences of a fingerprint are the same phrase, and
-only such frequent phrases become text, which is counted exactly. Phrases of three and four words are looked
+only such frequent phrases become text, which is counted exactly: sorted and compressed, a row for each chunk and range. Phrases of three and four words are looked
 for only where all their word pairs are frequent.
 
 Fingerprints only choose what is counted: phrases that collide raise each other's sums, never lower
@@ -13,11 +13,13 @@ them, and are told apart by their words in the chunk and by their text across ch
 
 from __future__ import annotations
 
+import zlib
 from collections.abc import Iterator
 from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -25,6 +27,8 @@ from .common import seed64, written
 
 #: Bytes of text in a chunk, and of fingerprints that one task sums at a time.
 CHUNK_BYTES, RANGE_BYTES = 4 << 20, 32 << 20
+#: Phrases of a range that are held before their counts are summed.
+HELD_PHRASES = 1 << 19
 #: A-Z lower-cased; tabs become blanks, the ends of pieces newlines.
 NORMAL = bytes(10 if b in b".,;:!?\n\x0b\x0c\r" else 32 if b == 9 else b + 32 if 65 <= b <= 90 else b for b in range(256))
 #: Bases of the polynomials over bytes and over words: odd, so they have an inverse modulo 2^64.
@@ -101,6 +105,20 @@ def from_planes(data: bytes, kind) -> np.ndarray:
     return np.ascontiguousarray(np.frombuffer(data, np.uint8).reshape(kind.itemsize, -1).T).view(kind).ravel().astype(kind.newbyteorder("="))
 
 
+def packed(keys: np.ndarray) -> bytes:
+    """Sorted numbers as their differences, which need the fewer bits the closer they lie."""
+    return pack(planes(np.diff(keys, prepend=keys.dtype.type(0))))
+
+
+def unpacked(data: bytes) -> np.ndarray:
+    return np.cumsum(from_planes(unpack(data), np.uint64), dtype=np.uint64)
+
+
+def gram_bits(words: int) -> int:
+    """Bits of a fingerprint: 256 times as many values as words, so few share one. Those that do only cost work."""
+    return min(64, words.bit_length() + 8)
+
+
 @lru_cache(maxsize=2)
 def powers(base: int, size: int) -> tuple[np.ndarray, np.ndarray]:
     """Powers of ``base`` and of its inverse modulo 2^64. A worker keeps those for bytes and for words."""
@@ -132,8 +150,8 @@ def spans(values: np.ndarray, start: np.ndarray, end: np.ndarray, base: int) ->
 class Chunk:
     """The words of a chunk's text, their places and hashes."""
 
-    def __init__(self, lang: str, text: bytes):
-        self.lang, self.text = lang, text
+    def __init__(self, lang: str, text: bytes, bits: int = 64):
+        self.lang, self.text, self.bits = lang, text, bits
         self.bytes = np.frombuffer(text, np.uint8)
         gap = np.ones(len(self.bytes) + 2, bool)
         gap[1:-1] = (self.bytes == 32) | (self.bytes == 10)
@@ -147,7 +165,7 @@ class Chunk:
         """First words of all n-grams within pieces, and their fingerprints."""
         at = np.arange(max(0, len(self.start) - n + 1))
         at = at[self.piece[at] == self.piece[at + n - 1]]
-        return at, mixed(spans(self.word, at, at + n, WORD_BASE), seed64(self.lang, n))
+        return at, mixed(spans(self.word, at, at + n, WORD_BASE), seed64(self.lang, n)) >> np.uint64(64 - self.bits)
 
     def word_ids(self) -> np.ndarray:
         """Equal numbers for equal words: those of one hash are compared byte by byte."""
@@ -189,58 +207,96 @@ class Chunk:
         return out + [(self.phrase(a, n), 1) for a in at[odd].tolist()]
 
 
-def entries(chunk_id: int, fps: list[np.ndarray], ranges: int) -> pa.RecordBatch:
+def cuts(at: np.ndarray) -> list[tuple[int, int]]:
+    """Where each of the sorted ranges begins and ends."""
+    cut = np.flatnonzero(np.diff(at, prepend=-1, append=-1)) if len(at) else np.zeros(1, np.int64)
+    return list(zip(cut[:-1].tolist(), cut[1:].tolist(), strict=True))
+
+
+def entries(chunk_id: int, fps: list[np.ndarray], bits: int, ranges: int) -> pa.RecordBatch:
     """Distinct fingerprints of a chunk and their counts, a row for each range of fingerprints."""
     keys, counts = np.unique(np.concatenate(fps), return_counts=True)
-    at = ((keys >> np.uint64(32)) * np.uint64(ranges) >> np.uint64(32)).astype(np.int64)
-    cut = np.flatnonzero(np.diff(at, prepend=-1, append=-1)) if len(at) else np.zeros(1, np.int64)
-    both = list(zip(cut[:-1].tolist(), cut[1:].tolist(), strict=True))
+    at = ((keys << np.uint64(64 - bits) >> np.uint64(32)) * np.uint64(ranges) >> np.uint64(32)).astype(np.int64)
+    both = cuts(at)
     return pa.record_batch(
         {
-            "range": pa.array(at[cut[:-1]], pa.int32()),
+            "range": pa.array([at[i] for i, _ in both], pa.int32()),
             "chunk": pa.array([chunk_id] * len(both), pa.int64()),
-            "keys": pa.array([planes(keys[i:j]) for i, j in both], pa.binary()),
-            "counts": pa.array([planes(counts[i:j].astype(np.uint32)) for i, j in both], pa.binary()),
+            "keys": pa.array([packed(keys[i:j]) for i, j in both], pa.binary()),
+            "counts": pa.array([pack(planes(counts[i:j].astype(np.uint32))) for i, j in both], pa.binary()),
         }
     )
 
 
+def phrase_entries(lang: str, found: list[tuple[bytes, int]], ranges: int) -> pa.RecordBatch:
+    """Phrases of a chunk and their counts, a row for each range of the phrases' CRC: sorted, a line each, compressed."""
+    at = [zlib.crc32(p) * ranges >> 32 for p, _ in found]
+    rows = pa.table({"range": pa.array(at, pa.int32()), "phrase": pa.array([p for p, _ in found], pa.binary()), "count": pa.array([c for _, c in found], pa.uint32())})
+    rows = rows.sort_by([("range", "ascending"), ("phrase", "ascending")])
+    at, phrases, counts = rows["range"].to_numpy(), rows["phrase"].to_pylist(), rows["count"].to_numpy()
+    both = cuts(at)
+    return pa.record_batch(
+        {
+            "lang": pa.array([lang] * len(both), pa.string()),
+            "range": pa.array([at[i] for i, _ in both], pa.int32()),
+            "phrases": pa.array([pack(b"\n".join(phrases[i:j])) for i, j in both], pa.binary()),
+            "counts": pa.array([pack(planes(counts[i:j])) for i, j in both], pa.binary()),
+        }
+    )
+
+
+def frequent_phrases(rows: DataFrame, least: int) -> DataFrame:
+    """``(lang, phrase, f)``: the phrases that occur ``least`` times or more in all chunks, by their text."""
+
+    def run(table: pa.Table) -> pa.Table:
+        sums = pa.table({"lang": pa.array([], pa.string()), "phrase": pa.array([], pa.binary()), "count": pa.array([], pa.int64())})
+        held, size = [sums], 0
+        for i, row in enumerate(table.to_pylist(), 1):
+            phrases, counts = unpack(row["phrases"]).split(b"\n"), from_planes(unpack(row["counts"]), np.uint32)
+            held.append(pa.table({"lang": pa.array([row["lang"]] * len(phrases), pa.string()), "phrase": pa.array(phrases, pa.binary()), "count": pa.array(counts, pa.int64())}))
+            size += len(phrases)
+            if size > HELD_PHRASES or i == table.num_rows:
+                sums = pa.concat_tables(held).group_by(["lang", "phrase"]).aggregate([("count", "sum")])
+                sums = sums.select(["lang", "phrase", "count_sum"]).rename_columns(["lang", "phrase", "count"])
+                held, size = [sums], 0
+        return sums.filter(pc.field("count") >= least).rename_columns(["lang", "phrase", "f"])
+
+    return rows.groupBy("range").applyInArrow(run, "lang string, phrase binary, f long")
+
+
 def frequent_keys(rows: DataFrame, least: int) -> DataFrame:
     """``(chunk, keys)``: the fingerprints of each chunk that occur ``least`` times or more in all chunks."""
 
     def run(table: pa.Table) -> pa.Table:
-        keys = [from_planes(x, np.uint64) for x in table["keys"].to_pylist()]
-        counts = [from_planes(x, np.uint32) for x in table["counts"].to_pylist()]
+        keys = [unpacked(x) for x in table["keys"].to_pylist()]
+        counts = [from_planes(unpack(x), np.uint32) for x in table["counts"].to_pylist()]
         each, which = np.unique(np.concatenate(keys), return_inverse=True)
         many = np.bincount(which, weights=np.concatenate(counts), minlength=len(each)) >= least  # sums below 2^53 are exact
         ends = np.cumsum([len(k) for k in keys])
         kept = [k[m] for k, m in zip(keys, np.split(many[which], ends[:-1]), strict=True)]
         some = [i for i, k in enumerate(kept) if len(k)]
-        return pa.table({"chunk": table["chunk"].take(pa.array(some, pa.int64())), "keys": pa.array([planes(kept[i]) for i in some], pa.binary())})
+        return pa.table({"chunk": table["chunk"].take(pa.array(some, pa.int64())), "keys": pa.array([packed(kept[i]) for i in some], pa.binary())})
 
     return rows.groupBy("range").applyInArrow(run, "chunk long, keys binary")
 
 
-PHRASES = pa.schema([("lang", pa.string()), ("n", pa.int32()), ("phrase", pa.binary()), ("count", pa.int64())])
-FOUND_SCHEMA = "lang string, n int, phrase binary, count long, range int, chunk long, keys binary, counts binary"
-FOUND = pa.schema([*PHRASES, ("range", pa.int32()), ("chunk", pa.int64()), ("keys", pa.binary()), ("counts", pa.binary())])
+FOUND_SCHEMA = "lang string, range int, phrases binary, chunk long, keys binary, counts binary"
+FOUND = pa.schema([("lang", pa.string()), ("range", pa.int32()), ("phrases", pa.binary()), ("chunk", pa.int64()), ("keys", pa.binary()), ("counts", pa.binary())])
 
 
-def at_chunks(chunks: DataFrame, keys: DataFrame, lengths: tuple, longer: tuple, ranges: int) -> DataFrame:
+def at_chunks(chunks: DataFrame, keys: DataFrame, lengths: tuple, longer: tuple, bits: int, ranges: int) -> DataFrame:
     """Along the pointers: the frequent phrases of ``lengths`` words with their counts in each chunk, and
     fingerprints of the ``longer`` ones whose word pairs are all frequent."""
 
     def run(left: pa.Table, right: pa.Table) -> pa.Table:
         if not left.num_rows or not right.num_rows:
             return FOUND.empty_table()
-        chunk = Chunk(left["lang"][0].as_py(), unpack(left["text"][0].as_py()))
-        wanted = np.sort(np.concatenate([from_planes(x, np.uint64) for x in right["keys"].to_pylist()]))
-        ids, out = chunk.word_ids(), []
+        chunk = Chunk(left["lang"][0].as_py(), unpack(left["text"][0].as_py()), bits)
+        wanted = np.sort(np.concatenate([unpacked(x) for x in right["keys"].to_pylist()]))
+        ids, found = chunk.word_ids(), []
         for n in lengths:
-            at, fp = chunk.frequent(n, wanted)
-            found = chunk.phrases(n, at, fp, ids)
-            cols = [[chunk.lang] * len(found), [n] * len(found), [p for p, _ in found], [c for _, c in found]]
-            out.append(pa.table(dict(zip(PHRASES.names, cols, strict=True)), schema=PHRASES))
+            found += chunk.phrases(n, *chunk.frequent(n, wanted), ids)
+        out = [phrase_entries(chunk.lang, found, ranges)]
         if longer:
             pair = np.zeros(len(chunk.start) + max(longer), bool)
             pair[chunk.frequent(2, wanted)[0]] = True
@@ -248,8 +304,8 @@ def at_chunks(chunks: DataFrame, keys: DataFrame, lengths: tuple, longer: tuple,
             for n in longer:
                 at, fp = chunk.grams(n)
                 fps.append(fp[np.all([pair[at + k] for k in range(n - 1)], axis=0)])
-            out.append(pa.Table.from_batches([entries(left["chunk"][0].as_py(), fps, ranges)]))
-        whole = pa.concat_tables(out, promote_options="default")
+            out.append(entries(left["chunk"][0].as_py(), fps, bits, ranges))
+        whole = pa.concat_tables([pa.Table.from_batches([x]) for x in out], promote_options="default")
         return pa.table({f.name: whole[f.name] if f.name in whole.column_names else pa.nulls(whole.num_rows, f.type) for f in FOUND}, schema=FOUND)
 
     return chunks.select("chunk", "lang", "text").groupBy("chunk").cogroup(keys.groupBy("chunk")).applyInArrow(run, FOUND_SCHEMA)
@@ -258,24 +314,28 @@ def at_chunks(chunks: DataFrame, keys: DataFrame, lengths: tuple, longer: tuple,
 def phrase_counts(docs: DataFrame, least: int, most_words: int, lang_col: str, text_col: str, chunk_bytes: int) -> tuple[DataFrame, DataFrame]:
     """``(lang, n, phrase, f)`` of all phrases of up to ``most_words`` words with f >= ``least``, and ``(lang, n_words)``."""
     chunks = written(chunks_of(docs, lang_col, text_col, chunk_bytes).withColumn("chunk", F.monotonically_increasing_id()), "chunks")
-    size = chunks.agg(F.sum(F.col("n_words") * 24)).first()[0] or 0  # bytes of two fingerprints with counts for each word
-    ranges = max(int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-size // RANGE_BYTES))
+    words = chunks.agg(F.sum("n_words")).first()[0] or 0
+    bits = gram_bits(words)
+    # bytes of two fingerprints with counts for each word
+    ranges = max(int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-words * 24 // RANGE_BYTES))
 
     def short(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for row in batch.to_pylist():
-                chunk = Chunk(row["lang"], unpack(row["text"]))
-                yield entries(row["chunk"], [chunk.grams(n)[1] for n in (1, 2)], ranges)
+                chunk = Chunk(row["lang"], unpack(row["text"]), bits)
+                yield entries(row["chunk"], [chunk.grams(n)[1] for n in (1, 2)], bits, ranges)
 
     keys = frequent_keys(chunks.select("chunk", "lang", "text").mapInArrow(short, ENTRY_SCHEMA), least)
     longer = tuple(range(3, most_words + 1))
-    found = written(at_chunks(chunks, keys, (1, 2), longer, ranges), "phrases")
-    counts = found.where("phrase IS NOT NULL").select("lang", "n", "phrase", "count")
+    found = written(at_chunks(chunks, keys, (1, 2), longer, bits, ranges), "phrases")
+    columns = ["lang", "range", "phrases", "counts"]
+    texts = found.where("phrases IS NOT NULL").select(columns)
     if longer:
-        keys = frequent_keys(found.where("range IS NOT NULL").select("range", "chunk", "keys", "counts"), least)
-        counts = counts.union(at_chunks(chunks, keys, longer, (), ranges).select("lang", "n", "phrase", "count"))
-    exact = counts.groupBy("lang", "n", "phrase").agg(F.sum("count").alias("f")).where(F.col("f") >= least)
-    exact = written(exact.select("lang", "n", F.col("phrase").cast("string").alias("phrase"), "f"), "counts")
+        keys = frequent_keys(found.where("keys IS NOT NULL").select("range", "chunk", "keys", "counts"), least)
+        texts = texts.union(at_chunks(chunks, keys, longer, (), bits, ranges).select(columns))
+    phrase = F.col("phrase").cast("string")
+    exact = frequent_phrases(texts, least).select("lang", F.size(F.split(phrase, " ")).alias("n"), phrase.alias("phrase"), "f")
+    exact = written(exact, "counts")
     return exact, chunks.groupBy("lang").agg(F.sum("n_words").alias("n_words"))
 
 
